@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_exact_dedup
+from . import op1_exact_dedup, op4_sharding, op5_mixing, op9_bpe
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup.query,
+    "op4_sharding": op4_sharding.query,
+    "op5_mixing": op5_mixing.query,
+    "op9_bpe": op9_bpe.query,
 }
 
 SQL = {
