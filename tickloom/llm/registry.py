@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import op1_exact_dedup, op4_sharding, op5_mixing, op9_bpe
+from . import op1_exact_dedup, op3_chat, op4_sharding, op5_mixing, op6_fingerprint, op8_warc, op9_bpe
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup.query,
+    "op3_chat": op3_chat.query,
     "op4_sharding": op4_sharding.query,
     "op5_mixing": op5_mixing.query,
+    "op6_fingerprint": op6_fingerprint.query,
+    "op8_warc": op8_warc.query,
     "op9_bpe": op9_bpe.query,
 }
 
 SQL = {
     "op1_exact_dedup": op1_exact_dedup.SQL,
+    "op3_chat": op3_chat.SQL,
+    "op8_warc": op8_warc.SQL,
 }
