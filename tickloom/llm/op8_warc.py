@@ -179,8 +179,11 @@ def write_arc(pages: DataFrame) -> DataFrame:
 PARSED = "page_id long, record_id string, url string, ip string, date string, http string, payload string, payload_bytes long, digest string"
 
 
-def parse_arc(files: DataFrame) -> DataFrame:
-    """The records of ARC files with their WARC identifiers, timestamps and digests."""
+def parse_arc(files: DataFrame, contents: bool = True) -> DataFrame:
+    """The records of ARC files with their WARC identifiers, timestamps and digests.
+
+    Without ``contents``, http and payload are null: what the search for copies needs.
+    """
     names = [x.split()[0] for x in PARSED.split(", ")]
     types = [pa.int64(), *[pa.string()] * 6, pa.int64(), pa.string()]
 
@@ -196,8 +199,8 @@ def parse_arc(files: DataFrame) -> DataFrame:
                     head, digest = http.decode(), sha1(body)
                     page = header(head, "X-Page-Id")
                     seed = "|".join((r["URL"], r["Archive-date"], page or "", digest))
-                    rows.append((int(page) if page else None, f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, seed)}>", r["URL"], r["IP-address"], date_of(r["Archive-date"]), head, body.decode(), len(body), digest))
-                    held += len(body) + 200
+                    rows.append((int(page) if page else None, f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, seed)}>", r["URL"], r["IP-address"], date_of(r["Archive-date"]), head if contents else None, body.decode() if contents else None, len(body), digest))
+                    held += len(body) * contents + 200
                     if held > GATHERED:
                         yield batch(rows)
                         rows, held = [], 0
@@ -207,10 +210,11 @@ def parse_arc(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, PARSED)
 
 
-def write_warc(records: DataFrame) -> DataFrame:
-    """Parsed records as WARC files, copies as revisits; the files as binaryFile rows."""
+def write_warc(files: DataFrame) -> DataFrame:
+    """The records of ARC files as WARC files, copies as revisits; the files as binaryFile rows."""
     top = F.max(F.struct("page_id", "record_id")).alias("top")
-    copies = records.filter(F.col("payload_bytes") >= SHARED).groupBy("digest").agg(top, F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("copied"), F.col("top.page_id").alias("kept"), F.col("top.record_id").alias("refers"))
+    records = parse_arc(files)
+    copies = parse_arc(files, contents=False).filter(F.col("payload_bytes") >= SHARED).groupBy("digest").agg(top, F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("copied"), F.col("top.page_id").alias("kept"), F.col("top.record_id").alias("refers"))
     marked = records.join(common.stored(copies), F.col("digest") == F.col("copied"), "left").withColumn("refers", F.expr("case when page_id <=> kept or kept is null then null else refers end")).select(*records.columns, "refers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +262,7 @@ def read_warc(files: DataFrame) -> DataFrame:
 
 def convert(pages: DataFrame) -> DataFrame:
     """Pages through ARC files, the converter and WARC files, read back: one row per page."""
-    found = common.stored(read_warc(write_warc(parse_arc(write_arc(pages)))))
+    found = common.stored(read_warc(write_warc(write_arc(pages))))
     named = found.filter("record_type = 'response'").groupBy(F.col("record_id").alias("named")).agg(F.max("page_id").alias("refers_to"))
     revisits = found.filter("record_type = 'revisit'").join(named, F.col("refers") == F.col("named"), "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
