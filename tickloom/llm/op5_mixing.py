@@ -31,7 +31,7 @@ from . import common
 
 #: Words in a block.
 BLOCK = 32
-PER_BUCKET = 50_000
+PER_BUCKET = 4_000
 SEED = 20_240_229
 SHARDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
