@@ -147,7 +147,7 @@ def _written(lines: DataFrame, separator: str) -> DataFrame:
     """The archive files as binaryFile rows, after they are written."""
     spark = lines.sparkSession
     path = common.shared_dir(spark)
-    lines.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE + 1).text(path)
+    lines.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", PER_FILE + 1).text(path)
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
 
