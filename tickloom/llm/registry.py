@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_exact_dedup, op3_chat, op4_sharding, op5_mixing, op6_fingerprint, op8_warc, op9_bpe
+from . import op1_exact_dedup, op10_language, op3_chat, op4_sharding, op5_mixing, op6_fingerprint, op7_quality, op8_warc, op9_bpe
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup.query,
@@ -10,8 +10,10 @@ QUERIES = {
     "op4_sharding": op4_sharding.query,
     "op5_mixing": op5_mixing.query,
     "op6_fingerprint": op6_fingerprint.query,
+    "op7_quality": op7_quality.query,
     "op8_warc": op8_warc.query,
     "op9_bpe": op9_bpe.query,
+    "op10_language": op10_language.query,
 }
 
 SQL = {
