@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op1_exact_dedup, op10_language, op3_chat, op4_sharding, op5_mixing, op6_fingerprint, op7_quality, op8_warc, op9_bpe
+from . import op1_exact_dedup, op10_language, op2_minhash, op3_chat, op4_sharding, op5_mixing, op6_fingerprint, op7_quality, op8_warc, op9_bpe
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup.query,
+    "op2_minhash": op2_minhash.query,
     "op3_chat": op3_chat.query,
     "op4_sharding": op4_sharding.query,
     "op5_mixing": op5_mixing.query,
