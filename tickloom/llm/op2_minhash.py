@@ -260,8 +260,13 @@ def components(links: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
     """(node, label) for all nodes that have a link."""
     entries = nodes.filter("bands is not null").select("node", "doc_id", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).filter("m > 1")
-    members = common.stored(entries.join(shared, "key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    inside = common.stored(entries.join(shared, "key"))
+    # the node that meets most others over all its buckets lies nearest to the middle of a group
+    met = inside.groupBy("node").agg(F.sum("m").alias("met"))
+    ranked = inside.join(met, "node")
+    pivot = ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+    members = common.stored(ranked.join(pivot, "key"))
     texts = common.stored(candidate_texts(docs, members.select("node", "doc_id").distinct()))
     pairs = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     done = common.stored(compared(pairs, texts, idf))
