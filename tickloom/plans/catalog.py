@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from . import bar_queries
+
+MODULES = [bar_queries]
 
 
 def queries() -> dict:
