@@ -17,7 +17,9 @@ with one pivot.  That leaves the pairs of other nodes, of which only those in
 different components matter: buckets that still span components are compared
 with further pivots, more each round, until every such pair of every bucket was
 compared or ruled out.  A pair is ruled out where the similarities to a common
-pivot differ by more than 1 - SIMILARITY, as 1 - weighted Jaccard is a metric.
+pivot differ by more than 1 - SIMILARITY, as 1 - weighted Jaccard is a metric,
+and where what the texts have in shingles that no other open node has leaves
+too little to share; a node for which that holds with any partner is closed.
 So the work in a group of alike texts grows with its size, not its square, and
 no link that joins two classes is lost.  Classes are connected components.
 
@@ -236,6 +238,41 @@ def compared(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return common.map_batches(rows, run, "a binary, b binary, sim double")
 
 
+def shareable(nodes: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(node, w, s): all weight of each text, and its weight in shingles that another of the nodes has too.
+
+    What no other node has can't be shared, so the similarity of x and y is at most
+    m / (w_x + w_y - m) with m = min(s_x, s_y).  Shingles are dealt by their hash, packed
+    by text and part; a task counts those of its parts.
+    """
+    parts = max(8, common.parts_for(nodes.count(), 2000))
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        names = batch.column(0).to_pylist()
+        for i, j, _, keys, weights, sizes in Texts(batch.column(1), idf.value):
+            cut = np.cumsum(sizes)[:-1]
+            for node, k, w in zip(names[i:j], np.split(keys, cut), np.split(weights, cut), strict=True):
+                part = (k % _U(parts)).astype(np.int64)
+                for at in np.unique(part):
+                    own = part == at
+                    rows.append((node, int(at), float(w.sum()), k[own].tobytes(), w[own].astype(float).tobytes()))
+        types = (pa.binary(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(list(zip(*rows, strict=True)) or [[]] * 5, types, strict=True)], ["node", "part", "w", "keys", "weights"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [x for b in batches for x in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True)]
+        if rows:
+            keys = [np.frombuffer(x[2], np.uint64) for x in rows]
+            _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            weights = np.where(n[at] > 1, np.concatenate([np.frombuffer(x[3]) for x in rows]), 0.0)
+            first = np.concatenate([[0], np.cumsum([len(k) for k in keys])[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows]), pa.array(np.add.reduceat(weights, first))], ["node", "w", "s"])
+
+    packed = common.map_batches(texts.join(nodes, "node", "left_semi").select("node", "text"), pack, "node binary, part int, w double, keys binary, weights binary")
+    return packed.repartition(parts, "part").mapInArrow(count, "node binary, w double, s double").groupBy("node").agg(F.max("w").alias("w"), F.sum("s").alias("s"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes of (a, b): the least node of each connected component.
 
@@ -273,7 +310,15 @@ def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
     # the other members of each bucket, with how alike they are to its pivot
     open_ = common.stored(members.filter("node <> pivot").join(done.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "sim"), ["node", "pivot"]).select("key", "node", "sim"))
     labels = components(done.filter(F.col("sim") >= SIMILARITY))
-    pivots = 4
+    split = open_.join(labels, "node", "left").groupBy("key").agg(F.count_distinct(F.coalesce("label", "node")).alias("parts")).filter("parts > 1").select("key")
+    open_ = common.stored(open_.join(split, "key", "left_semi"))
+    held = common.stored(shareable(open_.select("node").distinct(), texts, idf))
+    # no partner in the bucket is lighter than its lightest node, nor than what it shares
+    weighed = open_.join(held, "node")
+    least = weighed.groupBy("key").agg(F.min("w").alias("least"))
+    able = F.col("s") >= (SIMILARITY - 1e-6) * (F.greatest("least", "s") + F.col("w") - F.col("s"))
+    open_ = common.stored(weighed.join(least, "key").filter(able).drop("least"))
+    pivots = 16
     while True:
         now = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         parts = now.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("node").alias("first"))
@@ -281,12 +326,13 @@ def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
         now = common.stored(now.join(spans, "key"))
         if not now.limit(1).count():
             return labels
-        near = F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - SIMILARITY + 1e-9
+        both = F.least("x.s", "y.s")
+        near = (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - SIMILARITY + 1e-6) & (both >= (SIMILARITY - 1e-6) * (F.col("x.w") + F.col("y.w") - both))
         small = now.filter(F.col("m") <= SMALL)
         few = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & near)
         large = now.filter(F.col("m") > SMALL)
         rank = Window.partitionBy("key").orderBy("first")
-        chosen = large.filter("label <> main").groupBy("key", "label").agg(F.min(F.struct("node", "sim")).alias("p")).select("key", "label", "p.*").withColumn("first", F.col("node")).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= pivots).drop("rank", "first")
+        chosen = large.filter("label <> main").groupBy("key", "label").agg(F.min(F.struct("node", "sim", "w", "s")).alias("p")).select("key", "label", "p.*").withColumn("first", F.col("node")).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= pivots).drop("rank", "first")
         chosen = common.stored(chosen)
         many = chosen.alias("x").join(large.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & near)
         pair = [F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")]
@@ -295,7 +341,7 @@ def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
         found = common.stored(compared(fresh.join(before, ["a", "b"], "left_anti"), texts, idf))
         done = common.stored(done.select("a", "b", "sim").union(found))
         # small buckets are finished, and so is each pivot in its bucket
-        open_ = common.stored(large.select("key", "node", "sim").join(chosen.select("key", "node"), ["key", "node"], "left_anti"))
+        open_ = common.stored(large.select("key", "node", "sim", "w", "s").join(chosen.select("key", "node"), ["key", "node"], "left_anti"))
         if found.filter(F.col("sim") >= SIMILARITY).limit(1).count():
             labels = components(done.filter(F.col("sim") >= SIMILARITY))
         pivots *= 2
@@ -316,7 +362,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, with all its columns."""
     common.session(spark)
-    gone = common.stored(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")))
+    gone = common.only(lambda: near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")))
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
