@@ -37,6 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that this process has stored and not removed.
+_kept: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and returns the table read back.
 
@@ -45,6 +49,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    _kept.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -52,9 +57,23 @@ def stored(df: DataFrame) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Removes the files of a table made by ``stored`` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    _remove(df.sparkSession, df.stored_at)
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if at in _kept:
+        _kept.remove(at)
+
+
+def only(build: Callable[[], DataFrame]) -> DataFrame:
+    """Stores the frame that ``build`` makes and removes all that was stored for it meanwhile."""
+    before = set(_kept)
+    out = stored(build())
+    for at in [x for x in _kept if x not in before and x != out.stored_at]:
+        _remove(out.sparkSession, at)
+    return out
 
 
 def parts_for(rows: int, per_part: int) -> int:

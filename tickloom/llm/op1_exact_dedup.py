@@ -178,7 +178,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that stay, with all their columns."""
     common.session(spark)
-    gone = common.stored(exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("__gone")))
+    gone = common.only(lambda: exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("__gone")))
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 

@@ -76,7 +76,7 @@ def seats(due: list[float], caps: list[int], house: int) -> list[int]:
             low = mid
         else:
             high = mid
-    got = at(low)
+    got = at(low * (1 - 1e-9))  # a little less, so that ties are left to the quotients
     heap = [(-due[i] / (2 * got[i] + 1), i) for i in range(len(due)) if due[i] > 0 and got[i] < caps[i]]
     heapq.heapify(heap)
     for _ in range(house - sum(got)):
@@ -110,8 +110,8 @@ def first_block(source: str | None, blocks: int, seed: int) -> int:
     return int.from_bytes(hashlib.sha256(word).digest()[:8], "big") % max(1, blocks)
 
 
-def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
-    """One row per document: what the mix takes of it, and the first shard that takes any."""
+def placed_documents(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
+    """Documents in the streams of their sources, with what the mix takes of each."""
     spark = docs.sparkSession
     rows = common.stored(counted(docs))
     sums = sorted(((x["source"], x["words"], x["n"]) for x in rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()), key=lambda x: (x[0] is None, x[0]))
@@ -136,18 +136,40 @@ def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block: int = BL
 
     extra = overlap(st * block, F.least(st + F.col("run"), n) * block) + overlap(F.lit(0), (st + F.col("run") - n) * block)
     occurrence = F.pmod(F.floor(F.col("a") / block) - st, F.greatest(n, F.lit(1)))
-    return placed.withColumn("taken", (F.col("passes") * F.col("size") + extra).cast("long")).select(
-        "doc_id", "size", "source_size", "target", "taken",
-        F.when((F.col("taken") > 0) & (occurrence < q), F.size(F.filter("running", lambda x: x <= occurrence)) - 1).alias("first_shard"),
-    )
+    return placed.withColumn("extra", extra).withColumn("taken", (F.col("passes") * F.col("size") + F.col("extra")).cast("long")).withColumn("occurrence", F.when((F.col("taken") > 0) & (occurrence < q), occurrence))
+
+
+def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
+    """One row per document: what the mix takes of it, and the first shard that takes any."""
+    shard = F.size(F.filter("running", lambda x: x <= F.col("occurrence"))) - 1
+    return placed_documents(docs, seed, shards, block).select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("occurrence").isNotNull(), shard).alias("first_shard"))
+
+
+def whole_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """Documents as often as the mix takes most of their words, whole: never, once or twice.
+
+    In the seeded order of a source the documents of its last pass are one run, cyclically, so
+    a row for each source says which hashes are in it, and no text is moved to learn it.
+    """
+    order = F.col("h").bitwiseXOR(F.lit(-(2**63)))
+    chosen = F.col("extra") * 2 >= F.col("size")
+    seen = placed_documents(docs, seed).filter("size > 0").withColumn("o", order).withColumn("chosen", chosen)
+    runs = seen.groupBy(F.col("source").alias("__source")).agg(F.first("passes").alias("__passes"), *[F.expr(f"{f}(o) FILTER (WHERE {c})").alias(f"__{f}_{k}") for f in ("min", "max") for c, k in (("chosen", "in"), ("NOT chosen", "out"))])
+    o = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).bitwiseXOR(F.lit(-(2**63)))
+    # the run lies inside the others, or, where it goes round the end, the others lie inside it
+    wraps = (F.col("__min_in") < F.col("__min_out")) & (F.col("__max_in") > F.col("__max_out"))
+    inside = F.when(F.col("__min_in").isNull(), False).when(F.col("__min_out").isNull(), True).when(wraps, ~o.between(F.col("__min_out"), F.col("__max_out"))).otherwise(o.between(F.col("__min_in"), F.col("__max_in")))
+    out = docs.join(common.stored(runs), F.col("source").cast("string").eqNullSafe(F.col("__source"))).withColumn("__times", F.col("__passes").cast("int") + inside.cast("int"))
+    out = out.filter(F.col("text").rlike(WORD) & (F.col("__times") > 0)).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return out.select(*docs.columns)
+
+
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes most of their words: never, once or twice."""
+    """The mix as whole documents, with all their columns."""
     common.session(spark)
-    taken = mix(docs).filter("taken > 0 and 2 * taken >= size").select(F.col("doc_id").alias("__id"), F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2)).cast("int").alias("__times"))
-    out = docs.join(common.stored(taken.dropDuplicates(["__id"])), F.col("doc_id") == F.col("__id"))
-    return out.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    return whole_documents(docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,7 +260,7 @@ def classify(docs: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the scorer keeps, with all their columns."""
     common.session(spark)
-    gone = common.stored(classify(docs).filter("not kept").select(F.col("doc_id").alias("__gone")))
+    gone = common.only(lambda: classify(docs).filter("not kept").select(F.col("doc_id").alias("__gone")))
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
