@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bar_queries
+from . import analytics_queries, bar_queries
 
-MODULES = [bar_queries]
+MODULES = [bar_queries, analytics_queries]
 
 
 def queries() -> dict:
