@@ -314,7 +314,9 @@ def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
     open_ = common.stored(open_.join(split, "key", "left_semi"))
     held = common.stored(shareable(open_.select("node").distinct(), texts, idf))
     # no partner in the bucket is lighter than its lightest node, nor than what it shares
-    weighed = open_.join(held, "node")
+    # a pair that shares several buckets is compared in the first of them only
+    places = open_.groupBy("node").agg(F.collect_set("key").alias("keys"))  # BANDS at most
+    weighed = open_.join(held, "node").join(places, "node")
     least = weighed.groupBy("key").agg(F.min("w").alias("least"))
     able = F.col("s") >= (SIMILARITY - 1e-6) * (F.greatest("least", "s") + F.col("w") - F.col("s"))
     open_ = common.stored(weighed.join(least, "key").filter(able).drop("least"))
@@ -327,12 +329,12 @@ def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
         if not now.limit(1).count():
             return labels
         both = F.least("x.s", "y.s")
-        near = (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - SIMILARITY + 1e-6) & (both >= (SIMILARITY - 1e-6) * (F.col("x.w") + F.col("y.w") - both))
+        near = (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - SIMILARITY + 1e-6) & (both >= (SIMILARITY - 1e-6) * (F.col("x.w") + F.col("y.w") - both)) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
         small = now.filter(F.col("m") <= SMALL)
         few = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & near)
         large = now.filter(F.col("m") > SMALL)
         rank = Window.partitionBy("key").orderBy("first")
-        chosen = large.filter("label <> main").groupBy("key", "label").agg(F.min(F.struct("node", "sim", "w", "s")).alias("p")).select("key", "label", "p.*").withColumn("first", F.col("node")).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= pivots).drop("rank", "first")
+        chosen = large.filter("label <> main").groupBy("key", "label").agg(F.min(F.struct("node", "sim", "w", "s", "keys")).alias("p")).select("key", "label", "p.*").withColumn("first", F.col("node")).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= pivots).drop("rank", "first")
         chosen = common.stored(chosen)
         many = chosen.alias("x").join(large.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & near)
         pair = [F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")]
@@ -341,7 +343,7 @@ def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
         found = common.stored(compared(fresh.join(before, ["a", "b"], "left_anti"), texts, idf))
         done = common.stored(done.select("a", "b", "sim").union(found))
         # small buckets are finished, and so is each pivot in its bucket
-        open_ = common.stored(large.select("key", "node", "sim", "w", "s").join(chosen.select("key", "node"), ["key", "node"], "left_anti"))
+        open_ = common.stored(large.select("key", "node", "sim", "w", "s", "keys").join(chosen.select("key", "node"), ["key", "node"], "left_anti"))
         if found.filter(F.col("sim") >= SIMILARITY).limit(1).count():
             labels = components(done.filter(F.col("sim") >= SIMILARITY))
         pivots *= 2
