@@ -30,7 +30,7 @@ def plain(v):
         return str(v)[:26].replace(" 00:00:00", "")
     if isinstance(v, (bool, str)):
         return v
-    return float(f"{float(v):.8g}") + 0.0
+    return float(f"{float(v):.11g}") + 0.0
 
 
 def rows(df):

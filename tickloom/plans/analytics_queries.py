@@ -126,7 +126,7 @@ query("strategy_stats", f"""WITH {_PNL} SELECT symbol, side, count(*) AS n, coun
     lambda s, d: _pnl(s, d).groupBy("symbol", "side").agg(F.count("*").alias("n"), F.count_if(F.expr("pnl > 0")).alias("wins"), F.count_if(F.expr("pnl < 0")).alias("losses"), F.round(F.sum("pnl"), 2).alias("total"), F.round(F.avg("pnl"), 4).alias("expectancy"),
         F.expr("round(least(99.99, sum(pnl) FILTER (WHERE pnl > 0) / -sum(pnl) FILTER (WHERE pnl < 0)), 6) AS profit_factor"), F.expr("round(avg(pnl) / stddev_samp(pnl) * sqrt(count(*)), 6) AS sharpe_proxy")))
 query("daily_pnl", f"WITH {_PNL} SELECT ts::DATE AS day, round(sum(pnl), 2) AS pnl, count(*) AS n FROM p GROUP BY 1 ORDER BY 1 DESC LIMIT 30")(lambda s, d: _pnl(s, d).groupBy(F.to_date("ts").alias("day")).agg(F.round(F.sum("pnl"), 2).alias("pnl"), F.count("*").alias("n")).orderBy(F.desc("day")).limit(30))
-query("cumulative_pnl", f"WITH {_PNL}, x AS (SELECT ts::DATE AS day, sum(pnl) AS pnl FROM p GROUP BY 1) SELECT day, round(sum(pnl) OVER (ORDER BY day), 1) AS total FROM x")(lambda s, d: _pnl(s, d).groupBy(F.to_date("ts").alias("day")).agg(F.sum("pnl").alias("pnl")).select("day", F.round(F.sum("pnl").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)), 1).alias("total")))
+query("cumulative_pnl", f"WITH {_PNL}, x AS (SELECT ts::DATE AS day, sum(pnl) AS pnl FROM p GROUP BY 1) SELECT day, round(sum(pnl) OVER (ORDER BY day), 4) AS total FROM x")(lambda s, d: _pnl(s, d).groupBy(F.to_date("ts").alias("day")).agg(F.sum("pnl").alias("pnl")).select("day", F.round(F.sum("pnl").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)), 4).alias("total")))
 query("streaks", f"""WITH {_PNL}, q AS (SELECT symbol, side, ok, ln, pnl > 0 AS win, row_number() OVER (PARTITION BY symbol, side ORDER BY ts, ok, ln) - row_number() OVER (PARTITION BY symbol, side, pnl > 0 ORDER BY ts, ok, ln) AS g FROM p),
   c AS (SELECT symbol, side, win, g, count(*) AS n FROM q GROUP BY ALL) SELECT symbol, side, max(n) FILTER (win) AS longest_win, max(n) FILTER (NOT win) AS longest_loss FROM c GROUP BY 1, 2""")(
     lambda s, d: _pnl(s, d).withColumn("win", F.expr("pnl > 0")).withColumn("g", F.row_number().over(Window.partitionBy("symbol", "side").orderBy("ts", "ok", "ln")) - F.row_number().over(Window.partitionBy("symbol", "side", "win").orderBy("ts", "ok", "ln"))).groupBy("symbol", "side", "win", "g").agg(F.count("*").alias("n")).groupBy("symbol", "side").agg(F.expr("max(n) FILTER (WHERE win) AS longest_win"), F.expr("max(n) FILTER (WHERE NOT win) AS longest_loss")))
@@ -143,8 +143,8 @@ query("account_replay", f"WITH {TRADES} SELECT symbol, round(sum(CASE WHEN side
     lambda s, d: trades(s, d).groupBy("symbol").agg(F.expr("round(sum(CASE WHEN side = 'buy' THEN shares ELSE -shares END), 4) AS position"), F.expr("round(sum(CASE WHEN side = 'buy' THEN -shares * price ELSE shares * price END - commission), 2) AS cash")))
 _GATE = "CASE WHEN shares > 45 THEN 'shares' WHEN shares * price > 90000 THEN 'notional' WHEN side = 'sell' AND shares > 40 THEN 'position' ELSE 'ok' END"
 query("risk_gate", f"WITH {TRADES} SELECT {_GATE} AS verdict, side, count(*) AS n FROM trades GROUP BY 1, 2")(lambda s, d: trades(s, d).groupBy(F.expr(_GATE).alias("verdict"), "side").agg(F.count("*").alias("n")))
-query("fill_costs", f"WITH {TRADES} SELECT ok, ln, round(price * CASE WHEN side = 'buy' THEN 1.0005 ELSE 0.9995 END, 8) AS fill, round(0.1 * power(shares / 1000, 0.5), 6) AS impact, round(greatest(1, 0.005 * shares), 6) AS equity_commission FROM trades")(
-    lambda s, d: trades(s, d).select("ok", "ln", F.expr("round(price * CASE WHEN side = 'buy' THEN 1.0005 ELSE 0.9995 END, 8) AS fill"), F.expr("round(0.1 * power(shares / 1000, 0.5), 6) AS impact"), F.expr("round(CAST(greatest(1, 0.005 * shares) AS DOUBLE), 6) AS equity_commission")))
+query("fill_costs", f"WITH {TRADES} SELECT ok, ln, round(shares * price * CASE WHEN side = 'buy' THEN 1.0005 ELSE 0.9995 END, 7) AS fill_value, round(0.1 * power(shares / 1000, 0.5), 6) AS impact, round(greatest(1, 0.005 * shares), 6) AS equity_commission FROM trades")(
+    lambda s, d: trades(s, d).select("ok", "ln", F.expr("round(shares * price * CASE WHEN side = 'buy' THEN 1.0005 ELSE 0.9995 END, 7) AS fill_value"), F.expr("round(0.1 * power(shares / 1000, 0.5), 6) AS impact"), F.expr("round(CAST(greatest(1, 0.005 * shares) AS DOUBLE), 6) AS equity_commission")))
 query("twap_slices", "SELECT o_orderkey, i::INT AS slice, o_orderdate + to_minutes((i * 5)::INT) AS at, round(o_totalprice / 4, 6) AS notional FROM orders, (SELECT unnest(range(4)) AS i)")(
     lambda s, d: s.read.parquet(f"{d}/orders.parquet").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("o_orderkey", "slice", (F.col("o_orderdate") + F.expr("make_interval(0, 0, 0, 0, 0, slice * 5, 0)")).alias("at"), F.round(F.col("o_totalprice") / 4, 6).alias("notional")))
 query("latency_summary", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS top, quantile_cont(value, 0.99) <= 400 AS healthy FROM events GROUP BY 1")(
@@ -243,3 +243,35 @@ def default_grid(s):
 
 query("strategy_scan")(lambda s, d: rounded(K.scan(B.bars_of(s, d), default_grid(s), chunks=2)))
 query("grid_best")(lambda s, d: rounded(K.best(K.scan(B.bars_of(s, d), default_grid(s), chunks=2))))
+
+
+# margin at five times leverage and a 0.4 % maintenance rate, day trades, splits
+_LIQ = "round(shares * price * 0.804::DOUBLE, 7) AS liquidation_long, round(shares * price * 1.196::DOUBLE, 7) AS liquidation_short, round(shares * price / 5, 6) AS initial_margin"
+query("margin", f"WITH {TRADES} SELECT ok, ln, {_LIQ} FROM trades")(lambda s, d: trades(s, d).select("ok", "ln", F.expr("round(shares * price * 0.804D, 7) AS liquidation_long"), F.expr("round(shares * price * 1.196D, 7) AS liquidation_short"), F.expr("round(shares * price / 5, 6) AS initial_margin")))
+query("day_trade_count", f"WITH {DAILY} SELECT symbol, ts, count(*) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS n7 FROM daily")(
+    lambda s, d: B.daily_bars(s, d).withColumn("day", F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))).select("symbol", "ts", F.count("*").over(Window.partitionBy("symbol").orderBy("day").rangeBetween(-7, 0)).alias("n7")))
+query("trading_calendar", "SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders WHERE isodow(o_orderdate) <= 5 AND strftime(o_orderdate, '%m-%d') NOT IN ('01-01', '07-04', '12-25') GROUP BY 1")(
+    lambda s, d: s.read.parquet(f"{d}/orders.parquet").filter("weekday(o_orderdate) < 5 AND date_format(o_orderdate, 'MM-dd') NOT IN ('01-01', '07-04', '12-25')").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n")))
+
+
+def cpcv_splits(n: int, groups: int = 6, test: int = 2, embargo: int = 0) -> list[tuple[int, int, str]]:
+    """(split, bar, role) of combinatorial purged cross-validation: test, train, or embargoed after a test group."""
+    from itertools import combinations
+
+    edges = [n * g // groups for g in range(groups + 1)]
+    out = []
+    for k, chosen in enumerate(combinations(range(groups), test)):
+        inside = [any(edges[g] <= i < edges[g + 1] for g in chosen) for i in range(n)]
+        late = [any(edges[g + 1] <= i < edges[g + 1] + embargo for g in chosen) for i in range(n)]
+        out += [(k, i, "test" if a else "embargo" if b else "train") for i, (a, b) in enumerate(zip(inside, late, strict=True))]
+    return out
+
+
+query("cpcv_split", """WITH g AS (SELECT a.range AS a, b.range AS b, row_number() OVER (ORDER BY a.range, b.range) - 1 AS split FROM range(6) a, range(6) b WHERE a.range < b.range),
+  x AS (SELECT split, i.range AS bar, CASE WHEN i.range // 100 IN (a, b) THEN 'test' WHEN (i.range // 100 - 1 IN (a, b)) AND i.range % 100 < 5 THEN 'embargo' ELSE 'train' END AS role FROM g, range(600) i)
+  SELECT split::INT AS split, role, count(*) AS n, sum(bar)::BIGINT AS total FROM x GROUP BY 1, 2""")(
+    lambda s, d: s.createDataFrame(cpcv_splits(600, embargo=5), "split int, bar int, role string").groupBy("split", "role").agg(F.count("*").alias("n"), F.sum("bar").alias("total")))
+query("walk_forward_split", f"WITH {bars_cte()}, n AS (SELECT symbol, row_number() OVER w AS rn, count(*) OVER (PARTITION BY symbol) AS n, close FROM bars WINDOW {W}) SELECT symbol, CASE WHEN rn <= 0.6 * n THEN 'train' WHEN rn <= 0.6 * n + 5 THEN 'embargo' WHEN rn <= 0.8 * n THEN 'val' ELSE 'test' END AS part, count(*) AS bars, round(avg(close), 6) AS mean_close FROM n GROUP BY 1, 2")(
+    lambda s, d: rounded(B.bars_of(s, d).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("ts"))).withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).groupBy("symbol", F.expr("CASE WHEN rn <= 0.6 * n THEN 'train' WHEN rn <= 0.6 * n + 5 THEN 'embargo' WHEN rn <= 0.8 * n THEN 'val' ELSE 'test' END").alias("part")).agg(F.count("*").alias("bars"), F.avg("close").alias("mean_close"))))
+query("retention", f"WITH {TRADES} SELECT symbol, ok, ln FROM trades WHERE ts >= TIMESTAMP '1999-01-01' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, ok DESC, ln DESC, price DESC, shares DESC) <= 100")(
+    lambda s, d: trades(s, d).filter("ts >= timestamp_ntz'1999-01-01'").withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy(*[F.desc(c) for c in ("ts", "ok", "ln", "price", "shares")]))).filter("n <= 100").select("symbol", "ok", "ln"))

@@ -107,7 +107,7 @@ indicator("cci", lambda b: I.cci(b, 20), f"""WITH {bars_cte()}, t AS (SELECT *,
   SELECT symbol, ts, round(CASE WHEN rn >= 20 THEN CASE WHEN mad < 1e-12 THEN 0 ELSE (tp - m) / (0.015 * mad) END END, 6) AS cci FROM x""")
 _FLOW = "CASE WHEN high = low THEN 0 ELSE volume * (2 * close - high - low) / (high - low) END"
 indicator("ofi", lambda b: {"ofi": I.ofi(10)}, windowed(guard(10, f"sum({_FLOW}) OVER {frame(10)}", "ofi")))
-indicator("ofi_roc", lambda b: b.withColumn("ofi", I.ofi(10)).withColumn("roc", I.change("ofi", 5)).drop("ofi"), f"WITH {bars_cte()}, o AS (SELECT *, CASE WHEN row_number() OVER w >= 10 THEN sum({_FLOW}) OVER {frame(10)} END AS x FROM bars WINDOW {W}) SELECT symbol, ts, round((x - lag(x, 5) OVER w) / (abs(lag(x, 5) OVER w) + 1e-10), 6) AS roc FROM o WINDOW {W}")
+indicator("ofi_roc", lambda b: b.withColumn("ofi", F.round(I.ofi(10), 6)).withColumn("roc", I.change("ofi", 5)).drop("ofi"), f"WITH {bars_cte()}, o AS (SELECT *, CASE WHEN row_number() OVER w >= 10 THEN round(sum({_FLOW}) OVER {frame(10)}, 6) END AS x FROM bars WINDOW {W}) SELECT symbol, ts, round((x - lag(x, 5) OVER w) / (abs(lag(x, 5) OVER w) + 1e-10), 6) AS roc FROM o WINDOW {W}")
 indicator("imbalance", lambda b: I.trade_imbalance(b, 20), f"WITH {bars_cte()}, s AS (SELECT *, coalesce(sign(close - lag(close) OVER w), 0) * volume AS sv FROM bars WINDOW {W}) SELECT symbol, ts, {guard(20, f'coalesce(sum(sv) OVER {frame(20)} / nullif(sum(volume) OVER {frame(20)}, 0), 0)', 'imbalance')} FROM s WINDOW {W}")
 _K = 0.34 / (1.34 + 21 / 19)
 indicator("yang_zhang", lambda b: I.yang_zhang(b, 20), f"""WITH {bars_cte()}, l AS (SELECT *, ln(open / lag(close) OVER w) AS co, ln(close / open) AS oc, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS rs FROM bars WINDOW {W})
