@@ -52,6 +52,8 @@ SLICES = 64
 FILTER_BITS = 1 << 23
 #: Buckets of so few nodes are compared pair by pair at once.
 SMALL = 12
+#: Further pivots a bucket gets in the first round, and how many times more in each next one.
+PIVOTS, MORE = 64, 16
 
 _U = np.uint64
 _TABLE = 1 << 16
@@ -294,6 +296,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further (a, b): the components of the labels that these links connect, not of all links again."""
+    ends = links
+    for c in ("a", "b"):
+        known = labels.select(F.col("node").alias(c), F.col("label").alias("now"))
+        ends = ends.join(known, c, "left").withColumn(c, F.coalesce("now", c)).drop("now")
+    bridges = components(ends.filter("a <> b").select("a", "b").distinct())
+    moved = bridges.select(F.col("node").alias("label"), F.col("label").alias("into"))
+    old = labels.join(moved, "label", "left").select("node", F.coalesce("into", "label").alias("label"))
+    # ends without a label so far were components of their own
+    return common.stored(old.union(bridges.join(labels, "node", "left_anti").select("node", "label")))
+
+
 def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
     """(node, label) for all nodes that have a link."""
     entries = nodes.filter("bands is not null").select("node", "doc_id", F.explode("bands").alias("key"))
@@ -320,10 +335,10 @@ def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
     least = weighed.groupBy("key").agg(F.min("w").alias("least"))
     able = F.col("s") >= (SIMILARITY - 1e-6) * (F.greatest("least", "s") + F.col("w") - F.col("s"))
     open_ = common.stored(weighed.join(least, "key").filter(able).drop("least"))
-    pivots = 16
+    pivots = PIVOTS
     while True:
         now = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        parts = now.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+        parts = now.groupBy("key", "label").agg(F.count("*").alias("n"))
         spans = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("m"), F.max_by("label", F.struct("n", "label")).alias("main")).filter("parts > 1")
         now = common.stored(now.join(spans, "key"))
         if not now.limit(1).count():
@@ -333,8 +348,10 @@ def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
         small = now.filter(F.col("m") <= SMALL)
         few = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & near)
         large = now.filter(F.col("m") > SMALL)
-        rank = Window.partitionBy("key").orderBy("first")
-        chosen = large.filter("label <> main").groupBy("key", "label").agg(F.min(F.struct("node", "sim", "w", "s", "keys")).alias("p")).select("key", "label", "p.*").withColumn("first", F.col("node")).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= pivots).drop("rank", "first")
+        # one node of each component first, then a second of each, and so on
+        turn = F.row_number().over(Window.partitionBy("key", "label").orderBy("node"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("turn", "node"))
+        chosen = large.filter("label <> main").withColumn("turn", turn).withColumn("rank", rank).filter(F.col("rank") <= pivots).select("key", "label", "node", "sim", "w", "s", "keys")
         chosen = common.stored(chosen)
         many = chosen.alias("x").join(large.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & near)
         pair = [F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")]
@@ -345,8 +362,8 @@ def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
         # small buckets are finished, and so is each pivot in its bucket
         open_ = common.stored(large.select("key", "node", "sim", "w", "s", "keys").join(chosen.select("key", "node"), ["key", "node"], "left_anti"))
         if found.filter(F.col("sim") >= SIMILARITY).limit(1).count():
-            labels = components(done.filter(F.col("sim") >= SIMILARITY))
-        pivots *= 2
+            labels = joined_up(labels, found.filter(F.col("sim") >= SIMILARITY))
+        pivots *= MORE
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
