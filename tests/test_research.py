@@ -37,7 +37,7 @@ def test_orders_expire_and_are_cancelled():
     assert [x[-1] for x in S.replay("x", flat, both, FREE)[0]] == [1, 0, 0, 0, 0]
 
 
-@pytest.mark.parametrize(("kind", "buy", "limit", "stop", "want"), [("limit", True, 9.5, None, 9.5), ("limit", True, 9.2, None, None), ("limit", False, 10.2, None, 10.2), ("stop", True, None, 10.5, 10.5), ("stop", False, None, 9.5, 9.5), ("stop", True, None, 12, None)])
+@pytest.mark.parametrize(("kind", "buy", "limit", "stop", "want"), [("limit", True, 9.6, None, 9.6), ("limit", True, 9.5, None, None), ("limit", False, 10.2, None, 10.2), ("stop", True, None, 10.5, 10.5), ("stop", False, None, 9.5, 9.5), ("stop", True, None, 12, None)])
 def test_matching(kind, buy, limit, stop, want):
     assert S.matched(kind, buy, limit, stop, 10, 11, 9) == want
 
