@@ -142,10 +142,11 @@ def monte_carlo(bars: DataFrame, grid: DataFrame, method: str, paths: int = 20,
         if len(ohlc) < 2:
             return None
         rng = np.random.default_rng(np.random.SeedSequence([SEEDS[method], part, zlib.crc32(symbol.encode())]))
-        got = _run(strategy, METHODS[method](ohlc, rng), sets[:1], cost)
+        got = _run(strategy, METHODS[method](ohlc, rng), sets, cost)
         return ids[0], None, None, float(got["ret"][0]), float(got["dd"][0]), int(got["trades"][0])
 
-    return _jobs(bars, grid, paths, run, OUT)
+    first = grid.groupBy("strategy").agg(F.min("combo_id").alias("combo_id"), F.min_by("params", "combo_id").alias("params"))
+    return _jobs(bars, first, paths, run, OUT)
 
 
 def stitched(parts: DataFrame) -> DataFrame:
