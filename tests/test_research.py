@@ -55,6 +55,11 @@ def test_splits_are_disjoint_and_cover():
         assert set(np.concatenate([b for _, b in parts])) == set(range(600))
 
 
+def test_the_six_windows_end_with_the_last_bar():
+    assert V.WINDOWS == [(0.30, 0.40, 0.50), (0.40, 0.50, 0.60), (0.50, 0.60, 0.70), (0.60, 0.70, 0.80), (0.70, 0.80, 0.90), (0.80, 0.90, 1.00)]
+    assert [int(1000 * c) for _, _, c in V.WINDOWS] == [500, 600, 700, 800, 900, 1000]
+
+
 def test_perturbed_bars_stay_valid():
     rng = np.random.default_rng(1)
     c = 100 * np.cumprod(1 + rng.standard_normal(200) * 0.01)

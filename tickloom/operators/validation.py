@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 #: Ends of training, validation and test as shares of the bars, one row a window.
-WINDOWS = [(0.35 + 0.1 * k, 0.45 + 0.1 * k, 0.55 + 0.1 * k) for k in range(5)]
+WINDOWS = [(0.3, 0.4, 0.5), (0.4, 0.5, 0.6), (0.5, 0.6, 0.7), (0.6, 0.7, 0.8), (0.7, 0.8, 0.9), (0.8, 0.9, 1.0)]
 OUT = "symbol string, strategy string, part int, combo_id int, train_score double, val_score double, ret double, dd double, trades long"
 
 
