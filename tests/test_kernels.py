@@ -35,3 +35,20 @@ def test_higher_costs_are_not_better():
 def test_unknown_strategy():
     with pytest.raises(KeyError):
         K.backtest("none", bars(), [1])
+
+
+def test_the_grid_is_searched_in_full(spark):
+    from tickloom.plans.analytics_queries import default_grid
+
+    sizes = {"MA": 355, "RSI": 420, "MACD": 853, "Drift": 264, "RAMOM": 315, "Turtle": 420, "Bollinger": 110, "Keltner": 135, "MultiFactor": 720, "VolRegime": 288, "MESA": 9, "KAMA": 144, "Donchian": 84, "ZScore": 108, "MomBreak": 240, "RegimeEMA": 162, "DualMom": 20, "Consensus": 192}
+    got = default_grid(spark).collect()
+    assert {k: sum(x.strategy == k for x in got) for k in sizes} == sizes and len(got) == 4839
+    assert len({(x.strategy, x.combo_id) for x in got}) == len({(x.strategy, *x.params) for x in got}) == 4839
+    assert [x.params for x in got if (x.strategy, x.combo_id) in (("MA", 354), ("MACD", 852), ("Turtle", 419))] == [[95.0, 196.0], [49.0, 118.0, 45.0], [70.0, 33.0, 20.0, 3.0]]
+
+
+def test_every_set_of_the_grid_has_a_finite_score_on_few_bars():
+    c, o, h, l = (getattr(bars(60), k) for k in ("c", "o", "h", "l"))
+    for name, sets in K.GRIDS.items():
+        out = K.backtest(name, K.Bars(c, o, h, l), sets)
+        assert np.isfinite(K.score(out["ret"], out["dd"], out["trades"])).all(), name

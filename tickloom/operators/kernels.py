@@ -9,6 +9,7 @@ open), mark to market, drawdown.  Positions still open close at the last close.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -324,6 +325,28 @@ RULES = {"MA": Cross, "RSI": Rsi, "MACD": Macd, "Drift": Drift, "RAMOM": Ramom,
 #: A first parameter set of each strategy.
 FIRST = {"MA": (5, 10), "RSI": (5, 15, 60), "MACD": (4, 9, 3), "Drift": (10, 0.55, 3), "RAMOM": (5, 5, 1.0, 0.0), "Turtle": (10, 5, 10, 1.5), "Bollinger": (10, 1.0), "Keltner": (10, 10, 1.0), "MultiFactor": (7, 10, 10, 0.55, 0.25), "VolRegime": (14, 0.015, 5, 30, 25, 70), "MESA": (0.3, 0.02), "KAMA": (10, 2, 20, 1.5, 14), "Donchian": (10, 10, 1.5), "ZScore": (15, 1.5, 0.0, 3.0), "MomBreak": (20, 0.0, 10, 1.5), "RegimeEMA": (14, 0.015, 5, 20, 50), "DualMom": (5, 20), "Consensus": (10, 50, 14, 20, 25, 70, 2)}
 
+#: The search ranges of each strategy, 4,839 sets; a set's place in its list is its combo_id.
+GRIDS = {
+    "MA": [(s, g) for s in range(5, 100, 5) for g in range(s + 5, 201, 8)],
+    "RSI": list(product(range(5, 101, 7), range(15, 40, 5), range(60, 90, 5))),
+    "MACD": [(f, s, g) for f in range(4, 50, 5) for s in range(f + 5, 120, 8) for g in range(3, min(s, 50), 6)],
+    "Drift": list(product(range(10, 120, 10), (0.55, 0.60, 0.65, 0.70), range(3, 25, 4))),
+    "RAMOM": list(product(range(5, 100, 15), range(5, 50, 10), (1.0, 2.0, 3.0), (0.0, 0.5, 1.0))),
+    "Turtle": list(product(range(10, 80, 10), range(5, 40, 7), (10, 14, 20), (1.5, 2.0, 2.5, 3.0))),
+    "Bollinger": list(product(range(10, 120, 5), (1.0, 1.5, 2.0, 2.5, 3.0))),
+    "Keltner": list(product(range(10, 100, 10), (10, 14, 20), (1.0, 1.5, 2.0, 2.5, 3.0))),
+    "MultiFactor": list(product((7, 14, 21), range(10, 60, 10), range(10, 40, 10), (0.55, 0.60, 0.65, 0.70), (0.25, 0.30, 0.35, 0.40))),
+    "VolRegime": [x for x in product((14, 20), (0.015, 0.020, 0.025, 0.030), (5, 10, 20), (30, 50, 80), (25, 30), (70, 75)) if x[2] < x[3]],
+    "MESA": list(product((0.3, 0.5, 0.7), (0.02, 0.05, 0.10))),
+    "KAMA": list(product((10, 15, 20), (2, 3), (20, 30, 50), (1.5, 2.0, 2.5, 3.0), (14, 20))),
+    "Donchian": list(product(range(10, 80, 10), (10, 14, 20), (1.5, 2.0, 2.5, 3.0))),
+    "ZScore": list(product(range(15, 100, 10), (1.5, 2.0, 2.5), (0.0, 0.5), (3.0, 4.0))),
+    "MomBreak": list(product((20, 40, 60, 100, 200), (0.00, 0.02, 0.05, 0.08), (10, 14, 20), (1.5, 2.0, 2.5, 3.0))),
+    "RegimeEMA": [x for x in product((14, 20), (0.015, 0.020, 0.025), (5, 10, 15), (20, 40, 60), (50, 80, 100)) if x[2] < x[3]],
+    "DualMom": [x for x in product((5, 10, 20, 40, 60), (20, 40, 80, 120, 200)) if x[0] < x[1]],
+    "Consensus": [x for x in product((10, 20), (50, 100, 150), (14, 21), (20, 40), (25, 30), (70, 75), (2, 3)) if x[0] < x[1]],
+}
+
 
 def backtest(strategy: str, bars: Bars, params, cost: Costs = Costs(), path: bool = False) -> dict:
     """Return %, drawdown %, closed trades of every parameter set; with ``path`` also equity and positions by bar."""

@@ -237,12 +237,12 @@ def _known(s, d):
 
 # strategies
 def default_grid(s):
-    sets = [(k, 0, [float(x) for x in v]) for k, v in K.FIRST.items()] + [("MA", 1 + i, [float(a), float(b)]) for i, (a, b) in enumerate((a, b) for a in range(3, 30, 3) for b in range(10, 80, 10) if a < b)] + [("RSI", 1 + i, [float(p), float(a), float(b)]) for i, (p, a, b) in enumerate((p, a, b) for p in (7, 14, 21) for a in (20, 25, 30) for b in (60, 70, 80))]
+    sets = [(k, i, [float(x) for x in v]) for k, grid in K.GRIDS.items() for i, v in enumerate(grid)]
     return s.createDataFrame(sets, "strategy string, combo_id int, params array<double>")
 
 
-query("strategy_scan")(lambda s, d: rounded(K.scan(B.bars_of(s, d), default_grid(s), chunks=2)))
-query("grid_best")(lambda s, d: rounded(K.best(K.scan(B.bars_of(s, d), default_grid(s), chunks=2))))
+query("strategy_scan")(lambda s, d: rounded(K.scan(B.bars_of(s, d), default_grid(s), chunks=4)))
+query("grid_best")(lambda s, d: rounded(K.best(K.scan(B.bars_of(s, d), default_grid(s), chunks=4))))
 
 
 # margin at five times leverage and a 0.4 % maintenance rate, day trades, splits
