@@ -60,6 +60,29 @@ def test_the_six_windows_end_with_the_last_bar():
     assert [int(1000 * c) for _, _, c in V.WINDOWS] == [500, 600, 700, 800, 900, 1000]
 
 
+def test_no_training_bar_lies_within_an_embargo_of_a_test_bar():
+    for inside, outside in V.splits(600, 6, 2, 5):
+        assert np.abs(inside[:, None] - outside).min() == 6
+    assert list(V.splits(12, 3, 1, 1)[1][0]) == [0, 1, 2, 9, 10, 11]
+
+
+def test_perturbed_runs_take_the_chosen_set_and_the_bars_it_was_not_chosen_on(spark):
+    c = 100 * np.cumprod(1 + np.random.default_rng(3).standard_normal(200) * 0.02)
+    x = np.column_stack([c, c * 1.01, c * 0.99, c])
+    days = [pd.Timestamp("2024-01-01") + pd.Timedelta(days=k) for k in range(200)]
+    rows = spark.createDataFrame([("s", t.to_pydatetime(), *map(float, r)) for t, r in zip(days, x, strict=True)], "symbol string, ts timestamp, open double, high double, low double, close double")
+    sets = sorted([[40.0, 60.0], [3.0, 8.0], [5.0, 20.0]], key=lambda p: V._run("MA", x[:160], [p], V.K.Costs())["score"][0])
+    grid = spark.createDataFrame([("MA", k, p) for k, p in enumerate(sets)], "strategy string, combo_id int, params array<double>")
+    best = int(np.argmax(V._run("MA", x[:160], sets, V.K.Costs())["score"]))
+    assert best == 2
+    for method, paths in (("noise", 30), ("shuffle", 20), ("bootstrap", 20)):
+        got = sorted(V.monte_carlo(rows, grid, method).collect(), key=lambda r: r.part)
+        assert [(r.part, r.combo_id) for r in got] == [(k, best) for k in range(paths)]
+        rng = np.random.default_rng(np.random.SeedSequence([V.SEEDS[method], 3, V.zlib.crc32(b"s")]))
+        want = V._run("MA", V.METHODS[method](x[180:], rng), [sets[best]], V.K.Costs())
+        assert (got[3].ret, got[3].trades) == (pytest.approx(want["ret"][0]), want["trades"][0])
+
+
 def test_perturbed_bars_stay_valid():
     rng = np.random.default_rng(1)
     c = 100 * np.cumprod(1 + rng.standard_normal(200) * 0.01)

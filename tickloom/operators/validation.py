@@ -22,11 +22,22 @@ WINDOWS = [(0.3, 0.4, 0.5), (0.4, 0.5, 0.6), (0.5, 0.6, 0.7), (0.6, 0.7, 0.8), (
 OUT = "symbol string, strategy string, part int, combo_id int, train_score double, val_score double, ret double, dd double, trades long"
 
 
+def _packed(bars: DataFrame) -> DataFrame:
+    return bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "open", "high", "low", "close"))).alias("b"))
+
+
+def _parts(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+
 def _jobs(bars: DataFrame, grid: DataFrame, parts: int, run: Callable, schema: str) -> DataFrame:
-    packed = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "open", "high", "low", "close"))).alias("b"))
-    sets = grid.groupBy("strategy").agg(F.array_sort(F.collect_list(F.struct("combo_id", "params"))).alias("g")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sets = _parts(grid.groupBy("strategy").agg(F.array_sort(F.collect_list(F.struct("combo_id", "params"))).alias("g")), parts)
     # one row per symbol against one per strategy and part: the product is the work itself
-    jobs = packed.crossJoin(F.broadcast(sets)).repartition("symbol", "strategy", "part")
+    return _each(_packed(bars).crossJoin(F.broadcast(sets)), run, schema)
+
+
+def _each(jobs: DataFrame, run: Callable, schema: str) -> DataFrame:
+    jobs = jobs.repartition("symbol", "strategy", "part")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in schema.split(", ")]
@@ -71,15 +82,15 @@ def walk_forward(bars: DataFrame, grid: DataFrame, windows: list = WINDOWS, emba
 
 
 def splits(n: int, groups: int = 6, test: int = 2, embargo: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training and test bars of each choice of test groups; bars within an embargo after a test group are in neither."""
+    """Training and test bars of each choice of test groups; other bars within an embargo before or after a test group are in neither."""
     edges = [n * g // groups for g in range(groups + 1)]
     out = []
     for chosen in combinations(range(groups), test):
-        held, late = np.zeros(n, bool), np.zeros(n, bool)
+        held, near = np.zeros(n, bool), np.zeros(n, bool)
         for g in chosen:
             held[edges[g] : edges[g + 1]] = True
-            late[edges[g + 1] : edges[g + 1] + embargo] = True
-        out.append((np.flatnonzero(~held & ~late), np.flatnonzero(held)))
+            near[max(edges[g] - embargo, 0) : edges[g + 1] + embargo] = True
+        out.append((np.flatnonzero(~held & ~near), np.flatnonzero(held)))
     return out
 
 
@@ -135,8 +146,15 @@ METHODS = {"noise": noise, "shuffle": shuffled, "bootstrap": bootstrapped}
 SEEDS = {"noise": 42000, "shuffle": 50000, "bootstrap": 60000}
 
 
-def monte_carlo(bars: DataFrame, grid: DataFrame, method: str, paths: int = 20, cost: K.Costs = K.Costs()) -> DataFrame:
-    """Every path's result of the first set of each strategy in ``grid`` on perturbed bars; seeds depend on path and symbol."""
+#: Perturbed paths of each kind.
+PATHS = {"noise": 30, "shuffle": 20, "bootstrap": 20}
+
+
+def monte_carlo(bars: DataFrame, grid: DataFrame, method: str, paths: int | None = None, windows: list = WINDOWS, embargo: int = 5, cost: K.Costs = K.Costs()) -> DataFrame:
+    """Every path's result of the set that the last window's training chose, on that window's test bars and all after them, perturbed.
+
+    Seeds depend on path and symbol.  Symbols without a row of that window in ``walk_forward`` have none here.
+    """
 
     def run(symbol, strategy, ohlc, ids, sets, part):
         if len(ohlc) < 2:
@@ -145,8 +163,11 @@ def monte_carlo(bars: DataFrame, grid: DataFrame, method: str, paths: int = 20,
         got = _run(strategy, METHODS[method](ohlc, rng), sets, cost)
         return ids[0], None, None, float(got["ret"][0]), float(got["dd"][0]), int(got["trades"][0])
 
-    first = grid.groupBy("strategy").agg(F.min("combo_id").alias("combo_id"), F.min_by("params", "combo_id").alias("params"))
-    return _jobs(bars, first, paths, run, OUT)
+    best = walk_forward(bars, grid, windows[-1:], embargo, cost).select("symbol", "strategy", "combo_id")
+    chosen = best.join(F.broadcast(grid), ["strategy", "combo_id"]).select("symbol", "strategy", F.array(F.struct("combo_id", "params")).alias("g"))
+    start = F.floor(F.size("b") * F.lit(float(windows[-1][1]))).cast("int")
+    late = _packed(bars).select("symbol", F.slice("b", start + 1, F.size("b")).alias("b"))
+    return _each(_parts(late.join(chosen, "symbol"), PATHS[method] if paths is None else paths), run, OUT)
 
 
 def stitched(parts: DataFrame) -> DataFrame:

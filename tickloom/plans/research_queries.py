@@ -232,9 +232,9 @@ query("hash_embedding")(lambda s, d: rounded(D.hash_embeddings(D.sentence_chunks
 # validation and the simulator
 query("walk_forward")(lambda s, d: rounded(validation.walk_forward(B.bars_of(s, d), default_grid(s))))
 query("stitched_oos")(lambda s, d: rounded(validation.stitched(validation.walk_forward(B.bars_of(s, d), default_grid(s)))))
-query("cpcv_scan")(lambda s, d: rounded(validation.cpcv(B.bars_of(s, d), default_grid(s), groups=4)))
+query("cpcv_scan")(lambda s, d: rounded(validation.cpcv(B.bars_of(s, d), default_grid(s))))
 for name in validation.METHODS:
-    query(f"monte_carlo_{name}")(lambda s, d, name=name: rounded(validation.monte_carlo(B.bars_of(s, d), default_grid(s), name, paths=4)))
+    query(f"monte_carlo_{name}")(lambda s, d, name=name: rounded(validation.monte_carlo(B.bars_of(s, d), default_grid(s), name)))
 
 
 def _orders(s, d):
