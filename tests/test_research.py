@@ -107,6 +107,22 @@ def test_hash_vectors_depend_on_the_text():
     assert (a == D.hash_vector("a", 16)).all() and not (a == b).all()
 
 
+def test_every_fiftieth_vector_is_searched_for_among_all(spark):
+    from tickloom.plans import catalog
+
+    assert "vector_search" in catalog.queries()
+    x = np.random.default_rng(5).integers(-2, 3, (300, 3)).astype(float)  # many equal directions
+    x[7] = 0
+    rows = spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(x)] + [(300, None), (None, [1.0, 1.0, 1.0])], "vec_id long, embedding array<float>")
+    for blocks in ({}, {"per_block": 40, "per_queries": 2}):
+        got = D.nearest(rows, **blocks).collect()
+        want = {}
+        for q in (k for k in range(0, 300, 50) if x[k].any()):
+            sims = sorted((-round(float(x[q] @ v / np.sqrt((x[q] @ x[q]) * (v @ v))), 9) + 0.0, k) for k, v in enumerate(x) if v.any())
+            want |= {(q, k): -s for s, k in sims[:10]}
+        assert {(r.query_id, r.vec_id): r.sim for r in got} == pytest.approx(want)
+
+
 def test_stitched(spark):
     rows = [("s", "MA", 0, 10.0, 5.0, 2), ("s", "MA", 1, -20.0, 30.0, 1)]
     got = V.stitched(spark.createDataFrame(rows, "symbol string, strategy string, part int, ret double, dd double, trades long")).first()

@@ -84,3 +84,36 @@ def runs(chunks: DataFrame) -> DataFrame:
     """(doc_id, first, last, n) of chunks that follow one another in a document."""
     w = Window.partitionBy("doc_id").orderBy("idx")
     return chunks.withColumn("g", F.col("idx") - F.row_number().over(w)).groupBy("doc_id", "g").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n")).drop("g")
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 10, per_block: int = 8192, per_queries: int = 4096) -> DataFrame:
+    """(query_id, vec_id, sim): the k vectors of highest cosine to each one whose id is divisible by ``every``, itself included.
+
+    Queries meet vectors block by block, so a task holds one block of either and nothing is broadcast.  Cosines
+    equal to nine places are ranked by id.  Rows without an id or with a null or zero vector have no cosine.
+    """
+    x = vectors.filter("vec_id IS NOT NULL AND exists(embedding, v -> v <> 0)").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    count = x.count()
+    v_blocks, q_blocks = (max(1, -(-n // size)) for n, size in ((count, per_block), (count // every, per_queries)))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    left = x.filter(F.col("vec_id") % every == 0).withColumn("qb", block(q_blocks)).withColumn("vb", numbers(v_blocks))
+    right = x.withColumn("vb", block(v_blocks)).withColumn("qb", numbers(q_blocks))
+
+    def score(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(q) and len(v):
+            v = v.sort_values("vec_id")
+            ids, a, b = v["vec_id"].to_numpy(), np.stack(v["embedding"].to_list()), np.stack(q["embedding"].to_list())
+            a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
+            for start in range(0, len(b), 256):
+                sims = np.round(b[start : start + 256] @ a.T, 9)
+                least = np.partition(sims, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+                for query, row, at_least in zip(q["vec_id"].iloc[start : start + 256], sims, least, strict=True):
+                    at = np.flatnonzero(row >= at_least)
+                    found += [(query, ids[i], row[i]) for i in at[np.argsort(-row[at], kind="stable")[:k]]]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "sim"]).astype({"query_id": "int64", "vec_id": "int64", "sim": "float64"})
+
+    near = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(score, "query_id long, vec_id long, sim double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
+    return near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")

@@ -228,6 +228,8 @@ query("merge_adjacent", "WITH c AS (SELECT doc_id, i AS idx FROM (SELECT doc_id,
     lambda s, d: D.runs(_docs(s, d).filter("length(text) > 0").select("doc_id", F.explode(F.expr("sequence(0L, CAST((length(text) + 399) DIV 400 - 1 AS BIGINT))")).alias("idx")).filter("(idx + doc_id) % 4 <> 3")))
 query("sentence_chunks")(lambda s, d: D.sentence_chunks(_docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest")))
 query("hash_embedding")(lambda s, d: rounded(D.hash_embeddings(D.sentence_chunks(_docs(s, d)), "chunk").select("doc_id", "idx", F.col("embedding")[0].cast("double").alias("x0"), F.size("embedding").alias("dim"))))
+# every 50th vector against all; vector_topk asks five only, as its SQL does
+query("vector_search")(lambda s, d: D.nearest(s.read.parquet(f"{d}/embeddings.parquet")).withColumn("sim", F.round("sim", 5)))
 
 # validation and the simulator
 query("walk_forward")(lambda s, d: rounded(validation.walk_forward(B.bars_of(s, d), default_grid(s))))
