@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: texts are long, so batches are short.
 BATCH_ROWS = 1000
@@ -25,20 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths that this process has written below the shared folder and not removed.
+_kept: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path below ``spark.checkpoint.dir``, the folder all executors see.
 
-    Only where the setting is absent (single-machine tests) is a local folder taken.
+    Where the setting is absent a local master gets a local folder; a cluster gets an
+    error, as its executors would write to disks of their own and the rows be lost.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
-
-
-#: Paths of the tables that this process has stored and not removed.
-_kept: list[str] = []
+    path = f"{root.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+    _kept.append(path)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -49,7 +55,6 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    _kept.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -68,7 +73,7 @@ def _remove(spark: SparkSession, at: str) -> None:
 
 
 def only(build: Callable[[], DataFrame]) -> DataFrame:
-    """Stores the frame that ``build`` makes and removes all that was stored for it meanwhile."""
+    """Stores the frame that ``build`` makes and removes all that was written for it meanwhile."""
     before = set(_kept)
     out = stored(build())
     for at in [x for x in _kept if x not in before and x != out.stored_at]:
@@ -76,6 +81,34 @@ def only(build: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+#: What tells one row of documents from another: its id and its whole text.
+KEY = "unhex(sha2(coalesce(text, ''), 256))"
+
+
+def columns(df: DataFrame) -> list:
+    """The columns by name, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def without(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    ``marked`` says of every row of ``docs`` (doc_id, key, kept), with ``key`` as by ``KEY``.
+    Rows equal in id and text have one fate, but that of several copies as many stay as
+    are marked: none, all, or, of copies of which one is kept, one.
+    """
+    fates = marked.groupBy(F.col("doc_id").alias("__tl_id"), F.col("key").alias("__tl_key")).agg(F.count_if("kept").alias("__tl_kept"), F.count("*").alias("__tl_rows"))
+    odd = only(lambda: fates.filter("__tl_kept < __tl_rows"))
+    keyed = docs.withColumn("__tl_row_key", F.expr(KEY))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__tl_id")) & (F.col("__tl_row_key") == F.col("__tl_key"))
+    out = keyed.join(odd.select("__tl_id", "__tl_key"), same, "left_anti").select(*columns(docs))
+    if not odd.filter("__tl_kept > 0").limit(1).count():
+        return out
+    # copies of one row of which one stays: they are alike in id and text, so any of them will do
+    one = keyed.join(odd.filter("__tl_kept > 0").select("__tl_id", "__tl_key"), same, "left_semi").groupBy(F.col("doc_id").alias("__tl_id"), "__tl_row_key").agg(F.first(F.struct(*columns(docs))).alias("__tl_row"))
+    return out.unionByName(one.select("__tl_row.*"))
+
+
 def parts_for(rows: int, per_part: int) -> int:
     """Partitions so that each holds about ``per_part`` rows, however large the input."""
     return max(1, -(-rows // per_part))

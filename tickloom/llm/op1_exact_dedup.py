@@ -8,11 +8,13 @@ the table and rebuilds it from the stored keys.
 ``exact_groups`` is the distributed form.  Digests are formed where the texts
 are read, copies are combined before the shuffle, and each digest partition
 owns one index.  Copies found in the index replace the live entry's payload
-(the largest id so far and the row count).
+(the row that stays so far and the row count).
 
-Defined results: a null text counts as empty; a null id is never kept while
-its group has another id; repeated rows are copies of one another; an empty
-table gives no rows; other columns of the input are not read.
+Defined results: a null text counts as empty; the row with the largest id
+stays, one row of a group and no more: where rows share that id, the last one
+read; a null id is kept only where its group has no other; repeated rows are
+copies of one another; a text of any length is hashed whole; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -134,62 +136,65 @@ class CuckooIndex:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest): SHA-256 of each whole text, A-Z lower-cased, in UTF-8."""
+    """(doc_id, row, key, digest): SHA-256 of each whole text, A-Z lower-cased, in UTF-8; ``key`` as by ``common.KEY``.
+
+    ``row`` numbers the rows as they are read; it holds for as long as the result is stored.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, off = common.utf8(batch.column(1))
+        data, off = common.utf8(batch.column(3))
         view = data.tobytes().lower()
         found = [hashlib.sha256(view[a:b]).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "digest"])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(found, pa.binary())], ["doc_id", "row", "key", "digest"])
 
-    return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, digest binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.expr(common.KEY).alias("key"), "text")
+    return common.map_batches(rows, run, "doc_id long, row long, key binary, digest binary")
 
 
 def exact_groups(rows: DataFrame) -> DataFrame:
-    """Of (doc_id, digest): one row per digest with keep_id, group_size, found by the index."""
-    partial = rows.groupBy("digest", F.spark_partition_id().alias("part")).agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).drop("part")
+    """Of (doc_id, row, digest): one row per digest with keep_id, keep_row, group_size, found by the index."""
+    lowest = -(2**63)
+    partial = rows.groupBy("digest", F.spark_partition_id().alias("part")).agg(F.max("doc_id").alias("doc_id"), F.max_by("row", F.coalesce("doc_id", F.lit(lowest))).alias("row"), F.count("*").alias("n")).drop("part")
     parts = max(common.parts_for(rows.count(), PER_INDEX), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         live = CuckooIndex()
         for batch in batches:
-            for digest, top, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                held = live.get(digest)
+            for digest, top, row, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                held, found = live.get(digest), (lowest if top is None else top, top is not None, row)
                 if held is None:
-                    live.insert(digest, (top, n))
+                    live.insert(digest, (found, n))
                 else:
-                    keep = max((x for x in (held[0], top) if x is not None), default=None)
-                    live.replace(digest, (keep, held[1] + n))
+                    live.replace(digest, (max(held[0], found), held[1] + n))
         found = list(live.items())
         for k in range(0, len(found), 10_000):
             some = found[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.binary()), pa.array([x[1][0] for x in some], pa.int64()), pa.array([x[1][1] for x in some], pa.int64())], ["digest", "keep_id", "group_size"])
+            kept = [x[1][0] for x in some]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.binary()), pa.array([a if known else None for a, known, _ in kept], pa.int64()), pa.array([r for _, _, r in kept], pa.int64()), pa.array([x[1][1] for x in some], pa.int64())], ["digest", "keep_id", "keep_row", "group_size"])
 
-    return partial.repartition(parts, "digest").mapInArrow(index, "digest binary, keep_id long, group_size long")
+    return partial.repartition(parts, "digest").mapInArrow(index, "digest binary, keep_id long, keep_row long, group_size long")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, key."""
     rows = common.stored(digests(docs))
     groups = exact_groups(rows)
-    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "key")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """One row of each group of equal texts, with all its columns; the cases are those of the module."""
     common.session(spark)
-    gone = common.only(lambda: exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("__gone")))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return common.without(docs, exact_dedup(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(common.table(spark, sf_dir, "documents"))
+    return exact_dedup(common.table(spark, sf_dir, "documents")).drop("key")
 
 
 SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
-g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
-SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, d.text_sha256
-FROM d JOIN g USING (text_sha256)
+g AS (SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) AS place FROM d)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, place = 1 AS kept, text_sha256 FROM g
 """
