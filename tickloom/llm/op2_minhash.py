@@ -1,9 +1,13 @@
 """Near-duplicate classes: consistent weighted sampling over TF-IDF shingles.
 
 A text is the multiset of its five-word shingles; a shingle weighs its count
-times 1 + ln((N + 1) / (df + 1)) / ln(N + 1), from 1 (in every document) to 2.
-Document frequencies are counted over all documents in a table of ``DF_CELLS``
-hashed cells, so the table has one size however large the corpus.
+times 1 + min(1, ln(1 / f) / ln(1 / RARE)), where f = (df + 1) / (N + 1) is the
+share of documents that have it: 1 if all do, 2 if at most ``RARE`` of them do.
+So a weight hangs on a share and not on the size of the corpus.  Document
+frequencies are counted over all documents in two tables of ``DF_CELLS`` hashed
+cells, of which the lesser count is taken.  What falls into a cell besides is
+about the mean number of shingles a document over ``DF_CELLS`` as a share, at
+any size of the corpus, and below ``RARE`` it changes nothing.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples a text:
 for sample i and a shingle of weight w, t = floor(ln w / r + beta) and
@@ -25,9 +29,10 @@ no link that joins two classes is lost.  Classes are connected components.
 
 Defined results: a null text counts as empty; texts without words are copies
 of one another; a text of fewer than five words has one shingle of all its
-words; words are compared after lower-casing A-Z; the largest id of a class
-stays, and rows that share it stay together; a class without an id keeps none
-but those rows; an empty table gives no rows; other columns are not read.
+words; words are compared after lower-casing A-Z; the row with the largest id of a
+class stays, and no other: where rows share that id, the last one read; a class
+without an id keeps one of its rows; texts of any length are read whole; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,6 +51,10 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
 DF_CELLS = 1 << 18
+#: Shingles in this share of the documents or fewer weigh most.
+RARE = 0.01
+#: Nodes of a bucket that go to one task, about.
+PER_SALT = 500
 #: Rows of document frequencies travel in slices.
 SLICES = 64
 #: Bits of the filter that spares the texts of documents without candidates a shuffle.
@@ -105,6 +114,11 @@ def band_keys(drawn: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def cells_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of 48-bit keys in either table: their upper and their lower bits."""
+    return (keys >> _U(30)).astype(np.int64), (keys & _U(DF_CELLS - 1)).astype(np.int64)
+
+
 class Texts:
     """Digests and weighted shingles of the texts of a column, block by block."""
 
@@ -119,23 +133,25 @@ class Texts:
             raw, at = words.tobytes(), np.concatenate([[0], np.cumsum(counts) * 8]).tolist()
             digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
             keys, tf, sizes = textblock.counted(*textblock.shingles(words, counts, WIDTH))
-            weights = tf if self.idf is None else tf * self.idf[(keys >> _U(30)).astype(np.int64)]
+            weights = tf if self.idf is None else tf * np.maximum(*(table[at] for table, at in zip(self.idf, cells_of(keys), strict=True)))
             yield i, j, digests, keys, weights, sizes
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """The weight of each cell of shingles, from document frequencies over all documents."""
+    """The weights of the cells of both tables, from document frequencies over all documents; a shingle has the greater of its two."""
     width = DF_CELLS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = np.zeros(DF_CELLS, np.int64), 0
+        found, n = np.zeros((2, DF_CELLS), np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for _, _, _, keys, _, _ in Texts(batch.column(0), None):
-                found += np.bincount((keys >> _U(30)).astype(np.int64), minlength=DF_CELLS)
+                for table, at in zip(found, cells_of(keys), strict=True):
+                    table += np.bincount(at, minlength=DF_CELLS)
         if n:
-            rows = [found[k * width : (k + 1) * width].tobytes() for k in range(SLICES)] + [np.array([n]).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES + 1), pa.int32()), pa.array(rows, pa.binary())], ["slice", "counts"])
+            flat = found.ravel()
+            rows = [flat[k * width : (k + 1) * width].tobytes() for k in range(2 * SLICES)] + [np.array([n]).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(range(2 * SLICES + 1), pa.int32()), pa.array(rows, pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
@@ -147,23 +163,28 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
     schema = "slice int, counts binary"
     sums = {x["slice"]: np.frombuffer(x["counts"], np.int64) for x in docs.select("text").mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect()}
-    n = int(sums[SLICES][0]) if sums else 0
-    df = np.concatenate([sums[k] for k in range(SLICES)]) if sums else np.zeros(DF_CELLS)
-    return 1 + np.clip(np.log((n + 1) / (df + 1)) / max(np.log(n + 1), 1e-9), 0, 1)
+    if not sums:
+        return np.ones((2, DF_CELLS), np.float32)
+    share = (np.concatenate([sums[k] for k in range(2 * SLICES)]) + 1) / (int(sums[2 * SLICES][0]) + 1)
+    return (1 + np.clip(np.log(share) / np.log(RARE), 0, 1)).astype(np.float32).reshape(2, DF_CELLS)
 
 
 def sketched(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, node, bands): the digest of each text's words and its band keys, null without words."""
+    """(doc_id, row, key, node, bands): the digest of each text's words and its band keys, null without words.
+
+    ``row`` numbers the rows as they are read and holds for as long as the result is stored; ``key`` is as by ``common.KEY``.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         nodes, bands = [], []
-        for _, _, digests, keys, weights, sizes in Texts(batch.column(1), idf.value):
+        for _, _, digests, keys, weights, sizes in Texts(batch.column(3), idf.value):
             nodes += digests
             found = band_keys(samples(keys, weights, sizes, BANDS * ROWS)).tolist()
             bands += [x if n else None for x, n in zip(found, sizes.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "key", "node", "bands"])
 
-    return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, node binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.expr(common.KEY).alias("key"), "text")
+    return common.map_batches(rows, run, "doc_id long, row long, key binary, node binary, bands array<long>")
 
 
 def _bit(node: bytes, doc_id: int | None) -> int:
@@ -244,35 +265,24 @@ def shareable(nodes: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """(node, w, s): all weight of each text, and its weight in shingles that another of the nodes has too.
 
     What no other node has can't be shared, so the similarity of x and y is at most
-    m / (w_x + w_y - m) with m = min(s_x, s_y).  Shingles are dealt by their hash, packed
-    by text and part; a task counts those of its parts.
+    m / (w_x + w_y - m) with m = min(s_x, s_y).  Shingles are counted with partial sums
+    and their counts joined back, so one that every node has is no task's burden.
     """
-    parts = max(8, common.parts_for(nodes.count(), 2000))
+    some = texts.join(nodes, "node", "left_semi").select("node", "text")
 
-    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple] = []
-        names = batch.column(0).to_pylist()
-        for i, j, _, keys, weights, sizes in Texts(batch.column(1), idf.value):
-            cut = np.cumsum(sizes)[:-1]
-            for node, k, w in zip(names[i:j], np.split(keys, cut), np.split(weights, cut), strict=True):
-                part = (k % _U(parts)).astype(np.int64)
-                for at in np.unique(part):
-                    own = part == at
-                    rows.append((node, int(at), float(w.sum()), k[own].tobytes(), w[own].astype(float).tobytes()))
-        types = (pa.binary(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(list(zip(*rows, strict=True)) or [[]] * 5, types, strict=True)], ["node", "part", "w", "keys", "weights"])
+    def lines(batch: pa.RecordBatch, named: bool) -> pa.RecordBatch:
+        found = [(i, j, keys, weights, sizes) for i, j, _, keys, weights, sizes in Texts(batch.column(1), idf.value)]
+        keys = np.concatenate([x[2] for x in found]).astype(np.int64)
+        if not named:
+            keys, n = np.unique(keys, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], ["shingle", "n"])
+        owner = np.concatenate([np.repeat(np.arange(i, j), sizes) for i, j, _, _, sizes in found])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(keys), pa.array(np.concatenate([x[3] for x in found]).astype(float))], ["node", "shingle", "weight"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [x for b in batches for x in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True)]
-        if rows:
-            keys = [np.frombuffer(x[2], np.uint64) for x in rows]
-            _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            weights = np.where(n[at] > 1, np.concatenate([np.frombuffer(x[3]) for x in rows]), 0.0)
-            first = np.concatenate([[0], np.cumsum([len(k) for k in keys])[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows]), pa.array(np.add.reduceat(weights, first))], ["node", "w", "s"])
-
-    packed = common.map_batches(texts.join(nodes, "node", "left_semi").select("node", "text"), pack, "node binary, part int, w double, keys binary, weights binary")
-    return packed.repartition(parts, "part").mapInArrow(count, "node binary, w double, s double").groupBy("node").agg(F.max("w").alias("w"), F.sum("s").alias("s"))
+    counts = common.map_batches(some, lambda b: lines(b, False), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    own = common.map_batches(some, lambda b: lines(b, True), "node binary, shingle long, weight double")
+    both = own.join(counts.filter("n > 1").select("shingle", F.lit(1).alias("met")), "shingle", "left")
+    return both.groupBy("node").agg(F.sum("weight").alias("w"), F.coalesce(F.sum(F.expr("CASE WHEN met = 1 THEN weight END")), F.lit(0.0)).alias("s"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -316,9 +326,13 @@ def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
     inside = common.stored(entries.join(shared, "key"))
     # the node that meets most others over all its buckets lies nearest to the middle of a group
     met = inside.groupBy("node").agg(F.sum("m").alias("met"))
-    ranked = inside.join(met, "node")
-    pivot = ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
-    members = common.stored(ranked.join(pivot, "key"))
+    # a bucket's nodes go to as many tasks as it takes, and its pivot to each of them
+    salts = F.ceil(F.col("m") / PER_SALT).cast("int")
+    ranked = inside.join(met, "node").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    best = F.max(F.struct("met", "node")).alias("p")
+    pivot = ranked.groupBy("key", "salt").agg(F.max("m").alias("m"), best).groupBy("key").agg(F.max("m").alias("m"), F.max("p").alias("p"))
+    pivot = pivot.select("key", F.col("p.node").alias("pivot"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    members = common.stored(ranked.join(pivot, ["key", "salt"]))
     texts = common.stored(candidate_texts(docs, members.select("node", "doc_id").distinct()))
     pairs = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     done = common.stored(compared(pairs, texts, idf))
@@ -351,7 +365,8 @@ def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
         # one node of each component first, then a second of each, and so on
         turn = F.row_number().over(Window.partitionBy("key", "label").orderBy("node"))
         rank = F.row_number().over(Window.partitionBy("key").orderBy("turn", "node"))
-        chosen = large.filter("label <> main").withColumn("turn", turn).withColumn("rank", rank).filter(F.col("rank") <= pivots).select("key", "label", "node", "sim", "w", "s", "keys")
+        # both limits hold before the shuffle too, so no task numbers all of a bucket
+        chosen = large.filter("label <> main").withColumn("turn", turn).filter(F.col("turn") <= pivots).withColumn("rank", rank).filter(F.col("rank") <= pivots).select("key", "label", "node", "sim", "w", "s", "keys")
         chosen = common.stored(chosen)
         many = chosen.alias("x").join(large.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & near)
         pair = [F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")]
@@ -367,23 +382,30 @@ def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (the id that stays), class_size, kept."""
-    idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs))  # DF_CELLS numbers
+    """One row per document: doc_id, class_id (the id of the row that stays), class_size, kept, key.
+
+    The result is stored, and what was stored on the way is removed.
+    """
+    return common.only(lambda: _near_duplicates(docs))
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
+    idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs))  # 2 x DF_CELLS numbers, 2 MB
     rows = common.stored(sketched(docs, idf))
-    nodes = common.stored(rows.groupBy("node").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands", ignorenulls=True).alias("bands")))
-    marked = nodes.select("node", "doc_id", "n").join(linked(docs, nodes, idf), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = F.coalesce("doc_id", F.lit(-(2**63)))
+    nodes = common.stored(rows.groupBy("node").agg(F.max("doc_id").alias("doc_id"), F.max_by("row", first).alias("row"), F.count("*").alias("n"), F.first("bands", ignorenulls=True).alias("bands")))
+    marked = nodes.select("node", "doc_id", "row", "n").join(linked(docs, nodes, idf), "node", "left").withColumn("label", F.coalesce("label", "node"))
     marked = common.stored(marked)
-    classes = marked.groupBy("label").agg(F.max("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
+    classes = marked.groupBy("label").agg(F.max("doc_id").alias("class_id"), F.max_by("row", first).alias("keep_row"), F.sum("n").alias("class_size"))
     known = marked.select("node", "label").join(classes, "label").drop("label")
-    return rows.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "class_size", F.expr("doc_id <=> class_id").alias("kept"))
+    return rows.select("doc_id", "row", "key", "node").join(known, "node").select("doc_id", "class_id", "class_size", (F.col("row") == F.col("keep_row")).alias("kept"), "key")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, with all its columns."""
+    """One document of each class, with all its columns; the cases are those of the module."""
     common.session(spark)
-    gone = common.only(lambda: near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return common.without(docs, near_duplicates(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents")).drop("key")
