@@ -4,15 +4,16 @@ Every group of equal texts is a partial partition with its bytes in one bin.
 The two partial partitions with the largest spread are combined again and
 again, oppositely ordered (largest bin with smallest), until one is left.
 
-At scale this runs on two levels with the same step: each task differences
+At scale this runs level by level with the same step: each task differences
 chunks of at most ``PER_CHUNK`` groups down to one partial partition of
-``shards`` bins; the driver then combines those partial partitions, of which
-there is one row of ``shards`` sums per 50,000 groups.  Row numbers within a
+``shards`` bins, then tasks combine ``FAN`` of these into one, and so on until
+one is left.  Nothing but counts comes to the driver.  Row numbers within a
 shard come from counts by (shard, hash bucket), so no task sorts a shard.
 
 Defined results: a null text has no bytes and is equal to an empty one; rows
-with equal ids are numbered in any order; a group larger than an even share
-stays whole, as groups are indivisible; an empty table gives no rows.
+are numbered as they are read, whatever their ids; a group larger than an even
+share stays whole, as groups are indivisible, and so does a text of any length;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PER_CHUNK = 50_000
+#: Partial partitions that a task combines into one, about.
+FAN = 1_000
 #: Rows numbered by one window partition, about.
 PER_BUCKET = 50_000
 
@@ -65,14 +68,14 @@ def difference(partitions: list[list[int]], k: int) -> list[list[int]]:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, digest) of every document."""
+    """(doc_id, row, size, text_crc32, digest) of every document; ``row`` holds for as long as the result is stored."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.expr("substring(unhex(sha2(coalesce(text, ''), 256)), 1, 16)").alias("digest"))
+    return docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.expr("substring(unhex(sha2(coalesce(text, ''), 256)), 1, 16)").alias("digest"))
 
 
 def balanced_groups(groups: DataFrame, shards: int, rows: int) -> DataFrame:
     """(digest, shard) for (digest, size): every group whole, shard sums near equal."""
-    spark = groups.sparkSession
+    per_chunk = PER_CHUNK
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list = []
@@ -86,7 +89,7 @@ def balanced_groups(groups: DataFrame, shards: int, rows: int) -> DataFrame:
         for batch in batches:
             keys += batch.column(0).to_pylist()
             sizes += batch.column(1).to_pylist()
-            if len(keys) >= PER_CHUNK:
+            if len(keys) >= per_chunk:
                 yield flush()
                 keys, sizes, serial = [], [], serial + 1
         if keys:
@@ -95,23 +98,55 @@ def balanced_groups(groups: DataFrame, shards: int, rows: int) -> DataFrame:
     parts = max(common.parts_for(rows, PER_CHUNK), 1)
     dealt = groups.repartition(parts, "digest").sortWithinPartitions("digest")
     chunks = common.stored(dealt.mapInArrow(chunked, "digest binary, size long, chunk long, bin int"))
-    sums = chunks.groupBy("chunk").pivot("bin", list(range(shards))).agg(F.sum("size")).na.fill(0).orderBy("chunk").collect()
-    final = difference([list(x)[1:] for x in sums], shards)
-    moves = [(x["chunk"], b, s) for x, own in zip(sums, final, strict=True) for b, s in enumerate(own)]
-    return chunks.join(spark.createDataFrame(moves, "chunk long, bin int, shard int"), ["chunk", "bin"]).select("digest", "shard")
+    moves = combined(chunks.groupBy("chunk", "bin").agg(F.sum("size").alias("size")), shards)
+    return chunks.join(moves, ["chunk", "bin"]).select("digest", "shard")
+
+
+def combined(sums: DataFrame, shards: int) -> DataFrame:
+    """(chunk, bin, shard): where the bins of all partial partitions of (chunk, bin, size) end, level by level."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held: dict[int, dict[int, int]] = {}
+        for batch in batches:
+            for chunk, own, size in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                held.setdefault(chunk, {})[own] = size
+        if held:
+            names = sorted(held)
+            bins = [sorted(held[x]) for x in names]
+            final = difference([[held[x][k] for k in own] for x, own in zip(names, bins, strict=True)], shards)
+            rows = [(x, k, part, f, held[x][k]) for x, own, ends in zip(names, bins, final, strict=True) for k, f in zip(own, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["chunk", "bin", "into", "slot", "size"])
+
+    moves = None
+    while True:
+        parts = common.parts_for(sums.select("chunk").distinct().count(), FAN)
+        level = common.stored(sums.select("chunk", "bin", "size").repartition(parts, "chunk").mapInArrow(step, "chunk long, bin int, into long, slot int, size long"))
+        now = level.select("chunk", "bin", "into", "slot")
+        if moves is None:
+            moves = now
+        else:
+            moves = moves.join(now.select(F.col("chunk").alias("into"), F.col("bin").alias("slot"), F.col("into").alias("into_2"), F.col("slot").alias("slot_2")), ["into", "slot"]).select("chunk", "bin", F.col("into_2").alias("into"), F.col("slot_2").alias("slot"))
+        if parts == 1:
+            return moves.select("chunk", "bin", F.col("slot").alias("shard"))
+        sums = level.groupBy(F.col("into").alias("chunk"), F.col("slot").alias("bin")).agg(F.sum("size").alias("size"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """One row per document with its shard and its place (slot) in the shard."""
+    return common.only(lambda: _shard_documents(docs, shards))
+
+
+def _shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     rows = common.stored(sized(docs))
     n = rows.count()
     groups = rows.groupBy("digest").agg(F.sum("size").alias("size"))
     buckets = common.parts_for(n, PER_BUCKET)
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
-    dealt = common.stored(rows.join(balanced_groups(groups, shards, n), "digest").select("doc_id", "size", "text_crc32", "shard", at))
+    at = F.pmod(F.xxhash64("row"), F.lit(buckets)).alias("bucket")
+    dealt = common.stored(rows.join(balanced_groups(groups, shards, n), "digest").select("doc_id", "row", "size", "text_crc32", "shard", at))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = dealt.groupBy("shard", "bucket").count().withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    own = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    own = Window.partitionBy("shard", "bucket").orderBy("row")
     numbered = dealt.withColumn("n", F.row_number().over(own)).join(first, ["shard", "bucket"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
