@@ -14,9 +14,16 @@ p * blocks + (j - first) mod blocks < quota.  The words taken of a document
 are then interval overlaps: plain arithmetic on its place in the stream, which
 is a prefix sum by (source, hash bucket) and never a sort of a whole source.
 
+``spans`` gives the mix itself: which words of which document go into which
+shard in which pass; ``mix`` sums them up, and ``whole_documents`` takes a
+document as often as the mix takes most of its words.
+
 Defined results: a null text has no words; a null source is a source of its
-own, the last; rows with equal ids follow each other in the stream; an empty
-table gives no rows.  What the driver gathers is one row per source.
+own, the last; the place of a row in its stream comes from its id and text, so
+null or equal ids do not gather, and equal rows follow each other; texts of any
+length are counted whole; an empty table gives no rows; other columns are not
+read, but ``whole_documents`` passes them on.  What the driver gathers is one
+row per source, of which ``SOURCES`` is the limit; more are an error.
 """
 
 from __future__ import annotations
@@ -24,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +42,8 @@ BLOCK = 32
 PER_BUCKET = 4_000
 SEED = 20_240_229
 SHARDS = 16
+#: Sources at most: the driver apportions among them.
+SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,21 +72,22 @@ def seats(due: list[float], caps: list[int], house: int) -> list[int]:
 
     The divisor search finds the seats that are certain; the last few go one by one, ties to the earlier.
     """
-    house = min(house, sum(c for c, d in zip(caps, due, strict=True) if d > 0))
+    d, c = np.array(due, float), np.array(caps, np.int64)
+    house = min(house, int(c[d > 0].sum()))
 
-    def at(x: float) -> list[int]:
-        return [min(c, int(d * x + 0.5)) if d > 0 else 0 for d, c in zip(due, caps, strict=True)]
+    def at(x: float) -> np.ndarray:
+        return np.where(d > 0, np.minimum(c, np.minimum(d * x + 0.5, 2.0**62).astype(np.int64)), 0)
 
     low, high = 0.0, 1.0
-    while sum(at(high)) < house:
+    while at(high).sum() < house:
         high *= 2
     for _ in range(200):
         mid = (low + high) / 2
-        if sum(at(mid)) <= house:
+        if at(mid).sum() <= house:
             low = mid
         else:
             high = mid
-    got = at(low * (1 - 1e-9))  # a little less, so that ties are left to the quotients
+    got = at(low * (1 - 1e-9)).tolist()  # a little less, so that ties are left to the quotients
     heap = [(-due[i] / (2 * got[i] + 1), i) for i in range(len(due)) if due[i] > 0 and got[i] < caps[i]]
     heapq.heapify(heap)
     for _ in range(house - sum(got)):
@@ -100,9 +111,10 @@ def plan(sizes: list[int], weights: list[float], shards: int = SHARDS, block: in
     return {"targets": due, "blocks": blocks, "quotas": running[-1], "running": [list(x) for x in zip(*running, strict=True)]}
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) with the words of each whole text."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def counted(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, h, source, size) with the words of each whole text; h orders the stream of its source."""
+    place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("h")
+    return docs.select(F.col("doc_id").cast("long"), place, F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def first_block(source: str | None, blocks: int, seed: int) -> int:
@@ -113,14 +125,17 @@ def first_block(source: str | None, blocks: int, seed: int) -> int:
 def placed_documents(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
     """Documents in the streams of their sources, with what the mix takes of each."""
     spark = docs.sparkSession
-    rows = common.stored(counted(docs))
-    sums = sorted(((x["source"], x["words"], x["n"]) for x in rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()), key=lambda x: (x[0] is None, x[0]))
+    rows = common.stored(counted(docs, seed))
+    found = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    sums = sorted(((x["source"], x["words"], x["n"]) for x in found), key=lambda x: (x[0] is None, x[0]))
     weights = [(3.0, 1.0, 2.0)[i % 3] for i in range(len(sums))]
     p = plan([x[1] for x in sums], weights, shards, block)
     facts = [(s, w, p["targets"][i], p["blocks"][i], p["quotas"][i], first_block(s, p["blocks"][i], seed), p["running"][i]) for i, (s, w, _) in enumerate(sums)]
     sources = spark.createDataFrame(facts, "s string, source_size long, target double, blocks long, quota long, start long, running array<long>")
     bits = max(0, (common.parts_for(sum(x[2] for x in sums), PER_BUCKET) - 1).bit_length())
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
+    rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
     # the order of the stream is that of h as an unsigned number: bucket first, then its low bits
     order = F.col("h").bitwiseXOR(F.lit(-(2**63)))
     own = Window.partitionBy("source", "bucket").orderBy(order, "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -145,6 +160,26 @@ def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block: int = BL
     return placed_documents(docs, seed, shards, block).select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("occurrence").isNotNull(), shard).alias("first_shard"))
 
 
+def spans(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
+    """(doc_id, h, pass, shard, first, last): the words of each document that the mix takes, numbered from 0, ``last`` excluded.
+
+    A block's occurrence in a pass says in which shard it goes; neighbouring blocks of
+    one shard are one span.  A document and its h name its row; the words are those of ``WORD``.
+    """
+    n, q, st = F.col("blocks"), F.col("quota"), F.col("start")
+    placed = placed_documents(docs, seed, shards, block).filter("size > 0")
+    # in pass p the blocks whose occurrence p * blocks + (j - start) mod blocks is below the quota
+    passes = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((q - 1) / n))).alias("pass")
+    each = placed.filter(q > 0).select("*", passes)
+    # within a pass a shard's occurrences are one run of offsets from the start block, which the end of the stream may cut in two
+    number = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    run = each.select("*", number).withColumn("o1", F.greatest(F.element_at("running", F.col("shard") + 1) - F.col("pass") * n, F.lit(0))).withColumn("o2", F.least(F.element_at("running", F.col("shard") + 2) - F.col("pass") * n, n)).filter("o1 < o2")
+    ends = [(st + F.col("o1"), F.least(st + F.col("o2"), n)), (F.greatest(st + F.col("o1") - n, F.lit(0)), st + F.col("o2") - n)]
+    parts = F.explode(F.array(*[F.struct((lo * block).alias("lo"), (hi * block).alias("hi")) for lo, hi in ends])).alias("part")
+    cut = run.select("*", parts).withColumn("lo", F.greatest("part.lo", "a")).withColumn("hi", F.least("part.hi", "b")).filter("lo < hi")
+    return cut.select("doc_id", "h", F.col("pass").cast("int"), "shard", (F.col("lo") - F.col("a")).alias("first"), (F.col("hi") - F.col("a")).alias("last"))
+
+
 def whole_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Documents as often as the mix takes most of their words, whole: never, once or twice.
 
@@ -155,19 +190,18 @@ def whole_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     chosen = F.col("extra") * 2 >= F.col("size")
     seen = placed_documents(docs, seed).filter("size > 0").withColumn("o", order).withColumn("chosen", chosen)
     runs = seen.groupBy(F.col("source").alias("__source")).agg(F.first("passes").alias("__passes"), *[F.expr(f"{f}(o) FILTER (WHERE {c})").alias(f"__{f}_{k}") for f in ("min", "max") for c, k in (("chosen", "in"), ("NOT chosen", "out"))])
-    o = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).bitwiseXOR(F.lit(-(2**63)))
+    o = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).bitwiseXOR(F.lit(-(2**63)))
     # the run lies inside the others, or, where it goes round the end, the others lie inside it
     wraps = (F.col("__min_in") < F.col("__min_out")) & (F.col("__max_in") > F.col("__max_out"))
     inside = F.when(F.col("__min_in").isNull(), False).when(F.col("__min_out").isNull(), True).when(wraps, ~o.between(F.col("__min_out"), F.col("__max_out"))).otherwise(o.between(F.col("__min_in"), F.col("__max_in")))
     out = docs.join(common.stored(runs), F.col("source").cast("string").eqNullSafe(F.col("__source"))).withColumn("__times", F.col("__passes").cast("int") + inside.cast("int"))
     out = out.filter(F.col("text").rlike(WORD) & (F.col("__times") > 0)).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return out.select(*docs.columns)
-
+    return out.select(*common.columns(docs))
 
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as whole documents, with all their columns."""
+    """The mix as whole documents, with all their columns; the cases are those of the module."""
     common.session(spark)
     return whole_documents(docs)
 
