@@ -13,12 +13,15 @@ The cells of a batch of documents lie in one array, so building, subtracting
 and peeling are a few array operations for the whole batch.
 
 The next document of each is found without a global sort: documents are cut by
-exact ids into buckets, each bucket is read in descending order, and the first
-document of a bucket is sent to the bucket before it as well.
+ids that are in the table into buckets, each bucket is read in descending order,
+and the first document of a bucket is sent to the bucket before it as well.  The
+cuts are the ids that a hash picks, one in ``PER_BUCKET`` or, in a very large
+table, so few that about ``CUTS`` come to the driver.
 
 Defined results: null texts count as empty; two texts without paragraphs are
-alike (1.0); a null doc_id comes last, and equal ids follow by text; an empty
-table gives no rows; other columns are not read.
+alike (1.0); a null doc_id comes last, and equal ids, which share a bucket,
+follow by text; texts of any length are fingerprinted whole; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ from .textblock import mix
 CELLS = 8
 TABLES = 3
 PER_BUCKET = 2_000
+#: Buckets at most, about: their cuts are 8 bytes each on the driver and in a broadcast.
+CUTS = 1_000_000
 
 _PIECE = re.compile(r"\n+|(?<=[.!?]) +")
 _U = np.uint64
@@ -162,11 +167,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     lowest = -(2**63)
     ids = docs.select(F.coalesce("doc_id", F.lit(lowest)).alias("id"))
     n = ids.count()
-    buckets = common.parts_for(n, PER_BUCKET)
-    # ids that are in the table: the first of each bucket, in descending order
-    found = ids.filter(F.col("id") > lowest).select(F.expr(f"approx_percentile(id, array({', '.join(str((k + 1) / buckets) for k in range(buckets))}), 10000)").alias("q")).first()[0] if n else None
+    every = max(PER_BUCKET, n // CUTS)
+    found = [x[0] for x in ids.filter((F.col("id") > lowest) & (F.pmod(F.xxhash64(F.lit(every), "id"), F.lit(every)) == 0)).distinct().collect()]
     top = ids.filter(F.col("id") > lowest).agg(F.max("id")).first()[0]
-    cuts = np.unique(np.array([*(found or []), *([] if top is None else [top])], np.int64))
+    held = docs.sparkSession.sparkContext.broadcast(np.unique(np.array([*found, *([] if top is None else [top])], np.int64)))
 
     has_null = bool(n) and ids.filter(F.col("id") == lowest).limit(1).count() > 0
     last = -1 if has_null else 0
@@ -178,7 +182,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         Bucket b holds the ids up to cuts[b] and above cuts[b - 1], so b + 1 is read before b;
         before the top stands the last of all, bucket 0, or -1 with the null ids.
         """
-        value = column.to_numpy(np.int64)
+        cuts, value = held.value, column.to_numpy(np.int64)
         at = np.searchsorted(cuts, value, "left")
         first = cuts[np.minimum(at, len(cuts) - 1)] == value if len(cuts) else value != lowest
         return pd.Series([[-1, 0 if len(cuts) else -1] if v == lowest else [p, p + 1 if p + 1 < len(cuts) else last] if f else [p] for v, p, f in zip(value.tolist(), at.tolist(), first.tolist(), strict=True)])
