@@ -12,11 +12,14 @@ The scorer, a vector of fixed length, then scores every whole document.
 Defined results: null texts count as empty; texts on which no labeller votes
 have the prior as posterior, and an empty text is scored by its levels alone;
 without documents of both kinds in the sample everything is kept; repeated
-rows get equal scores; an empty table gives no rows.  Other columns are not read.
+rows get equal scores; a null or repeated id changes nothing, as the score is
+one of the text alone; an empty table gives no rows.  The query reads no other
+columns; the stage passes them on as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common, textblock
 
-#: Documents of either kind that train the scorer, about.
+#: Documents of either kind that train the scorer, at most.
 SAMPLE = 3000
 #: Hashed features.
 DIMENSIONS = 1 << 18
@@ -210,42 +213,64 @@ def scorer(docs: DataFrame) -> tuple[np.ndarray, dict]:
     if not counts:
         return np.zeros(DIMENSIONS + 1), {}
     prior, table, post = fit(counts)
-    good = sum(n * post[k] for k, n in counts.items())
+    good = sum(n for k, n in counts.items() if post[k] >= 0.5)
     total = sum(counts.values())
-    rate = {1: min(1.0, SAMPLE / max(good, 1e-9)), 0: min(1.0, SAMPLE / max(total - good, 1e-9))}
+    # more than are wanted are drawn, so that those with the least draws are among them
+    rate = {1: min(1.0, 2 * SAMPLE / max(good, 1)), 0: min(1.0, 2 * SAMPLE / max(total - good, 1))}
     scale = 1 << 30
-    dealt = docs.select("text", F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(scale)).alias("draw")).filter(F.col("draw") < int(max(rate.values()) * scale) + 1)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        draw = batch.column(1).to_numpy(zero_copy_only=False) / scale
-        at, value, target = [], [], []
-        for i, j, block in _blocks(batch.column(0)):
+    text = F.coalesce("text", F.lit(""))
+    dealt = docs.select(text.alias("text"), F.xxhash64(F.lit(SEED), text).alias("draw")).filter(F.pmod("draw", F.lit(scale)) < int(max(rate.values()) * scale) + 1)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        draws = batch.column(1).to_numpy(zero_copy_only=False)
+        share = draws % scale / scale
+        data, off = common.utf8(batch.column(0))
+        chosen, target = [], []
+        for i, j in textblock.blocks(off):
+            block = Block.of(data[off[i] : off[j]], off[i : j + 1] - off[i])
             p = np.array([post.get(int(x), prior) for x in pattern(votes(block.figures()))])
-            chosen = draw[i:j] < np.where(p >= 0.5, rate[1], rate[0])
+            at = np.flatnonzero(share[i:j] < np.where(p >= 0.5, rate[1], rate[0]))
+            chosen.append(at + i)
+            target.append(p[at])
+        if not sum(map(len, chosen)):
+            return None
+        chosen, target = np.concatenate(chosen), np.concatenate(target)
+        once = np.sort(np.unique(draws[chosen], return_index=True)[1])
+        chosen, target = chosen[once], target[once]
+        at, value = [], []
+        for i, j, block in _blocks(batch.column(0).take(pa.array(chosen))):
             where, val, per = features(block)
             first = np.concatenate(([0], np.cumsum(per)))
-            for d in np.flatnonzero(chosen):
-                at.append(where[first[d] : first[d + 1]].astype(np.int32))
-                value.append(val[first[d] : first[d + 1]])
-                target.append(p[d])
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in at], pa.binary()), pa.array([x.tobytes() for x in value], pa.binary()), pa.array(target, pa.float64())], ["at", "value", "target"])
-
-    found = sorted(common.map_batches(dealt, run, "at binary, value binary, target double").collect())
+            at += [where[first[d] : first[d + 1]].astype(np.int32).tobytes() for d in range(j - i)]
+            value += [val[first[d] : first[d + 1]].tobytes() for d in range(j - i)]
+        return pa.RecordBatch.from_arrays([pa.array(draws[chosen]), pa.array(at, pa.binary()), pa.array(value, pa.binary()), pa.array(target, pa.float64())], ["draw", "at", "value", "target"])
+
+    drawn = common.map_batches(dealt, run, "draw long, at binary, value binary, target double")
+    kinds = common.only(lambda: drawn.groupBy("draw").agg(*[F.first(c).alias(c) for c in ("at", "value", "target")]))
+    found = []
+    for kind in ("target >= 0.5", "target < 0.5"):
+        found += [(x["at"], x["value"], x["target"]) for x in kinds.filter(kind).orderBy(F.pmod("draw", F.lit(scale)), "draw").limit(SAMPLE).collect()]
+    common.dropped(kinds)
     weights = train([np.frombuffer(x[0], np.int32) for x in found], [np.frombuffer(x[1], np.float32) for x in found], np.array([x[2] for x in found]))
     return weights, {"prior": prior, "table": table, "patterns": counts, "sampled": len(found)}
 
 
+def _judge(weights: np.ndarray, column: pa.Array) -> Iterator[tuple[Block, np.ndarray]]:
+    """Blocks of texts and their scores."""
+    for _, _, block in _blocks(column):
+        at, value, per = features(block)
+        total = np.bincount(np.repeat(np.arange(len(per)), per), weights[at] * value, minlength=len(per)) + weights[-1]
+        yield block, 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, score, kept, votes) of every document."""
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # DIMENSIONS + 1 numbers, 1 MB
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = held.value
         score, said = [], []
-        for _, _, block in _blocks(batch.column(1)):
-            at, value, per = features(block)
-            total = np.bincount(np.repeat(np.arange(len(per)), per), w[at] * value, minlength=len(per)) + w[-1]
-            score.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+        for block, own in _judge(held.value, batch.column(1)):
+            score.append(own)
             said += ["".join("-0+"[x] for x in row) for row in votes(block.figures())]
         score = np.concatenate(score)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(score >= KEEP), pa.array(said)], ["doc_id", "score", "kept", "votes"])
@@ -253,15 +278,29 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, kept boolean, votes string")
 
 
+def accepted(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """The rows whose text the scorer keeps, with all their columns, judged where they are read."""
+    held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+
+    text = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        score = np.concatenate([own for _, own in _judge(held.value, batch.column(text))])
+        return batch.filter(pa.array(score >= KEEP))
+
+    # names of any kind pass, as places stand for them meanwhile
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return common.map_batches(plain, run, plain.schema).toDF(*docs.columns)
+
+
 def classify(docs: DataFrame) -> DataFrame:
     return scored(docs, scorer(docs)[0])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the scorer keeps, with all their columns."""
+    """The documents that the scorer keeps, row by row, with all their columns; the cases are those of the module."""
     common.session(spark)
-    gone = common.only(lambda: classify(docs).filter("not kept").select(F.col("doc_id").alias("__gone")))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return accepted(docs, scorer(docs)[0])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
