@@ -2,20 +2,25 @@
 
 ARC header lines are parsed by the fields that the version block of their file
 declares (version 1: five, version 2: ten), and contents by their declared
-lengths.  Each record gets an equivalent WARC record: an identifier derived
-from its fields, its 14-digit date as a timestamp, a type, and SHA-1 digests
-of block and payload.  Records with equal payloads of at least ``SHARED``
+lengths.  Each record gets an equivalent WARC record: an identifier made of its
+file and its place there, its 14-digit date as a timestamp, a type, and SHA-1
+digests of block and payload.  An HTTP answer is a response; what has no HTTP
+head (a ``dns:`` record, say) is a resource of its own content type;
+the version block becomes a warcinfo record, which the others name.  Contents
+are bytes throughout.  HTTP records with equal payloads of at least ``SHARED``
 bytes become revisits of the one with the largest page id.
 
-Archives are written through Spark's text writer, whose separator is the one
-that the format has between records, gzipped, ``PER_FILE`` records each behind
-a version block or warcinfo record; so any store Spark writes to will do, and
-a file is small enough to be read whole.
+Archives are written by Spark's text writer, one row a file, gzipped, of at most
+``PER_FILE`` records and ``FILE_BYTES`` bytes (one longer record stands alone);
+so any store Spark writes to will do, and a file is small enough to be read whole.
 
 Defined results: null html counts as empty, a null url gets a urn of the page;
-characters that a header line can't hold are percent-encoded; rows that share
-the largest page id of equal payloads are all responses; an empty table gives
-no rows; other columns are not read.
+characters that a header line can't hold are percent-encoded, and a url with
+blanks is read as one; of rows that share the largest page id of equal payloads
+one is the response; a record shorter than its header declares is kept as it is
+and marked ``WARC-Truncated``; bytes that are no UTF-8 pass through; a header line
+without the declared fields is an error; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import gzip
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -36,6 +41,8 @@ from . import common
 
 #: Records in an archive file.
 PER_FILE = 500
+#: Bytes from which an archive file is full.
+FILE_BYTES = 16 << 20
 #: Bytes from which equal payloads are stored once.
 SHARED = 1000
 #: Bytes of payload that a worker gathers before it hands them on.
@@ -55,39 +62,41 @@ def version_block(version: str, name: str, date: str) -> str:
     return " ".join([*head, str(len(body))]) + "\n" + body
 
 
-def arc_record(version: str, url: str, ip: str, date: str, mime: str, content: str, name: str) -> str:
-    raw = content.encode()
-    head = [url, ip, date, mime] + (["200", hashlib.md5(raw).hexdigest(), "-", "0", name] if version == "2" else [])
-    return " ".join([*head, str(len(raw))]) + "\n" + content
+def arc_record(version: str, url: str, ip: str, date: str, mime: str, content: bytes, name: str) -> bytes:
+    head = [url, ip, date, mime] + (["200", hashlib.md5(content).hexdigest(), "-", "0", name] if version == "2" else [])
+    return " ".join([*head, str(len(content))]).encode() + b"\n" + content
 
 
 def arc_records(raw: bytes) -> Iterator[dict]:
-    """The records of an ARC file, each a dict of its header fields and ``content``.
+    """The records of an ARC file, each a dict of its header fields, ``content`` and ``offset``.
 
-    Header lines that do not have the declared number of fields raise ValueError;
-    a last record shorter than declared has ``truncated`` set.
+    The version block is one of them, with ``filedesc`` true.  Header lines that do not have
+    the declared fields raise ValueError; a record shorter than declared has ``truncated`` set.
     """
-    at, fields = 0, None
+    at, fields, version = 0, None, ""
     while at < len(raw):
-        if raw[at] == 10:
+        if raw[at] in b"\r\n":
             at += 1
             continue
         stop = raw.find(b"\n", at)
-        line = raw[at : stop if stop >= 0 else len(raw)].decode("utf-8", "replace").rstrip("\r")
+        line = raw[at : stop if stop >= 0 else len(raw)].decode("latin-1").rstrip("\r")
         words = line.split(" ")
         begin = stop + 1 if stop >= 0 else len(raw)
-        length = int(words[-1]) if words[-1].isdigit() else -1
+        length = int(words[-1]) if words[-1].isdecimal() and words[-1].isascii() else -1
+        content = raw[begin : begin + length]
+        shared = {"content": content, "offset": at, "truncated": begin + length > len(raw)}
         if line.startswith("filedesc://"):
-            body = raw[begin : begin + length].decode("utf-8", "replace")
-            version = body.split(" ", 1)[0]
+            version = content.split(b" ", 1)[0].decode("latin-1")
             if version not in FIELDS:
                 raise ValueError(f"ARC version {version!r}")
             fields = FIELDS[version]
-        elif fields is None or len(words) != len(fields) or length < 0:
+            yield dict(zip(FIELDS["1"], [*words[:4], words[-1]], strict=False)) | shared | {"version": version, "filedesc": True}
+        elif fields is None or len(words) < len(fields) or length < 0:
             raise ValueError(f"ARC header line {line[:100]!r}")
         else:
-            found = dict(zip(fields, words, strict=True))
-            yield found | {"version": version, "content": raw[begin : begin + length], "truncated": begin + length > len(raw)}
+            spare = len(words) - len(fields)
+            words = ["%20".join(words[: spare + 1]), *words[spare + 1 :]]
+            yield dict(zip(fields, words, strict=True)) | shared | {"version": version, "filedesc": False}
         at = begin + length
 
 
@@ -98,22 +107,42 @@ def date_of(arc_date: str) -> str:
 
 
 def split_http(content: bytes) -> tuple[bytes, bytes]:
+    """Head and payload; a content without the blank line is all head."""
     head, sep, body = content.partition(b"\r\n\r\n")
+    if not sep:
+        head, sep, body = content.partition(b"\n\n")
     return head + sep, body
 
 
+def kind_of(record: dict) -> str:
+    """The WARC type that stands for an ARC record."""
+    if record["filedesc"]:
+        return "warcinfo"
+    return "response" if record["content"].startswith(b"HTTP/") else "resource"
+
+
 def header(head: str, name: str) -> str | None:
     found = re.search(rf"(?im)^{re.escape(name)}:[ \t]*(.*?)\r?$", head)
     return found[1] if found else None
 
 
+def page_of(head: str) -> int | None:
+    """The page id that an HTTP head bears, if it is one."""
+    found = header(head, "X-Page-Id") or ""
+    return int(found) if re.fullmatch(r"-?[0-9]{1,18}", found) else None
+
+
 def sha1(raw: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
-def warc_record(fields: dict[str, str | None], block: str) -> str:
-    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items() if v is not None), f"Content-Length: {len(block.encode())}"]
-    return "\r\n".join(lines) + "\r\n\r\n" + block
+def identity(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, parts)))}>"
+
+
+def warc_record(fields: dict[str, str | None], block: bytes) -> bytes:
+    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items() if v is not None), f"Content-Length: {len(block)}"]
+    return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8") + block
 
 
 def warc_records(raw: bytes) -> Iterator[tuple[str, bytes]]:
@@ -123,32 +152,36 @@ def warc_records(raw: bytes) -> Iterator[tuple[str, bytes]]:
         stop = raw.find(b"\r\n\r\n", at)
         if stop < 0 or not raw.startswith(b"WARC/", at):
             raise ValueError(f"no WARC record at byte {at}")
-        head = raw[at:stop].decode()
+        head = raw[at:stop].decode("utf-8", "replace")
         length = int(header(head, "Content-Length"))
         yield head, raw[stop + 4 : stop + 4 + length]
         at = stop + 8 + length
 
 
-def _lines(rows: Iterator[list[str]], opening) -> Iterator[pa.RecordBatch]:
-    """Batches of one string column, an opening row before every ``PER_FILE`` rows."""
-    n = 0
-    for some in rows:
-        out = []
-        for row in some:
-            if n % PER_FILE == 0:
-                out.append(opening(n // PER_FILE))
-            out.append(row)
-            n += 1
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-
-
-def _written(lines: DataFrame, separator: str) -> DataFrame:
-    """The archive files as binaryFile rows, after they are written."""
-    spark = lines.sparkSession
+def _archives(records: Iterator[bytes], separator: bytes, opening: Callable[[int], bytes], limits: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """One archive a batch: an opening record and those that follow, up to a file's records or bytes."""
+    held: list[bytes] = []
+    size = serial = 0
+    for record in records:
+        if held and (len(held) > limits[0] or size + len(record) > limits[1]):
+            yield pa.RecordBatch.from_arrays([pa.array([separator.join(held)], pa.binary())], ["value"])
+            held, size, serial = [], 0, serial + 1
+        if not held:
+            held.append(opening(serial))
+        held.append(record)
+        size += len(record)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([separator.join(held)], pa.binary())], ["value"])
+
+
+def _written(archives: DataFrame, separator: str) -> DataFrame:
+    """The archive files as (path, content) of binaryFile rows, after they are written."""
+    spark = archives.sparkSession
     path = common.shared_dir(spark)
-    lines.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", PER_FILE + 1).text(path)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    # the cast keeps every byte, also those that are no UTF-8
+    lines = archives.select(F.col("value").cast("string"))
+    lines.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
 def write_arc(pages: DataFrame) -> DataFrame:
@@ -156,36 +189,36 @@ def write_arc(pages: DataFrame) -> DataFrame:
     from pyspark import TaskContext
 
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
+    limits = PER_FILE, FILE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         version = "12"[part % 2]
 
-        def rows() -> Iterator[list[str]]:
+        def records() -> Iterator[bytes]:
             for batch in batches:
-                out = []
                 for page, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    html = html or ""
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(html.encode())}\r\n\r\n"
+                    body = (html or "").encode()
+                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(body)}\r\n\r\n"
                     where = quote(url or f"urn:page:{page}", safe="!#$%&'()*+,/:;=?@[]~")
-                    out.append(arc_record(version, where, "0.0.0.0", "20240101000000", "text/html", head + html, f"pages-{part}"))
-                yield out
+                    yield arc_record(version, where, "0.0.0.0", "20240101000000", "text/html", head.encode() + body, f"pages-{part}")
 
-        yield from _lines(rows(), lambda k: version_block(version, f"pages-{part}-{k}.arc", "20240101000000"))
+        yield from _archives(records(), b"\n", lambda k: version_block(version, f"pages-{part}-{k}.arc", "20240101000000").encode(), limits)
 
-    return _written(pages.mapInArrow(run, "value string"), "\n")
+    return _written(pages.mapInArrow(run, "value binary"), "\n")
 
 
-PARSED = "page_id long, record_id string, url string, ip string, date string, http string, payload string, payload_bytes long, digest string"
+PARSED = "page_id long, record_id string, info_id string, kind string, url string, ip string, date string, mime string, truncated boolean, http binary, payload binary, payload_bytes long, digest string"
 
 
 def parse_arc(files: DataFrame, contents: bool = True) -> DataFrame:
-    """The records of ARC files with their WARC identifiers, timestamps and digests.
+    """The records of ARC files, (path, content), with their WARC identifiers, types, timestamps and digests.
 
     Without ``contents``, http and payload are null: what the search for copies needs.
     """
     names = [x.split()[0] for x in PARSED.split(", ")]
-    types = [pa.int64(), *[pa.string()] * 6, pa.int64(), pa.string()]
+    types = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    types = [types[x.split()[1]] for x in PARSED.split(", ")]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -194,12 +227,14 @@ def parse_arc(files: DataFrame, contents: bool = True) -> DataFrame:
         rows, held = [], 0
         for files in batches:
             for k in range(files.num_rows):
-                for r in arc_records(gzip.decompress(files.column(0)[k].as_py())):
-                    http, body = split_http(r["content"])
-                    head, digest = http.decode(), sha1(body)
-                    page = header(head, "X-Page-Id")
-                    seed = "|".join((r["URL"], r["Archive-date"], page or "", digest))
-                    rows.append((int(page) if page else None, f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, seed)}>", r["URL"], r["IP-address"], date_of(r["Archive-date"]), head if contents else None, body.decode() if contents else None, len(body), digest))
+                path, info = files.column(0)[k].as_py(), None
+                raw = files.column(1)[k].as_py()
+                for r in arc_records(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                    kind, record = kind_of(r), identity(path, r["offset"])
+                    http, body = split_http(r["content"]) if kind == "response" else (b"", r["content"])
+                    if kind == "warcinfo":
+                        info = record
+                    rows.append((page_of(http.decode("latin-1")), record, info, kind, r["URL"], r["IP-address"], date_of(r["Archive-date"]), r["Content-type"], r["truncated"], http if contents else None, body if contents else None, len(body), sha1(body)))
                     held += len(body) * contents + 200
                     if held > GATHERED:
                         yield batch(rows)
@@ -212,31 +247,46 @@ def parse_arc(files: DataFrame, contents: bool = True) -> DataFrame:
 
 def write_warc(files: DataFrame) -> DataFrame:
     """The records of ARC files as WARC files, copies as revisits; the files as binaryFile rows."""
+    from pyspark import TaskContext
+
     top = F.max(F.struct("page_id", "record_id")).alias("top")
     records = parse_arc(files)
-    copies = parse_arc(files, contents=False).filter(F.col("payload_bytes") >= SHARED).groupBy("digest").agg(top, F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("copied"), F.col("top.page_id").alias("kept"), F.col("top.record_id").alias("refers"))
-    marked = records.join(common.stored(copies), F.col("digest") == F.col("copied"), "left").withColumn("refers", F.expr("case when page_id <=> kept or kept is null then null else refers end")).select(*records.columns, "refers")
+    able = (F.col("payload_bytes") >= SHARED) & (F.col("kind") == "response")
+    copies = parse_arc(files, contents=False).filter(able).groupBy("digest").agg(top, F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("copied"), F.col("top.record_id").alias("refers"))
+    marked = records.join(common.stored(copies), (F.col("digest") == F.col("copied")) & (F.col("kind") == "response"), "left").withColumn("refers", F.expr("nullif(refers, record_id)")).select(*records.columns, "refers")
+    job, limits = uuid.uuid4().hex, (PER_FILE, FILE_BYTES)
+
+    def converted(page, record, info, kind, url, ip, date, mime, truncated, http, payload, size, digest, refers) -> bytes:
+        fields = {"WARC-Type": kind, "WARC-Record-ID": record, "WARC-Date": date}
+        if kind == "warcinfo":
+            lines = payload.decode("latin-1").split("\n")
+            body = f"format: WARC File Format 1.1\r\nconverted-from: ARC {lines[0].strip()}\r\narc-fields: {lines[1].strip() if len(lines) > 1 else ''}\r\n".encode()
+            return warc_record(fields | {"WARC-Filename": url.removeprefix("filedesc://"), "Content-Type": "application/warc-fields"}, body)
+        block = http if refers else http + payload
+        if refers:
+            fields |= {"WARC-Type": "revisit", "WARC-Profile": REVISIT, "WARC-Refers-To": refers}
+        mime = "application/http; msgtype=response" if kind == "response" else mime if "/" in mime else "application/octet-stream"
+        fields |= {"WARC-Target-URI": url, "WARC-IP-Address": None if ip in ("", "-", "0.0.0.0") else ip, "WARC-Warcinfo-ID": info, "WARC-Truncated": "unspecified" if truncated else None}
+        return warc_record(fields | {"WARC-Payload-Digest": digest, "WARC-Block-Digest": sha1(block), "Content-Type": mime}, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[list[str]]:
+        part = TaskContext.get().partitionId()
+
+        def own() -> Iterator[bytes]:
             for batch in batches:
-                out = []
-                for page, rid, url, ip, date, http, payload, _, digest, refers in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
-                    block = http if refers else http + payload
-                    kind = {"WARC-Type": "revisit", "WARC-Profile": REVISIT, "WARC-Refers-To": refers} if refers else {"WARC-Type": "response"}
-                    out.append(warc_record(kind | {"WARC-Record-ID": rid, "WARC-Date": date, "WARC-Target-URI": url, "WARC-IP-Address": ip, "WARC-Payload-Digest": digest, "WARC-Block-Digest": sha1(block.encode()), "Content-Type": "application/http; msgtype=response"}, block))
-                yield out
+                for row in zip(*(batch.column(k).to_pylist() for k in range(14)), strict=True):
+                    yield converted(*row)
 
-        yield from _lines(rows(), lambda k: warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(k))}>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, "format: WARC File Format 1.1\r\n"))
+        yield from _archives(own(), b"\r\n\r\n", lambda k: warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": identity(job, part, k), "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"), limits)
 
-    return _written(marked.mapInArrow(run, "value string"), "\r\n\r\n")
+    return _written(marked.mapInArrow(run, "value binary"), "\r\n\r\n")
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers string"
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """One row per response or revisit; digests of responses are those of the payload itself, checked against the header."""
+    """One row per response, revisit or resource; digests are those of the payload itself, checked against the header, but for revisits."""
     names = [x.split()[0] for x in READ.split(", ")]
     types = [pa.int64(), pa.int64(), *[pa.string()] * 4]
 
@@ -244,16 +294,17 @@ def read_warc(files: DataFrame) -> DataFrame:
         for files in batches:
             for k in range(files.num_rows):
                 rows = []
-                for head, block in warc_records(gzip.decompress(files.column(0)[k].as_py())):
+                for head, block in warc_records(gzip.decompress(files.column(1)[k].as_py())):
                     kind = header(head, "WARC-Type")
-                    if kind not in ("response", "revisit"):
+                    if kind not in ("response", "revisit", "resource"):
                         continue
-                    http, body = split_http(block)
-                    page, digest = header(http.decode(), "X-Page-Id"), header(head, "WARC-Payload-Digest")
-                    if kind == "response" and sha1(body) != digest:
+                    http, body = (b"", block) if kind == "resource" else split_http(block)
+                    top = http.decode("latin-1")
+                    digest = header(head, "WARC-Payload-Digest")
+                    if kind != "revisit" and sha1(body) != digest:
                         raise ValueError(f"{header(head, 'WARC-Record-ID')}: the payload does not have its digest")
-                    size = len(body) if kind == "response" else int(header(http.decode(), "Content-Length"))
-                    rows.append((int(page) if page else None, size, base64.b32decode(digest[5:]).hex(), kind, header(head, "WARC-Record-ID"), header(head, "WARC-Refers-To")))
+                    size = int(header(top, "Content-Length") or 0) if kind == "revisit" else len(body)
+                    rows.append((page_of(top), size, base64.b32decode(digest[5:]).hex(), kind, header(head, "WARC-Record-ID"), header(head, "WARC-Refers-To")))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -262,7 +313,7 @@ def read_warc(files: DataFrame) -> DataFrame:
 
 def convert(pages: DataFrame) -> DataFrame:
     """Pages through ARC files, the converter and WARC files, read back: one row per page."""
-    found = common.stored(read_warc(write_warc(write_arc(pages))))
+    found = common.only(lambda: read_warc(write_warc(write_arc(pages))))
     named = found.filter("record_type = 'response'").groupBy(F.col("record_id").alias("named")).agg(F.max("page_id").alias("refers_to"))
     revisits = found.filter("record_type = 'revisit'").join(named, F.col("refers") == F.col("named"), "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -275,9 +326,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) AS place FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+  CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND place > 1 THEN top END AS refers_to
 FROM k
 """
