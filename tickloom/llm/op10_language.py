@@ -1,28 +1,33 @@
 """Language identification: script ranges, scores by word, and Viterbi over each text.
 
-A word is a run of letters; its score in a language is the sum of the log
-probabilities of its byte trigrams.  The scripts of its code points narrow the
-languages that can claim it to those whose training texts use such a script.
-Viterbi with a penalty for each switch then labels the words, so a text of
-mixed language falls into spans.
-
-All texts of a batch are decoded together.  Texts are cut into chunks of
-``CHUNK`` words; the best score between any entry and exit language of a chunk
-is found for all chunks at once, the chunks of a text are then joined in
+A word is a run of letters, and of marks such as vowel signs, with a letter in
+it; both are told by their Unicode category.  Its score in a language is the
+sum of the log probabilities of its byte trigrams.  The scripts of its code
+points narrow the languages that can claim it to those whose training texts use
+such a script.  Viterbi with a penalty for each switch then labels the words, so
+a text of mixed language falls into spans.
+
+All texts of a batch are decoded together.  Texts are cut into chunks of at
+least ``CHUNK`` words; the best score between any entry and exit language of a
+chunk is found for all chunks at once, the chunks of a text are then joined in
 order, and the labels within all chunks are traced back at once.  This is
 exact, and a text of any length costs array operations, not a loop by word.
 
-The model is fitted on a bounded sample, ``PER_LANGUAGE`` documents of each
-language at most, about; every document is labelled.
+The model is fitted on a bounded sample: of the ``LANGUAGES`` languages with most
+training documents, ``PER_LANGUAGE`` documents each, about, copies once.  That
+bounds the model and what the decoder holds, whatever the column ``lang`` has in
+it; every document is labelled.
 
 Defined results: null texts and texts without a letter are ``und`` with score
-0; without training documents every text is ``und``; ties go to the language
-that comes first by code point; repeated rows get equal labels; an empty table
-gives no rows; other columns are not read.
+0; without training documents every text is ``und``; a null id is not held out;
+ties go to the language that comes first by code point; repeated rows get equal
+labels; texts of any length are read whole; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +39,8 @@ from . import common, textblock
 
 #: Documents of a language that the model learns from at most, about.
 PER_LANGUAGE = 3000
+#: Languages that the model knows at most: those with most training documents.
+LANGUAGES = 64
 CELLS = 1 << 16
 CHUNK = 64
 #: What a switch of language costs, in nats.
@@ -44,22 +51,34 @@ SEED = 10
 SCRIPT_SHARE = 0.02
 _NEVER = np.float32(-1e4)
 
-#: First code points of ranges, and the script of each.
+#: First code points of ranges, and the script of the letters from there on.
 RANGES = [
-    (0x0000, "none"), (0x0041, "latin"), (0x005B, "none"), (0x0061, "latin"), (0x007B, "none"), (0x00AA, "latin"), (0x00AB, "none"),
-    (0x00B5, "latin"), (0x00B6, "none"), (0x00BA, "latin"), (0x00BB, "none"), (0x00C0, "latin"), (0x00D7, "none"), (0x00D8, "latin"),
-    (0x00F7, "none"), (0x00F8, "latin"), (0x02B0, "none"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"),
-    (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "other"),
-    (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"),
-    (0x1F00, "greek"), (0x2000, "none"), (0x2C60, "latin"), (0x2C80, "other"), (0x2E00, "none"), (0x3040, "kana"), (0x3100, "other"),
-    (0x3130, "hangul"), (0x3190, "none"), (0x3400, "han"), (0x4DC0, "none"), (0x4E00, "han"), (0xA000, "other"), (0xA720, "latin"),
-    (0xA800, "other"), (0xAC00, "hangul"), (0xD7B0, "none"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"),
-    (0xFE00, "none"), (0x10000, "other"), (0x1F000, "none"), (0x20000, "han"), (0x31350, "none"),
+    (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"),
+    (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "other"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"),
+    (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "latin"), (0x2C80, "other"), (0x2E80, "han"), (0x3040, "kana"),
+    (0x3100, "other"), (0x3130, "hangul"), (0x3190, "han"), (0xA000, "other"), (0xA720, "latin"), (0xA800, "other"), (0xAC00, "hangul"),
+    (0xD800, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "armenian"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFF00, "latin"),
+    (0xFF65, "kana"), (0xFFA0, "hangul"), (0x10000, "other"), (0x20000, "han"), (0x32000, "other"),
 ]
-SCRIPTS = sorted({s for _, s in RANGES} - {"none"})
+SCRIPTS = sorted({s for _, s in RANGES})
 _STARTS = np.array([a for a, _ in RANGES])
-_BITS = np.array([0 if s == "none" else 1 << SCRIPTS.index(s) for _, s in RANGES], np.int32)
-_LATIN = 1 << SCRIPTS.index("latin")
+_BITS = np.array([1 << SCRIPTS.index(s) for _, s in RANGES], np.int32)
+#: Stands with the script of letters, not with that of marks.
+_LETTER = np.int32(1 << 30)
+_kinds: np.ndarray | None = None
+
+
+def _of_code_point() -> np.ndarray:
+    """For each code point: 0, or the bit of its script if it is a mark, and ``_LETTER`` besides if it is a letter."""
+    global _kinds
+    if _kinds is None:
+        kind = "".join(unicodedata.category(chr(c))[0] for c in range(0x110000)).encode()
+        kind = np.frombuffer(kind, np.uint8)
+        letter = kind == ord("L")
+        script = _BITS[np.searchsorted(_STARTS, np.arange(0x110000), "right") - 1]
+        _kinds = np.where(letter | (kind == ord("M")), script, 0).astype(np.int32) | np.where(letter, _LETTER, 0).astype(np.int32)
+    return _kinds
+
 
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -80,8 +99,9 @@ class Words:
 
 
 def _scripts(data: np.ndarray) -> np.ndarray:
-    """The script bit of each byte: that of the code point which it begins; later bytes have that of the first."""
-    out = np.where(_FOLD[data] > 0, np.int32(_LATIN), np.int32(0))
+    """What each byte's code point is, as by ``_of_code_point``; later bytes have that of the first."""
+    kinds = _of_code_point()
+    out = kinds[np.minimum(data, 127)]
     lead = np.flatnonzero(data >= 0xC0)
     if not len(lead):
         return out
@@ -90,7 +110,7 @@ def _scripts(data: np.ndarray) -> np.ndarray:
     size = np.where(b[0] >= 0xF0, 4, np.where(b[0] >= 0xE0, 3, 2))
     tail = [x & 0x3F for x in b]
     code = np.where(size == 2, (b[0] & 0x1F) << 6 | tail[1], np.where(size == 3, (b[0] & 0xF) << 12 | tail[1] << 6 | tail[2], (b[0] & 7) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3]))
-    bits = _BITS[np.searchsorted(_STARTS, code, "right") - 1]
+    bits = kinds[np.minimum(code, 0x10FFFF)]
     out[data >= 0x80] = 0
     for k in range(4):
         on = size > k
@@ -104,22 +124,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     if not n:
         return Words(none, none, none, none, none.astype(np.int32), np.zeros(m, np.int64))
     bits = _scripts(data)
-    letter = bits != 0
+    inside = bits != 0
     edge = np.zeros(n, bool)
     edge[offsets[:-1][offsets[:-1] < n]] = True
-    before = np.concatenate([[False], letter[:-1]]) & ~edge
-    starts = np.flatnonzero(letter & ~before)
-    after = np.concatenate([letter[1:], [False]]) & ~np.concatenate([edge[1:], [True]])
-    ends = np.flatnonzero(letter & ~after) + 1
+    before = np.concatenate([[False], inside[:-1]]) & ~edge
+    starts = np.flatnonzero(inside & ~before)
+    after = np.concatenate([inside[1:], [False]]) & ~np.concatenate([edge[1:], [True]])
+    ends = np.flatnonzero(inside & ~after) + 1
+    if len(starts):
+        # a run of marks alone is no word
+        held = np.maximum.reduceat(bits, starts) >= _LETTER
+        if not held.all():
+            alone = np.zeros(n + 1, np.int32)
+            alone[starts[~held]] += 1
+            alone[ends[~held]] -= 1
+            inside &= np.cumsum(alone[:-1]) == 0
+            starts, ends = starts[held], ends[held]
     # each byte with the one before and the one after, blanks outside the word
     code = _FOLD[data].astype(np.int64)
     left = np.concatenate([[0], code[:-1]]) * before
     right = np.concatenate([code[1:], [0]]) * after
     hashed = (left << 16 | code << 8 | right) * 0x9E3779B1 >> 12 & CELLS - 1
     sizes = ends - starts
-    flat = hashed[letter]
+    flat = hashed[inside]
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else none
-    scripts = np.bitwise_or.reduceat(bits[letter], at) if len(at) else none.astype(np.int32)
+    scripts = np.bitwise_or.reduceat(bits[inside], at) & ~_LETTER if len(at) else none.astype(np.int32)
     return Words(flat, at, starts, sizes, scripts, np.diff(np.searchsorted(starts, offsets)))
 
 
@@ -148,12 +177,14 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) ->
         return np.zeros(0, np.int64)
     used = np.flatnonzero(counts)
     counts = counts[used]
-    chunks = -(-counts // CHUNK)
+    # what stands for a chunk has the square of the languages, so it grows with them
+    size = max(CHUNK, languages * languages // 4)
+    chunks = -(-counts // size)
     first = np.concatenate([[0], np.cumsum(chunks)])
     total = int(first[-1])
     within = np.arange(n) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-    chunk, place = np.repeat(first[:-1], counts) + within // CHUNK, within % CHUNK
-    steps = int(min(CHUNK, counts.max()))
+    chunk, place = np.repeat(first[:-1], counts) + within // size, within % size
+    steps = int(min(size, counts.max()))
     # only the last chunk of a text is short; its rest scores nothing and so changes no label before it
     s = np.zeros((steps, languages, total), np.float32)
     s[place, :, chunk] = scores
@@ -205,13 +236,17 @@ def held_out(column: str = "doc_id"):
 def fit(docs: DataFrame) -> Model:
     """Trigram scores and scripts of each language, from the documents that are not held out."""
     able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False))).select(F.col("lang").cast("string"), "text")
-    sums = {x["lang"]: x["n"] for x in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    top = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sums = {x["lang"]: x["n"] for x in top.collect()}
     languages = sorted(sums)
     if not languages:
         return Model([], np.zeros((CELLS, 0), np.float32), np.zeros(0, np.int32))
     scale = 1 << 30
     rates = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(scale * min(1.0, PER_LANGUAGE / sums[k]))))])
-    some = able.withColumn("draw", F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(scale))).filter(F.col("draw") <= rates[F.col("lang")])
+    draw = F.xxhash64(F.lit(SEED), "text")
+    some = able.withColumn("draw", draw).filter(F.col("lang").isin(languages) & (F.pmod("draw", F.lit(scale)) <= rates[F.col("lang")]))
+    # copies of a text are one text to learn from
+    some = some.groupBy("lang", "draw").agg(F.first("text").alias("text"))
     number = {k: i for i, k in enumerate(languages)}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -251,7 +286,7 @@ def _labelled(model: Model, column: pa.Array):
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_spans): the language with most letters of each text, and its share of them."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # CELLS x languages numbers
+    held = docs.sparkSession.sparkContext.broadcast(model)  # CELLS x LANGUAGES numbers at most, 17 MB
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = held.value
