@@ -147,8 +147,9 @@ def test_op7_rejects_junk_and_keeps_prose(spark):
 
 def test_op8_parses_both_versions_and_reads_back(spark):
     for version in "12":
-        raw = (op8_warc.version_block(version, "x.arc", "2001") + "\n" + op8_warc.arc_record(version, "http://a/", "1.2.3.4", "19990102", "text/html", "é\n\nb", "x.arc") + "\n").encode()
-        (r,) = op8_warc.arc_records(raw)
+        raw = op8_warc.version_block(version, "x.arc", "2001").encode() + b"\n" + op8_warc.arc_record(version, "http://a/", "1.2.3.4", "19990102", "text/html", "é\n\nb".encode(), "x.arc") + b"\n"
+        info, r = op8_warc.arc_records(raw)
+        assert info["filedesc"] and info["content"].startswith(version.encode())
         assert (r["URL"], r["content"].decode(), r["truncated"]) == ("http://a/", "é\n\nb", False) and op8_warc.date_of(r["Archive-date"]) == "1999-01-02T00:00:00Z"
     with pytest.raises(ValueError):
         list(op8_warc.arc_records(b"http://a/ 1 2\n"))
