@@ -1,7 +1,15 @@
 """A training corpus from raw documents, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one
-reads it back from Parquet.  All but the last return the columns of documents.
+reads it back from Parquet.  All but the last return the columns of documents,
+and any further ones that the table has; the last returns the ids of each
+document of the mix, their count and digests.
+
+Defined results: decisions are made by row, so a null id, or one that several
+rows share, costs no other row its place; of rows equal in id and text one stays
+after the dedup stages; a null text counts as empty; the mix leaves out texts
+without words and repeats documents of sources below their target; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +33,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole documents table."""
     docs = common.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        # what a stage has written goes with its result's being stored, its input with the next one's
+        given, docs = docs, common.only(lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        if "stored_at" in vars(given):
+            common.dropped(given)
+    return STAGES[-1][1](spark, docs, sf_dir)
