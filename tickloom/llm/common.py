@@ -100,15 +100,33 @@ def without(docs: DataFrame, marked: DataFrame) -> DataFrame:
     fates = marked.groupBy(F.col("doc_id").alias("__tl_id"), F.col("key").alias("__tl_key")).agg(F.count_if("kept").alias("__tl_kept"), F.count("*").alias("__tl_rows"))
     odd = only(lambda: fates.filter("__tl_kept < __tl_rows"))
     keyed = docs.withColumn("__tl_row_key", F.expr(KEY))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__tl_id")) & (F.col("__tl_row_key") == F.col("__tl_key"))
-    out = keyed.join(odd.select("__tl_id", "__tl_key"), same, "left_anti").select(*columns(docs))
+    doc_id = F.col("doc_id").cast("long")
+    at = F.pmod(F.xxhash64(doc_id, "__tl_row_key"), F.lit(FILTER_BITS))
+    # most rows are told by a filter of fixed size, and their texts not shuffled
+    bits = _bits(odd.select(F.pmod(F.xxhash64("__tl_id", "__tl_key"), F.lit(FILTER_BITS)).alias("at")))
+    hit = F.getbit(F.get(bits.scalar(), F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
+    met = keyed.filter(hit)
+    same = doc_id.eqNullSafe(F.col("__tl_id")) & (F.col("__tl_row_key") == F.col("__tl_key"))
+    out = keyed.filter(~hit).unionByName(met.join(odd.select("__tl_id", "__tl_key"), same, "left_anti")).select(*columns(docs))
     if not odd.filter("__tl_kept > 0").limit(1).count():
         return out
     # copies of one row of which one stays: they are alike in id and text, so any of them will do
-    one = keyed.join(odd.filter("__tl_kept > 0").select("__tl_id", "__tl_key"), same, "left_semi").groupBy(F.col("doc_id").alias("__tl_id"), "__tl_row_key").agg(F.first(F.struct(*columns(docs))).alias("__tl_row"))
+    one = met.join(odd.filter("__tl_kept > 0").select("__tl_id", "__tl_key"), same, "left_semi").groupBy(doc_id.alias("__tl_id"), "__tl_row_key").agg(F.first(F.struct(*columns(docs))).alias("__tl_row"))
     return out.unionByName(one.select("__tl_row.*"))
 
 
+#: Bits of the filter that spares the texts of rows that certainly stay a shuffle: 1 MB however many rows go.
+FILTER_BITS = 1 << 23
+
+
+def _bits(places: DataFrame) -> DataFrame:
+    """One row with an array of 64-bit words in which the bits at the given places (``at``) are set."""
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS >> 6, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return places.sparkSession.createDataFrame([(table.tolist(),)], "bits array<long>")
+
+
 def parts_for(rows: int, per_part: int) -> int:
     """Partitions so that each holds about ``per_part`` rows, however large the input."""
     return max(1, -(-rows // per_part))
