@@ -15,8 +15,8 @@ and peeling are a few array operations for the whole batch.
 The next document of each is found without a global sort: documents are cut by
 ids that are in the table into buckets, each bucket is read in descending order,
 and the first document of a bucket is sent to the bucket before it as well.  The
-cuts are the ids that a hash picks, one in ``PER_BUCKET`` or, in a very large
-table, so few that about ``CUTS`` come to the driver.
+cuts are the ids that a hash picks, eight in ``PER_BUCKET`` or, in a very large
+table, so few that about ``CUTS`` come to the driver; a task reads many buckets.
 
 Defined results: null texts count as empty; two texts without paragraphs are
 alike (1.0); a null doc_id comes last, and equal ids, which share a bucket,
@@ -167,7 +167,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     lowest = -(2**63)
     ids = docs.select(F.coalesce("doc_id", F.lit(lowest)).alias("id"))
     n = ids.count()
-    every = max(PER_BUCKET, n // CUTS)
+    every = max(1, PER_BUCKET // 8, n // CUTS)
     found = [x[0] for x in ids.filter((F.col("id") > lowest) & (F.pmod(F.xxhash64(F.lit(every), "id"), F.lit(every)) == 0)).distinct().collect()]
     top = ids.filter(F.col("id") > lowest).agg(F.max("id")).first()[0]
     held = docs.sparkSession.sparkContext.broadcast(np.unique(np.array([*found, *([] if top is None else [top])], np.int64)))
