@@ -40,7 +40,7 @@ SEED = 77
 LABELLERS = ("symbols", "symbol_words", "capitals", "shouting", "repeated_passages", "repeated_words", "word_length")
 BAD, NONE, GOOD = 0, 1, 2
 
-_CLASS = np.full(256, 11, np.int64)
+_CLASS = np.full(256, 11, np.int16)
 _CLASS[ord("a") : ord("z") + 1] = 0
 _CLASS[ord("A") : ord("Z") + 1] = 1
 _CLASS[ord("0") : ord("9") + 1] = 2
@@ -170,7 +170,7 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _blocks(column: pa.Array):
     data, off = common.utf8(column)
-    for i, j in textblock.blocks(off):
+    for i, j in textblock.blocks(off, 1 << 20):
         yield i, j, Block.of(data[off[i] : off[j]], off[i : j + 1] - off[i])
 
 
@@ -224,10 +224,8 @@ def scorer(docs: DataFrame) -> tuple[np.ndarray, dict]:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         draws = batch.column(1).to_numpy(zero_copy_only=False)
         share = draws % scale / scale
-        data, off = common.utf8(batch.column(0))
         chosen, target = [], []
-        for i, j in textblock.blocks(off):
-            block = Block.of(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        for i, j, block in _blocks(batch.column(0)):
             p = np.array([post.get(int(x), prior) for x in pattern(votes(block.figures()))])
             at = np.flatnonzero(share[i:j] < np.where(p >= 0.5, rate[1], rate[0]))
             chosen.append(at + i)
