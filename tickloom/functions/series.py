@@ -116,43 +116,57 @@ def adx(h, l, c, n):
     return out
 
 
-def mama(c: np.ndarray, fast: float = 0.5, slow: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Ehlers' MESA adaptive moving averages by a Hilbert transform: (mama, fama)."""
+def phases(c: np.ndarray) -> np.ndarray:
+    """Phase in degrees by bar of Ehlers' Hilbert transform, from bar 6 on."""
     n = len(c)
-    if n < 40:
-        return np.zeros(n), np.zeros(n)
-    m, f = c.astype(float).copy(), c.astype(float).copy()
     taps = ((0, 0.0962), (2, 0.5769), (4, -0.5769), (6, -0.0962))
-    names = "smooth det in1 q1 in2 q2 re im".split()
-    z = {k: np.zeros(n) for k in names}
-    period, phase = np.full(n, 6.0), np.zeros(n)
+    smooth, det, in1, q1 = ([0.0] * n for _ in range(4))
+    period, phase = 6.0, [0.0] * n
+    in2 = q2 = re = im = 0.0
+    x = c.tolist()
 
-    def hilbert(k, i):
-        return sum(w * z[k][max(0, i - j)] for j, w in taps)
+    def hilbert(z, i):
+        return sum(w * z[max(0, i - j)] for j, w in taps)
 
     for i in range(6, n):
-        z["smooth"][i] = (4 * c[i] + 3 * c[i - 1] + 2 * c[i - 2] + c[i - 3]) / 10
-        adjust = 0.075 * period[i - 1] + 0.54
-        z["det"][i] = hilbert("smooth", i) * adjust
-        z["in1"][i] = z["det"][max(0, i - 3)]
-        z["q1"][i] = hilbert("det", i) * adjust
-        ji, jq = hilbert("in1", i) * adjust, hilbert("q1", i) * adjust
-        # the transforms of in1 and q1 need their own history
-        z["in2"][i] = 0.2 * (z["in1"][i] - jq) + 0.8 * z["in2"][i - 1]
-        z["q2"][i] = 0.2 * (z["q1"][i] + ji) + 0.8 * z["q2"][i - 1]
-        z["re"][i] = 0.2 * (z["in2"][i] * z["in2"][i - 1] + z["q2"][i] * z["q2"][i - 1]) + 0.8 * z["re"][i - 1]
-        z["im"][i] = 0.2 * (z["in2"][i] * z["q2"][i - 1] - z["q2"][i] * z["in2"][i - 1]) + 0.8 * z["im"][i - 1]
-        last = period[i - 1]
-        p = 2 * np.pi / np.arctan(z["im"][i] / z["re"][i]) if z["im"][i] and z["re"][i] else last
-        p = min(max(min(max(p, 0.67 * last) if p <= 1.5 * last else 1.5 * last, 1.5 * last), 6.0), 50.0)
-        period[i] = 0.2 * p + 0.8 * last
-        phase[i] = np.degrees(np.arctan(z["q1"][i] / z["in1"][i])) if z["in1"][i] else phase[i - 1]
-        alpha = min(max(fast / max(phase[i - 1] - phase[i], 1.0), slow), fast)
+        smooth[i] = (4 * x[i] + 3 * x[i - 1] + 2 * x[i - 2] + x[i - 3]) / 10
+        adjust = 0.075 * period + 0.54
+        det[i] = hilbert(smooth, i) * adjust
+        in1[i] = det[max(0, i - 3)]
+        q1[i] = hilbert(det, i) * adjust
+        was_in, was_q = in2, q2
+        in2 = 0.2 * (in1[i] - hilbert(q1, i) * adjust) + 0.8 * in2
+        q2 = 0.2 * (q1[i] + hilbert(in1, i) * adjust) + 0.8 * q2
+        re = 0.2 * (in2 * was_in + q2 * was_q) + 0.8 * re
+        im = 0.2 * (in2 * was_q - q2 * was_in) + 0.8 * im
+        p = 2 * np.pi / np.arctan(im / re) if im and re else period
+        p = min(max(min(max(p, 0.67 * period) if p <= 1.5 * period else 1.5 * period, 1.5 * period), 6.0), 50.0)
+        period = 0.2 * p + 0.8 * period
+        phase[i] = float(np.degrees(np.arctan(q1[i] / in1[i]))) if in1[i] else phase[i - 1]
+    return np.array(phase)
+
+
+def mama_many(c: np.ndarray, fast: np.ndarray, slow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ehlers' MESA adaptive moving averages, bars x pairs of limits: (mama, fama); zero with fewer than 40 bars."""
+    n, k = len(c), len(fast)
+    if n < 40:
+        return np.zeros((n, k)), np.zeros((n, k))
+    phase = phases(c)
+    m, f = np.repeat(c.astype(float)[:, None], k, 1), np.repeat(c.astype(float)[:, None], k, 1)
+    turn = np.maximum(phase[:-1] - phase[1:], 1.0)
+    for i in range(6, n):
+        alpha = np.minimum(np.maximum(fast / turn[i - 1], slow), fast)
         m[i] = alpha * c[i] + (1 - alpha) * m[i - 1]
         f[i] = 0.5 * alpha * m[i] + (1 - 0.5 * alpha) * f[i - 1]
     return m, f
 
 
+def mama(c: np.ndarray, fast: float = 0.5, slow: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """(mama, fama) of one pair of limits."""
+    m, f = mama_many(np.asarray(c, float), np.array([fast]), np.array([slow]))
+    return m[:, 0], f[:, 0]
+
+
 def vpin(c, v, buckets):
     """Imbalance of volume buckets of a ``buckets``-th of all volume; at the bar that fills one, else NaN."""
     out = np.full(len(c), NAN)

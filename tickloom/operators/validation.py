@@ -1,7 +1,8 @@
 """Search validated out of sample: walk-forward, combinatorial splits, perturbed paths, stitched results.
 
-Every job row holds the bars of one symbol and one strategy's sets, as in ``kernels.scan``; windows, splits
-and paths are further keys, so the work spreads over symbols x strategies x those.
+A job row holds the bars of one symbol and a part of the grid, as in ``kernels.scan``; windows, splits
+and paths are further keys, so the work spreads over symbols x parts x those, and in each of them all
+sets of all strategies advance together.
 """
 
 from __future__ import annotations
@@ -16,44 +17,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import metrics as M
 
 #: Ends of training, validation and test as shares of the bars, one row a window.
 WINDOWS = [(0.3, 0.4, 0.5), (0.4, 0.5, 0.6), (0.5, 0.6, 0.7), (0.6, 0.7, 0.8), (0.7, 0.8, 0.9), (0.8, 0.9, 1.0)]
 OUT = "symbol string, strategy string, part int, combo_id int, train_score double, val_score double, ret double, dd double, trades long"
 
 
-def _packed(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "open", "high", "low", "close"))).alias("b"))
-
-
 def _parts(rows: DataFrame, parts: int) -> DataFrame:
     return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
 
-def _jobs(bars: DataFrame, grid: DataFrame, parts: int, run: Callable, schema: str) -> DataFrame:
-    sets = _parts(grid.groupBy("strategy").agg(F.array_sort(F.collect_list(F.struct("combo_id", "params"))).alias("g")), parts)
-    # one row per symbol against one per strategy and part: the product is the work itself
-    return _each(_packed(bars).crossJoin(F.broadcast(sets)), run, schema)
-
-
-def _each(jobs: DataFrame, run: Callable, schema: str) -> DataFrame:
-    jobs = jobs.repartition("symbol", "strategy", "part")
+def _each(work: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run`` of (symbol, prices, ids by strategy, sets by strategy, part) for each row: tuples after (symbol, strategy, part)."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in schema.split(", ")]
         for pdf in batches:
-            for symbol, strategy, b, g, part in zip(*(pdf[c] for c in ("symbol", "strategy", "b", "g", "part")), strict=True):
-                ohlc = np.array([[r[k] for k in ("open", "high", "low", "close")] for r in b], float)
-                row = run(symbol, strategy, ohlc, [r["combo_id"] for r in g], [list(r["params"]) for r in g], int(part))
-                if row is not None:
-                    yield pd.DataFrame([(symbol, strategy, int(part), *row)], columns=names)
+            for symbol, b, sets, part in zip(*(pdf[c] for c in ("symbol", "b", "sets", "part")), strict=True):
+                ids, params = K.grids_of(sets)
+                rows = [(symbol, strategy, int(part), *row) for strategy, *row in run(symbol, K.ohlc_of(b), ids, params, int(part))]
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    return work.repartition("symbol", "deal", "part").select("symbol", "b", "sets", "part").mapInPandas(each, schema)
+
 
-    return jobs.select("symbol", "strategy", "b", "g", "part").mapInPandas(each, schema)
+def _all(ohlc: np.ndarray, grids: dict, cost: K.Costs) -> dict:
+    return {k: out | {"score": K.score(out["ret"], out["dd"], out["trades"])} for k, out in K.backtest_all(K.bars_from(ohlc), grids, cost).items()}
 
 
 def _run(strategy: str, ohlc: np.ndarray, sets: list, cost: K.Costs) -> dict:
-    out = K.backtest(strategy, K.Bars(ohlc[:, 3], ohlc[:, 0], ohlc[:, 1], ohlc[:, 2]), sets, cost)
-    return out | {"score": K.score(out["ret"], out["dd"], out["trades"])}
+    return _all(ohlc, {strategy: sets}, cost)[strategy]
+
+
+def _chosen(train: dict, params: dict) -> tuple[dict, dict]:
+    """Of each strategy the place of its best set, the earlier of equals, and that set."""
+    places = {k: int(np.argmax(out["score"])) for k, out in train.items()}
+    return places, {k: [params[k][at]] for k, at in places.items()}
 
 
 def gated(train: float, val: float) -> bool:
@@ -67,18 +68,19 @@ def walk_forward(bars: DataFrame, grid: DataFrame, windows: list = WINDOWS, emba
     A window that the gate rejects has a test result of zero.  Windows with fewer than two bars in a part have no row.
     """
 
-    def run(symbol, strategy, ohlc, ids, sets, part):
+    def run(symbol, ohlc, ids, params, part):
         a, b, c = (int(len(ohlc) * x) for x in windows[part])
         pieces = [ohlc[:a], ohlc[a + embargo : b], ohlc[b:c]]
         if min(map(len, pieces)) < 2:
-            return None
-        train = _run(strategy, pieces[0], sets, cost)
-        k = int(np.argmax(train["score"]))
-        val, test = (_run(strategy, x, [sets[k]], cost) for x in pieces[1:])
-        good = gated(train["ret"][k], val["ret"][0])
-        return ids[k], float(train["score"][k]), float(val["score"][0]), *((float(test["ret"][0]), float(test["dd"][0]), int(test["trades"][0])) if good else (0.0, 0.0, 0))
+            return
+        train = _all(pieces[0], params, cost)
+        places, sets = _chosen(train, params)
+        val, test = (_all(x, sets, cost) for x in pieces[1:])
+        for k, at in places.items():
+            good = gated(train[k]["ret"][at], val[k]["ret"][0])
+            yield k, ids[k][at], float(train[k]["score"][at]), float(val[k]["score"][0]), *((float(test[k]["ret"][0]), float(test[k]["dd"][0]), int(test[k]["trades"][0])) if good else (0.0, 0.0, 0))
 
-    return _jobs(bars, grid, len(windows), run, OUT)
+    return _each(_parts(K.jobs(bars, grid), len(windows)), run, OUT)
 
 
 def splits(n: int, groups: int = 6, test: int = 2, embargo: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -98,16 +100,17 @@ def cpcv(bars: DataFrame, grid: DataFrame, groups: int = 6, test: int = 2, embar
     """The best set on each split's training bars, on its test bars; ranges are joined end to end."""
     count = len(list(combinations(range(groups), test)))
 
-    def run(symbol, strategy, ohlc, ids, sets, part):
+    def run(symbol, ohlc, ids, params, part):
         inside, outside = splits(len(ohlc), groups, test, embargo)[part]
         if min(len(inside), len(outside)) < 2:
-            return None
-        train = _run(strategy, ohlc[inside], sets, cost)
-        k = int(np.argmax(train["score"]))
-        got = _run(strategy, ohlc[outside], [sets[k]], cost)
-        return ids[k], float(train["score"][k]), None, float(got["ret"][0]), float(got["dd"][0]), int(got["trades"][0])
+            return
+        train = _all(ohlc[inside], params, cost)
+        places, sets = _chosen(train, params)
+        got = _all(ohlc[outside], sets, cost)
+        for k, at in places.items():
+            yield k, ids[k][at], float(train[k]["score"][at]), None, float(got[k]["ret"][0]), float(got[k]["dd"][0]), int(got[k]["trades"][0])
 
-    return _jobs(bars, grid, count, run, OUT)
+    return _each(_parts(K.jobs(bars, grid), count), run, OUT)
 
 
 def noise(ohlc: np.ndarray, rng: np.random.Generator, scale: float = 0.002) -> np.ndarray:
@@ -156,18 +159,48 @@ def monte_carlo(bars: DataFrame, grid: DataFrame, method: str, paths: int | None
     Seeds depend on path and symbol.  Symbols without a row of that window in ``walk_forward`` have none here.
     """
 
-    def run(symbol, strategy, ohlc, ids, sets, part):
+    def run(symbol, ohlc, ids, params, part):
         if len(ohlc) < 2:
-            return None
+            return
         rng = np.random.default_rng(np.random.SeedSequence([SEEDS[method], part, zlib.crc32(symbol.encode())]))
-        got = _run(strategy, METHODS[method](ohlc, rng), sets, cost)
-        return ids[0], None, None, float(got["ret"][0]), float(got["dd"][0]), int(got["trades"][0])
+        for k, got in _all(METHODS[method](ohlc, rng), params, cost).items():
+            yield k, ids[k][0], None, None, float(got["ret"][0]), float(got["dd"][0]), int(got["trades"][0])
 
     best = walk_forward(bars, grid, windows[-1:], embargo, cost).select("symbol", "strategy", "combo_id")
-    chosen = best.join(F.broadcast(grid), ["strategy", "combo_id"]).select("symbol", "strategy", F.array(F.struct("combo_id", "params")).alias("g"))
+    chosen = best.join(grid, ["strategy", "combo_id"]).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("strategy", "combo_id", "params"))).alias("sets"))
     start = F.floor(F.size("b") * F.lit(float(windows[-1][1]))).cast("int")
-    late = _packed(bars).select("symbol", F.slice("b", start + 1, F.size("b")).alias("b"))
-    return _each(_parts(late.join(chosen, "symbol"), PATHS[method] if paths is None else paths), run, OUT)
+    late = K.packed(bars).select("symbol", F.slice("b", start + 1, F.size("b")).alias("b"))
+    work = late.join(chosen, "symbol").withColumn("deal", F.lit(0))
+    return _each(_parts(work, PATHS[method] if paths is None else paths), run, OUT)
+
+
+def robustness(bars: DataFrame, grid: DataFrame, bars_per_year: float = 365.0, cost: K.Costs = K.Costs()) -> DataFrame:
+    """One row for each symbol and strategy: the stitched test parts, the three kinds of perturbed paths, the deflated Sharpe ratio and the robust score.
+
+    As many trials count as the grid has sets.  A strategy with fewer than three trades or thirty test bars has no score.
+    """
+    sets = grid.count()
+    parts = walk_forward(bars, grid, cost=cost)
+    out = stitched(parts)
+    for method in METHODS:
+        paths = monte_carlo(bars, grid, method, cost=cost).groupBy("symbol", "strategy").agg(F.avg("ret").alias(f"{method}_mean"), F.avg((F.col("ret") > 0).cast("double")).alias(f"{method}_positive"))
+        out = out.join(paths, ["symbol", "strategy"], "left")
+    n = bars.groupBy("symbol").agg(F.floor(F.count("*") * F.lit(WINDOWS[-1][2] - WINDOWS[0][1])).alias("n_bars"))
+    out = out.join(n, "symbol")
+    years = F.greatest(F.lit(0.1), F.col("n_bars") / bars_per_year)
+    annual = F.col("ret") / years
+    sharpe = annual / F.greatest(F.lit(0.01), F.greatest(F.lit(1.0), F.col("dd")) / 2.5 / F.sqrt(years))
+    out = out.withColumn("ann_ret", annual).withColumn("sharpe", sharpe)
+    out = out.withColumn("dsr", M.deflated_probability(F.col("sharpe"), F.lit(float(sets)), F.col("n_bars").cast("double")))
+    able = (F.col("trades") >= 3) & (F.col("n_bars") >= 30)
+    score = F.col("sharpe") * F.least(F.lit(1.0), F.sqrt(F.col("trades") / 30)) * (1 + F.greatest(F.lit(0.0), F.col("dsr") - 0.5) * 2)
+    return out.withColumn("score", F.when(able, score))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """``robustness`` by strategy: means over symbols, trades summed up."""
+    means = ["ret", "dd", "sharpe", "dsr", "score", *[f"{m}_{x}" for m in METHODS for x in ("mean", "positive")]]
+    return rows.groupBy("strategy").agg(*[F.avg(c).alias(c) for c in means], F.sum("trades").alias("trades"), F.count("*").alias("symbols"))
 
 
 def stitched(parts: DataFrame) -> DataFrame:

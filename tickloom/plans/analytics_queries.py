@@ -241,8 +241,8 @@ def default_grid(s):
     return s.createDataFrame(sets, "strategy string, combo_id int, params array<double>")
 
 
-query("strategy_scan")(lambda s, d: rounded(K.scan(B.bars_of(s, d), default_grid(s), chunks=4)))
-query("grid_best")(lambda s, d: rounded(K.best(K.scan(B.bars_of(s, d), default_grid(s), chunks=4))))
+query("strategy_scan")(lambda s, d: rounded(K.scan(B.bars_of(s, d), default_grid(s))))
+query("grid_best")(lambda s, d: rounded(K.best(K.scan(B.bars_of(s, d), default_grid(s)))))
 
 
 # margin at five times leverage and a 0.4 % maintenance rate, day trades, splits
