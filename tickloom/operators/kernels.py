@@ -18,7 +18,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import series as S
@@ -89,7 +89,9 @@ class Bars:
         return np.stack([fn(*p) for p in zip(*params, strict=True)], 1)
 
     def _ma(self, n):
-        return self._each(lambda w: S.mean(self.c, w), n)
+        """Means as differences of running sums, one addition a bar in order of time."""
+        sums = np.concatenate([[0.0], np.cumsum(self.c)])
+        return self._each(lambda w: np.concatenate([np.full(min(w - 1, self.n), np.nan), (sums[w:] - sums[:-w]) / w]), n)
 
     def _sd(self, n):
         return self._each(lambda w: S.std(self.c, w), n)
@@ -465,6 +467,8 @@ def _run(bars: Bars, sets: _Sets, cost: Costs, path: bool) -> dict:
         still = pos != 0
         if n:
             equity = np.where(still, np.maximum(0.01, equity + deployed(equity) * (bars.c[-1] * to_long + to_short / bars.c[-1] - 1) * cost.lev), equity)
+        if path and n:
+            curve[-1] = equity
     return {"ret": (equity - 1) * 100, "dd": worst * 100, "trades": trades + still, "curve": curve, "held": held}
 
 
@@ -566,6 +570,49 @@ def scan(bars: DataFrame, grid: DataFrame, cost: Costs = Costs()) -> DataFrame:
     return work.mapInPandas(run, "symbol string, strategy string, combo_id int, ret double, dd double, trades long, score double")
 
 
+def curves(bars: DataFrame, sets: DataFrame, cost: Costs = Costs()) -> DataFrame:
+    """(symbol, strategy, combo_id, bar, ts, equity, pos): equity and position after each bar for (strategy, combo_id, params) of few sets; the last with all closed."""
+
+    def run(batches):
+        for pdf in batches:
+            for symbol, b, some in zip(pdf["symbol"], pdf["b"], pdf["sets"], strict=True):
+                ids, params = grids_of(some)
+                times = [r["ts"] for r in b]
+                for strategy, out in backtest_all(bars_from(ohlc_of(b)), params, cost, path=True).items():
+                    for j, combo in enumerate(ids[strategy]):
+                        yield pd.DataFrame({"symbol": symbol, "strategy": strategy, "combo_id": combo, "bar": range(len(times)), "ts": times, "equity": out["curve"][:, j], "pos": out["held"][:, j].astype(int)})
+
+    work = jobs(bars, sets).repartition("symbol", "deal").select("symbol", "b", "sets")
+    return work.mapInPandas(run, "symbol string, strategy string, combo_id int, bar int, ts timestamp_ntz, equity double, pos int")
+
+
+def followed(bars: DataFrame, names: list[str], cost: Costs = Costs()) -> DataFrame:
+    """(symbol, name, ret, dd, trades): backtests of the given columns of positions of the bars."""
+    one = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "open", "high", "low", "close", F.array(*[F.col(c).cast("int") for c in names]).alias("want")))).alias("b"))
+
+    def run(batches):
+        for pdf in batches:
+            for symbol, b in zip(pdf["symbol"], pdf["b"], strict=True):
+                out = follow(np.array([r["want"] for r in b]), bars_from(ohlc_of(b)), cost)
+                yield pd.DataFrame({"symbol": symbol, "name": names, "ret": out["ret"], "dd": out["dd"], "trades": out["trades"]})
+
+    return one.mapInPandas(run, "symbol string, name string, ret double, dd double, trades long")
+
+
+def portfolio(equity: DataFrame, weights: DataFrame | None = None, per_year: float = 365.0) -> DataFrame:
+    """One row: return, drawdown and Sharpe ratio of the weighted sum of (symbol, bar, equity), over the bars that all symbols have; equal weights unless (symbol, weight) says otherwise."""
+    # one row by symbol at most
+    shares = weights if weights is not None else (x := equity.select("symbol").distinct()).join(x.agg((1 / F.count("*")).alias("weight")), how="cross")
+    joined = equity.join(shares, "symbol")
+    common = joined.groupBy("bar").agg(F.sum(F.col("equity") * F.col("weight")).alias("equity"), F.count("*").alias("n"))
+    # bars are numbered from 0, so those with most symbols are the common ones
+    most = common.agg(F.max("n").alias("n"))
+    whole = common.join(most, "n").select(F.lit("all").alias("symbol"), F.col("bar").alias("ts"), "equity")
+    w = Window.partitionBy("symbol").orderBy("ts")
+    c = whole.withColumn("r", F.col("equity") / F.greatest(F.lag("equity").over(w), F.lit(1e-10)) - 1).withColumn("peak", F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return c.agg(((F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1) * 100).alias("ret"), (F.max(1 - F.col("equity") / F.col("peak")) * 100).alias("dd"), (F.avg("r") / F.stddev_pop("r") * per_year**0.5).alias("sharpe"), F.count("*").alias("bars"))
+
+
 def best(scanned: DataFrame) -> DataFrame:
     """The set with the highest score of each symbol and strategy; the earlier one of equals."""
     return scanned.groupBy("symbol", "strategy").agg(F.max_by(F.struct("combo_id", "ret", "dd", "trades", "score"), F.struct("score", -F.col("combo_id"))).alias("x")).select("symbol", "strategy", "x.*")

@@ -203,6 +203,67 @@ def merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("strategy").agg(*[F.avg(c).alias(c) for c in means], F.sum("trades").alias("trades"), F.count("*").alias("symbols"))
 
 
+def neighbours(params: list[float], share: float = 0.1) -> list[list[float]]:
+    """The sets that differ from one in one parameter by ``share`` up or down; whole numbers stay whole."""
+    out = []
+    for i, p in enumerate(params):
+        for way in (1 + share, 1 - share):
+            moved = float(round(p * way)) if float(p).is_integer() else round(p * way, 6)
+            if p and moved != p:
+                out.append([*params[:i], moved, *params[i + 1 :]])
+    return out
+
+
+def sharpe_of(curve: np.ndarray, per_year: float) -> np.ndarray:
+    """Sharpe ratios of equity curves, bars x sets; 0 for a curve that does not move."""
+    r = np.diff(curve, axis=0) / np.maximum(curve[:-1], 1e-12)
+    sd = r.std(0)
+    return np.where(sd > 1e-12, r.mean(0) / np.where(sd > 1e-12, sd, 1) * per_year**0.5, 0.0)
+
+
+def neighbourhood(bars: DataFrame, chosen: DataFrame, per_year: float = 365.0, drop: float = 0.3, cost: K.Costs = K.Costs()) -> DataFrame:
+    """(symbol, strategy, combo_id, sharpe, stability): of the neighbours of each (symbol, strategy, combo_id, params) the share that loses less than ``drop`` of its Sharpe ratio; 0 where that is not above 0."""
+
+    def run(symbol, ohlc, ids, params, part):
+        b = K.bars_from(ohlc)
+        for strategy, sets in params.items():
+            for combo, own in zip(ids[strategy], sets, strict=True):
+                near = neighbours(own)
+                got = sharpe_of(K.backtest(strategy, b, [own, *near], cost, path=True)["curve"], per_year) if len(ohlc) > 1 else np.zeros(1 + len(near))
+                stable = float(((got[0] - got[1:]) / max(abs(got[0]), 1e-12) < drop).sum() / max(len(near), 1)) if got[0] > 0 else 0.0
+                yield strategy, combo, float(got[0]), stable
+
+    sets = chosen.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("strategy", "combo_id", "params"))).alias("sets"))
+    work = K.packed(bars).join(sets, "symbol").withColumn("deal", F.lit(0)).withColumn("part", F.lit(0))
+    return _each(work, run, "symbol string, strategy string, part int, combo_id int, sharpe double, stability double").drop("part")
+
+
+def gate(rows: DataFrame) -> DataFrame:
+    """``rows`` with the gate: six weighted parts from the columns of ``robustness`` and ``neighbourhood``; shares are fractions."""
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    p = 1 - F.col("dsr")  # the chance that trials alone give as much
+    parts = {
+        "statistical": 0.6 * unit(F.col("sharpe") / 3) + 0.4 * (1 - p),
+        "walkforward": 0.7 * unit(F.coalesce("score", F.lit(0.0)) / 100) + 0.3 * unit(F.col("ret") / 100 / 0.5),
+        "neighborhood": F.coalesce("stability", F.lit(0.5)),
+        "montecarlo": F.coalesce("noise_positive", F.lit(0.0)),
+        "deflated": unit(1 - 2 * p),
+        "tail_risk": 0.6 * unit(1 - F.col("dd") / 100 / 0.5) + 0.4,
+    }
+    return rows.withColumn("gate", F.round(sum(GATE[k] * v for k, v in parts.items()), 4))
+
+
+def verdict(rows: DataFrame) -> DataFrame:
+    """(strategy, checks, verdict): how many of seven marks of robustness a row of ``merged`` bears."""
+    marks = ["ret > 0", "dd < 50", "sharpe > 0", "noise_positive > 0.5", "shuffle_positive > 0.3", "bootstrap_positive > 0.3", "dsr > 0.3"]
+    checks = sum(F.coalesce(F.expr(m).cast("int"), F.lit(0)) for m in marks)
+    return rows.select("strategy", checks.alias("checks")).withColumn("verdict", F.expr("CASE WHEN checks >= 7 THEN 'ROBUST' WHEN checks >= 5 THEN 'STRONG' WHEN checks >= 3 THEN 'MODERATE' ELSE 'WEAK' END"))
+
+
+#: Weights of the six parts of the gate.
+GATE = {"statistical": 0.25, "walkforward": 0.20, "neighborhood": 0.20, "montecarlo": 0.15, "deflated": 0.10, "tail_risk": 0.10}
+
+
 def stitched(parts: DataFrame) -> DataFrame:
     """(symbol, strategy, ret, dd, trades): the parts compounded in order; a part's own drawdown counts from its start."""
     ordered = F.array_sort(F.collect_list(F.struct("part", "ret", "dd", F.col("trades").cast("long").alias("trades"))))

@@ -93,14 +93,24 @@ def _fused(s, d):
     return grid
 
 
-def _fusion(expr: str) -> str:
-    parts = "".join(f", {bars_cte(e, 'b' + n)}, q{n} AS (SELECT symbol, ts, {_POS.format(frame(5), frame(20))} AS pos FROM b{n} WINDOW {W})" for n, e in (("1", "1 hour"), ("4", "4 hours"), ("24", "1 day")))
-    return f"""WITH {parts[2:]}, g AS (SELECT q1.symbol, q1.ts, q1.pos AS p1, coalesce(q4.pos, 0) AS p4, coalesce(q24.pos, 0) AS p24 FROM q1 ASOF LEFT JOIN q4 ON q1.symbol = q4.symbol AND q1.ts >= q4.ts ASOF LEFT JOIN q24 ON q1.symbol = q24.symbol AND q1.ts >= q24.ts)
-  SELECT symbol, ts, CAST({expr} AS INT) AS pos FROM g"""
+fused = _fused
 
 
-for name, expr in (("fusion_trend", "CASE WHEN p24 > 0 AND p1 > 0 THEN 1 WHEN p24 < 0 AND p1 < 0 THEN -1 ELSE 0 END"), ("fusion_consensus", "CASE WHEN CAST(p1 > 0 AS INT) + CAST(p4 > 0 AS INT) + CAST(p24 > 0 AS INT) > 1.5 THEN 1 WHEN CAST(p1 < 0 AS INT) + CAST(p4 < 0 AS INT) + CAST(p24 < 0 AS INT) > 1.5 THEN -1 ELSE 0 END"), ("fusion_primary", "p4")):
-    query(name, _fusion(expr))(lambda s, d, expr=expr: _fused(s, d).selectExpr("symbol", "ts", f"CAST({expr} AS INT) AS pos"))
+def fusion_ctes() -> str:
+    """CTEs up to ``g``: (symbol, ts, p1, p4, p24) on the one-hour bars ``b1``."""
+    parts = ", ".join(f"{bars_cte(e, 'b' + n)}, q{n} AS (SELECT symbol, ts, {_POS.format(frame(5), frame(20))} AS pos FROM b{n} WINDOW {W})" for n, e in (("1", "1 hour"), ("4", "4 hours"), ("24", "1 day")))
+    return f"{parts}, g AS (SELECT q1.symbol, q1.ts, q1.pos AS p1, coalesce(q4.pos, 0) AS p4, coalesce(q24.pos, 0) AS p24 FROM q1 ASOF LEFT JOIN q4 ON q1.symbol = q4.symbol AND q1.ts >= q4.ts ASOF LEFT JOIN q24 ON q1.symbol = q24.symbol AND q1.ts >= q24.ts)"
+
+
+_VOTES = "CAST(p1 {0} 0 AS INT) + CAST(p4 {0} 0 AS INT) + CAST(p24 {0} 0 AS INT) > 1.5"
+#: Ways to fuse positions: the coarsest gives the trend, a majority, or one interval alone.
+FUSIONS = [
+    ("fusion_trend", "CASE WHEN p24 > 0 AND p1 > 0 THEN 1 WHEN p24 < 0 AND p1 < 0 THEN -1 ELSE 0 END"),
+    ("fusion_consensus", f"CASE WHEN {_VOTES.format('>')} THEN 1 WHEN {_VOTES.format('<')} THEN -1 ELSE 0 END"),
+    ("fusion_primary", "p4"),
+]
+for name, expr in FUSIONS:
+    query(name, f"WITH {fusion_ctes()} SELECT symbol, ts, CAST({expr} AS INT) AS pos FROM g")(lambda s, d, expr=expr: _fused(s, d).selectExpr("symbol", "ts", f"CAST({expr} AS INT) AS pos"))
 _CHANGE = "CASE WHEN pos > was THEN 'buy' ELSE 'sell' END AS action, CASE WHEN pos = 0 THEN 'close' WHEN was = 0 THEN 'open' ELSE 'reverse' END AS intent"
 query("position_change", f"WITH {bars_cte()}, q AS (SELECT symbol, ts, {_POS.format(frame(5), frame(20))} AS pos FROM bars WINDOW {W}), c AS (SELECT *, lag(pos, 1, 0) OVER w AS was FROM q WINDOW {W}) SELECT symbol, ts, {_CHANGE} FROM c WHERE pos <> was")(
     lambda s, d: _positions(s, d, "4 hours").withColumn("was", F.lag("pos", 1, 0.0).over(w())).filter("pos <> was").selectExpr("symbol", "ts", *_split(_CHANGE)))
