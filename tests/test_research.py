@@ -110,7 +110,7 @@ def test_hash_vectors_depend_on_the_text():
 def test_every_fiftieth_vector_is_searched_for_among_all(spark):
     from tickloom.plans import catalog
 
-    assert "vector_search" in catalog.queries()
+    assert "vector_topk" in catalog.queries()
     x = np.random.default_rng(5).integers(-2, 3, (300, 3)).astype(float)  # many equal directions
     x[7] = 0
     rows = spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(x)] + [(300, None), (None, [1.0, 1.0, 1.0])], "vec_id long, embedding array<float>")

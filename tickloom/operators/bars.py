@@ -59,3 +59,28 @@ def validate(b: DataFrame) -> DataFrame:
     """Fails at run time on a bar without all four prices above zero."""
     good = F.expr("open > 0 AND high > 0 AND low > 0 AND close > 0")
     return b.withColumn("close", F.when(good, F.col("close")).otherwise(F.raise_error(F.lit("bar without valid prices")).cast("double")))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list, bucket, name: str = "k") -> DataFrame:
+    """``df`` with the number, from 1, of each row among those of its ``keys`` in ``order``.
+
+    ``bucket``, a Column that never falls along ``order``, cuts the work: rows are counted by key and
+    bucket, the counts summed up, and only the rows of a bucket are numbered by one task.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    return rows.withColumn("_own", own).join(first, [*keys, "_bucket"]).withColumn(name, F.col("_first") + F.col("_own")).drop("_bucket", "_own", "_first")
+
+
+def defaulted(b: DataFrame) -> DataFrame:
+    """Bars with all columns: missing or null opens, highs and lows are the close, a missing volume has no bound."""
+    for c in ("open", "high", "low"):
+        b = b.withColumn(c, F.coalesce(c, "close") if c in b.columns else F.col("close"))
+    return b.withColumn("volume", F.coalesce("volume", F.lit(float("inf"))) if "volume" in b.columns else F.lit(float("inf")))
+
+
+def keep_n(b: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each key in ``order``."""
+    return b.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")

@@ -86,9 +86,11 @@ def runs(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("g", F.col("idx") - F.row_number().over(w)).groupBy("doc_id", "g").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n")).drop("g")
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 10, per_block: int = 8192, per_queries: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 10, per_block: int = 8192, per_queries: int = 4096, metric: str = "cosine") -> DataFrame:
     """(query_id, vec_id, sim): the k vectors of highest cosine to each one whose id is divisible by ``every``, itself included.
 
+    With ``metric`` "log" likeness is minus the sum of ln(1 + distance) over the dimensions.
+
     Queries meet vectors block by block, so a task holds one block of either and nothing is broadcast.  Cosines
     equal to nine places are ranked by id.  Rows without an id or with a null or zero vector have no cosine.
     """
@@ -105,9 +107,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 10, per_block: int = 8
         if len(q) and len(v):
             v = v.sort_values("vec_id")
             ids, a, b = v["vec_id"].to_numpy(), np.stack(v["embedding"].to_list()), np.stack(q["embedding"].to_list())
-            a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
+            if metric == "cosine":
+                a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
             for start in range(0, len(b), 256):
-                sims = np.round(b[start : start + 256] @ a.T, 9)
+                some = b[start : start + 256]
+                sims = np.round(some @ a.T if metric == "cosine" else np.stack([-np.log1p(np.abs(a - q)).sum(1) for q in some]), 9)
                 least = np.partition(sims, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
                 for query, row, at_least in zip(q["vec_id"].iloc[start : start + 256], sims, least, strict=True):
                     at = np.flatnonzero(row >= at_least)
@@ -117,3 +121,40 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 10, per_block: int = 8
     near = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(score, "query_id long, vec_id long, sim double")
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     return near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")
+
+
+def voted(near: DataFrame, votes: DataFrame, k: int) -> DataFrame:
+    """(query_id, vote): the sign of the votes, (vec_id, vote), of the k nearest to each query but itself."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
+    others = near.filter("query_id <> vec_id").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
+    return others.join(votes, "vec_id").groupBy("query_id").agg(F.signum(F.sum("vote")).cast("int").alias("vote"))
+
+
+def reranked(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query by score, the lesser id of equals: what stands for a model that ranks anew."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).drop("n")
+
+
+#: A system part or none, and the user part, of each prompt template.
+TEMPLATES = {
+    "plain": (None, "基于以下参考内容回答问题。\n\n参考：\n{context}\n\n问题：{query}"),
+    "alpaca": (
+        "Below is an instruction that describes a task. Write a response that appropriately completes the request.",
+        "### Instruction:\nBased on the context below, answer the question.\n\n### Context:\n{context}\n\n### Question:\n{query}\n\n### Response:\n",
+    ),
+    "chatml": (
+        "You are a helpful assistant. Answer the question using only the provided context.",
+        "<|im_start|>user\nContext:\n{context}\n\nQuestion: {query}<|im_end|>\n<|im_start|>assistant\n",
+    ),
+}
+
+
+def prompts(asked: DataFrame, most: int = 0) -> DataFrame:
+    """(columns, template, prompt): query and context in each template; a context longer than ``most`` is cut and marked, an empty one named as such."""
+    context = F.coalesce(F.nullif(F.col("context"), F.lit("")), F.lit("(无)"))
+    if most:
+        context = F.when(F.length("context") > most, F.concat(F.substring("context", 1, most), F.lit("..."))).otherwise(context)
+    whole = {k: ((system.strip() + "\n\n") if system else "") + user.strip() for k, (system, user) in TEMPLATES.items()}
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("template"), F.replace(F.replace(F.lit(t), F.lit("{query}"), F.col("query")), F.lit("{context}"), context).alias("prompt")) for k, t in whole.items()])).alias("x")
+    return asked.select("*", rows).select(*asked.columns, "x.*")

@@ -601,9 +601,11 @@ def followed(bars: DataFrame, names: list[str], cost: Costs = Costs()) -> DataFr
 
 def portfolio(equity: DataFrame, weights: DataFrame | None = None, per_year: float = 365.0) -> DataFrame:
     """One row: return, drawdown and Sharpe ratio of the weighted sum of (symbol, bar, equity), over the bars that all symbols have; equal weights unless (symbol, weight) says otherwise."""
-    # one row by symbol at most
-    shares = weights if weights is not None else (x := equity.select("symbol").distinct()).join(x.agg((1 / F.count("*")).alias("weight")), how="cross")
-    joined = equity.join(shares, "symbol")
+    if weights is None:
+        symbols = equity.select("symbol").distinct().agg(F.count("*")).scalar()
+        joined = equity.withColumn("weight", 1 / symbols)
+    else:
+        joined = equity.join(weights, "symbol")
     common = joined.groupBy("bar").agg(F.sum(F.col("equity") * F.col("weight")).alias("equity"), F.count("*").alias("n"))
     # bars are numbered from 0, so those with most symbols are the common ones
     most = common.agg(F.max("n").alias("n"))

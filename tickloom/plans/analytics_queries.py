@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
+from tickloom.operators import documents as D
 from tickloom.operators import kernels as K
 from tickloom.operators import recursive
 
@@ -26,6 +27,19 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _split(expressions: str) -> list[str]:
+    """A list of SQL expressions at its outer commas."""
+    out, depth, quoted = [""], 0, False
+    for ch in expressions:
+        quoted ^= ch == "'"
+        depth += 0 if quoted else (ch == "(") - (ch == ")")
+        if ch == "," and not depth and not quoted:
+            out.append("")
+        else:
+            out[-1] += ch
+    return [x.strip() for x in out]
+
+
 def trades(s, d):
     """Trades from lineitem: symbol, side, shares, price, commission, ts and a total order (ok, ln)."""
     x = s.read.parquet(f"{d}/lineitem.parquet")
@@ -129,9 +143,33 @@ query("daily_pnl", f"WITH {_PNL} SELECT ts::DATE AS day, round(sum(pnl), 2) AS p
 query("cumulative_pnl", f"WITH {_PNL}, x AS (SELECT ts::DATE AS day, sum(pnl) AS pnl FROM p GROUP BY 1) SELECT day, round(sum(pnl) OVER (ORDER BY day), 4) AS total FROM x")(lambda s, d: _pnl(s, d).groupBy(F.to_date("ts").alias("day")).agg(F.sum("pnl").alias("pnl")).select("day", F.round(F.sum("pnl").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)), 4).alias("total")))
 query("streaks", f"""WITH {_PNL}, q AS (SELECT symbol, side, ok, ln, pnl > 0 AS win, row_number() OVER (PARTITION BY symbol, side ORDER BY ts, ok, ln) - row_number() OVER (PARTITION BY symbol, side, pnl > 0 ORDER BY ts, ok, ln) AS g FROM p),
   c AS (SELECT symbol, side, win, g, count(*) AS n FROM q GROUP BY ALL) SELECT symbol, side, max(n) FILTER (win) AS longest_win, max(n) FILTER (NOT win) AS longest_loss FROM c GROUP BY 1, 2""")(
-    lambda s, d: _pnl(s, d).withColumn("win", F.expr("pnl > 0")).withColumn("g", F.row_number().over(Window.partitionBy("symbol", "side").orderBy("ts", "ok", "ln")) - F.row_number().over(Window.partitionBy("symbol", "side", "win").orderBy("ts", "ok", "ln"))).groupBy("symbol", "side", "win", "g").agg(F.count("*").alias("n")).groupBy("symbol", "side").agg(F.expr("max(n) FILTER (WHERE win) AS longest_win"), F.expr("max(n) FILTER (WHERE NOT win) AS longest_loss")))
+    lambda s, d: _streaks(s, d))
+
+
+def _by_month(df, keys, name="k"):
+    return B.numbered(df, keys, ["ts", "ok", "ln", "price", "shares"], F.trunc(F.to_date("ts"), "month"), name)
+
+
+def _streaks(s, d):
+    """Runs of equal outcomes: what the number among all less that among its like has in common."""
+    rows = _by_month(_by_month(_pnl(s, d).withColumn("win", F.expr("pnl > 0")), ["symbol", "side"], "a"), ["symbol", "side", "win"], "b")
+    runs = rows.groupBy("symbol", "side", "win", (F.col("a") - F.col("b")).alias("g")).agg(F.count("*").alias("n"))
+    return runs.groupBy("symbol", "side").agg(F.expr("max(n) FILTER (WHERE win) AS longest_win"), F.expr("max(n) FILTER (WHERE NOT win) AS longest_loss"))
+
+
 query("round_trips", f"""WITH {TRADES}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY ts, ok, ln, price, shares) AS k FROM trades) SELECT b.symbol, count(*) AS trips, count_if(s.price > b.price) AS wins, round(avg(s.price / b.price - 1), 6) AS mean_return FROM n b JOIN n s ON b.symbol = s.symbol AND b.k = s.k AND b.side = 'buy' AND s.side = 'sell' GROUP BY 1""")(
-    lambda s, d: rounded((n := trades(s, d).withColumn("k", F.row_number().over(Window.partitionBy("symbol", "side").orderBy("ts", "ok", "ln", "price", "shares")))).filter("side = 'buy'").selectExpr("symbol", "k", "price AS bp").join(n.filter("side = 'sell'").selectExpr("symbol", "k", "price AS sp"), ["symbol", "k"]).groupBy("symbol").agg(F.count("*").alias("trips"), F.count_if(F.expr("sp > bp")).alias("wins"), F.avg(F.expr("sp / bp - 1")).alias("mean_return"))))
+    lambda s, d: _round_trips(s, d))
+
+
+def _round_trips(s, d):
+    """The k-th buy of a symbol with its k-th sell."""
+    n = _by_month(trades(s, d), ["symbol", "side"])
+    buys = n.filter("side = 'buy'").selectExpr("symbol", "k", "price AS bp")
+    sells = n.filter("side = 'sell'").selectExpr("symbol", "k", "price AS sp")
+    both = buys.join(sells, ["symbol", "k"])
+    return rounded(both.groupBy("symbol").agg(F.count("*").alias("trips"), F.count_if(F.expr("sp > bp")).alias("wins"), F.avg(F.expr("sp / bp - 1")).alias("mean_return")))
+
+
 query("tca", f"WITH {TRADES} SELECT symbol, round(sum(shares * price), 2) AS notional, round(sum(shares * price * 0.0005), 2) AS slippage, round(sum(commission), 2) AS commission, round((sum(shares * price * 0.0005) + sum(commission)) / sum(shares * price) * 1e4, 4) AS cost_bps FROM trades GROUP BY 1")(
     lambda s, d: trades(s, d).groupBy("symbol").agg(*[F.expr(x) for x in ("round(sum(shares * price), 2) AS notional", "round(sum(shares * price * 0.0005), 2) AS slippage", "round(sum(commission), 2) AS commission", "round((sum(shares * price * 0.0005) + sum(commission)) / sum(shares * price) * 1e4, 4) AS cost_bps")]))
 query("latest_per_key", f"WITH {TRADES} SELECT symbol, side, ts, ok, ln, round(price, 6) AS price FROM trades QUALIFY row_number() OVER (PARTITION BY symbol, side ORDER BY ts DESC, ok DESC, ln DESC) = 1")(
@@ -165,54 +203,79 @@ query("health", f"""WITH {_EQ}, x AS (SELECT *, row_number() OVER (PARTITION BY
 _POST = rf"t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-zà-ÿ0-9]+'), lambda x: x <> '')) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY 1), i AS (SELECT term, 1 + ln(((SELECT count(*) FROM l) + 1) / (count(*) + 1)) AS idf FROM p GROUP BY 1)"
 
 
+def words():
+    """The words of a text, in order."""
+    return F.filter(F.split(F.lower("text"), "[^a-zà-ÿ0-9]+"), lambda x: x != "")
+
+
 def postings(s, d):
     """(doc_id, term, tf): the inverted index of the documents."""
-    words = F.filter(F.split(F.lower("text"), "[^a-zà-ÿ0-9]+"), lambda x: x != "")
-    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(words()).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 QUERY_TERMS = ["the", "thereou", "avec", "nicht", "para"]
 
 
+def _is(term):
+    return lambda x: x == term
+
+
 def bm25(s, d, terms=QUERY_TERMS, k1=1.5, b=0.75):
-    """(doc_id, score) by BM25 with idf = 1 + ln((N + 1) / (df + 1))."""
-    p = postings(s, d)
-    lengths = p.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    hits = p.filter(F.col("term").isin(terms))
-    total = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    idf = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).withColumn("idf", 1 + F.log((F.col("n") + 1) / (F.col("df") + 1)))
-    part = F.expr(f"idf * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * len / avgdl))")
-    return hits.join(F.broadcast(idf.select("term", "idf", "avgdl")), "term").join(lengths, "doc_id").groupBy("doc_id").agg(F.sum(part).alias("score"))
+    """(doc_id, score) by BM25 with idf = 1 + ln((N + 1) / (df + 1)); one row a document, no word leaves it."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", words().alias("words")).filter(F.size("words") > 0)
+    counts = [F.size(F.filter("words", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    rows = docs.select("doc_id", F.size("words").alias("len"), *counts)
+    # numbers of terms: one row, which every task gets
+    facts = rows.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])).scalar()
+    rows = rows.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).withColumn("f", facts)
+    parts = [F.expr(f"CASE WHEN tf{i} > 0 THEN (1 + ln((f.n + 1) / (f.df{i} + 1))) * tf{i} * ({k1} + 1) / (tf{i} + {k1} * (1 - {b} + {b} * len / f.avgdl)) ELSE 0D END") for i in range(len(terms))]
+    return rows.select("doc_id", sum(parts).alias("score"))
+
+
+def idf(s, d):
+    """(term, idf): a word counts once a document, and only words are shuffled."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select(words().alias("words")).filter(F.size("words") > 0)
+    n = docs.agg(F.count("*")).scalar()
+    return docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).select("term", (1 + F.log((n + 1) / (F.col("df") + 1))).alias("idf"))
 
 
 _TERMS = ", ".join(f"'{x}'" for x in QUERY_TERMS)
 _BM = f"{_POST}, bm AS (SELECT doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM l)))) AS score FROM p JOIN i USING (term) JOIN l USING (doc_id) WHERE term IN ({_TERMS}) GROUP BY 1)"
 query("inverted_index", f"WITH {_POST} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM p GROUP BY 1")(lambda s, d: postings(s, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")))
-query("idf", f"WITH {_POST} SELECT term, round(idf, 6) AS idf FROM i")(lambda s, d: (p := postings(s, d)) and p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(p.agg(F.count_distinct("doc_id").alias("n")))).select("term", F.round(1 + F.log((F.col("n") + 1) / (F.col("df") + 1)), 6).alias("idf")))
+query("idf", f"WITH {_POST} SELECT term, round(idf, 6) AS idf FROM i")(lambda s, d: rounded(idf(s, d)))
 query("bm25", f"WITH {_BM} SELECT doc_id, round(score, 6) AS score FROM bm")(lambda s, d: rounded(bm25(s, d)))
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
-_VEC = f"v AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS sim FROM embeddings a, embeddings b WHERE a.vec_id < 5)"
-
-
-def similar(s, d, queries: int = 5):
-    """Cosine of a stated query set against all vectors, by array functions."""
-    dot = "aggregate(zip_with({}, {}, (x, y) -> CAST(x AS DOUBLE) * y), CAST(0 AS DOUBLE), (a, x) -> a + x)"
-    e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding", F.expr(f"sqrt({dot.format('embedding', 'embedding')})").alias("norm"))
-    q = e.filter(F.col("vec_id") < queries).selectExpr("vec_id AS query_id", "embedding AS q", "norm AS qn")
-    return e.crossJoin(F.broadcast(q)).select("query_id", "vec_id", F.expr(f"{dot.format('q', 'embedding')} / (qn * norm)").alias("sim"))
-
-
+_VEC = f"v AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)"
 query("vector_topk", f"WITH {_VEC} SELECT query_id, vec_id, round(sim, 5) AS sim FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) <= 10")(
-    lambda s, d: similar(s, d).withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "vec_id"))).filter("n <= 10").select("query_id", "vec_id", F.round("sim", 5).alias("sim")))
-query("rrf_hybrid", f"""WITH {_BM}, {_VEC}, k AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm ORDER BY r LIMIT 20), x AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id) AS r FROM v WHERE query_id = 0 ORDER BY r LIMIT 20)
-  SELECT coalesce(k.doc_id, x.doc_id) AS doc_id, round(coalesce(0.6 / (60 + x.r), 0) + coalesce(0.4 / (60 + k.r), 0), 9) AS score FROM k FULL JOIN x ON k.doc_id = x.doc_id""")(
-    lambda s, d: _top(bm25(s, d), "score", "doc_id", "kr").join(_top(similar(s, d, 1).withColumnRenamed("vec_id", "doc_id"), "sim", "doc_id", "xr"), "doc_id", "full_outer").select("doc_id", F.expr("round(coalesce(0.6D / (60 + xr), 0) + coalesce(0.4D / (60 + kr), 0), 9) AS score")))
-
-
-def _top(df, by, key, name, n=20):
-    """(key, rank) of the n best: a global limit first, so that the ranking window has n rows."""
-    few = df.select(key, F.round(by, 9).alias("_s")).orderBy(F.desc("_s"), key).limit(n)
-    return few.select(key, F.row_number().over(Window.orderBy(F.desc("_s"), key)).alias(name))
+    lambda s, d: D.nearest(s.read.parquet(f"{d}/embeddings.parquet")).withColumn("sim", F.round("sim", 5)))
+_HYBRID = f"""{_POST}, {_VEC}, q AS (SELECT DISTINCT doc_id AS query_id, unnest(list_slice(list_filter(regexp_split_to_array(lower(text), '[^a-zà-ÿ0-9]+'), lambda x: x <> ''), 1, 3)) AS term FROM documents WHERE doc_id % 50 = 0),
+  bm AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM l)))) AS score FROM q JOIN p USING (term) JOIN i USING (term) JOIN l USING (doc_id) GROUP BY 1, 2),
+  k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS kr FROM bm QUALIFY kr <= 20),
+  x AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS xr FROM v QUALIFY xr <= 20),
+  h AS (SELECT coalesce(k.query_id, x.query_id) AS query_id, coalesce(k.doc_id, x.doc_id) AS doc_id, coalesce(0.6 / (60 + x.xr), 0) + coalesce(0.4 / (60 + k.kr), 0) AS score FROM k FULL JOIN x ON k.query_id = x.query_id AND k.doc_id = x.doc_id)"""
+query("rrf_hybrid", f"WITH {_HYBRID} SELECT query_id, doc_id, round(score, 9) AS score FROM h")(lambda s, d: hybrid(s, d).withColumn("score", F.round("score", 9)))
+
+
+def keyword_ranks(s, d, every: int = 50, terms: int = 3, most: int = 20):
+    """(query_id, doc_id, kr): the best documents by BM25 for the first words of every ``every``-th document."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", words().alias("words")).filter(F.size("words") > 0)
+    asked = docs.filter(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.slice("words", 1, terms))).alias("term"))
+    facts = docs.agg(F.struct(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))).scalar()
+    # only words that are asked for leave their documents
+    held = docs.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    part = F.expr("(1 + ln((f.n + 1) / (df + 1))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / f.avgdl))")
+    scores = asked.join(held, "term").join(df, "term").withColumn("f", facts).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+    return scores.withColumn("kr", F.row_number().over(w)).filter(F.col("kr") <= most).select("query_id", "doc_id", "kr")
+
+
+def hybrid(s, d, most: int = 20):
+    """(query_id, doc_id, score): ranks by vector and by keyword fused by reciprocal rank."""
+    near = D.nearest(s.read.parquet(f"{d}/embeddings.parquet"), k=most)
+    ranked = near.select("query_id", F.col("vec_id").alias("doc_id"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")).alias("xr"))
+    both = keyword_ranks(s, d, most=most).join(ranked, ["query_id", "doc_id"], "full_outer")
+    return both.select("query_id", "doc_id", F.expr("coalesce(0.6D / (60 + xr), 0D) + coalesce(0.4D / (60 + kr), 0D) AS score"))
 
 
 query("fixed_chunks", "SELECT doc_id, i AS idx, substr(text, i * 400 + 1, 500) AS chunk FROM (SELECT doc_id, text, unnest(range((greatest(length(text), 1) + 399) // 400)) AS i FROM documents WHERE text IS NOT NULL)")(
@@ -223,16 +286,17 @@ query("asof_docs", f"WITH {bars_cte('1 day')}, x AS (SELECT doc_id, source, TIME
 
 
 def _known(s, d):
-    """Documents known before each bar: counts by day, running, joined as of the bar."""
+    """Documents known before each bar: counts by day, summed up over all days there are, and joined by day."""
     x = s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, CAST(doc_id AS INT), 0, 0) AS created_at")
-    rows = B.bars_of(s, d, "1 day").select("symbol", "ts")
-    days = x.withColumn("ts", F.date_trunc("day", F.col("created_at") + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND")).cast("timestamp_ntz")).withColumn("ts", F.expr("CASE WHEN created_at = date_trunc('day', created_at) THEN ts + INTERVAL 1 DAY ELSE ts END"))
-    sums = days.groupBy("ts").agg(F.count("*").alias("n"), F.max("doc_id").alias("latest"))
-    w = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    running = sums.select(F.lit("*").alias("k"), "ts", F.sum("n").over(w).cast("double").alias("known"), F.max("latest").over(w).cast("double").alias("latest"))
-    left = rows.withColumn("k", F.lit("*"))
-    got = asof(left, running, "known", "k").join(asof(left, running, "latest", "k").select("symbol", "ts", "latest"), ["symbol", "ts"])
-    return got.filter("known IS NOT NULL").select("symbol", "ts", F.col("known").cast("long").alias("known"), F.col("latest").cast("long").alias("latest"))
+    # known to all bars after it, the first of which begins a day: the day after, unless it is a midnight before
+    day = F.to_date(F.col("created_at")) + F.expr("INTERVAL 1 DAY")
+    sums = x.groupBy(day.cast("date").alias("day")).agg(F.count("*").alias("n"), F.max("doc_id").alias("latest"))
+    span = sums.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("day"))
+    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as the calendar has days
+    running = span.join(sums, "day", "left").select("day", F.sum("n").over(w).alias("known"), F.max("latest").over(w).alias("latest"))
+    last = sums.agg(F.max("day")).scalar()
+    rows = B.bars_of(s, d, "1 day").select("symbol", "ts", F.least(F.to_date("ts"), last).alias("day"))
+    return rows.join(running, "day").select("symbol", "ts", "known", "latest")
 
 
 # strategies

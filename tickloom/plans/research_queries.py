@@ -16,7 +16,7 @@ from tickloom.operators import simulator, validation
 from tickloom.sources import files
 from tickloom.streaming import bars as S
 
-from .analytics_queries import default_grid, trades
+from .analytics_queries import _split, default_grid, trades
 from .bar_queries import R4, asof, rounded
 from .oracle import DAILY, TICKS, TRADES, W, bars_cte, frame
 
@@ -38,18 +38,6 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def _split(expressions: str) -> list[str]:
-    """A list of SQL expressions at its outer commas."""
-    out, depth = [""], 0
-    for ch in expressions:
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += ch
-    return [x.strip() for x in out]
-
-
 # files: prices as 32-bit floats, or as they are
 _F4 = ", ".join(f"round({c}::FLOAT::DOUBLE, 4) AS {c}" for c in files.PRICES)
 query("scan_binary", f"WITH {bars_cte()} SELECT symbol, ts, {_F4} FROM bars WHERE ts >= TIMESTAMP '2024-01-10'")(lambda s, d: rounded(files.between(files.from_binary(files.to_binary(B.bars_of(s, d))), "2024-01-10"), 4))
@@ -58,8 +46,11 @@ query("scan_arrow", f"WITH {bars_cte()} SELECT symbol, ts, {R4} FROM bars WHERE
 
 # streams: all that is there, run to its end
 def _shared(s) -> str:
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickloom-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh path in the folder that all executors share; only a local master may do without the setting."""
+    root = s.conf.get("spark.checkpoint.dir", None)
+    if not root and not s.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='tickloom-')).rstrip('/')}/core-{uuid.uuid4().hex}"
 
 
 def _streamed(s, d, build, mode="append"):
@@ -67,7 +58,7 @@ def _streamed(s, d, build, mode="append"):
     e = S.read(s, d, s.read.parquet(f"{d}/events.parquet").schema, "events.parquet")
     out = build(e.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1.0).alias("size"), F.col("event_id").alias("seq")))
     S.run_to(out, f"{at}/out", f"{at}/state", mode)
-    return s.read.schema(out.schema).parquet(f"{at}/out")
+    return S.result(s, f"{at}/out", out.schema)
 
 
 query("stream_bars", f"WITH {bars_cte()} SELECT symbol, ts::TIMESTAMP AS ts, {R4} FROM bars")(lambda s, d: rounded(_streamed(s, d, lambda t: S.tumbling(t, "4 hours"), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))))
@@ -189,8 +180,7 @@ def portfolio_weights(s, d):
     c = _pairs(s, d).groupBy("a", "b").agg(F.corr("ra", "rb").alias("c")).filter("abs(c) > 0.05D")
     worse = c.join(m.selectExpr("symbol AS a", "sharpe AS sa"), "a").join(m.selectExpr("symbol AS b", "sharpe AS sb"), "b").selectExpr("CASE WHEN sa < sb THEN a ELSE b END AS symbol").groupBy("symbol").agg(F.count("*").alias("k"))
     u = m.join(worse, "symbol", "left").selectExpr("symbol", "greatest(sharpe, 0.01D) / vol * power(0.5D, coalesce(k, 0)) AS u")
-    total = u.agg(F.sum("u").alias("total"))
-    return u.crossJoin(F.broadcast(total)).selectExpr("symbol", "round(u / total, 4) AS weight")
+    return u.select("symbol", F.round(F.col("u") / u.agg(F.sum("u")).scalar(), 4).alias("weight"))
 
 
 _PORT = "count(*) AS n, round(avg(p) / stddev_pop(p) * sqrt(252), 6) AS sharpe, round(stddev_pop(p) * sqrt(252), 6) AS vol, round(min(p), 6) AS worst, round(exp(sum(ln(1 + p / 100))) - 1, 6) AS total"
@@ -198,7 +188,7 @@ query("portfolio_metrics", f"WITH {_R}, p AS (SELECT ts, avg(r) AS p FROM r WHER
     lambda s, d: _r(s, d).filter("r IS NOT NULL").groupBy("ts").agg(F.avg("r").alias("p")).agg(*[F.expr(x) for x in _split(_PORT)]))
 query("half_kelly", f"WITH {_R} SELECT symbol, round(CASE WHEN count(r) >= 30 THEN greatest(0, least(20, avg(r) / var_pop(r) / 2)) END, 6) AS kelly FROM r GROUP BY 1")(lambda s, d: _r(s, d).groupBy("symbol").agg(F.round(F.expr("CASE WHEN count(r) >= 30 THEN greatest(0D, least(20D, avg(r) / var_pop(r) / 2)) END"), 6).alias("kelly")))
 query("survivorship", f"WITH {_R}, x AS (SELECT symbol, max(ts) AS last_ts, count(*) AS n FROM r GROUP BY 1) SELECT symbol, last_ts, n, date_diff('day', last_ts, max(last_ts) OVER ()) > 5 AS ended FROM x")(
-    lambda s, d: (x := _r(s, d).groupBy("symbol").agg(F.max("ts").alias("last_ts"), F.count("*").alias("n"))).crossJoin(F.broadcast(x.agg(F.max("last_ts").alias("latest")))).select("symbol", "last_ts", "n", (F.datediff("latest", "last_ts") > 5).alias("ended")))
+    lambda s, d: (x := _r(s, d).groupBy("symbol").agg(F.max("ts").alias("last_ts"), F.count("*").alias("n"))).select("symbol", "last_ts", "n", (F.datediff(x.agg(F.max("last_ts")).scalar(), "last_ts") > 5).alias("ended")))
 query("spearman_ic", f"""WITH {_R}, f AS (SELECT symbol, r, lead(r) OVER w AS fwd FROM r WINDOW {W}), k AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY r) + (count(*) OVER (PARTITION BY symbol, r) - 1) / 2 AS a, rank() OVER (PARTITION BY symbol ORDER BY fwd) + (count(*) OVER (PARTITION BY symbol, fwd) - 1) / 2 AS b FROM f WHERE r IS NOT NULL AND fwd IS NOT NULL)
   SELECT symbol, round(corr(a, b), 6) AS ic FROM k GROUP BY 1""")(lambda s, d: _ic(_r(s, d).withColumn("fwd", F.lead("r").over(w())).filter("r IS NOT NULL AND fwd IS NOT NULL")))
 
@@ -238,8 +228,6 @@ query("merge_adjacent", "WITH c AS (SELECT doc_id, i AS idx FROM (SELECT doc_id,
     lambda s, d: D.runs(_docs(s, d).filter("length(text) > 0").select("doc_id", F.explode(F.expr("sequence(0L, CAST((length(text) + 399) DIV 400 - 1 AS BIGINT))")).alias("idx")).filter("(idx + doc_id) % 4 <> 3")))
 query("sentence_chunks")(lambda s, d: D.sentence_chunks(_docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest")))
 query("hash_embedding")(lambda s, d: rounded(D.hash_embeddings(D.sentence_chunks(_docs(s, d)), "chunk").select("doc_id", "idx", F.col("embedding")[0].cast("double").alias("x0"), F.size("embedding").alias("dim"))))
-# every 50th vector against all; vector_topk asks five only, as its SQL does
-query("vector_search")(lambda s, d: D.nearest(s.read.parquet(f"{d}/embeddings.parquet")).withColumn("sim", F.round("sim", 5)))
 
 # validation and the simulator
 query("walk_forward")(lambda s, d: rounded(validation.walk_forward(B.bars_of(s, d), default_grid(s))))

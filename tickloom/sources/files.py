@@ -84,12 +84,16 @@ def from_binary(files: DataFrame) -> DataFrame:
 
 
 def from_arrow(files: DataFrame) -> DataFrame:
-    return _unpacked(files, lambda content: pa.ipc.open_file(content).read_all())
+    """Bars of (symbol, content) with Arrow IPC files; what follows the closing mark of a file is passed over."""
+    end = b"ARROW1"
+    return _unpacked(files, lambda content: pa.ipc.open_file(content[: content.rindex(end) + len(end)]).read_all())
 
 
 def _files(spark: SparkSession, path: str, ending: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ending}").load(path)
-    return found.select(F.regexp_extract("path", rf"([^/]*){ending.replace('.', chr(92) + '.')}$", 1).alias("symbol"), "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    dot = ending.replace(".", r"\.")
+    named = found.select(F.regexp_extract("path", rf"([^/=]*){dot}(/[^/]*)?$", 1).alias("symbol"), "content")
+    return named.filter("symbol <> ''")
 
 
 def between(bars: DataFrame, start: str = "", end: str = "") -> DataFrame:
@@ -100,15 +104,46 @@ def between(bars: DataFrame, start: str = "", end: str = "") -> DataFrame:
 
 
 def read_binary(spark: SparkSession, path: str, start: str = "", end: str = "") -> DataFrame:
-    """Bars of all ``<symbol>.bin`` files below ``path``."""
+    """Bars of all ``<symbol>.bin`` files, or files in folders ``file=<symbol>.bin``, below ``path``."""
     return between(from_binary(_files(spark, path, ".bin")), start, end)
 
 
 def read_arrow(spark: SparkSession, path: str, start: str = "", end: str = "") -> DataFrame:
-    """Bars of all ``<symbol>.arrow`` files below ``path``."""
+    """Bars of all ``<symbol>.arrow`` files, or files in folders ``file=<symbol>.arrow``, below ``path``."""
     return between(from_arrow(_files(spark, path, ".arrow")), start, end)
 
 
+def write_files(packed: DataFrame, path: str, ending: str) -> None:
+    """One file for each row of (symbol, content), below ``path``, in a folder ``file=<symbol><ending>``.
+
+    Spark's text writer puts a line end behind the bytes, which either format passes over.
+    """
+    if ending not in (".bin", ".arrow"):
+        raise ValueError(f"no file kind {ending!r}")
+    lines = packed.select(F.col("content").cast("string").alias("value"), F.concat("symbol", F.lit(ending)).alias("file"))
+    lines.write.option("maxRecordsPerFile", 1).partitionBy("file").text(path)
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """(n, bytes, files) of a Parquet table without reading its data: rows from the footers, sizes from the listing."""
+    rows = spark.read.parquet(path)
+    sizes = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("bytes"), F.count("*").alias("files"))
+    return rows.agg(F.count("*").alias("n")).join(sizes, F.lit(True))
+
+
+def write_csv(bars: DataFrame, path: str) -> None:
+    bars.select("symbol", "ts", *PRICES).write.mode("overwrite").csv(path, header=True)
+
+
+def preload(spark: SparkSession, path: str) -> DataFrame:
+    """Bars of CSV files whose headers may be of any case, with ``date`` for ``ts``; values that are no numbers are null, rows without a close are left out."""
+    raw = spark.read.csv(path, header=True)
+    names = {c.lower(): c for c in raw.columns}
+    ts = next(names[c] for c in ("ts", "date", "timestamp", "datetime", "time") if c in names)
+    prices = [F.expr(f"try_cast(`{names[c]}` AS DOUBLE)").alias(c) for c in PRICES if c in names]
+    return raw.select(F.col(names["symbol"]).alias("symbol"), F.expr(f"try_cast(`{ts}` AS TIMESTAMP_NTZ)").alias("ts"), *prices).filter("close IS NOT NULL")
+
+
 def read_csv(spark: SparkSession, path: str, start: str = "", end: str = "") -> DataFrame:
     return between(spark.read.csv(path, header=True, schema=BARS), start, end)
 

@@ -96,10 +96,64 @@ def stops(ticks: DataFrame, stop: float, take: float) -> DataFrame:
     return _stateful(ticks, "symbol string, ts timestamp_ntz, price double, reason string", "entry double", (0.0,), step, "seq")
 
 
+def intervals(ticks: DataFrame, every: dict[str, str]) -> DataFrame:
+    """``tumbling`` bars of several intervals, (interval, symbol, ts, ...), from one stream."""
+    named = ticks.withColumn("interval", F.explode(F.array(*[F.lit(k) for k in every])))
+    at = F.struct("ts", "seq")
+    # windows need a fixed length, so the start is arithmetic on the length of the row's interval
+    seconds = F.lit(None).cast("long")
+    for k, v in every.items():
+        seconds = F.when(F.col("interval") == k, F.expr(f"unix_seconds(timestamp'1970-01-01 00:00:00Z' + INTERVAL {v})")).otherwise(seconds)
+    stamp = F.unix_seconds(F.col("ts").cast("timestamp"))
+    start = F.timestamp_seconds(stamp - F.pmod(stamp, seconds)).cast("timestamp_ntz")
+    out = named.groupBy("interval", "symbol", start.alias("start")).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("size").alias("volume"))
+    return out.withColumnRenamed("start", "ts")
+
+
+def ordering(ticks: DataFrame) -> DataFrame:
+    """Every row with whether its time is after all that came before, by ``seq``."""
+
+    def step(now: tuple, row) -> tuple:
+        at = int(row.ts.value // 1000)
+        return (max(now[0], at),), (row.ts, now[0] < at)
+
+    return _stateful(ticks, "symbol string, ts timestamp_ntz, in_order boolean", "last long", (0,), step, "seq")
+
+
+def online_features(bars: DataFrame, n: int = 14) -> DataFrame:
+    """Each bar with its return and Wilder's RSI; the state is the last close, a count and two averages."""
+
+    def step(now: tuple, row) -> tuple:
+        last, seen, gain, loss = now
+        close = float(row.close)
+        if seen == 0:
+            return (close, 1, 0.0, 0.0), (row.ts, close, None, None)
+        up, down = max(close - last, 0.0), max(last - close, 0.0)
+        if seen <= n:  # sums until there are n steps, then averages
+            gain, loss = gain + up, loss + down
+            if seen == n:
+                gain, loss = gain / n, loss / n
+        else:
+            gain, loss = (gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n
+        rsi = None if seen < n else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
+        return (close, seen + 1, gain, loss), (row.ts, close, close / last - 1 if last else None, rsi)
+
+    return _stateful(bars, "symbol string, ts timestamp_ntz, close double, ret double, rsi double", "last double, seen long, gain double, loss double", (0.0, 0, 0.0, 0.0), step, ["ts", "seq"])
+
+
 def run_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """All that is there now, into Parquet at ``path``; complete results replace the earlier ones."""
+    """All that is there now, into Parquet below ``path``, a folder for each batch.
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    A batch that is run again replaces its folder, so its rows are there once; complete
+    results replace the earlier ones.  ``result`` reads them.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
+def result(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``run_to`` has written."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
