@@ -46,13 +46,13 @@ _ENTRY = "CASE WHEN abs(p + q) < 1e-12 THEN 0 WHEN p * q >= 0 THEN (e * abs(p) +
 _LAST = "SELECT {} FROM r JOIN (SELECT account, max(i) AS i FROM k GROUP BY 1) m ON m.account = r.account AND m.i = r.i"
 query("account_entries", f"""WITH RECURSIVE {_ACC}, r AS (SELECT DISTINCT account, 0::BIGINT AS i, 0e0 AS c, 0e0 AS p, 0e0 AS e FROM k
   UNION ALL SELECT account, i, c - q * x - f, CASE WHEN abs(p + q) < 1e-12 THEN 0 ELSE p + q END, {_ENTRY} FROM (SELECT k.account, k.i, r.c, r.p, r.e, CASE k.side WHEN 'buy' THEN k.shares ELSE -k.shares END AS q, k.price AS x, k.commission AS f FROM r JOIN k ON k.account = r.account AND k.i = r.i + 1))
-  {_LAST.format("r.account, round(c, 2) AS cash, round(p, 6) AS position, round(e, 4) AS entry, r.i AS n")}""")(
-    lambda s, d: L.replayed(by_part(s, d), "account").select("account", F.round("cash", 2).alias("cash"), F.round("position", 6).alias("position"), F.round("entry", 4).alias("entry"), "n"))
+  {_LAST.format("r.account, round(c, 6) AS cash, round(p, 6) AS position, round(e, 6) AS entry, r.i AS n")}""")(
+    lambda s, d: L.replayed(by_part(s, d), "account").select("account", F.round("cash", 6).alias("cash"), F.round("position", 6).alias("position"), F.round("entry", 6).alias("entry"), "n"))
 query("paper_broker", f"""WITH RECURSIVE {_ACC}, r AS (SELECT DISTINCT account, 0::BIGINT AS i, 500000e0 AS c, 0e0 AS p, 0e0 AS e, 0::BIGINT AS filled, 0::BIGINT AS rejected FROM k
   UNION ALL SELECT account, i, CASE WHEN good THEN c - CASE WHEN buy THEN v / 2 + v * 0.001e0 ELSE -(v - v * 0.001e0) END ELSE c END, CASE WHEN NOT good THEN p WHEN abs(p + q) < 1e-12 THEN 0 ELSE p + q END, CASE WHEN good THEN {_ENTRY} ELSE e END, filled + good::INT, rejected + (NOT good)::INT
   FROM (SELECT *, n > 0 AND v >= 10000 AND (NOT buy OR c >= v / 2 + v * 0.001e0) AS good, CASE WHEN buy THEN n ELSE -n END AS q FROM (SELECT *, x * n AS v FROM (SELECT k.account, k.i, r.c, r.p, r.e, r.filled, r.rejected, k.side = 'buy' AS buy, k.price * CASE k.side WHEN 'buy' THEN 1.0005e0 ELSE 0.9995e0 END AS x, CASE k.side WHEN 'buy' THEN k.shares ELSE least(k.shares, r.p) END AS n FROM r JOIN k ON k.account = r.account AND k.i = r.i + 1))))
-  {_LAST.format("r.account, round(c, 2) AS cash, round(p, 6) AS position, round(e, 4) AS entry, filled, rejected")}""")(
-    lambda s, d: L.paper(by_part(s, d), "account", 500_000.0).select("account", F.round("cash", 2).alias("cash"), F.round("position", 6).alias("position"), F.round("entry", 4).alias("entry"), "filled", "rejected"))
+  {_LAST.format("r.account, round(c, 6) AS cash, round(p, 6) AS position, round(e, 6) AS entry, filled, rejected")}""")(
+    lambda s, d: L.paper(by_part(s, d), "account", 500_000.0).select("account", F.round("cash", 6).alias("cash"), F.round("position", 6).alias("position"), F.round("entry", 6).alias("entry"), "filled", "rejected"))
 _PNL = "CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (price - 1200) * shares - commission"
 query("circuit_breaker", f"WITH {_ACC}, y AS (SELECT account, ts, ok, ln, shares, price, round(sum({_PNL}) OVER (PARTITION BY account, ts::DATE ORDER BY ts, ok, ln, shares, price ROWS UNBOUNDED PRECEDING), 6) < -20000 AS lost FROM t) SELECT account, ok, ln, coalesce(max(lost) OVER (PARTITION BY account ORDER BY ts, ok, ln, shares, price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS tripped FROM y")(
     lambda s, d: L.broken(by_part(s, d).withColumn("pnl", F.expr(_PNL)), "account", 20_000.0))

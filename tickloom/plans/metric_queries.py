@@ -171,7 +171,7 @@ def _momentum(s, d):
 
 
 # cost models and reference tables
-_SIZES = "ok, ln, lev, round(price * (1 + 5 * sqrt(lev) / 1e4), 3) AS buy_at, round(price * (1 - 5 * sqrt(lev) / 1e4), 3) AS sell_at, round(shares * price * 0.0002, 3) AS maker_fee, round(shares * price * 0.0004, 3) AS taker_fee, round(0.0003 * CASE WHEN lev > 1 THEN lev * (1 + 0.02 * lev) ELSE 1 END, 6) AS funding, round(CASE symbol WHEN 'A' THEN 0.08 WHEN 'N' THEN 0.05 ELSE 0.03 END / 365, 6) AS borrow, round(shares * price * 0.5 * 0.0583 / 365, 3) AS margin_interest, round(10 * power(least(1, shares / 100), 0.5) * greatest(0.25, least(4, price / 1500)), 3) AS impact_scaled, round(0.02 * sqrt(shares / 100) + 0.1 * 0.02 * shares / 100, 6) AS impact_other"
+_SIZES = "ok, ln, lev, round(price * (1 + 5 * sqrt(lev) / 1e4), 9) AS buy_at, round(price * (1 - 5 * sqrt(lev) / 1e4), 9) AS sell_at, round(shares * price * 0.0002, 9) AS maker_fee, round(shares * price * 0.0004, 9) AS taker_fee, round(0.0003 * CASE WHEN lev > 1 THEN lev * (1 + 0.02 * lev) ELSE 1 END, 9) AS funding, round(CASE symbol WHEN 'A' THEN 0.08 WHEN 'N' THEN 0.05 ELSE 0.03 END / 365, 9) AS borrow, round(shares * price * 0.5 * 0.0583 / 365, 9) AS margin_interest, round(10 * power(least(1, shares / 100), 0.5) * greatest(0.25, least(4, price / 1500)), 9) AS impact_scaled, round(0.02 * sqrt(shares / 100) + 0.1 * 0.02 * shares / 100, 9) AS impact_other"
 query("cost_model", f"WITH {TRADES}, x AS (SELECT *, (ok % 3 * 2 + 1)::DOUBLE AS lev FROM trades) SELECT {R.exponents(_SIZES)} FROM x")(lambda s, d: trades(s, d).withColumn("lev", (F.col("ok") % 3 * 2 + 1).cast("double")).selectExpr(*_split(R.doubles(_SIZES))))
 _TIER = [(5e4, 0.004, 0), (2.5e5, 0.005, 50), (1e6, 0.01, 1050), (1e7, 0.025, 16050), (2e7, 0.05, 266050), (5e7, 0.1, 1266050), (1e8, 0.125, 2516050), (2e8, 0.15, 5016050), (1e300, 0.25, 25016050)]
 _MAINT = "CASE " + " ".join(f"WHEN {{0}} <= {a!r}e0 THEN {{0}} * {r!r}e0 - {m}" for a, r, m in _TIER) .replace("e+300e0", "e300").replace("1e300e0", "1e300") + " END"
