@@ -26,15 +26,48 @@ def test_sets_do_not_depend_on_each_other():
     assert together == pytest.approx([K.backtest("MA", bars(), x)["ret"][0] for x in sets])
 
 
-def test_higher_costs_are_not_better():
-    dear = K.Costs(sb=1.003, ss=0.997, cm=0.004)
-    for name, first in K.FIRST.items():
-        assert K.backtest(name, bars(), first, dear)["ret"][0] <= K.backtest(name, bars(), first)["ret"][0] + 1e-9
+def walk(n, seed):
+    r = np.random.default_rng(seed)
+    c = 50 * np.exp(np.cumsum(r.standard_normal(n) * 0.02))
+    o = c * (1 + r.standard_normal(n) * 0.003)
+    return K.Bars(c, o, np.maximum(o, c) * 1.004, np.minimum(o, c) * 0.996)
 
 
-def test_unknown_strategy():
-    with pytest.raises(KeyError):
-        K.backtest("none", bars(), [1])
+def test_costs_are_what_free_trading_gains_more():
+    free, dear = K.Costs(1.0, 1.0, 0.0, 1.0, 0.0), K.Costs(1.002, 0.998, 0.001, 1.0, 0.0005)
+    for seed in range(4):
+        b = walk(240, seed)
+        for name, first in K.FIRST.items():
+            a, z = (K.backtest(name, b, first, c) for c in (free, dear))
+            assert a["trades"][0] or a["ret"][0] == 0
+            if a["trades"][0] == z["trades"][0]:
+                assert z["ret"][0] <= a["ret"][0] + 1e-9, name
+
+
+def test_all_strategies_together_are_as_each_alone():
+    b = walk(150, 9)
+    together = K.backtest_all(b, {k: g[:7] for k, g in K.GRIDS.items()})
+    for name, out in together.items():
+        alone = K.backtest(name, b, K.GRIDS[name][:7])
+        assert np.allclose(out["ret"], alone["ret"]) and (out["trades"] == alone["trades"]).all(), name
+
+
+def test_long_bars_are_run_in_parts(monkeypatch):
+    whole = K.backtest("MA", walk(150, 2), K.GRIDS["MA"])
+    monkeypatch.setattr(K, "HELD", 150 * 40)
+    parts = K.backtest("MA", walk(150, 2), K.GRIDS["MA"])
+    assert np.allclose(whole["ret"], parts["ret"]) and len(parts["ret"]) == 355
+
+
+def test_following_positions():
+    b = K.Bars([10, 11, 12, 13], [10, 10, 11, 12], [11, 12, 13, 14], [9, 9, 10, 11])
+    out = K.follow([0, 1, 0, 0], b, K.Costs(1.0, 1.0, 0.0, 1.0, 0.0))
+    assert out["ret"][0] == pytest.approx((12 / 11 - 1) * 100) and out["trades"][0] == 1 and out["held"][:, 0].tolist() == [0, 0, 1, 0]
+
+
+def test_a_strategy_without_a_rule_is_named():
+    with pytest.raises(KeyError, match="Sideways"):
+        K.backtest_all(walk(30, 1), {"MA": [(3, 5)], "Sideways": [(1,)]})
 
 
 def test_the_grid_is_searched_in_full(spark):
