@@ -220,12 +220,18 @@ def _is(term):
     return lambda x: x == term
 
 
+#: A word of a text in lower case; as many as there are words.
+WORD = "[a-zà-ÿ0-9]+"
+
+
 def bm25(s, d, terms=QUERY_TERMS, k1=1.5, b=0.75):
-    """(doc_id, score) by BM25 with idf = 1 + ln((N + 1) / (df + 1)); one row a document, no word leaves it."""
-    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", words().alias("words")).filter(F.size("words") > 0)
-    counts = [F.size(F.filter("words", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = docs.select("doc_id", F.size("words").alias("len"), *counts)
-    # numbers of terms: one row, which every task gets
+    """(doc_id, score) by BM25 with idf = 1 + ln((N + 1) / (df + 1)); one small row a document, no word leaves it."""
+    text = F.lower("text")
+    letters = WORD[:-1]
+    asked = F.regexp_extract_all(text, F.lit(f"(?<!{letters})({'|'.join(terms)})(?!{letters})"), F.lit(1))
+    # the numbers of each document are dealt once, for the totals and the scores alike, so texts are read once
+    few = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.regexp_count(text, F.lit(WORD)).alias("len"), asked.alias("hits")).repartition("doc_id").filter("len > 0")
+    rows = few.select("doc_id", "len", *[F.size(F.filter("hits", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
     facts = rows.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])).scalar()
     rows = rows.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).withColumn("f", facts)
     parts = [F.expr(f"CASE WHEN tf{i} > 0 THEN (1 + ln((f.n + 1) / (f.df{i} + 1))) * tf{i} * ({k1} + 1) / (tf{i} + {k1} * (1 - {b} + {b} * len / f.avgdl)) ELSE 0D END") for i in range(len(terms))]
@@ -258,11 +264,12 @@ query("rrf_hybrid", f"WITH {_HYBRID} SELECT query_id, doc_id, round(score, 9) AS
 
 def keyword_ranks(s, d, every: int = 50, terms: int = 3, most: int = 20):
     """(query_id, doc_id, kr): the best documents by BM25 for the first words of every ``every``-th document."""
-    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", words().alias("words")).filter(F.size("words") > 0)
-    asked = docs.filter(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.slice("words", 1, terms))).alias("term"))
-    facts = docs.agg(F.struct(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))).scalar()
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    asked = docs.filter(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.slice(words(), 1, terms))).alias("term"))
+    length = F.regexp_count(F.lower("text"), F.lit(WORD))
+    facts = docs.select(length.alias("len")).filter("len > 0").agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("avgdl"))).scalar()
     # only words that are asked for leave their documents
-    held = docs.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    held = docs.select("doc_id", length.alias("len"), F.explode(words()).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     part = F.expr("(1 + ln((f.n + 1) / (df + 1))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / f.avgdl))")
     scores = asked.join(held, "term").join(df, "term").withColumn("f", facts).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
