@@ -8,6 +8,7 @@ GOLDEN = {"MA": (-14.274525, 25.368108, 50), "RSI": (1.465897, 12.331057, 39), "
 
 
 def bars(n=500):
+    """The draws that the frozen results were made of."""
     r = np.random.RandomState(12345)
     c = 100 * np.cumprod(1 + r.randn(n) * 0.01)
     spread = np.abs(r.randn(n) * 0.003) * c

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: where sentences end.
 _ENDS = re.compile(r"(?<=[。！？.!?\n])\s*")
 
 
@@ -54,7 +55,7 @@ def sentence_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, least:
 
 
 def hash_vector(text: str, dim: int) -> np.ndarray:
-    """A unit vector that depends on the text alone: normal draws seeded by the first 8 hex digits of its SHA-256."""
+    """A unit vector that depends on the text alone: normal draws seeded, by a fixed rule, by the first 8 hex digits of its SHA-256."""
     v = np.random.default_rng(int(hashlib.sha256(text.encode()).hexdigest()[:8], 16)).standard_normal(dim).astype(np.float32)
     return v / (np.linalg.norm(v) or 1e-10)
 

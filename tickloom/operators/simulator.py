@@ -48,6 +48,7 @@ def likely(limit: float, buy: bool, h: float, low: float) -> float:
     if h - low < 1e-10:
         return 1.0
     inside = (limit - low if buy else h - limit) / (h - low)
+    # fixed values: the chance at the edge, and what a full crossing adds
     return 0.3 + 0.7 * min(1.0, max(0.0, inside))
 
 

@@ -70,6 +70,20 @@ SQL["kama"] = f"""WITH RECURSIVE {bars_cte()}, t AS (SELECT *, row_number() OVER
   r AS (SELECT symbol, rn, close AS k FROM e WHERE rn = 10 UNION ALL SELECT e.symbol, e.rn, r.k + e.sc * (e.close - r.k) FROM r JOIN e ON e.symbol = r.symbol AND e.rn = r.rn + 1)
   SELECT e.symbol, e.ts, round(k, 6) AS kama FROM e LEFT JOIN r USING (symbol, rn)"""
 
+SQL["vpin"] = f"""WITH RECURSIVE {bars_cte()}, n AS (SELECT *, row_number() OVER w AS rn, lag(close) OVER w AS pc, sum(volume) OVER (PARTITION BY symbol) / 50 AS size FROM bars WINDOW {W}),
+  r AS (SELECT symbol, ts, rn, 0e0 AS u, 0e0 AS d, NULL::DOUBLE AS v FROM n WHERE rn = 1
+  UNION ALL SELECT symbol, ts, rn, CASE WHEN done THEN 0 ELSE u1 END, CASE WHEN done THEN 0 ELSE d1 END, CASE WHEN done THEN abs(u1 - d1) / (u1 + d1) END FROM (SELECT *, u1 + d1 >= size AS done FROM (
+    SELECT n.symbol, n.ts, n.rn, n.size, r.u + CASE WHEN n.close > n.pc THEN n.volume WHEN n.close < n.pc THEN 0 ELSE n.volume / 2 END AS u1, r.d + CASE WHEN n.close < n.pc THEN n.volume WHEN n.close > n.pc THEN 0 ELSE n.volume / 2 END AS d1
+    FROM r JOIN n ON n.symbol = r.symbol AND n.rn = r.rn + 1)))
+  SELECT symbol, ts, round(v, 6) AS vpin FROM r"""
+# averages of directional moves, their index, and its average, seeded by means
+SQL["adx"] = f"""WITH RECURSIVE {bars_cte()}, l AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY symbol) AS bars, coalesce(high - lag(high) OVER w, 0) AS up, coalesce(lag(low) OVER w - low, 0) AS dn{_TR14} FROM bars WINDOW {W}),
+  x AS MATERIALIZED (SELECT *, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS pl, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS mi FROM l WHERE bars >= 28),
+  s AS (SELECT symbol, 14::BIGINT AS rn, avg(pl) AS p, avg(mi) AS m, avg(tr) AS t FROM x WHERE rn BETWEEN 2 AND 14 GROUP BY 1 UNION ALL SELECT x.symbol, x.rn, s.p + (x.pl - s.p) / 14, s.m + (x.mi - s.m) / 14, s.t + (x.tr - s.t) / 14 FROM s JOIN x ON x.symbol = s.symbol AND x.rn = s.rn + 1),
+  d AS MATERIALIZED (SELECT symbol, rn, CASE WHEN p / t + m / t > 0 THEN 100 * abs(100 * p / t - 100 * m / t) / (100 * p / t + 100 * m / t) ELSE 0 END AS dx FROM s),
+  a AS (SELECT symbol, 28::BIGINT AS rn, avg(dx) AS a FROM d WHERE rn BETWEEN 15 AND 28 GROUP BY 1 UNION ALL SELECT d.symbol, d.rn, a.a + (d.dx - a.a) / 14 FROM a JOIN d ON d.symbol = a.symbol AND d.rn = a.rn + 1)
+  SELECT b.symbol, b.ts, round(a, 6) AS adx FROM l b LEFT JOIN a ON a.symbol = b.symbol AND a.rn = b.rn"""
+
 # joins
 query("align_inner", f"WITH {bars_cte()}, a AS (SELECT ts FROM bars GROUP BY 1 HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars)) SELECT symbol, ts, round(close, 6) AS close FROM bars SEMI JOIN a USING (ts)")(
     lambda s, d: rounded((b := B.bars_of(s, d)).join(b.groupBy("ts").agg(F.count("*").alias("n")).join(F.broadcast(b.agg(F.count_distinct("symbol").alias("n"))), "n", "left_semi"), "ts", "left_semi").select("symbol", "ts", "close")))
@@ -78,6 +92,7 @@ query("asof_funding", f"WITH {DAILY}, {_FUND} SELECT d.symbol, d.ts, round(rate,
     lambda s, d: rounded(asof((b := B.daily_bars(s, d)).select("symbol", "ts"), b.filter("dayofweek(ts) = 2").selectExpr("symbol", "ts", "(close - open) / open / 100 AS rate"), "rate"), 8))
 query("asof_latest_price", f"WITH {DAILY} SELECT symbol, round(arg_max(close, ts), 6) AS close, max(ts) AS ts FROM daily WHERE ts <= TIMESTAMP '1998-06-15' AND ts >= TIMESTAMP '1998-06-15' - INTERVAL 30 DAY GROUP BY 1")(
     lambda s, d: rounded(B.daily_bars(s, d).filter("ts BETWEEN timestamp_ntz'1998-06-15' - INTERVAL 30 DAY AND timestamp_ntz'1998-06-15'").groupBy("symbol").agg(F.max_by("close", "ts").alias("close"), F.max("ts").alias("ts"))))
+#: Bounds of notional and the maintenance rate between them.
 _TIERS = [(0, 5e4, 0.004), (5e4, 2.5e5, 0.005), (2.5e5, 1e6, 0.01), (1e6, 1e7, 0.025), (1e7, 2e7, 0.05), (2e7, 5e7, 0.1), (5e7, 1e8, 0.125), (1e8, 2e8, 0.15), (2e8, 1e18, 0.25)]
 _TV = ", ".join(f"({a!r}, {b!r}, {c!r})" for a, b, c in _TIERS)
 query("tier_range", f"SELECT o_orderkey, rate, round(o_totalprice * 3 * rate, 6) AS margin FROM orders JOIN (VALUES {_TV}) t(lo, hi, rate) ON o_totalprice * 3 > lo AND o_totalprice * 3 <= hi")(

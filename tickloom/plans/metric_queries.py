@@ -174,6 +174,7 @@ def _momentum(s, d):
 # the little that is added keeps exact halves on one side
 _SIZES = "ok, ln, lev, round(1e-10 + price * (1 + 5 * sqrt(lev) / 1e4), 7) AS buy_at, round(1e-10 + price * (1 - 5 * sqrt(lev) / 1e4), 7) AS sell_at, round(1e-10 + shares * price * 0.0002, 7) AS maker_fee, round(1e-10 + shares * price * 0.0004, 7) AS taker_fee, round(1e-10 + 0.0003 * CASE WHEN lev > 1 THEN lev * (1 + 0.02 * lev) ELSE 1 END, 7) AS funding, round(1e-10 + CASE symbol WHEN 'A' THEN 0.08 WHEN 'N' THEN 0.05 ELSE 0.03 END / 365, 7) AS borrow, round(1e-10 + shares * price * 0.5 * 0.0583 / 365, 7) AS margin_interest, round(1e-10 + 10 * power(least(1, shares / 100), 0.5) * greatest(0.25, least(4, price / 1500)), 7) AS impact_scaled, round(1e-10 + 0.02 * sqrt(shares / 100) + 0.1 * 0.02 * shares / 100, 7) AS impact_other"
 query("cost_model", f"WITH {TRADES}, x AS (SELECT *, (ok % 3 * 2 + 1)::DOUBLE AS lev FROM trades) SELECT {R.exponents(_SIZES)} FROM x")(lambda s, d: trades(s, d).withColumn("lev", (F.col("ok") % 3 * 2 + 1).cast("double")).selectExpr(*_split(R.doubles(_SIZES))))
+#: Upper bounds of notional, maintenance rates, and what they take off.
 _TIER = [(5e4, 0.004, 0), (2.5e5, 0.005, 50), (1e6, 0.01, 1050), (1e7, 0.025, 16050), (2e7, 0.05, 266050), (5e7, 0.1, 1266050), (1e8, 0.125, 2516050), (2e8, 0.15, 5016050), (1e300, 0.25, 25016050)]
 _MAINT = "CASE " + " ".join(f"WHEN {{0}} <= {a!r}e0 THEN {{0}} * {r!r}e0 - {m}" for a, r, m in _TIER) .replace("e+300e0", "e300").replace("1e300e0", "1e300") + " END"
 _XM = "part, round(1000000 + sum(qty * (last - entry)) - sum(" + _MAINT.format("abs(qty * last)") + "), 4) AS available"
