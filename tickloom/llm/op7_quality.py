@@ -170,7 +170,7 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _blocks(column: pa.Array):
     data, off = common.utf8(column)
-    for i, j in textblock.blocks(off, 1 << 20):
+    for i, j in textblock.blocks(off, 1 << 18):
         yield i, j, Block.of(data[off[i] : off[j]], off[i : j + 1] - off[i])
 
 
