@@ -127,3 +127,27 @@ def test_stitched(spark):
     rows = [("s", "MA", 0, 10.0, 5.0, 2), ("s", "MA", 1, -20.0, 30.0, 1)]
     got = V.stitched(spark.createDataFrame(rows, "symbol string, strategy string, part int, ret double, dd double, trades long")).first()
     assert (got.ret, got.dd, got.trades) == (pytest.approx(-12.0), pytest.approx(30.0), 3)
+
+
+def test_decay_follows_the_best_set_from_each_origin(spark):
+    close = 100 * np.cumprod(1 + np.random.default_rng(3).normal(0, 0.02, 150))
+    b = bars([(c, c * 1.01, c * 0.99, c, 1.0) for c in close]).assign(symbol="x")
+    sets = [[3.0, 8.0], [4.0, 12.0], [5.0, 20.0]]
+    grid = spark.createDataFrame([("MA", i, x) for i, x in enumerate(sets)], "strategy string, combo_id int, params array<double>")
+    got = {(r.part, r.month): (r.combo_id, r.ret) for r in V.decay(spark.createDataFrame(b), grid, 80, 20, 15, 3).collect()}
+    ohlc = b[["open", "high", "low", "close"]].to_numpy()
+    want = {}
+    for part, at in enumerate(range(80, 136, 20)):
+        best = int(np.argmax(V._run("MA", ohlc[at - 80 : at], sets, V.K.Costs())["score"]))
+        for m in (1, 2, 3):
+            want[part, m] = best, V._run("MA", ohlc[at : min(at + 15 * m, 150)], [sets[best]], V.K.Costs())["ret"][0]
+    assert got.keys() == want.keys()
+    for k, (best, ret) in want.items():
+        assert got[k] == (best, pytest.approx(ret))
+    assert V.decay(spark.createDataFrame(b).limit(80), grid, 80, 20, 15, 3).count() == 0
+
+
+def test_half_life_is_the_first_month_at_half(spark):
+    rows = [("x", "A", p, 0, m, r) for m, rets in enumerate([(8, 0), (6, 0), (3, 1), (1, 1)], 1) for p, r in enumerate(rets)] + [("x", "B", 0, 0, 1, -1.0), ("x", "B", 0, 0, 2, -5.0)]
+    got = {(r.strategy, r.month): (r.origins, r.ret, r.wins, r.half_life) for r in V.decay_table(spark.createDataFrame([(*r[:5], float(r[5])) for r in rows], V.DECAY)).collect()}
+    assert got[("A", 1)] == (2, 4.0, 0.5, 3) and got[("A", 3)] == (2, 2.0, 1.0, 3) and got[("B", 2)] == (1, -5.0, 0.0, None)

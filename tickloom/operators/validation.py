@@ -203,6 +203,41 @@ def merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("strategy").agg(*[F.avg(c).alias(c) for c in means], F.sum("trades").alias("trades"), F.count("*").alias("symbols"))
 
 
+DECAY = "symbol string, strategy string, part int, combo_id int, month int, ret double"
+
+
+def decay(bars: DataFrame, grid: DataFrame, train: int = 500, step: int = 63, month: int = 30, months: int = 12, cost: K.Costs = K.Costs()) -> DataFrame:
+    """How the best set of each ``train`` bars does in the 1 to ``months`` months after them, from every ``step``-th origin.
+
+    A row is an origin and a number of months, with the return from the origin on; the last months of a symbol may be
+    cut by its last bar.  A symbol has an origin while a whole month follows; windows of ten bars or fewer have no row.
+    """
+
+    def run(symbol, ohlc, ids, params, part):
+        at = train + step * part
+        places, sets = _chosen(_all(ohlc[at - train : at], params, cost), params)
+        for m in range(1, months + 1):
+            ahead = ohlc[at : at + m * month]
+            if len(ahead) <= 10:
+                break
+            got = _all(ahead, sets, cost)
+            for k, best in places.items():
+                yield k, ids[k][best], m, float(got[k]["ret"][0])
+
+    last = F.floor((F.size("b") - train - month) / F.lit(step)).cast("int")
+    work = K.jobs(bars, grid).filter(F.size("b") >= train + month).withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+    return _each(work, run, DECAY)
+
+
+def decay_table(rows: DataFrame) -> DataFrame:
+    """(strategy, month, origins, ret, wins, half_life) of ``decay``: mean return, share of origins that gain, and the first
+    later month whose mean is at most half the first month's; null where that never comes or the first month does not gain."""
+    by_month = rows.groupBy("strategy", "month").agg(F.count("*").alias("origins"), F.avg("ret").alias("ret"), F.avg((F.col("ret") > 0).cast("double")).alias("wins"))
+    first = F.min_by("ret", "month").alias("first")
+    half = by_month.join(by_month.groupBy("strategy").agg(first), "strategy").filter("month > 1 AND first > 0 AND ret <= first / 2")
+    return by_month.join(half.groupBy("strategy").agg(F.min("month").alias("half_life")), "strategy", "left")
+
+
 def neighbours(params: list[float], share: float = 0.1) -> list[list[float]]:
     """The sets that differ from one in one parameter by ``share`` up or down; whole numbers stay whole."""
     out = []

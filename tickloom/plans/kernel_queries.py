@@ -109,3 +109,11 @@ query("validated_gate")(lambda s, d: rounded(V.gate(V.robustness(B.bars_of(s, d)
 query("best_strategy")(lambda s, d: rounded(K.best(K.scan(B.bars_of(s, d), default_grid(s))).groupBy("symbol").agg(F.max_by(F.struct("strategy", "combo_id", "ret", "score"), F.struct("score", "strategy")).alias("x")).select("symbol", "x.*")))
 query("cpcv_summary")(lambda s, d: rounded(V.cpcv(B.bars_of(s, d), default_grid(s)).groupBy("symbol", "strategy").agg(F.avg("ret").alias("mean_ret"), F.stddev_pop("ret").alias("sd_ret"), F.avg("dd").alias("mean_dd"), F.avg((F.col("ret") > 0).cast("double")).alias("positive"), F.sum("trades").alias("trades"), F.count("*").alias("splits"))))
 query("params_by_window")(lambda s, d: rounded(V.walk_forward(B.bars_of(s, d), default_grid(s)).groupBy("strategy").pivot("part", list(range(len(V.WINDOWS)))).agg(F.avg("ret"))))
+
+
+def _decay(s, d):
+    return V.decay(B.daily_bars(s, d), default_grid(s).filter("strategy IN ('MA', 'MACD', 'MomBreak')"))
+
+
+query("param_decay")(lambda s, d: rounded(_decay(s, d)))
+query("param_decay_table")(lambda s, d: rounded(V.decay_table(_decay(s, d))))
