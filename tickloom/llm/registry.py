@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_exact_dedup, op10_language, op13_intervals, op2_minhash, op3_chat, op4_sharding, op5_mixing, op6_fingerprint, op7_quality, op8_warc, op9_bpe
+from . import op1_exact_dedup, op10_language, op11_resampling, op13_intervals, op2_minhash, op3_chat, op4_sharding, op5_mixing, op6_fingerprint, op7_quality, op8_warc, op9_bpe
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": op8_warc.query,
     "op9_bpe": op9_bpe.query,
     "op10_language": op10_language.query,
+    "op11_resampling": op11_resampling.query,
     "op13_intervals": op13_intervals.query,
 }
 
@@ -22,5 +23,6 @@ SQL = {
     "op1_exact_dedup": op1_exact_dedup.SQL,
     "op3_chat": op3_chat.SQL,
     "op8_warc": op8_warc.SQL,
+    "op11_resampling": op11_resampling.SQL,
     "op13_intervals": op13_intervals.SQL,
 }
