@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_exact_dedup, op10_language, op11_resampling, op13_intervals, op2_minhash, op3_chat, op4_sharding, op5_mixing, op6_fingerprint, op7_quality, op8_warc, op9_bpe
+from . import op1_exact_dedup, op10_language, op11_resampling, op12_embeddings, op13_intervals, op2_minhash, op3_chat, op4_sharding, op5_mixing, op6_fingerprint, op7_quality, op8_warc, op9_bpe
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe": op9_bpe.query,
     "op10_language": op10_language.query,
     "op11_resampling": op11_resampling.query,
+    "op12_embeddings": op12_embeddings.query,
     "op13_intervals": op13_intervals.query,
 }
 
@@ -24,5 +25,6 @@ SQL = {
     "op3_chat": op3_chat.SQL,
     "op8_warc": op8_warc.SQL,
     "op11_resampling": op11_resampling.SQL,
+    "op12_embeddings": op12_embeddings.SQL,
     "op13_intervals": op13_intervals.SQL,
 }
