@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -145,6 +146,29 @@ def test_op7_rejects_junk_and_keeps_prose(spark):
     assert op7_quality.classify(docs(spark, [])).collect() == []
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_op7_agrees_with_the_labels_and_keeps_a_clean_corpus_whole(spark):
+    tables = [spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")]
+    judged = op7_quality.classify(tables[0])
+    both = judged.join(tables[1], "doc_id").select("kept", "quality").collect()
+    assert len(both) > 300 and sum(r.kept == (r.quality == 1) for r in both) >= 0.98 * len(both)
+    # documents with no vote for bad, alone: nothing tells them apart
+    good = judged.filter("votes NOT LIKE '%-%' AND length(replace(votes, '0', '')) >= 5").select("doc_id")
+    clean = tables[0].join(good, "doc_id", "left_semi")
+    got = op7_quality.classify(clean).collect()
+    assert len(got) > 500 and all(r.kept for r in got)
+    assert op7_quality.stage(spark, clean, "").count() == len(got)
+
+
+def test_op7_keeps_what_is_of_one_kind(spark):
+    rng = random.Random(3)
+    junk = [" ".join("".join(rng.choices("#$%&*@^", k=6)) for _ in range(40)) for _ in range(200)]
+    assert all(r.kept for r in op7_quality.classify(docs(spark, junk)).collect())
+    prose = [" ".join(rng.choices(["alpha", "river", "stone", "of", "the", "morning,", "walks."], k=80)) + f" {k}." for k in range(3000)]
+    got = op7_quality.classify(docs(spark, prose + junk[:2])).collect()
+    assert all(r.kept for r in got if r.doc_id < 3000)
+
+
 def test_op8_parses_both_versions_and_reads_back(spark):
     for version in "12":
         raw = op8_warc.version_block(version, "x.arc", "2001").encode() + b"\n" + op8_warc.arc_record(version, "http://a/", "1.2.3.4", "19990102", "text/html", "é\n\nb".encode(), "x.arc") + b"\n"

@@ -11,7 +11,8 @@ The scorer, a vector of fixed length, then scores every whole document.
 
 Defined results: null texts count as empty; texts on which no labeller votes
 have the prior as posterior, and an empty text is scored by its levels alone;
-without documents of both kinds in the sample everything is kept; repeated
+where no pattern of votes, or every one, has a posterior below one half there is
+nothing to tell apart, and everything is kept, be it clean or junk; repeated
 rows get equal scores; a null or repeated id changes nothing, as the score is
 one of the text alone; an empty table gives no rows.  The query reads no other
 columns; the stage passes them on as they are.
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from . import common, textblock
 
-#: Documents of either kind that train the scorer, at most.
-SAMPLE = 3000
+#: Distinct texts of either kind that train the scorer, at most, and the bytes of these together.
+SAMPLE, SAMPLE_BYTES = 3000, 1 << 25
+#: A kind weighs in training as if it were at least this share of the sample, and else as much as the other.
+LEAST_SHARE = 0.02
 #: Hashed features.
 DIMENSIONS = 1 << 18
 #: A document stays from this score on.
@@ -174,16 +177,16 @@ def _blocks(column: pa.Array):
         yield i, j, Block.of(data[off[i] : off[j]], off[i : j + 1] - off[i])
 
 
-def vote_counts(docs: DataFrame) -> dict[int, int]:
-    """Documents of each pattern of votes, over all documents."""
+def voted(docs: DataFrame) -> DataFrame:
+    """(draw, bytes, pattern) of every document: a hash of its text, its size and its pattern of votes; stored."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.concatenate([pattern(votes(b.figures())) for _, _, b in _blocks(batch.column(0))])
-        keys, n = np.unique(found, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["pattern", "n"])
+        found = np.concatenate([pattern(votes(b.figures())) for _, _, b in _blocks(batch.column(2))])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["draw", "bytes", "pattern"])
 
-    counts = common.map_batches(docs.select("text"), run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    return {x["pattern"]: x["n"] for x in counts.collect()}
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.xxhash64(F.lit(SEED), text).alias("draw"), F.octet_length(text).cast("long").alias("bytes"), text.alias("text"))
+    return common.stored(common.map_batches(rows, run, "draw long, bytes long, pattern long"))
 
 
 def train(at: list[np.ndarray], value: list[np.ndarray], target: np.ndarray, epochs: int = 120) -> np.ndarray:
@@ -193,11 +196,12 @@ def train(at: list[np.ndarray], value: list[np.ndarray], target: np.ndarray, epo
         return weights
     flat, val = np.concatenate(at), np.concatenate(value).astype(float)
     owner = np.repeat(np.arange(len(at)), [len(x) for x in at])
-    good = np.maximum(target.sum(), 1e-9)
-    bad = np.maximum((1 - target).sum(), 1e-9)
+    # a kind of which there is next to nothing does not outweigh what there is
+    good = np.maximum(target.sum(), LEAST_SHARE * len(target))
+    bad = np.maximum((1 - target).sum(), LEAST_SHARE * len(target))
     for _ in range(epochs):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, weights[flat] * val, minlength=len(at)) + weights[-1], -30, 30)))
-        # the two kinds weigh the same together
+        # otherwise the two kinds weigh the same together
         residual = target * (p - 1) / good + (1 - target) * p / bad
         grad = np.bincount(flat, residual[owner] * val, minlength=DIMENSIONS + 1)
         grad[-1] = residual.sum()
@@ -207,50 +211,58 @@ def train(at: list[np.ndarray], value: list[np.ndarray], target: np.ndarray, epo
     return weights
 
 
+def keep_all() -> np.ndarray:
+    """Weights that keep every text."""
+    weights = np.zeros(DIMENSIONS + 1)
+    weights[-1] = 5.0
+    return weights
+
+
 def scorer(docs: DataFrame) -> tuple[np.ndarray, dict]:
     """The scorer's weights, and what the weak-label model says of its labellers."""
-    counts = vote_counts(docs)
+    seen = voted(docs)
+    counts = {x["pattern"]: x["n"] for x in seen.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # 3 ** labellers at most
     if not counts:
         return np.zeros(DIMENSIONS + 1), {}
     prior, table, post = fit(counts)
-    good = sum(n for k, n in counts.items() if post[k] >= 0.5)
-    total = sum(counts.values())
-    # more than are wanted are drawn, so that those with the least draws are among them
-    rate = {1: min(1.0, 2 * SAMPLE / max(good, 1)), 0: min(1.0, 2 * SAMPLE / max(total - good, 1))}
+    kinds = [[k for k in counts if (post[k] >= 0.5) == good] for good in (True, False)]
+    facts = {"prior": prior, "table": table, "patterns": counts, "sampled": 0}
+    if not all(kinds):
+        common.dropped(seen)
+        return keep_all(), facts
     scale = 1 << 30
-    text = F.coalesce("text", F.lit(""))
-    dealt = docs.select(text.alias("text"), F.xxhash64(F.lit(SEED), text).alias("draw")).filter(F.pmod("draw", F.lit(scale)) < int(max(rate.values()) * scale) + 1)
+    chosen: dict[int, float] = {}
+    for kind in kinds:
+        # more than are wanted are drawn, so that those with the least draws are among them
+        rate = min(1.0, 2 * SAMPLE / sum(counts[k] for k in kind))
+        place = F.pmod("draw", F.lit(scale))
+        some = seen.filter(F.col("pattern").isin(kind) & (F.col("bytes") <= SAMPLE_BYTES) & (place < int(rate * scale) + 1)).groupBy("draw").agg(F.first("pattern").alias("pattern"), F.first("bytes").alias("bytes"))
+        left = SAMPLE_BYTES
+        for x in some.orderBy(place, "draw").limit(SAMPLE).collect():
+            if x["bytes"] <= left:
+                chosen[x["draw"]] = post[x["pattern"]]
+                left -= x["bytes"]
+    common.dropped(seen)
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in sorted(chosen)], "wanted long"))  # 2 x SAMPLE at most
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         draws = batch.column(1).to_numpy(zero_copy_only=False)
-        share = draws % scale / scale
-        chosen, target = [], []
-        for i, j, block in _blocks(batch.column(0)):
-            p = np.array([post.get(int(x), prior) for x in pattern(votes(block.figures()))])
-            at = np.flatnonzero(share[i:j] < np.where(p >= 0.5, rate[1], rate[0]))
-            chosen.append(at + i)
-            target.append(p[at])
-        if not sum(map(len, chosen)):
-            return None
-        chosen, target = np.concatenate(chosen), np.concatenate(target)
-        once = np.sort(np.unique(draws[chosen], return_index=True)[1])
-        chosen, target = chosen[once], target[once]
+        once = np.sort(np.unique(draws, return_index=True)[1])
         at, value = [], []
-        for i, j, block in _blocks(batch.column(0).take(pa.array(chosen))):
+        for i, j, block in _blocks(batch.column(0).take(pa.array(once))):
             where, val, per = features(block)
             first = np.concatenate(([0], np.cumsum(per)))
             at += [where[first[d] : first[d + 1]].astype(np.int32).tobytes() for d in range(j - i)]
             value += [val[first[d] : first[d + 1]].tobytes() for d in range(j - i)]
-        return pa.RecordBatch.from_arrays([pa.array(draws[chosen]), pa.array(at, pa.binary()), pa.array(value, pa.binary()), pa.array(target, pa.float64())], ["draw", "at", "value", "target"])
-
-    drawn = common.map_batches(dealt, run, "draw long, at binary, value binary, target double")
-    kinds = common.only(lambda: drawn.groupBy("draw").agg(*[F.first(c).alias(c) for c in ("at", "value", "target")]))
-    found = []
-    for kind in ("target >= 0.5", "target < 0.5"):
-        found += [(x["at"], x["value"], x["target"]) for x in kinds.filter(kind).orderBy(F.pmod("draw", F.lit(scale)), "draw").limit(SAMPLE).collect()]
-    common.dropped(kinds)
-    weights = train([np.frombuffer(x[0], np.int32) for x in found], [np.frombuffer(x[1], np.float32) for x in found], np.array([x[2] for x in found]))
-    return weights, {"prior": prior, "table": table, "patterns": counts, "sampled": len(found)}
+        return pa.RecordBatch.from_arrays([pa.array(draws[once]), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["draw", "at", "value"])
+
+    text = F.coalesce("text", F.lit(""))
+    dealt = docs.select(text.alias("text"), F.xxhash64(F.lit(SEED), text).alias("draw")).join(wanted, F.col("draw") == F.col("wanted"), "left_semi")
+    drawn = common.map_batches(dealt, run, "draw long, at binary, value binary").groupBy("draw").agg(F.first("at").alias("at"), F.first("value").alias("value"))
+    # the texts behind these are of 2 x SAMPLE_BYTES at most
+    found = sorted(((x["draw"], x["at"], x["value"]) for x in drawn.collect()), key=lambda x: x[0])
+    weights = train([np.frombuffer(x[1], np.int32) for x in found], [np.frombuffer(x[2], np.float32) for x in found], np.array([chosen[x[0]] for x in found]))
+    return weights, facts | {"sampled": len(found)}
 
 
 def _judge(weights: np.ndarray, column: pa.Array) -> Iterator[tuple[Block, np.ndarray]]:
