@@ -311,17 +311,41 @@ def test_letters_are_those_of_unicode(spark):
     assert all((kinds[c] >= op10_language._LETTER) == (unicodedata.category(chr(c))[0] == "L") for c in range(0, 0x20000))
 
 
-def test_a_dirty_language_column_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(op10_language, "LANGUAGES", 3)
+@pytest.mark.parametrize("numbers", [1 << 24, 1 << 20])
+def test_every_language_is_learned(spark, monkeypatch, numbers):
+    monkeypatch.setattr(op10_language, "NUMBERS", numbers)
     rng = random.Random(6)
-    makers = {"aa": "abcdefg", "bb": "nopqrst"}
-    rows = [(k, " ".join("".join(rng.choices(makers[x], k=6)) for _ in range(20)), x) for k, x in enumerate(rng.choices(list(makers), k=120))]
-    rows += [(1000 + k, "odd text", f"dirt {k}") for k in range(200)] + [(None, rows[0][1], "aa")] * 50
+    makers = {f"l{k:03}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 5)) for k in range(200)}
+    rows = [(4 * k + n, " ".join("".join(rng.choices(m, k=6)) for _ in range(40)), x) for k, (x, m) in enumerate(makers.items()) for n in range(8)]
+    rows = [(i, t, x) for i, (_, t, x) in enumerate(rows)] + [(None, rows[0][1], "l000")] * 50
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = op10_language.fit(docs)
-    assert len(model.languages) == 3 and {"aa", "bb"} <= set(model.languages)
-    got = op10_language.predicted(docs, model).collect()
-    assert all(r.lang_pred == x for r in got for i, _, x in rows[:120] if r.doc_id == i)
+    assert model.languages == sorted(makers) and model.logs.size <= numbers
+    got = {r.doc_id: r for r in op10_language.predicted(docs, model).collect()}
+    right = [got[i].lang_pred == x for i, _, x in rows[:1600] if got[i].held_out]
+    assert len(right) > 200 and sum(right) >= 0.97 * len(right)
+    assert {r.lang_pred for r in got.values()} == set(makers)
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_held_out_languages_are_found(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    got = op10_language.predicted(docs, op10_language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 150 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+
+
+@pytest.mark.parametrize("scores_held", [1 << 23, 1000])
+def test_decoding_side_by_side_equals_the_chunks(monkeypatch, scores_held):
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(n)) for n in (300, 0, 1, 70, 64)]
+    data, off = common.utf8(__import__("pyarrow").array([*texts, None]))
+    logs = np.log(rng.dirichlet(np.ones(op10_language.CELLS), 9).T).astype(np.float32)
+    model = op10_language.Model([f"l{k}" for k in range(9)], logs, np.full(9, -1, np.int32))
+    w = op10_language.words(data, off)
+    want = model.labels(w)
+    monkeypatch.setattr(op10_language, "FEW", 1)
+    monkeypatch.setattr(op10_language, "SCORES", scores_held)
+    assert (model.labels(w) == want).mean() > 0.999
 
 
 def test_viterbi_with_many_languages_equals_the_plain_one():

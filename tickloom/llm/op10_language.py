@@ -13,10 +13,15 @@ chunk is found for all chunks at once, the chunks of a text are then joined in
 order, and the labels within all chunks are traced back at once.  This is
 exact, and a text of any length costs array operations, not a loop by word.
 
-The model is fitted on a bounded sample: of the ``LANGUAGES`` languages with most
-training documents, ``PER_LANGUAGE`` documents each, about, copies once.  That
-bounds the model and what the decoder holds, whatever the column ``lang`` has in
-it; every document is labelled.
+The model is fitted on a bounded sample: ``PER_LANGUAGE`` documents of a language,
+about, copies once; every language of the training documents is learned.  The
+trigrams are hashed into fewer cells the more languages there are, so that the
+model stays within ``NUMBERS`` up to 4,096 languages and grows by 16 kB for each
+further one.  Every document is labelled.
+
+With more than ``FEW`` languages the texts of a block are decoded side by side,
+word by word, which costs the languages and not their square; a text whose scores
+would not fit into memory is decoded by itself, a slice of its words at a time.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; without training documents every text is ``und``; a null id is not held out;
@@ -28,6 +33,7 @@ columns are not read.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,9 +45,12 @@ from . import common, textblock
 
 #: Documents of a language that the model learns from at most, about.
 PER_LANGUAGE = 3000
-#: Languages that the model knows at most: those with most training documents.
-LANGUAGES = 64
-CELLS = 1 << 16
+#: Numbers of the model, and the most and the least cells of a language.
+NUMBERS, CELLS, LEAST_CELLS = 1 << 24, 1 << 16, 1 << 12
+#: Languages up to which chunks of a text are decoded side by side, by the square of the languages.
+FEW = 24
+#: Scores that are held at once beyond that.
+SCORES = 1 << 23
 CHUNK = 64
 #: What a switch of language costs, in nats.
 PENALTY = 12.0
@@ -144,7 +153,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     code = _FOLD[data].astype(np.int64)
     left = np.concatenate([[0], code[:-1]]) * before
     right = np.concatenate([code[1:], [0]]) * after
-    hashed = (left << 16 | code << 8 | right) * 0x9E3779B1 >> 12 & CELLS - 1
+    hashed = (left << 16 | code << 8 | right) * 0x9E3779B1 >> 12 & CELLS - 1  # a model of fewer cells takes the lower bits
     sizes = ends - starts
     flat = hashed[inside]
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else none
@@ -155,20 +164,45 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
 @dataclass
 class Model:
     languages: list[str]
-    logs: np.ndarray  # CELLS x languages
+    logs: np.ndarray  # cells x languages
     scripts: np.ndarray  # a mask for each language
 
-    def scores(self, w: Words) -> np.ndarray:
-        """Words by languages; languages without a script of the word are out, unless all are."""
-        if not len(w.starts):
-            return np.zeros((0, len(self.languages)), np.float32)
-        out = np.add.reduceat(self.logs[w.cells], w.starts, axis=0)
+    def scores(self, w: Words, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Words ``first`` to ``last`` by languages; languages without a script of the word are out, unless all are."""
+        last = len(w.starts) if last is None else last
+        out = np.zeros((last - first, len(self.languages)), np.float32)
+        if first == last:
+            return out
+        step = max(1, SCORES // max(1, len(self.languages)) // 8)  # words average fewer bytes
+        for i in range(first, last, step):
+            j = min(i + step, last)
+            low = w.starts[i]
+            high = w.starts[j] if j < len(w.starts) else len(w.cells)
+            out[i - first : j - first] = np.add.reduceat(self.logs[w.cells[low:high] & len(self.logs) - 1], w.starts[i:j] - low, axis=0)
         out -= out.max(1, keepdims=True)
-        able = (w.scripts[:, None] & self.scripts[None, :]) != 0
+        able = (w.scripts[first:last, None] & self.scripts[None, :]) != 0
         out[~able] = _NEVER
         out[~able.any(1)] = 0
         return out
 
+    def labels(self, w: Words) -> np.ndarray:
+        """The best label of each word of each text."""
+        many = len(self.languages)
+        if many <= FEW:
+            return viterbi(self.scores(w), w.counts)
+        first = np.concatenate([[0], np.cumsum(w.counts)])
+        step = max(1, SCORES // many)
+        out, i = np.zeros(int(first[-1]), np.int64), 0
+        while i < len(w.counts):
+            # as many texts as fit, or slices of one that does not
+            j = max(i + 1, int(np.searchsorted(first, first[i] + step, "right")) - 1)
+            a, b = int(first[i]), int(first[j])
+            cuts = range(a, b, step) if j == i + 1 else [a]
+            parts = (self.scores(w, k, min(k + step, b) if j == i + 1 else b) for k in cuts)
+            out[a:b] = side_by_side(parts, w.counts[i:j], many)
+            i = j
+        return out
+
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """The best label of each word, text by text, where each change of label costs ``penalty``."""
@@ -229,6 +263,39 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) ->
     return labels[place, chunk]
 
 
+def side_by_side(parts: Iterator[np.ndarray], counts: np.ndarray, languages: int, penalty: float = PENALTY) -> np.ndarray:
+    """The labels of ``viterbi``, a word of every text at a time; the scores of a single text may come in several parts."""
+    total = int(counts.sum())
+    stay = np.zeros((total, -(-languages // 8)), np.uint8)
+    top = np.zeros(total, np.int64)
+    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    order = np.argsort(-counts, kind="stable")
+    order = order[counts[order] > 0]
+    deep = counts[order]
+    value = np.zeros((len(order), languages), np.float32)
+    done = 0
+    for scores in parts:
+        longest = len(scores) if len(order) == 1 else int(deep.max(initial=0))
+        for t in range(longest):
+            m = int(np.searchsorted(-deep, -(done + t), "left"))
+            at = first[order[:m]] + done + t
+            now = value[:m]
+            top[at] = now.argmax(1)
+            changed = now.max(1, keepdims=True) - np.float32(penalty)
+            stay[at] = np.packbits(now >= changed, axis=1)
+            now = np.maximum(now, changed) + scores[at - done if len(order) == 1 else at]
+            value[:m] = now - now.max(1, keepdims=True)
+        done += longest if len(order) == 1 else 0
+    labels, now = np.zeros(total, np.int64), value.argmax(1)
+    for t in range(int(deep.max(initial=0)) - 1, -1, -1):
+        m = int(np.searchsorted(-deep, -t, "left"))
+        at = first[order[:m]] + t
+        labels[at] = now[:m]
+        kept = stay[at, now[:m] >> 3] >> (7 - (now[:m] & 7)) & 1
+        now[:m] = np.where(kept == 1, now[:m], top[at])
+    return labels
+
+
 def held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2
 
@@ -236,15 +303,17 @@ def held_out(column: str = "doc_id"):
 def fit(docs: DataFrame) -> Model:
     """Trigram scores and scripts of each language, from the documents that are not held out."""
     able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False))).select(F.col("lang").cast("string"), "text")
-    top = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    sums = {x["lang"]: x["n"] for x in top.collect()}
+    sums = {x["lang"]: x["n"] for x in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language, as the model has
     languages = sorted(sums)
     if not languages:
         return Model([], np.zeros((CELLS, 0), np.float32), np.zeros(0, np.int32))
+    n_cells = CELLS
+    while n_cells > LEAST_CELLS and n_cells * len(languages) > NUMBERS:
+        n_cells >>= 1
     scale = 1 << 30
-    rates = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(scale * min(1.0, PER_LANGUAGE / sums[k]))))])
+    rates = docs.sparkSession.createDataFrame([(k, int(scale * min(1.0, PER_LANGUAGE / sums[k]))) for k in languages], "known string, rate long")
     draw = F.xxhash64(F.lit(SEED), "text")
-    some = able.withColumn("draw", draw).filter(F.col("lang").isin(languages) & (F.pmod("draw", F.lit(scale)) <= rates[F.col("lang")]))
+    some = able.withColumn("draw", draw).join(F.broadcast(rates), F.col("lang") == F.col("known")).filter(F.pmod("draw", F.lit(scale)) <= F.col("rate"))
     # copies of a text are one text to learn from
     some = some.groupBy("lang", "draw").agg(F.first("text").alias("text"))
     number = {k: i for i, k in enumerate(languages)}
@@ -256,19 +325,19 @@ def fit(docs: DataFrame) -> Model:
         for i, j in textblock.blocks(off):
             w = words(data[off[i] : off[j]], off[i : j + 1] - off[i])
             own = np.repeat(lang[i:j], w.counts)
-            a, b = np.unique(np.repeat(own, w.sizes) * CELLS + w.cells, return_counts=True)
-            # cells below CELLS * languages are trigrams, those above are bytes of each script
+            a, b = np.unique(np.repeat(own, w.sizes) * n_cells + (w.cells & n_cells - 1), return_counts=True)
+            # cells below n_cells * languages are trigrams, those above are bytes of each script
             c = [(own * 32 + k, np.where(w.scripts >> k & 1, w.sizes, 0)) for k in range(len(SCRIPTS))]
             script = np.bincount(np.concatenate([x for x, _ in c]), np.concatenate([y for _, y in c]), minlength=32 * len(languages)).astype(np.int64)
-            keys += [a, CELLS * len(languages) + np.flatnonzero(script)]
+            keys += [a, n_cells * len(languages) + np.flatnonzero(script)]
             n += [b, script[script > 0]]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(n), pa.int64())], ["cell", "n"])
 
     found = common.map_batches(some.select("lang", "text"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    size = CELLS * len(languages)
+    size = n_cells * len(languages)
     counts = np.zeros(size + 32 * len(languages))
     counts[found["cell"].to_numpy()] = found["n"].to_numpy()
-    grams = counts[:size].reshape(len(languages), CELLS) + 0.5
+    grams = counts[:size].reshape(len(languages), n_cells) + 0.5
     logs = np.log(grams / grams.sum(1, keepdims=True)).T
     script = counts[size:].reshape(len(languages), 32)
     used = script >= SCRIPT_SHARE * np.maximum(script.sum(1, keepdims=True), 1)
@@ -281,12 +350,12 @@ def _labelled(model: Model, column: pa.Array):
     data, off = common.utf8(column)
     for i, j in textblock.blocks(off):
         w = words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        yield i, j, w, off[i : j + 1] - off[i], viterbi(model.scores(w), w.counts) if model.languages else None
+        yield i, j, w, off[i : j + 1] - off[i], model.labels(w) if model.languages else None
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_spans): the language with most letters of each text, and its share of them."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # CELLS x LANGUAGES numbers at most, 17 MB
+    held = docs.sparkSession.sparkContext.broadcast(model)  # NUMBERS at most, 64 MB, up to 4,096 languages
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = held.value
