@@ -170,12 +170,6 @@ def test_targets_by_hand():
     assert op5_mixing.targets([0, 0], [3.0, 1.0]) == [0.0, 0.0]
 
 
-def test_too_many_sources_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(op5_mixing, "SOURCES", 2)
-    with pytest.raises(ValueError):
-        op5_mixing.mix(spark.createDataFrame([(k, "a b", f"s{k}") for k in range(3)], "doc_id long, text string, source string"))
-
-
 def em_by_hand(counts, rounds=200):
     """The same model, a document and a labeller at a time."""
     k = len(op7_quality.LABELLERS)

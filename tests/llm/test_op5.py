@@ -62,3 +62,43 @@ def test_seats_are_highest_quotients():
 def test_empty_table(spark):
     assert op.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     assert op.whole_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("seed", [0])
+def test_many_sources_are_apportioned_as_few_are(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    # equal sizes give equal quotients; some sources have no words
+    data = [(k, " ".join(["w"] * rng.choice([0, 40, 40, 40, 90, 1500])), rng.choice([f"s{k % 120:03}", f"é{k % 7}", None])) for k in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    few = sorted(op.mix(docs).collect())
+    monkeypatch.setattr(op, "SOURCES", 3)
+    many = sorted(op.mix(docs).collect())
+    assert [r.target for r in many] == pytest.approx([r.target for r in few])
+    assert [(r.doc_id, r.size, r.source_size, r.taken, r.first_shard) for r in many] == [(r.doc_id, r.size, r.source_size, r.taken, r.first_shard) for r in few]
+
+
+def test_two_hundred_thousand_sources(spark):
+    found = spark.range(200_000).selectExpr("concat('s', lpad(id, 6, '0')) AS source", "CAST(10 + pmod(xxhash64(id), 500) AS LONG) AS words")
+    out = op.planned(found, 1, 16, op.BLOCK).toPandas().sort_values("s", ignore_index=True)
+    want = op.plan(out.source_size.tolist(), [(3.0, 1.0, 2.0)[i % 3] for i in range(len(out))])
+    assert len(out) == 200_000 and out.target.tolist() == pytest.approx(want["targets"])
+    assert sum(out.quota) == sum(want["quotas"]) and (out.quota != want["quotas"]).sum() <= 5
+
+
+@pytest.mark.parametrize("copies", [6, 7])
+def test_equal_rows_are_taken_one_by_one(spark, copies):
+    data = [(1, " ".join(["w"] * 200), "a", None)] * copies
+    docs = spark.createDataFrame(data, SCHEMA).repartition(3)
+    due = 1.5 * 200 * copies
+    got = op.whole_documents(docs).collect()
+    assert abs(200 * len(got) - due) <= 200
+    mixed = [(k, " ".join([f"w{k}"] * 50), "b", None) for k in range(40)] + [(None, "x " * 60, "a", None)] * 9 + [(7, "y " * 60, None, None)] * 5
+    docs = spark.createDataFrame(mixed, SCHEMA).repartition(4)
+    words = {}
+    for r in op.mix(docs).collect():
+        words[r.target] = words.get(r.target, 0) + r.taken
+    out = {}
+    for r in op.whole_documents(docs).collect():
+        out[r.source] = out.get(r.source, 0) + len(r.text.split())
+    for s, due in zip(("a", "b", None), op.targets([540, 2000, 300], [3.0, 1.0, 2.0]), strict=True):
+        assert abs(out[s] - due) <= 2 * 60
