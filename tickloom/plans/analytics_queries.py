@@ -9,6 +9,7 @@ from tickloom.operators import bars as B
 from tickloom.operators import documents as D
 from tickloom.operators import kernels as K
 from tickloom.operators import recursive
+from tickloom.operators import retrieval as R
 
 from .bar_queries import asof, rounded
 from .oracle import DAILY, TRADES, W, bars_cte
@@ -215,12 +216,13 @@ query("health", f"""WITH {_EQ}, x AS (SELECT *, row_number() OVER (PARTITION BY
     lambda s, d: rounded(_curve(s, d).withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).filter("back <= 30").groupBy("symbol").agg(F.expr("avg(r) / stddev_samp(r) * sqrt(252) AS sharpe"), F.expr("max_by(close / peak - 1, ts) AS drawdown"), F.expr("avg(CAST(r > 0 AS INT)) AS win_rate")).withColumn("status", F.expr("CASE WHEN sharpe < 0 OR drawdown < -0.5 THEN 'ALERT' WHEN win_rate < 0.45 THEN 'WATCH' ELSE 'HEALTHY' END"))))
 
 # retrieval
-_POST = rf"t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-zà-ÿ0-9]+'), lambda x: x <> '')) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY 1), i AS (SELECT term, 1 + ln(((SELECT count(*) FROM l) + 1) / (count(*) + 1)) AS idf FROM p GROUP BY 1)"
+_SPLIT = r"regexp_extract_all(regexp_replace(lower(text), '([\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}])', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}_]+')"
+_POST = rf"t AS (SELECT doc_id, unnest({_SPLIT}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY 1), i AS (SELECT term, 1 + ln(((SELECT count(*) FROM l) + 1) / (count(*) + 1)) AS idf FROM p GROUP BY 1)"
 
 
 def words():
-    """The words of a text, in order."""
-    return F.filter(F.split(F.lower("text"), "[^a-zà-ÿ0-9]+"), lambda x: x != "")
+    """The terms of a text, in order."""
+    return R.terms("text")
 
 
 def postings(s, d):
@@ -235,17 +237,13 @@ def _is(term):
     return lambda x: x == term
 
 
-#: A word of a text in lower case; as many as there are words.
-WORD = "[a-zà-ÿ0-9]+"
-
-
 def bm25(s, d, terms=QUERY_TERMS, k1=1.5, b=0.75):
     """(doc_id, score) by BM25 with idf = 1 + ln((N + 1) / (df + 1)); one small row a document, no word leaves it."""
-    text = F.lower("text")
-    letters = WORD[:-1]
+    text = R.spaced(F.col("text"))
+    letters = R.WORD[:-1]
     asked = F.regexp_extract_all(text, F.lit(f"(?<!{letters})({'|'.join(terms)})(?!{letters})"), F.lit(1))
     # the numbers of each document are dealt once, for the totals and the scores alike, so texts are read once
-    few = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.regexp_count(text, F.lit(WORD)).alias("len"), asked.alias("hits")).repartition("doc_id").filter("len > 0")
+    few = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.regexp_count(text, F.lit(R.WORD)).alias("len"), asked.alias("hits")).repartition("doc_id").filter("len > 0")
     rows = few.select("doc_id", "len", *[F.size(F.filter("hits", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
     facts = rows.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])).scalar()
     rows = rows.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).withColumn("f", facts)
@@ -269,7 +267,7 @@ _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(li
 _VEC = f"v AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)"
 query("vector_topk", f"WITH {_VEC} SELECT query_id, vec_id, round(sim, 5) AS sim FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) <= 10")(
     lambda s, d: D.nearest(s.read.parquet(f"{d}/embeddings.parquet")).withColumn("sim", F.round("sim", 5)))
-_HYBRID = f"""{_POST}, {_VEC}, q AS (SELECT DISTINCT doc_id AS query_id, unnest(list_slice(list_filter(regexp_split_to_array(lower(text), '[^a-zà-ÿ0-9]+'), lambda x: x <> ''), 1, 3)) AS term FROM documents WHERE doc_id % 50 = 0),
+_HYBRID = f"""{_POST}, {_VEC}, q AS (SELECT DISTINCT doc_id AS query_id, unnest(list_slice({_SPLIT}, 1, 3)) AS term FROM documents WHERE doc_id % 50 = 0),
   bm AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM l)))) AS score FROM q JOIN p USING (term) JOIN i USING (term) JOIN l USING (doc_id) GROUP BY 1, 2),
   k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS kr FROM bm QUALIFY kr <= 20),
   x AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS xr FROM v QUALIFY xr <= 20),
@@ -281,10 +279,11 @@ def keyword_ranks(s, d, every: int = 50, terms: int = 3, most: int = 20):
     """(query_id, doc_id, kr): the best documents by BM25 for the first words of every ``every``-th document."""
     docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     asked = docs.filter(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.slice(words(), 1, terms))).alias("term"))
-    length = F.regexp_count(F.lower("text"), F.lit(WORD))
-    facts = docs.select(length.alias("len")).filter("len > 0").agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("avgdl"))).scalar()
+    # the split is by itself in each scan, so a text is split once and not again for each of its words
+    lengths = docs.select("doc_id", F.size(words()).alias("len")).filter("len > 0")
+    facts = lengths.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("avgdl"))).scalar()
     # only words that are asked for leave their documents
-    held = docs.select("doc_id", length.alias("len"), F.explode(words()).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    held = docs.select("doc_id", F.explode(words()).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(lengths, "doc_id")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     part = F.expr("(1 + ln((f.n + 1) / (df + 1))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / f.avgdl))")
     scores = asked.join(held, "term").join(df, "term").withColumn("f", facts).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))

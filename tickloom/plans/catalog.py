@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics_queries, bar_queries, kernel_queries, ledger_queries, metric_queries, research_queries
+from . import analytics_queries, bar_queries, kernel_queries, ledger_queries, metric_queries, research_queries, store_queries
 
-MODULES = [bar_queries, analytics_queries, research_queries, kernel_queries, metric_queries, ledger_queries]
+MODULES = [bar_queries, analytics_queries, research_queries, kernel_queries, metric_queries, ledger_queries, store_queries]
 
 
 def queries() -> dict:
