@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, IsNotNull, LessThan
 
+from tickloom.operators import affine, materialized
 from tickloom.operators import retrieval as R
 from tickloom.operators import vectors as V
 from tickloom.sources import polled, versioned
@@ -229,3 +230,68 @@ def test_pruned_scan_reads_the_range_alone(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(builtins, "open", plain)
     assert n == 12 and len(parts) == read["files"] == 2
     assert read["bytes"] < 12 * polled.ROW.itemsize + 2 * polled.HEADER_SIZE + 8 * 2 * 12
+
+
+# ---- affine scans and materialised features ----
+
+BARS = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
+
+
+def walk(n, symbols=("a", "b"), seed=1, hours=7):
+    rng = random.Random(seed)
+    out = []
+    for s in symbols:
+        c = 100.0
+        for k in range(n):
+            c = max(1.0, c + rng.gauss(0, 1)) if k % 23 else c
+            out.append((s, datetime(2024, 1, 1) + timedelta(hours=hours * k), c, c + rng.random(), c - rng.random(), c, 1.0))
+    return out
+
+
+@pytest.mark.parametrize("name", sorted(affine.INDICATORS))
+def test_blocks_do_not_change_an_indicator_and_no_python_runs(spark, name):
+    bars = spark.createDataFrame(walk(600) + walk(5, ("short",)) + walk(1, ("one",)), BARS)
+    one, many = (affine.INDICATORS[name](bars, n) for n in (4096, 12))
+    assert not re.search("Python|Pandas|Arrow", many._jdf.queryExecution().optimizedPlan().toString())
+    a, b = (sorted(map(tuple, df.collect()), key=lambda r: r[:2]) for df in (one, many))
+    assert len(a) == 1206 and [r[:2] for r in a] == [r[:2] for r in b]
+    for x, y in zip(a, b, strict=True):
+        assert [v is None for v in x] == [v is None for v in y] and [v for v in x[2:] if v is not None] == pytest.approx([v for v in y[2:] if v is not None], rel=1e-9, abs=1e-9)
+
+
+def test_averages_by_hand(spark):
+    data = walk(40, ("a",))
+    c = [r[5] for r in data]
+    got = [r.ema10 for r in affine.ema_pair(spark.createDataFrame(data, BARS), 12).orderBy("ts").collect()]
+    y, want = c[0], []
+    for v in c:
+        y += 2 / 11 * (v - y)
+        want.append(y)
+    assert got == pytest.approx(want)
+    gain = loss = None
+    steps = [b - a for a, b in zip(c, c[1:])]
+    rsi = [r.rsi for r in affine.rsi(spark.createDataFrame(data, BARS), 12).orderBy("ts").collect()]
+    assert rsi[:14] == [None] * 14
+    for k in range(14, 40):
+        if gain is None:
+            gain, loss = sum(max(x, 0) for x in steps[:14]) / 14, sum(max(-x, 0) for x in steps[:14]) / 14
+        else:
+            gain, loss = (gain * 13 + max(steps[k - 1], 0)) / 14, (loss * 13 + max(-steps[k - 1], 0)) / 14
+        assert rsi[k] == pytest.approx(100 - 100 / (1 + gain / loss) if loss else 100)
+
+
+def test_a_refresh_reads_new_periods_only_and_equals_the_whole(spark, tmp_path):
+    data = walk(500) + walk(60, ("early",)) + [(s, t + timedelta(days=90), *r) for s, t, *r in walk(30, ("late",))]
+    bars = spark.createDataFrame(data, BARS)
+    path, whole = str(tmp_path / "parts"), str(tmp_path / "whole")
+    bars.withColumn("month", F.date_format("ts", "yyyy-MM")).write.partitionBy("month").parquet(str(tmp_path / "bars"))
+    begun = []
+    for until in ("2024-02-10", "2024-03-05", "2024-03-05", "2024-12-31"):
+        seen = spark.read.parquet(str(tmp_path / "bars")).filter(f"ts < '{until}'")
+        begun.append(materialized.refresh(seen, path, "month", per_block=50))
+    assert begun == [None, "2024-02-01", "2024-03-01", "2024-03-01"]
+    materialized.refresh(bars, whole, "month")
+    a, b = (sorted(map(tuple, materialized.features(spark, p).collect()), key=lambda r: r[:2]) for p in (path, whole))
+    assert len(a) == len(data) and [r[:2] for r in a] == [r[:2] for r in b]
+    for x, y in zip(a, b, strict=True):
+        assert [v is None for v in x] == [v is None for v in y] and [v for v in x[2:] if v is not None] == pytest.approx([v for v in y[2:] if v is not None])

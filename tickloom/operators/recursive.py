@@ -1,4 +1,4 @@
-"""Recursive indicators: one ordered series per symbol in a grouped map."""
+"""Recursive indicators that are no affine maps: one ordered series per symbol in a grouped map."""
 
 from __future__ import annotations
 
@@ -9,12 +9,6 @@ from tickloom.functions import series as S
 
 #: Name, columns and function of the OHLCV vectors of a symbol.
 SERIES = {
-    "ema": ("ema10 double, ema20 double", lambda o, h, l, c, v: (S.ema(c, 10), S.ema(c, 20))),
-    "rsi": ("rsi double", lambda o, h, l, c, v: (S.rsi(c, 14),)),
-    "macd": ("macd double, macd_signal double, macd_hist double", lambda o, h, l, c, v: (*(m := S.macd(c, 12, 26, 9)), m[0] - m[1])),
-    "atr_wilder": ("atr double", lambda o, h, l, c, v: (S.atr(h, l, c, 14),)),
-    "adx": ("adx double", lambda o, h, l, c, v: (S.adx(h, l, c, 14),)),
-    "kama": ("kama double", lambda o, h, l, c, v: (S.kama(c, 10, 2, 30),)),
     "mama": ("mama double, fama double", lambda o, h, l, c, v: S.mama(c)),
     "vpin": ("vpin double", lambda o, h, l, c, v: (S.vpin(c, v, 50),)),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickloom.operators import affine
 from tickloom.operators import bars as B
 from tickloom.operators import documents as D
 from tickloom.operators import kernels as K
@@ -54,6 +55,8 @@ def recursive_sql(first: str, step: str, out: str, extra: str = "", where: str =
   r AS ({first} UNION ALL {step} FROM r JOIN n ON n.symbol = r.symbol AND {where}) {out}"""
 
 
+for name, build in affine.INDICATORS.items():
+    query(name)(lambda s, d, build=build: rounded(build(B.bars_of(s, d))))
 for name in recursive.SERIES:
     query(name)(lambda s, d, name=name: recursive.indicator(B.bars_of(s, d), name, 6))
 SQL["ema"] = recursive_sql("SELECT symbol, ts, rn, close AS a, close AS b FROM n WHERE rn = 1", "SELECT n.symbol, n.ts, n.rn, r.a + 2.0 / 11 * (n.close - r.a), r.b + 2.0 / 21 * (n.close - r.b)", "SELECT symbol, ts, round(a, 6) AS ema10, round(b, 6) AS ema20 FROM r")

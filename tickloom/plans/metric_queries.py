@@ -212,7 +212,8 @@ query("keyword_score", f"WITH x AS (SELECT p_partkey, lower(p_name || ' momentum
 _SPARK = f"list_aggregate(list_transform(v, lambda x: substr('{R.SPARKS}', CAST(least(floor((x - lo) / (hi - lo) * 7), 7) AS INT) + 1, 1)), 'string_agg', '')"
 query("sparkline", f"WITH {DAILY}, m AS (SELECT symbol, date_trunc('month', ts) AS month, arg_max(close, ts) AS c FROM daily GROUP BY 1, 2), t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY month DESC) <= 8), a AS (SELECT symbol, list(c ORDER BY month) AS v, min(c) AS lo, max(c) AS hi FROM t GROUP BY 1) SELECT symbol, {_SPARK} AS line, CASE WHEN abs(v[-1] - v[1]) < 0.01 THEN '→' WHEN v[-1] > v[1] THEN '↗' ELSE '↘' END AS arrow FROM a")(
     lambda s, d: R.sparklines(B.daily_bars(s, d).groupBy("symbol", F.trunc(F.to_date("ts"), "month").alias("month")).agg(F.max_by("close", "ts").alias("c")), "month", "c", 8))
-_FLAGS = "symbol, abs(recent - whole) > 0.1 AS ac, vr > 1.2 AS expanding, vr < 0.8 AS contracting, abs(rs - ws) > 0.5 AS skew"
+# fixed values: the limits of each flag
+_FLAGS = "symbol, abs(recent - whole) > 0.15 AS ac, vr > 1.5 AS expanding, vr < 0.6 AS contracting, abs(rs - ws) > 0.5 AS skew"
 _TEXT = "concat_ws('; ', CASE WHEN ac THEN 're-evaluate strategy type selection' END, CASE WHEN expanding THEN 'consider reducing position size or leverage' END, CASE WHEN contracting THEN 'mean-reversion strategies may outperform' END, CASE WHEN skew THEN 'check tail risk and stop-loss adequacy' END)"
 _SKEW = "(avg({0} * {0} * {0}) - 3 * avg({0}) * avg({0} * {0}) + 2 * power(avg({0}), 3)) / power(stddev_pop({0}), 3)"
 query("anomaly_text", f"WITH {DAILY}, a AS (SELECT symbol, ts, close / lag(close) OVER w - 1 AS r, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM daily WINDOW {W}), b AS (SELECT *, lag(r) OVER w AS pr, CASE WHEN back <= 60 THEN r END AS late FROM a WINDOW {W}), c AS (SELECT symbol, corr(r, pr) AS whole, corr(late, pr) AS recent, stddev_pop(late) / stddev_pop(r) AS vr, {_SKEW.format('late')} AS rs, {_SKEW.format('r')} AS ws FROM b GROUP BY 1), f AS (SELECT {_FLAGS} FROM c) SELECT symbol, symbol || ': ' || coalesce(nullif({_TEXT}, ''), 'review strategy parameters') AS advice FROM f")(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
+from tickloom.operators import materialized
 from tickloom.operators import retrieval as R
 from tickloom.operators import vectors as V
 from tickloom.sources import polled, versioned
@@ -13,6 +14,7 @@ from tickloom.streaming import bars as S
 from tickloom.streaming import state
 
 from .analytics_queries import _SPLIT
+from .analytics_queries import SQL as _RECURSIVE
 from .bar_queries import rounded
 from .oracle import TICKS, bars_cte
 from .research_queries import _shared
@@ -248,3 +250,34 @@ def ingest(docs: DataFrame, table: str, checkpoint: str, size: int = 500, step:
         versioned.merge(chunks, table, ["path"], f"ingest:{number}")
 
     docs.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
+# ---- materialised features ----
+
+_WHOLE = f"""SELECT symbol, ts, ema10, ema20, rsi, atr FROM ({_RECURSIVE["ema"]}) JOIN ({_RECURSIVE["rsi"]}) USING (symbol, ts) JOIN ({_RECURSIVE["atr_wilder"]}) USING (symbol, ts)"""
+
+
+@query("features_refreshed", _WHOLE)
+def features_refreshed(s: SparkSession, d: str) -> DataFrame:
+    """Features of a table that grows twice, in the midst of a period and past its end."""
+    at, bars = f"{_shared(s)}/features", B.bars_of(s, d)
+    for until in ("2024-01-10 08:00:00", "2024-01-23", "2025-01-01"):
+        materialized.refresh(bars.filter(f"ts < '{until}'"), at, "week", per_block=64)
+    return rounded(materialized.features(s, at).drop("close"))
+
+
+@query("features_online", f"SELECT * FROM ({_WHOLE}) WHERE ts >= TIMESTAMP '2024-01-12'")
+def features_online(s: SparkSession, d: str) -> DataFrame:
+    """Features of a stream that starts from the states of a table."""
+    at, bars = _shared(s), B.bars_of(s, d)
+    materialized.refresh(bars.filter("ts < '2024-01-12'"), f"{at}/features", "week")
+    new = bars.filter("ts >= '2024-01-12'").select("symbol", F.col("ts").cast("timestamp").alias("ts"), "high", "low", "close")
+    for k, part in enumerate(("ts < '2024-01-20'", "ts >= '2024-01-20'")):
+        new.filter(part).coalesce(1).write.parquet(f"{at}/in/file={k}")
+    # a symbol of its own moves the time on, so that all bars are due
+    new.limit(1).withColumn("symbol", F.lit("")).withColumn("ts", F.lit(_END).cast("timestamp")).coalesce(1).write.parquet(f"{at}/in/file=2")
+    stream = s.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/file=*")
+    out = state.online(stream, materialized.states(s, f"{at}/features"), "40 days")
+    S.run_to(out, f"{at}/out", f"{at}/state")
+    rows = S.result(s, f"{at}/out", out.schema).filter("symbol <> ''")
+    return rounded(rows.select("symbol", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"), "ema10", "ema20", "rsi", "atr"))

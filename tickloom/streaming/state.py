@@ -240,3 +240,52 @@ def unseen(docs: DataFrame, ttl: str, late: str = "0 seconds") -> DataFrame:
     known = docs.filter("path IS NOT NULL AND text IS NOT NULL").withWatermark("ts", late)
     keyed = known.select(F.sha2("text", 256).alias("hash"), "ts", F.unix_micros("ts").alias("at"), F.lit(0).alias("rank"), "path", "text")
     return keyed.groupBy("hash").transformWithStateInPandas(Seen(ms), "hash string, at long, path string, text string", "append", "EventTime")
+
+
+class Online(InOrder):
+    """The features of ``operators.materialized`` bar by bar, from the state of a batch table on."""
+
+    held_fields = ["high double", "low double", "close double"]
+    out_columns = ["symbol", "at", "close", "ema10", "ema20", "rsi", "atr"]
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", "n long, close double, ema10 double, ema20 double, up double, down double, atr double")
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        row = initialState[["n", "close", "ema10", "ema20", "up", "down", "atr"]].iloc[-1]
+        self.kept.update((int(row["n"]), *[float(v) for v in row.iloc[1:]]))
+
+    def averaged(self, was: float, x: float, i: int, first: int, last: int) -> float:
+        """Wilder's average at row ``i``, seeded with the mean of rows ``first`` to ``last``."""
+        if i < first:
+            return 0.0
+        if i <= last:
+            total = (was if i > first else 0.0) + x
+            return total / (last - first + 1) if i == last else total
+        return was + (x - was) / self.n
+
+    def step(self, key: tuple, rows: list[tuple]) -> list[tuple]:
+        i, last, fast, slow, up, down, atr = self.kept.get() if self.kept.exists() else (0, None, 0.0, 0.0, 0.0, 0.0, 0.0)
+        out = []
+        for at, _, high, low, close in rows:
+            move = 0.0 if last is None else close - last
+            span = high - low if last is None else max(high - low, abs(high - last), abs(low - last))
+            fast, slow = (close, close) if i == 0 else (fast + 2 / 11 * (close - fast), slow + 2 / 21 * (close - slow))
+            up, down = (self.averaged(was, x, i, 1, self.n) for was, x in ((up, max(move, 0.0)), (down, max(-move, 0.0))))
+            atr = self.averaged(atr, span, i, 0, self.n - 1)
+            rsi = None if i < self.n else 100.0 if down == 0 else 100 - 100 / (1 + up / down)
+            out.append((key[0], at, close, fast, slow, rsi, atr if i >= self.n - 1 else None))
+            i, last = i + 1, close
+        self.kept.update((i, last, fast, slow, up, down, atr))
+        return out
+
+
+def online(bars: DataFrame, warm: DataFrame | None = None, late: str = "0 seconds", n: int = 14) -> DataFrame:
+    """(symbol, at, close, ema10, ema20, rsi, atr) of a stream (symbol, ts timestamp, high, low, close), on from the states ``warm``."""
+    prepared(bars.sparkSession)
+    keyed = bars.withWatermark("ts", late).select("symbol", "ts", F.unix_micros("ts").alias("at"), F.lit(0).alias("rank"), "high", "low", "close")
+    schema = "symbol string, at long, close double, ema10 double, ema20 double, rsi double, atr double"
+    return keyed.groupBy("symbol").transformWithStateInPandas(Online(n), schema, "append", "EventTime", None if warm is None else warm.groupBy("symbol"))
