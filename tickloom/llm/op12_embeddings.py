@@ -11,7 +11,7 @@ is the margin.  So cells overlap, and a node meets what it links with at home.
 
 Build: in each shard a node's candidates are its nearest ones and some drawn by
 hash, and robust pruning keeps one only if no kept one is nearer to it by the
-factor ``ALPHA``; edges are added backwards too.  Merge: the adjacency lists that
+factor ``ALPHA``; some drawn from its range are added, as are edges backwards.  Merge: the adjacency lists that
 a node got in its shards are united.  Search: from the medoids of its home, and
 from its own list, each node walks greedily with a beam, then expands through
 all it has met within the range and a slack, in the merged graph.  Neighbours
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, op2_minhash
+from . import common, op2_minhash, textblock
 
 SIMILARITY = 0.98
 #: Nodes of a shard, about.
@@ -51,8 +51,8 @@ CENTRES, SAMPLE = 64, 4000
 SIGMAS = 3.0
 #: A split that leaves this share of the nodes in one cell is given up.
 STUCK = 0.8
-#: Candidates by nearness and by hash, edges kept, edges after adding those backwards.
-NEAR, DRAWN, DEGREE, MOST = 40, 16, 24, 48
+#: Candidates by nearness and by hash, edges kept, edges to others of the range, edges after adding those backwards.
+NEAR, DRAWN, DEGREE, RANGED, MOST = 40, 16, 24, 8, 64
 ALPHA = 1.2
 BEAM, MEDOIDS = 12, 8
 #: The search goes on through what is at least so similar.
@@ -121,7 +121,7 @@ def built(x: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
     """The neighbours (places) of each row: pruned candidates, edges backwards added and pruned again where too many."""
     n = len(x)
     wide = np.vstack([x, np.zeros((1, x.shape[1]), x.dtype)])
-    out = np.full((n, DEGREE), n)
+    out = np.full((n, DEGREE + RANGED), n)
     for i in range(0, n, 256):
         own = np.arange(i, min(i + 256, n))
         near = x[own] @ x.T
@@ -132,8 +132,14 @@ def built(x: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
         drawn[(drawn[:, :, None] == pool[:, None, :]).any(2)] = n
         for c in range(1, DRAWN):
             drawn[(drawn[:, c : c + 1] == drawn[:, :c]).any(1), c] = n
-        out[own] = pruned(wide, own, np.hstack([pool, drawn]), DEGREE)
-    a, b = np.repeat(np.arange(n), DEGREE), out.ravel()
+        out[own, :DEGREE] = pruned(wide, own, np.hstack([pool, drawn]), DEGREE)
+        # in a group whose distances are all alike nothing is covered, and the nearest fill the list: some of the range keep it together
+        mixed = (ids[own][:, None].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (ids[None, :].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        chance = np.where(near >= EXPAND, textblock.mix(mixed) >> np.uint64(40), np.uint64(0))
+        k = min(RANGED, n)
+        best = np.argpartition(chance, n - k, 1)[:, n - k :]
+        out[own, DEGREE : DEGREE + k] = np.where(np.take_along_axis(chance, best, 1) > 0, best, n)
+    a, b = np.repeat(np.arange(n), out.shape[1]), out.ravel()
     a, b = a[b < n], b[b < n]
     edges = np.unique(np.concatenate([a * n + b, b * n + a]))
     lists = np.split(edges % n, np.searchsorted(edges, np.arange(1, n) * n))
