@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, IsNotNull, LessThan
 
-from tickloom.operators import affine, materialized
+from tickloom.operators import affine, matching, materialized
 from tickloom.operators import retrieval as R
 from tickloom.operators import vectors as V
 from tickloom.sources import polled, versioned
@@ -295,3 +295,35 @@ def test_a_refresh_reads_new_periods_only_and_equals_the_whole(spark, tmp_path):
     assert len(a) == len(data) and [r[:2] for r in a] == [r[:2] for r in b]
     for x, y in zip(a, b, strict=True):
         assert [v is None for v in x] == [v is None for v in y] and [v for v in x[2:] if v is not None] == pytest.approx([v for v in y[2:] if v is not None])
+
+
+# ---- matching ----
+
+
+def two_pointers(left, right, tolerance):
+    """Pairs by walking both sides of each key in order of (at, id)."""
+    out = []
+    for key in {r[1:3] for r in left} & {r[1:3] for r in right}:
+        a, b = (sorted((r[3], r[0]) for r in side if r[1:3] == key and r[3] is not None) for side in (left, right))
+        i = j = 0
+        while i < len(a) and j < len(b):
+            if abs(b[j][0] - a[i][0]) <= tolerance:
+                out.append((a[i][1], b[j][1], b[j][0] - a[i][0]))
+                i, j = i + 1, j + 1
+            elif b[j][0] < a[i][0]:
+                j += 1
+            else:
+                i += 1
+    return out
+
+
+@pytest.mark.parametrize(("seed", "tolerance"), [(1, 0), (2, 5), (3, 40), (4, 1000)])
+def test_matching_equals_two_pointers(spark, seed, tolerance):
+    rng = random.Random(seed)
+    side = lambda first: [(first + k, rng.choice(["x", "y", None]), rng.choice([1, 2]), None if k % 31 == 0 else rng.choice([rng.randint(-300, 3000), 7])) for k in range(220)]
+    left, right = side(0), side(1000)
+    frames = [spark.createDataFrame(rows, "id long, symbol string, shares int, at long").repartition(3) for rows in (left, right)]
+    got = [tuple(r) for r in matching.matched(*frames, ["symbol", "shares"], tolerance).collect()]
+    pairs = [r for r in got if None not in r[:2]]
+    assert sorted(pairs) == sorted(two_pointers(left, right, tolerance))
+    assert sorted(r[0] for r in got if r[0] is not None) == [r[0] for r in left] and sorted(r[1] for r in got if r[1] is not None) == [r[0] for r in right]

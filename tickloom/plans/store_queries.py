@@ -1,4 +1,4 @@
-"""Stored indexes, versioned tables, polled sources and streams with typed state, with their SQL."""
+"""Stored indexes, versioned tables, polled sources, streams with typed state, features, and matching, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
-from tickloom.operators import materialized
+from tickloom.operators import matching, materialized
 from tickloom.operators import retrieval as R
 from tickloom.operators import vectors as V
 from tickloom.sources import polled, versioned
@@ -281,3 +281,30 @@ def features_online(s: SparkSession, d: str) -> DataFrame:
     S.run_to(out, f"{at}/out", f"{at}/state")
     rows = S.result(s, f"{at}/out", out.schema).filter("symbol <> ''")
     return rounded(rows.select("symbol", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"), "ema10", "ema20", "rsi", "atr"))
+
+
+# ---- matching ----
+
+_OURS = "SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS symbol, l_linestatus AS side, l_quantity::BIGINT AS shares, epoch_us(l_shipdate) // 1000000 AS sec FROM lineitem"
+_TOLERANCE = 90_000
+
+
+@query("fills_matched", f"""
+WITH RECURSIVE a AS ({_OURS}), f AS (SELECT id + 1000000000 AS id, symbol, side, shares, sec + 30 + (id % 3) * 43200 AS sec FROM a WHERE id % 7 <> 0),
+  b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol, side, shares ORDER BY sec, id) AS n FROM a),
+  l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol, side, shares ORDER BY sec, id) AS n FROM f),
+  r AS (SELECT DISTINCT symbol, side, shares, 1::BIGINT AS i, 1::BIGINT AS j, NULL::BIGINT AS left_id, NULL::BIGINT AS right_id, NULL::BIGINT AS delay, 0::BIGINT AS bn, 0::BIGINT AS ln FROM a
+    UNION ALL SELECT r.symbol, r.side, r.shares, i + (l.sec >= b.sec - {_TOLERANCE})::INT, j + (l.sec <= b.sec + {_TOLERANCE})::INT,
+      CASE WHEN abs(l.sec - b.sec) <= {_TOLERANCE} THEN b.id END, CASE WHEN abs(l.sec - b.sec) <= {_TOLERANCE} THEN l.id END, CASE WHEN abs(l.sec - b.sec) <= {_TOLERANCE} THEN l.sec - b.sec END, b.n, l.n
+    FROM r JOIN b ON b.symbol = r.symbol AND b.side = r.side AND b.shares = r.shares AND b.n = r.i JOIN l ON l.symbol = r.symbol AND l.side = r.side AND l.shares = r.shares AND l.n = r.j),
+  m AS (SELECT * FROM r WHERE left_id IS NOT NULL)
+SELECT left_id, right_id, delay FROM m UNION ALL SELECT id, NULL, NULL FROM b ANTI JOIN m ON b.symbol = m.symbol AND b.side = m.side AND b.shares = m.shares AND b.n = m.bn
+UNION ALL SELECT NULL, id, NULL FROM l ANTI JOIN m ON l.symbol = m.symbol AND l.side = m.side AND l.shares = m.shares AND l.n = m.ln""")
+def fills_matched(s: SparkSession, d: str) -> DataFrame:
+    """Trades and the fills that they may have, matched by symbol, side, number and time, without an order's key."""
+    t = s.read.parquet(f"{d}/lineitem.parquet")
+    at = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', l_shipdate)").alias("at")
+    ours = t.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("symbol"), F.col("l_linestatus").alias("side"), F.col("l_quantity").cast("long").alias("shares"), at)
+    fills = ours.filter("id % 7 <> 0").withColumn("at", F.col("at") + 30 + F.col("id") % 3 * 43200).withColumn("id", F.col("id") + 1_000_000_000)
+    renamed = [x.withColumnRenamed("side", "way") for x in (ours, fills)]
+    return matching.matched(*renamed, ["symbol", "way", "shares"], _TOLERANCE)
