@@ -270,6 +270,24 @@ def test_equal_page_rows_have_one_response_and_files_are_bounded(spark, monkeypa
     assert op8_warc.convert(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_one_partition_has_both_versions_and_revisits_name_what_they_refer_to(spark):
+    import gzip
+
+    big = "x" * 3000
+    pages = spark.createDataFrame([(k, f"http://h/{k}", big if k < 3 else f"page {k}") for k in range(30)], "page_id long, url string, html string").coalesce(1)
+    arcs = op8_warc.write_arc(pages).collect()
+    versions = Counter(next(op8_warc.arc_records(gzip.decompress(r.content)))["version"] for r in arcs)
+    assert set(versions) == {"1", "2"}
+    heads = [h for r in op8_warc.write_warc(op8_warc.write_arc(pages)).collect() for h, _ in op8_warc.warc_records(gzip.decompress(r.content))]
+    named = {op8_warc.header(h, "WARC-Record-ID"): h for h in heads}
+    revisits = [h for h in heads if op8_warc.header(h, "WARC-Type") == "revisit"]
+    assert len(revisits) == 2
+    for h in revisits:
+        to = named[op8_warc.header(h, "WARC-Refers-To")]
+        assert op8_warc.header(h, "WARC-Refers-To-Target-URI") == op8_warc.header(to, "WARC-Target-URI") == "http://h/2"
+        assert op8_warc.header(h, "WARC-Refers-To-Date") == op8_warc.header(to, "WARC-Date")
+
+
 def test_bpe_takes_matches_of_any_length():
     import public_tokenizers
 

@@ -31,6 +31,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -185,15 +186,15 @@ def _written(archives: DataFrame, separator: str) -> DataFrame:
 
 
 def write_arc(pages: DataFrame) -> DataFrame:
-    """Pages as ARC files, partitions in turn of version 1 and 2; the files as binaryFile rows."""
+    """Pages as ARC files, of version 1 or 2 by a hash of the page; the files as binaryFile rows."""
     from pyspark import TaskContext
 
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
     limits = PER_FILE, FILE_BYTES
+    half = F.pmod(F.xxhash64("page_id", "url"), F.lit(2))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        version = "12"[part % 2]
+    def run(batches: Iterator[pa.RecordBatch], version: str) -> Iterator[pa.RecordBatch]:
+        part = f"{version}-{TaskContext.get().partitionId()}"
 
         def records() -> Iterator[bytes]:
             for batch in batches:
@@ -205,7 +206,8 @@ def write_arc(pages: DataFrame) -> DataFrame:
 
         yield from _archives(records(), b"\n", lambda k: version_block(version, f"pages-{part}-{k}.arc", "20240101000000").encode(), limits)
 
-    return _written(pages.mapInArrow(run, "value binary"), "\n")
+    parts = [pages.filter(half == k).mapInArrow(partial(run, version=v), "value binary") for k, v in enumerate("12")]
+    return _written(parts[0].union(parts[1]), "\n")
 
 
 PARSED = "page_id long, record_id string, info_id string, kind string, url string, ip string, date string, mime string, truncated boolean, http binary, payload binary, payload_bytes long, digest string"
@@ -249,14 +251,14 @@ def write_warc(files: DataFrame) -> DataFrame:
     """The records of ARC files as WARC files, copies as revisits; the files as binaryFile rows."""
     from pyspark import TaskContext
 
-    top = F.max(F.struct("page_id", "record_id")).alias("top")
+    top = F.max(F.struct("page_id", "record_id", "url", "date")).alias("top")
     records = parse_arc(files)
     able = (F.col("payload_bytes") >= SHARED) & (F.col("kind") == "response")
-    copies = parse_arc(files, contents=False).filter(able).groupBy("digest").agg(top, F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("copied"), F.col("top.record_id").alias("refers"))
-    marked = records.join(common.stored(copies), (F.col("digest") == F.col("copied")) & (F.col("kind") == "response"), "left").withColumn("refers", F.expr("nullif(refers, record_id)")).select(*records.columns, "refers")
+    copies = parse_arc(files, contents=False).filter(able).groupBy("digest").agg(top, F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("copied"), F.col("top.record_id").alias("refers"), F.col("top.url").alias("refers_url"), F.col("top.date").alias("refers_date"))
+    marked = records.join(common.stored(copies), (F.col("digest") == F.col("copied")) & (F.col("kind") == "response"), "left").withColumn("refers", F.expr("nullif(refers, record_id)")).select(*records.columns, "refers", "refers_url", "refers_date")
     job, limits = uuid.uuid4().hex, (PER_FILE, FILE_BYTES)
 
-    def converted(page, record, info, kind, url, ip, date, mime, truncated, http, payload, size, digest, refers) -> bytes:
+    def converted(page, record, info, kind, url, ip, date, mime, truncated, http, payload, size, digest, refers, refers_url, refers_date) -> bytes:
         fields = {"WARC-Type": kind, "WARC-Record-ID": record, "WARC-Date": date}
         if kind == "warcinfo":
             lines = payload.decode("latin-1").split("\n")
@@ -264,7 +266,7 @@ def write_warc(files: DataFrame) -> DataFrame:
             return warc_record(fields | {"WARC-Filename": url.removeprefix("filedesc://"), "Content-Type": "application/warc-fields"}, body)
         block = http if refers else http + payload
         if refers:
-            fields |= {"WARC-Type": "revisit", "WARC-Profile": REVISIT, "WARC-Refers-To": refers}
+            fields |= {"WARC-Type": "revisit", "WARC-Profile": REVISIT, "WARC-Refers-To": refers, "WARC-Refers-To-Target-URI": refers_url, "WARC-Refers-To-Date": refers_date}
         mime = "application/http; msgtype=response" if kind == "response" else mime if "/" in mime else "application/octet-stream"
         fields |= {"WARC-Target-URI": url, "WARC-IP-Address": None if ip in ("", "-", "0.0.0.0") else ip, "WARC-Warcinfo-ID": info, "WARC-Truncated": "unspecified" if truncated else None}
         return warc_record(fields | {"WARC-Payload-Digest": digest, "WARC-Block-Digest": sha1(block), "Content-Type": mime}, block)
@@ -274,7 +276,7 @@ def write_warc(files: DataFrame) -> DataFrame:
 
         def own() -> Iterator[bytes]:
             for batch in batches:
-                for row in zip(*(batch.column(k).to_pylist() for k in range(14)), strict=True):
+                for row in zip(*(batch.column(k).to_pylist() for k in range(16)), strict=True):
                     yield converted(*row)
 
         yield from _archives(own(), b"\r\n\r\n", lambda k: warc_record({"WARC-Type": "warcinfo", "WARC-Record-ID": identity(job, part, k), "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"), limits)
