@@ -123,3 +123,27 @@ def test_empty_tables(spark, tmp_path):
     assert whole(spark, tmp_path / "a", [], [], []) == {}
     assert whole(spark, tmp_path / "b", [click(0, 0, 1)], [], []) == {}
     assert whole(spark, tmp_path / "c", [], [(1, 1, "done", BASE, 0, 0)], []) == {}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_sessions_equal_a_walk_over_the_clicks(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for client in range(6):
+        at = -3000.0  # minutes: sessions over midnight and, of the last client, over days; clicks exactly 15 minutes apart
+        for k in range(400):
+            at += float(rng.choice([0, 1, 14.9, 15, 15.0001, 300, 1440], p=[0.1, 0.3, 0.35 - 0.1 * (client % 3), 0.1 + 0.1 * (client % 3), 0.05, 0.06, 0.04]))
+            at = -3000 + 14.9 * k if client == 5 else at
+            rows.append(click(k, at, client, "error" if rng.random() < 0.3 else "view"))
+    us = lambda t: round((t - datetime(1970, 1, 1)).total_seconds() * 1e6)
+    want = []
+    for client in range(6):
+        own = sorted((us(r[1]), r[4] == "error") for r in rows if r[3] == client)
+        held = [own[0]]
+        for x in [*own[1:], (10**18, False)]:
+            if x[0] - held[-1][0] > op.GAP:
+                want.append((client, held[0][0], held[-1][0], any(e for t, e in held if t == held[-1][0])))
+                held = []
+            held.append(x)
+    got = op.sessions(spark.createDataFrame(rows, CLICKS)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(e - b > 2 * 86400 * 10**6 for _, b, e, _ in want)

@@ -14,9 +14,10 @@ running sums give their number, shared slots and digests: no pair is made.
 A shard holds the lists of many keys, those of a key lying ``STRIDE`` apart from
 the next one's.  A key with many queries is dealt to several shards, each with
 the key's lists.  What a key holds is summed up before: sessions are built from
-cells of 15 minutes (the first and last click of each), and sessions that take
-the same slots are one interval with a number and a sum.  So the rows of a key
-are bounded by the length of the period and not by its clicks.
+cells of 15 minutes (the first and last click of each) by day, with a row a day to
+join them over midnight, and sessions that take the same slots are one interval
+with a number and a sum.  So the rows of a key are bounded by the length of the
+period and not by its clicks.
 
 Defined results: rows with a null key or start, intervals that end before they
 start and null line times are left out; a status or kind that is null is not
@@ -39,6 +40,8 @@ from . import common
 
 GAP = 15 * 60 * 1_000_000
 SLOT = 6 * 3600 * 1_000_000
+#: Cells of the length of the gap in a day.
+PER_DAY = 96
 #: The end of an interval that has none.
 OPEN = 1 << 40
 #: Rows of a shard, about.
@@ -242,17 +245,28 @@ def slot(at: Column) -> Column:
 def sessions(clicks: DataFrame) -> DataFrame:
     """(client_id, began, ended, open) of the click sessions of each client, in microseconds.
 
-    Clicks of a client in one cell of 15 minutes are in one session, so cells are summed up first.
+    Clicks of a client in one cell of 15 minutes are in one session, so cells are summed up first, and
+    the cells of a client are put in order by day.
     """
     us = clicks.filter("client_id is not null and ts is not null").select("client_id", micros(clicks, "ts").alias("us"), F.coalesce(F.col("kind") == "error", F.lit(False)).cast("long").alias("err"))
     cell = ((F.col("us") - F.pmod("us", F.lit(GAP))) / GAP).cast("long").alias("cell")
     # the last time and, in its lowest bit, whether an error has it
     cells = us.groupBy("client_id", cell).agg(F.min("us").alias("lo"), F.max(F.col("us") * 2 + F.col("err")).alias("hi"))
-    order = Window.partitionBy("client_id").orderBy("cell")
-    before = F.shiftright(F.lag("hi").over(order), 1)
-    marked = cells.withColumn("new", F.when(F.col("lo") - before <= GAP, 0).otherwise(1))
-    numbered = marked.withColumn("nth", F.sum("new").over(order))
-    found = numbered.groupBy("client_id", "nth").agg(F.min("lo").alias("began"), F.max("hi").alias("hi"))
+    cells = cells.withColumn("day", F.floor(F.col("cell") / PER_DAY))
+    # parts of sessions within a day, numbered from 0: at most 96 cells of a client are together
+    order = Window.partitionBy("client_id", "day").orderBy("cell")
+    apart = F.col("lo") - F.shiftright(F.lag("hi").over(order), 1) > GAP
+    numbered = cells.withColumn("new", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("nth", F.sum("new").over(order))
+    parts = numbered.groupBy("client_id", "day", "nth").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # a row a day says whether its first part goes on with the last one of the day before, and which session that is
+    days = parts.groupBy("client_id", "day").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("nth").alias("last"))
+    along = Window.partitionBy("client_id").orderBy("day")
+    joined = F.coalesce(F.col("lo") - F.shiftright(F.lag("hi").over(along), 1) <= GAP, F.lit(False))
+    named = days.withColumn("joined", joined).withColumn("anchor", F.when((F.col("last") > 0) | ~F.col("joined"), F.col("day") * PER_DAY + F.col("last")))
+    before = F.last("anchor", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    named = named.select("client_id", "day", F.when(F.col("joined"), before).alias("goes_on"))
+    whole = parts.join(named, ["client_id", "day"]).withColumn("session", F.coalesce(F.when(F.col("nth") == 0, F.col("goes_on")), F.col("day") * PER_DAY + F.col("nth")))
+    found = whole.groupBy("client_id", "session").agg(F.min("lo").alias("began"), F.max("hi").alias("hi"))
     return found.select("client_id", "began", F.shiftright("hi", 1).alias("ended"), (F.col("hi") % 2 != 0).alias("open"))
 
 
