@@ -171,3 +171,14 @@ def kama(bars: DataFrame, per_block: int = PER_BLOCK, n: int = 10, fast: int = 2
 
 
 INDICATORS = {"ema": ema_pair, "rsi": rsi, "macd": macd, "atr_wilder": atr, "adx": adx, "kama": kama}
+
+
+def charted(rows: DataFrame, order: str, averages: tuple[int, ...] = (20, 50), per_block: int = PER_BLOCK) -> DataFrame:
+    """(symbol, x, label, prices, ma…) for a chart without gaps: whole rows, of equal time the last by ``order``, numbered from 0, with moving averages."""
+    prices = ["open", "high", "low", "close"]
+    last = F.max_by(F.struct(*prices), order).alias("p")
+    bars = rows.dropna(subset=["ts", *prices]).groupBy("symbol", "ts").agg(last).select("symbol", "ts", "p.*")
+    framed = with_tail(numbered(bars, per_block), max(averages), per_block)
+    w = in_block()
+    means = {f"ma{n}": F.when(F.col("i") >= n - 1, F.avg("close").over(w.rowsBetween(1 - n, 0))) for n in averages}
+    return framed.withColumns(means).filter("NOT tail").select("symbol", F.col("i").alias("x"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("label"), *prices, *means)

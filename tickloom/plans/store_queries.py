@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators import affine
 from tickloom.operators import bars as B
 from tickloom.operators import matching, materialized
 from tickloom.operators import retrieval as R
@@ -308,3 +309,20 @@ def fills_matched(s: SparkSession, d: str) -> DataFrame:
     fills = ours.filter("id % 7 <> 0").withColumn("at", F.col("at") + 30 + F.col("id") % 3 * 43200).withColumn("id", F.col("id") + 1_000_000_000)
     renamed = [x.withColumnRenamed("side", "way") for x in (ours, fills)]
     return matching.matched(*renamed, ["symbol", "way", "shares"], _TOLERANCE)
+
+
+# ---- charts ----
+
+_PRICES = "o_totalprice AS open, o_totalprice * 1.01 AS high, o_totalprice * 0.99 AS low, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_totalprice END AS close"
+
+
+@query("chart_rows", f"""
+WITH r AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, o_orderkey, {_PRICES} FROM orders),
+  k AS (SELECT * FROM r WHERE close IS NOT NULL AND ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY o_orderkey DESC) = 1),
+  n AS (SELECT *, row_number() OVER w - 1 AS x, avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) AS a, avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 49 PRECEDING) AS b FROM k WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, x, strftime(ts, '%Y-%m-%d %H:%M') AS label, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close,
+  round(CASE WHEN x >= 19 THEN a END, 6) AS ma20, round(CASE WHEN x >= 49 THEN b END, 6) AS ma50 FROM n""")
+def chart_rows(s: SparkSession, d: str) -> DataFrame:
+    """What a candlestick chart of each priority's orders shows."""
+    rows = s.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderpriority AS symbol", "o_orderdate AS ts", "o_orderkey", *["o_totalprice AS open", "o_totalprice * 1.01D AS high", "o_totalprice * 0.99D AS low", "CASE WHEN o_orderkey % 97 <> 0 THEN o_totalprice END AS close"])
+    return rounded(affine.charted(rows, "o_orderkey"))
