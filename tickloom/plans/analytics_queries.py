@@ -9,7 +9,7 @@ from tickloom.operators import affine
 from tickloom.operators import bars as B
 from tickloom.operators import documents as D
 from tickloom.operators import kernels as K
-from tickloom.operators import recursive
+from tickloom.operators import pairs, recursive
 from tickloom.operators import retrieval as R
 
 from .bar_queries import asof, rounded
@@ -120,8 +120,14 @@ def _fills(s, d):
 
 query("grid_anti", "SELECT s, l FROM (SELECT unnest(range(2, 30)) AS s) a, (SELECT unnest(range(5, 60, 5)) AS l) b WHERE s < l AND (s, l) NOT IN (SELECT a.s, b.l FROM (SELECT unnest(range(5, 25, 5)) AS s) a, (SELECT unnest(range(10, 60, 10)) AS l) b)")(
     lambda s, d: s.range(2, 30).selectExpr("id AS s").crossJoin(s.range(5, 60, 5).selectExpr("id AS l")).filter("s < l").join(s.range(5, 25, 5).selectExpr("id AS s").crossJoin(s.range(10, 60, 10).selectExpr("id AS l")), ["s", "l"], "left_anti"))
+
+
+def _returns(bars):
+    return bars.withColumn("r", F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("ts")) - 1)
+
+
 query("pair_corr", f"""WITH {bars_cte()}, r AS (SELECT symbol, ts, close / lag(close) OVER w - 1 AS r FROM bars WINDOW {W}) SELECT a.symbol AS a, b.symbol AS b, round(corr(a.r, b.r), 6) AS corr, count(*) AS n FROM r a JOIN r b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2""")(
-    lambda s, d: rounded((r := B.bars_of(s, d).withColumn("r", F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("ts")) - 1).filter("r IS NOT NULL").select("symbol", "ts", "r")).selectExpr("symbol AS a", "ts", "r AS x").join(r.selectExpr("symbol AS b", "ts", "r AS y"), "ts").filter("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))))
+    lambda s, d: rounded(pairs.correlations(_returns(B.bars_of(s, d)), "r").select("a", "b", "corr", "n")))
 
 # metrics over the equity curve that compounds daily returns of each symbol
 _EQ = f"{DAILY}, r AS (SELECT symbol, ts, close, close / lag(close) OVER w - 1 AS r, row_number() OVER w AS rn, max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM daily WINDOW {W})"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
 from tickloom.operators import documents as D
-from tickloom.operators import simulator, validation
+from tickloom.operators import pairs, simulator, validation
 from tickloom.sources import files
 from tickloom.streaming import bars as S
 
@@ -159,12 +159,12 @@ _PAIRS = "j AS (SELECT a.symbol AS a, b.symbol AS b, a.r AS ra, b.r AS rb, a.rn
 
 
 def _pairs(s, d):
-    r = _r(s, d).filter("r IS NOT NULL").select("symbol", "ts", "r", "rn", "n")
-    return r.alias("a").join(r.alias("b"), F.expr("a.ts = b.ts AND a.symbol < b.symbol")).selectExpr("a.symbol AS a", "b.symbol AS b", "a.r AS ra", "b.r AS rb", "a.rn > a.n - 250 AS late")
+    """Correlations over all times and over those of the last 250 days of the first symbol."""
+    return pairs.correlations(_r(s, d).withColumn("late", F.expr("rn > n - 250")), "r", "late")
 
 
 query("corr_shift", f"WITH {_R}, {_PAIRS} SELECT a, b, round(corr(ra, rb), 6) AS every, round(corr(CASE WHEN late THEN ra END, CASE WHEN late THEN rb END), 6) AS recent FROM j GROUP BY 1, 2")(
-    lambda s, d: rounded(_pairs(s, d).groupBy("a", "b").agg(F.corr("ra", "rb").alias("every"), F.expr("corr(CASE WHEN late THEN ra END, CASE WHEN late THEN rb END)").alias("recent"))))
+    lambda s, d: rounded(_pairs(s, d).selectExpr("a", "b", "corr AS every", "corr_f AS recent")))
 # the pair's worse side by Sharpe ratio is halved where they move together
 _WEIGHTS = """m AS (SELECT symbol, avg(r) / stddev_pop(r) * sqrt(252) AS sharpe, stddev_pop(r) * sqrt(252) AS vol FROM r GROUP BY symbol),
   c AS (SELECT a, b FROM j GROUP BY a, b HAVING abs(corr(ra, rb)) > 0.05e0),
@@ -177,7 +177,7 @@ _WEIGHTS = """m AS (SELECT symbol, avg(r) / stddev_pop(r) * sqrt(252) AS sharpe,
 def portfolio_weights(s, d):
     """One row per symbol at the end, so the sum over all rows is over a handful."""
     m = _metrics(s, d).select("symbol", "sharpe", "vol")
-    c = _pairs(s, d).groupBy("a", "b").agg(F.corr("ra", "rb").alias("c")).filter("abs(c) > 0.05D")
+    c = pairs.correlations(_r(s, d), "r").filter("abs(corr) > 0.05D")
     worse = c.join(m.selectExpr("symbol AS a", "sharpe AS sa"), "a").join(m.selectExpr("symbol AS b", "sharpe AS sb"), "b").selectExpr("CASE WHEN sa < sb THEN a ELSE b END AS symbol").groupBy("symbol").agg(F.count("*").alias("k"))
     u = m.join(worse, "symbol", "left").selectExpr("symbol", "greatest(sharpe, 0.01D) / vol * power(0.5D, coalesce(k, 0)) AS u")
     return u.select("symbol", F.round(F.col("u") / u.agg(F.sum("u")).scalar(), 4).alias("weight"))
