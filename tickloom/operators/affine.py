@@ -63,14 +63,18 @@ def _composed(df: DataFrame, names: list[str], w: Window, most: int) -> DataFram
     return df
 
 
-def solved(rows: DataFrame, maps: dict[str, Map], start: DataFrame | None = None, per_block: int = PER_BLOCK) -> DataFrame:
-    """``rows`` (symbol, i, block) with the value of each recurrence; it starts from 0, or from those of ``start`` (symbol, values by name)."""
+def solved(rows: DataFrame, maps: dict[str, Map], start: DataFrame | None = None, per_block: int = PER_BLOCK, blocks: int | None = None) -> DataFrame:
+    """``rows`` (symbol, i, block) with the value of each recurrence; it starts from 0, or from those of ``start`` (symbol, values by name).
+
+    ``blocks`` is at least the number of blocks of a symbol, and is counted where it is not known.
+    """
     names = list(maps)
     df = rows.withColumns({f"__{c}_{k}": m.cast("double") for k, pair in maps.items() for c, m in zip("ab", pair, strict=True)})
     df = _composed(df, names, in_block(), per_block)
     last = F.max_by(F.struct(*[f"__{c}_{k}" for k in names for c in "ab"]), "i").alias("e")
     ends = df.groupBy("symbol", "block").agg(last).select("symbol", "block", "e.*")
-    blocks = ends.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    if blocks is None:
+        blocks = ends.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     w = Window.partitionBy("symbol").orderBy("block")
     ends = _composed(ends, names, w, blocks)
     ends = ends.select("symbol", "block", *[F.lag(f"__{c}_{k}").over(w).alias(f"__p{c}_{k}") for k in names for c in "ab"])

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import affine
 from tickloom.operators import bars as B
-from tickloom.operators import matching, materialized
+from tickloom.operators import matching, materialized, planned
 from tickloom.operators import retrieval as R
 from tickloom.operators import vectors as V
 from tickloom.sources import polled, versioned
 from tickloom.streaming import bars as S
-from tickloom.streaming import state
+from tickloom.streaming import handler, state
 
 from .analytics_queries import _SPLIT
 from .analytics_queries import SQL as _RECURSIVE
-from .bar_queries import rounded
-from .oracle import TICKS, bars_cte
+from .bar_queries import SQL as _WINDOWED
+from .bar_queries import guard, rounded
+from .oracle import TICKS, W, bars_cte, frame, windowed
 from .research_queries import _shared
 
 QUERIES: dict = {}
@@ -267,6 +268,11 @@ def features_refreshed(s: SparkSession, d: str) -> DataFrame:
     return rounded(materialized.features(s, at).drop("close"))
 
 
+def _moved_on(bars: DataFrame, path: str) -> None:
+    """A bar of a symbol of its own moves the time on, so that all others are due."""
+    bars.limit(1).withColumn("symbol", F.lit("")).withColumn("ts", F.lit(_END).cast("timestamp")).coalesce(1).write.parquet(path)
+
+
 @query("features_online", f"SELECT * FROM ({_WHOLE}) WHERE ts >= TIMESTAMP '2024-01-12'")
 def features_online(s: SparkSession, d: str) -> DataFrame:
     """Features of a stream that starts from the states of a table."""
@@ -275,8 +281,7 @@ def features_online(s: SparkSession, d: str) -> DataFrame:
     new = bars.filter("ts >= '2024-01-12'").select("symbol", F.col("ts").cast("timestamp").alias("ts"), "high", "low", "close")
     for k, part in enumerate(("ts < '2024-01-20'", "ts >= '2024-01-20'")):
         new.filter(part).coalesce(1).write.parquet(f"{at}/in/file={k}")
-    # a symbol of its own moves the time on, so that all bars are due
-    new.limit(1).withColumn("symbol", F.lit("")).withColumn("ts", F.lit(_END).cast("timestamp")).coalesce(1).write.parquet(f"{at}/in/file=2")
+    _moved_on(new, f"{at}/in/file=2")
     stream = s.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/file=*")
     out = state.online(stream, materialized.states(s, f"{at}/features"), "40 days")
     S.run_to(out, f"{at}/out", f"{at}/state")
@@ -284,6 +289,50 @@ def features_online(s: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("symbol", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"), "ema10", "ema20", "rsi", "atr"))
 
 
+# ---- bars handled ----
+
+
+@query("bar_handler", f"""
+WITH f AS ({_WHOLE}), {bars_cte()}, s AS (
+    SELECT symbol, ts, close, CASE WHEN 10000 < close THEN 0 WHEN ema10 - ema20 > 1e-4 * close THEN 1 WHEN ema10 - ema20 < -1e-4 * close THEN -1 ELSE 0 END AS side, floor(10000 / close) AS size
+    FROM f JOIN bars USING (symbol, ts) WHERE rsi IS NOT NULL AND close > 0),
+  c AS (SELECT *, lag(side, 1, 0) OVER w AS was FROM s WINDOW {W}),
+  p AS (SELECT *, close * (1 + 5e-4 * sign(side - was)) AS price, CASE WHEN side = 0 THEN 0 ELSE size END AS held FROM c WHERE side <> was),
+  l AS (SELECT *, lag(held, 1, 0) OVER w AS before, lag(price, 1, 0) OVER w AS paid FROM p WINDOW {W})
+SELECT symbol, ts, CASE WHEN side > was THEN 'buy' ELSE 'sell' END AS action, CASE WHEN side = 0 THEN 'close' WHEN was = 0 THEN 'open' ELSE 'reverse' END AS intent,
+  CAST(before + held AS BIGINT) AS shares, round(price, 6) AS price, round((before + held) * price * 1e-3, 6) AS commission, round(was * before * (price - paid), 6) AS pnl FROM l""")
+def bar_handler(s: SparkSession, d: str) -> DataFrame:
+    """The journal of a stream of bars in two files and four batches, with a restart between the files."""
+    at = _shared(s)
+    bars = B.bars_of(s, d).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "high", "low", "close")
+    for k, part in enumerate(("ts < '2024-01-16'", "ts >= '2024-01-16'")):
+        bars.filter(part).coalesce(1).write.parquet(f"{at}/in/file={k}")
+        if k:
+            _moved_on(bars, f"{at}/in/file={k + 1}")
+        stream = s.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/file=*")
+        handler.run(state.online(stream, None, "40 days"), at, f"{at}/state")
+    rows = versioned.read(s, f"{at}/journal").withColumn("ts", F.timestamp_micros("at").cast("timestamp_ntz")).drop("at")
+    return rounded(rows)
+
+
+# ---- indicators by name ----
+
+_MA10 = windowed(guard(10, f"avg(close) OVER {frame(10)}", "ma10"))
+_NAMED = f"""({_WINDOWED['sma']}) JOIN ({_MA10}) USING (symbol, ts) JOIN ({_RECURSIVE['rsi']}) USING (symbol, ts) JOIN ({_RECURSIVE['macd']}) USING (symbol, ts)"""
+_OTHERS = " ".join(f"JOIN ({sql}) USING (symbol, ts)" for sql in (_WINDOWED["bollinger"], _WINDOWED["atr_sma"], _WINDOWED["cci"], _WINDOWED["willr"], _WINDOWED["stoch"], _RECURSIVE["adx"]))
+
+
+@query("all_indicators", f"SELECT symbol, ts, ma5, ma10, ma20, rsi, macd, macd_signal, macd_hist, upper AS bb_upper, mid AS bb_middle, lower AS bb_lower, atr, cci, willr, stoch_k, stoch_d, adx FROM {_NAMED} {_OTHERS}")
+def all_indicators(s: SparkSession, d: str) -> DataFrame:
+    return rounded(planned.indicators(B.bars_of(s, d)).drop(*planned.PRICES))
+
+
+@query("features_parsed", f"SELECT symbol, ts, ma10, ma20, rsi, macd, macd_signal, macd_hist FROM {_NAMED}")
+def features_parsed(s: SparkSession, d: str) -> DataFrame:
+    """Indicators by a list of names, one of which is unknown, over bars without highs and lows."""
+    return rounded(planned.indicators(B.bars_of(s, d).select("symbol", "ts", "close"), ["ma20", "rsi", "macd", "ma10", "adx", "other"]).drop("close"))
+
+
 # ---- matching ----
 
 _OURS = "SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS symbol, l_linestatus AS side, l_quantity::BIGINT AS shares, epoch_us(l_shipdate) // 1000000 AS sec FROM lineitem"
