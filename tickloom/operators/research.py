@@ -167,3 +167,27 @@ def orthogonal(ics: DataFrame, matrix: DataFrame, most: float = 0.7, least: floa
         return pd.DataFrame([(key[0], k, name) for k, name in enumerate(taken)], columns=["symbol", "place", "name"])
 
     return ics.groupBy("symbol").cogroup(matrix.groupBy("symbol")).applyInPandas(run, "symbol string, place int, name string")
+
+
+def split_scores(trades: DataFrame, keys: list[str], groups: int = 6) -> DataFrame:
+    """(keys, cpcv_score, positive): mean profit of a trade over all splits that test two of ``groups`` parts of the time, and the share of splits above 0.
+
+    ``trades`` has the keys, ``sec`` and ``pnl``.  Profits are summed by part first, so a split adds
+    two rows a key.  Keys without a trade in each part are not tested and not returned.
+    """
+    lo, hi = trades.agg(F.min("sec"), F.max("sec")).first()
+    part = F.expr(f"(sec - {lo or 0}) * {groups} DIV {(hi or 0) - (lo or 0) + 1}")
+    sums = trades.filter("sec IS NOT NULL AND pnl IS NOT NULL").groupBy(*keys, part.alias("part")).agg(F.sum("pnl").alias("pnl"), F.count("*").alias("n"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(groups - 1)), lambda o: o != F.col("part"))
+    split = F.explode(F.transform(others, lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))).alias("split")
+    scores = sums.select(*keys, "part", "pnl", "n", split).groupBy(*keys, "split").agg((F.sum("pnl") / F.sum("n")).alias("score"), F.count("*").alias("parts"))
+    tested = scores.groupBy(*keys).agg(F.avg("score").alias("cpcv_score"), F.avg(F.expr("CAST(score > 0 AS INT)")).alias("positive"), F.min("parts").alias("least"), F.count("*").alias("splits"))
+    return tested.filter((F.col("least") == 2) & (F.col("splits") == groups * (groups - 1) // 2)).drop("least", "splits")
+
+
+def tagged(rows: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with their ``cpcv_score`` and whether it is above 0; rows without a score are not validated.  Null keys meet null keys."""
+    right = scores.select(*[F.col(k).alias(f"__{k}") for k in keys], "cpcv_score")
+    same = [rows[k].eqNullSafe(F.col(f"__{k}")) for k in keys]
+    out = rows.join(right, same, "left").drop(*[f"__{k}" for k in keys])
+    return out.withColumn("cpcv_validated", F.coalesce(F.col("cpcv_score") > 0, F.lit(False)))

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import affine
 from tickloom.operators import bars as B
-from tickloom.operators import matching, materialized, planned
+from tickloom.operators import matching, materialized, planned, research
 from tickloom.operators import retrieval as R
 from tickloom.operators import vectors as V
-from tickloom.sources import polled, versioned
+from tickloom.sources import files, polled, versioned
 from tickloom.streaming import bars as S
 from tickloom.streaming import handler, state
 
-from .analytics_queries import _SPLIT
+from .analytics_queries import _PNL, _SPLIT, _pnl
 from .analytics_queries import SQL as _RECURSIVE
 from .bar_queries import SQL as _WINDOWED
 from .bar_queries import guard, rounded
 from .oracle import TICKS, W, bars_cte, frame, windowed
-from .research_queries import _shared
+from .research_queries import _shared, _streamed
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -130,6 +130,19 @@ def pruned_scan(s: SparkSession, d: str) -> DataFrame:
     return rounded(rows.filter("symbol = 'click' AND ts >= timestamp_ntz'2024-01-10' AND ts < timestamp_ntz'2024-01-12 12:00:00'").select("symbol", "ts", "close"))
 
 
+_EACH = " UNION ALL ".join(f"SELECT '{tier}' AS tier, symbol, ts, {', '.join(f'round({c}{kind}, 4) AS {c}' for c in files.PRICES)} FROM bars" for tier, kind in (("arrow", ""), ("binary", "::FLOAT::DOUBLE"), ("parquet", "")))
+
+
+@query("save_fanout", f"WITH {bars_cte()}, t AS ({_EACH}) SELECT * FROM t UNION ALL SELECT 'first', * EXCLUDE (tier) FROM t WHERE tier = 'arrow' AND ts >= TIMESTAMP '2024-01-20'")
+def save_fanout(s: SparkSession, d: str) -> DataFrame:
+    """What each tier of one save holds, and what a reader that names none finds from a date on."""
+    at = _shared(s)
+    files.write_tiers(B.bars_of(s, d), at)
+    parts = [files.read_tier(s, at, t).withColumn("tier", F.lit(t)) for t in files.TIERS]
+    first = files.read_tier(s, at, None, "2024-01-20").withColumn("tier", F.lit("first"))
+    return rounded(parts[0].union(parts[1]).union(parts[2]).union(first), 4)
+
+
 # ---- streams with state ----
 
 _EVERY = {"1h": "1 hour", "4h": "4 hours", "1d": "1 day"}
@@ -289,6 +302,33 @@ def features_online(s: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("symbol", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"), "ema10", "ema20", "rsi", "atr"))
 
 
+# ---- stops, tags ----
+
+_ENTERED = "CASE WHEN seq % 40 = 0 THEN price END"
+
+
+@query("tick_stops", f"""
+WITH t AS (SELECT *, {_ENTERED} AS entry FROM ({TICKS})), g AS (SELECT *, count(entry) OVER w AS g, last_value(entry IGNORE NULLS) OVER w AS e FROM t WINDOW w AS (PARTITION BY symbol ORDER BY seq)),
+  h AS (SELECT *, CASE WHEN price <= e * (1 - 0.3::DOUBLE) THEN 'stop' WHEN price >= e * (1 + 0.5::DOUBLE) THEN 'target' END AS reason FROM g WHERE g > 0 AND e > 0)
+SELECT symbol, ts, round(price, 6) AS price, reason FROM h WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, g ORDER BY seq) = 1""")
+def tick_stops(s: SparkSession, d: str) -> DataFrame:
+    """Entries at every 40th tick, each left once, at its stop or its target, unless another comes before."""
+    return rounded(_streamed(s, d, lambda t: S.stops(t.withColumn("entry", F.expr(_ENTERED)), 0.3, 0.5)))
+
+
+@query("cpcv_tagged", f"""
+WITH {_PNL}, x AS (SELECT symbol, side, pnl, epoch_us(ts) // 1000000 AS sec FROM p),
+  m AS (SELECT symbol, side, (sec - (SELECT min(sec) FROM x)) * 6 // ((SELECT max(sec) FROM x) - (SELECT min(sec) FROM x) + 1) AS part, sum(pnl) AS pnl, count(*) AS n FROM x GROUP BY ALL),
+  v AS (SELECT symbol, side, i, j, sum(pnl) / sum(n) AS score FROM m JOIN (SELECT a.i, b.j FROM range(6) a(i), range(6) b(j) WHERE a.i < b.j) ON part = i OR part = j GROUP BY ALL HAVING count(*) = 2),
+  c AS (SELECT symbol, side, avg(score) AS score FROM v GROUP BY ALL HAVING count(*) = 15)
+SELECT s.symbol, s.side, s.n, round(score, 4) AS cpcv_score, coalesce(score > 0, false) AS cpcv_validated FROM (SELECT symbol, side, count(*) AS n FROM p GROUP BY ALL) s LEFT JOIN c ON s.symbol = c.symbol AND s.side = c.side""")
+def cpcv_tagged(s: SparkSession, d: str) -> DataFrame:
+    """Statistics by symbol and side with whether they hold over all splits of time that test two parts of six."""
+    p = _pnl(s, d).withColumn("sec", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', ts)"))
+    stats = p.groupBy("symbol", "side").agg(F.count("*").alias("n"))
+    return rounded(research.tagged(stats, research.split_scores(p, ["symbol", "side"]), ["symbol", "side"]), 4)
+
+
 # ---- bars handled ----
 
 

@@ -113,15 +113,17 @@ def read_arrow(spark: SparkSession, path: str, start: str = "", end: str = "") -
     return between(from_arrow(_files(spark, path, ".arrow")), start, end)
 
 
-def write_files(packed: DataFrame, path: str, ending: str) -> None:
+def write_files(packed: DataFrame, path: str, ending: str, replace: bool = False) -> None:
     """One file for each row of (symbol, content), below ``path``, in a folder ``file=<symbol><ending>``.
 
-    Spark's text writer puts a line end behind the bytes, which either format passes over.
+    Spark's text writer puts a line end behind the bytes, which either format passes over.  With
+    ``replace`` the files of the symbols in ``packed`` are replaced and others kept; else ``path`` must be new.
     """
     if ending not in (".bin", ".arrow"):
         raise ValueError(f"no file kind {ending!r}")
     lines = packed.select(F.col("content").cast("string").alias("value"), F.concat("symbol", F.lit(ending)).alias("file"))
-    lines.write.option("maxRecordsPerFile", 1).partitionBy("file").text(path)
+    out = lines.write.option("maxRecordsPerFile", 1).partitionBy("file")
+    (out.mode("overwrite").option("partitionOverwriteMode", "dynamic") if replace else out).text(path)
 
 
 def footers(spark: SparkSession, path: str) -> DataFrame:
@@ -163,3 +165,38 @@ def read_database(spark: SparkSession, url: str, table: str, symbol: str, start:
 def write_parquet(bars: DataFrame, path: str) -> None:
     """One folder per symbol; only the symbols in ``bars`` are replaced."""
     bars.repartition("symbol").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(path)
+
+
+#: Tiers of a save, in the order in which a reader looks for them.
+TIERS = ("arrow", "binary", "parquet")
+
+
+def write_tiers(bars: DataFrame, path: str, tiers: tuple[str, ...] = TIERS) -> None:
+    """Bars in each of ``tiers`` below ``path``, from one computation of them; the files of symbols not in ``bars`` are kept.
+
+    Prices of the binary tier are 32-bit floats.
+    """
+    unknown = set(tiers) - set(TIERS)
+    if unknown:
+        raise ValueError(f"no tiers {sorted(unknown)}")
+    kept = bars.select("symbol", "ts", *PRICES).persist()
+    try:
+        for tier in tiers:
+            if tier == "parquet":
+                write_parquet(kept, f"{path}/{tier}")
+            else:
+                pack, ending = (to_arrow, ".arrow") if tier == "arrow" else (to_binary, ".bin")
+                write_files(pack(kept), f"{path}/{tier}", ending, True)
+    finally:
+        kept.unpersist()
+
+
+def read_tier(spark: SparkSession, path: str, tier: str | None = None, start: str = "", end: str = "") -> DataFrame:
+    """Bars of a tier of ``write_tiers``; of the first that is there where none is named."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [t for t in TIERS if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{t}"))]
+    if (tier or "") not in ("", *there) or not there:
+        raise ValueError(f"no tier {tier or ''} below {path}")
+    read = {"arrow": read_arrow, "binary": read_binary, "parquet": lambda *a: read_parquet(spark, a[1], ["symbol", "ts", *PRICES], *a[2:])}[tier or there[0]]
+    return read(spark, f"{path}/{tier or there[0]}", start, end).select("symbol", "ts", *PRICES)
