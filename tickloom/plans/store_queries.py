@@ -259,10 +259,14 @@ def ingest(docs: DataFrame, table: str, checkpoint: str, size: int = 500, step:
     """Runs a stream (path, at, text) to its end into a versioned table (path, idx, chunk); the newest text of a path replaces its chunks."""
 
     def put(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy("path").agg(F.max_by("text", "at").alias("text"))
+        # a merge reads its rows several times, and the state is to be stepped once
+        newest = batch.groupBy("path").agg(F.max_by("text", "at").alias("text")).persist()
         last = F.expr(f"CAST((greatest(length(text), 1) + {step - 1}) DIV {step} - 1 AS BIGINT)")
         chunks = newest.select("path", "text", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("idx")).selectExpr("path", "idx", f"substring(text, CAST(idx * {step} + 1 AS INT), {size}) AS chunk")
-        versioned.merge(chunks, table, ["path"], f"ingest:{number}")
+        try:
+            versioned.merge(chunks, table, ["path"], f"ingest:{number}")
+        finally:
+            newest.unpersist()
 
     docs.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
 
