@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import timedelta
 
 from dateutil.easter import easter
@@ -18,6 +16,7 @@ from tickloom.streaming import bars as S
 
 from .analytics_queries import _split, default_grid, trades
 from .bar_queries import R4, asof, rounded
+from .bar_queries import shared as _shared
 from .oracle import DAILY, TICKS, TRADES, W, bars_cte, frame
 
 QUERIES: dict = {}
@@ -45,14 +44,6 @@ query("scan_arrow", f"WITH {bars_cte()} SELECT symbol, ts, {R4} FROM bars WHERE
 
 
 # streams: all that is there, run to its end
-def _shared(s) -> str:
-    """A fresh path in the folder that all executors share; only a local master may do without the setting."""
-    root = s.conf.get("spark.checkpoint.dir", None)
-    if not root and not s.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(root or tempfile.mkdtemp(prefix='tickloom-')).rstrip('/')}/core-{uuid.uuid4().hex}"
-
-
 def _streamed(s, d, build, mode="append"):
     at = _shared(s)
     e = S.read(s, d, s.read.parquet(f"{d}/events.parquet").schema, "events.parquet")
