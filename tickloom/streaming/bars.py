@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,20 +33,39 @@ def tumbling(ticks: DataFrame, every: str, late: str | None = None) -> DataFrame
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def _stateful(rows: DataFrame, output: str, state: str, first: tuple, step: Callable, order: str) -> DataFrame:
-    """``step(state, row)`` gives the new state and a row or None, per symbol, in ``order`` within a batch."""
+#: Rows that are handed on at once.
+PER_YIELD = 10_000
+
+
+def _stateful(rows: DataFrame, output: str, state: str, first: tuple, step: Callable, order: list[str], reads: list[str]) -> DataFrame:
+    """``step(state, row)`` gives the new state and a row or None, per symbol, in ``order`` within a batch.
+
+    Of a batch a task holds the columns ``reads`` and ``order`` of one symbol as arrays, and rows of ``PER_YIELD`` only.
+    """
+    order = [c for c in order if c in rows.columns]
+    kept = list(dict.fromkeys([*reads, *order]))
+    names, most = [x.split()[0] for x in output.split(", ")], PER_YIELD
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now = held.get if held.exists else first
-        out = []
-        for row in pd.concat(list(parts)).sort_values(order, kind="stable").itertuples(index=False):
-            now, made = step(now, row)
-            if made is not None:
-                out.append((key[0], *made))
+        found: dict[str, list] = {c: [] for c in kept}
+        for part in parts:
+            for c in kept:
+                found[c].append(part[c].to_numpy(copy=True))
+        whole = {c: np.concatenate(found.pop(c)) for c in kept}
+        at = np.lexsort([whole[c] for c in reversed(order)])
+        for start in range(0, len(at), most):
+            some = at[start : start + most]
+            out = []
+            for row in pd.DataFrame({c: v[some] for c, v in whole.items()}).itertuples(index=False):
+                now, made = step(now, row)
+                if made is not None:
+                    out.append((key[0], *made))
+            if out:
+                yield pd.DataFrame(out, columns=names)
         held.update(now)
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in output.split(", ")])
 
-    return rows.groupBy("symbol").applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    return rows.select("symbol", *kept).groupBy("symbol").applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def in_order(ticks: DataFrame, interval_s: float) -> DataFrame:
@@ -57,7 +78,7 @@ def in_order(ticks: DataFrame, interval_s: float) -> DataFrame:
             return now, None
         return (at,), (row.ts, row.price, last > 0 and at - last > 1.5e6 * interval_s)
 
-    return _stateful(ticks, "symbol string, ts timestamp_ntz, price double, gap boolean", "last long", (0,), step, "seq")
+    return _stateful(ticks, "symbol string, ts timestamp_ntz, price double, gap boolean", "last long", (0,), step, ["seq"], ["ts", "price"])
 
 
 def online_mean(bars: DataFrame, n: int) -> DataFrame:
@@ -67,7 +88,7 @@ def online_mean(bars: DataFrame, n: int) -> DataFrame:
         tail = [*now[0], float(row.close)][-n:]
         return (tail,), (row.ts, row.close, sum(tail) / n if len(tail) == n else None)
 
-    return _stateful(bars, "symbol string, ts timestamp_ntz, close double, mean double", "tail array<double>", ([],), step, "ts")
+    return _stateful(bars, "symbol string, ts timestamp_ntz, close double, mean double", "tail array<double>", ([],), step, ["ts", "seq"], ["close"])
 
 
 def position_changes(positions: DataFrame) -> DataFrame:
@@ -80,7 +101,7 @@ def position_changes(positions: DataFrame) -> DataFrame:
         intent = "close" if pos == 0 else "open" if was == 0 else "reverse"
         return (pos,), (row.ts, "buy" if pos > was else "sell", intent)
 
-    return _stateful(positions, "symbol string, ts timestamp_ntz, action string, intent string", "pos int", (0,), step, "ts")
+    return _stateful(positions, "symbol string, ts timestamp_ntz, action string, intent string", "pos int", (0,), step, ["ts", "seq"], ["pos"])
 
 
 def stops(ticks: DataFrame, stop: float, take: float) -> DataFrame:
@@ -93,7 +114,7 @@ def stops(ticks: DataFrame, stop: float, take: float) -> DataFrame:
         why = "stop" if row.price <= entry * (1 - stop) else "target" if row.price >= entry * (1 + take) else None
         return ((0.0,), (row.ts, row.price, why)) if why else ((entry,), None)
 
-    return _stateful(ticks, "symbol string, ts timestamp_ntz, price double, reason string", "entry double", (0.0,), step, "seq")
+    return _stateful(ticks, "symbol string, ts timestamp_ntz, price double, reason string", "entry double", (0.0,), step, ["seq"], ["ts", "price", "entry"])
 
 
 def intervals(ticks: DataFrame, every: dict[str, str]) -> DataFrame:
@@ -117,7 +138,7 @@ def ordering(ticks: DataFrame) -> DataFrame:
         at = int(row.ts.value // 1000)
         return (max(now[0], at),), (row.ts, now[0] < at)
 
-    return _stateful(ticks, "symbol string, ts timestamp_ntz, in_order boolean", "last long", (0,), step, "seq")
+    return _stateful(ticks, "symbol string, ts timestamp_ntz, in_order boolean", "last long", (0,), step, ["seq"], ["ts"])
 
 
 def online_features(bars: DataFrame, n: int = 14) -> DataFrame:
@@ -128,7 +149,8 @@ def online_features(bars: DataFrame, n: int = 14) -> DataFrame:
         close = float(row.close)
         if seen == 0:
             return (close, 1, 0.0, 0.0), (row.ts, close, None, None)
-        up, down = max(close - last, 0.0), max(last - close, 0.0)
+        move = close - last
+        up, down = max(move, 0.0), max(-move, 0.0)
         if seen <= n:  # sums until there are n steps, then averages
             gain, loss = gain + up, loss + down
             if seen == n:
@@ -136,9 +158,12 @@ def online_features(bars: DataFrame, n: int = 14) -> DataFrame:
         else:
             gain, loss = (gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n
         rsi = None if seen < n else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
-        return (close, seen + 1, gain, loss), (row.ts, close, close / last - 1 if last else None, rsi)
+        # the close before as the difference, as in SQL: it rounds otherwise where closes differ much
+        last = close - move
+        ret = close / last - 1 if last else close * math.inf
+        return (close, seen + 1, gain, loss), (row.ts, close, ret, rsi)
 
-    return _stateful(bars, "symbol string, ts timestamp_ntz, close double, ret double, rsi double", "last double, seen long, gain double, loss double", (0.0, 0, 0.0, 0.0), step, ["ts", "seq"])
+    return _stateful(bars, "symbol string, ts timestamp_ntz, close double, ret double, rsi double", "last double, seen long, gain double, loss double", (0.0, 0, 0.0, 0.0), step, ["ts", "seq"], ["close"])
 
 
 def run_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
