@@ -8,9 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Texts that are split at once.
+PER_SLICE = 100
 #: Fixed value: where sentences end.
 _ENDS = re.compile(r"(?<=[。！？.!?\n])\s*")
 
@@ -42,16 +45,21 @@ def packed(sentences: list[str], size: int, overlap: int) -> list[str]:
 def sentence_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, least: int = 20) -> DataFrame:
     """(doc_id, idx, chunk) of the texts; chunks shorter than ``least`` are left out, null texts have none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                parts = [p.strip() for p in _ENDS.split((text or "").strip())]
-                kept = [c for c in packed([p for p in parts if p], size, overlap) if len(c) >= least]
-                rows += [(doc_id, k, c) for k, c in enumerate(kept)]
-            yield pd.DataFrame(rows, columns=["doc_id", "idx", "chunk"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, idx long, chunk string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of a batch only some texts are Python's at a time
+        for batch in batches:
+            for start in range(0, batch.num_rows, PER_SLICE):
+                part = batch.slice(start, PER_SLICE)
+                rows: tuple[list, list, list] = ([], [], [])
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    parts = [p.strip() for p in _ENDS.split((text or "").strip())]
+                    kept = [c for c in packed([p for p in parts if p], size, overlap) if len(c) >= least]
+                    rows[0].extend([doc_id] * len(kept))
+                    rows[1].extend(range(len(kept)))
+                    rows[2].extend(kept)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "idx", "chunk"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, idx long, chunk string")
 
 
 def hash_vector(text: str, dim: int) -> np.ndarray:
