@@ -69,3 +69,12 @@ def test_copies_are_dropped_across_batches_until_they_expire(spark, tmp_path):
     feed.run([("copy 2", at(11), "one"), ("late", at(30), "one")])
     got = feed.run([("end", at(90), "end")])
     assert got == [("a", "changed"), ("a", "one"), ("b", "two"), ("late", "one")]
+
+
+def test_contents_of_one_bucket_are_told_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "BUCKETS", 1)
+    feed = Feed(spark, tmp_path, "path string, ts timestamp, text string", lambda s: state.unseen(s, "10 hours").select("path", "text"))
+    feed.run([(f"p{i}", at(i % 3), f"text {i % 4}") for i in range(8)] + [("end", at(30), "end")])
+    got = feed.run([("again", at(31), "text 1"), ("copy", at(32), "text 1"), ("last", at(60), "last")])
+    # of each text the first in order of time, and one that comes again after its time
+    assert got == sorted([("p0", "text 0"), ("p1", "text 1"), ("p6", "text 2"), ("p3", "text 3"), ("again", "text 1"), ("end", "end")], key=repr)

@@ -200,34 +200,52 @@ def silences(ticks: DataFrame, limit: str, late: str = "0 seconds", name: str =
     return keyed.groupBy("symbol").transformWithStateInPandas(Silence(ms), "symbol string, at long, status string", "append", "EventTime")
 
 
+#: Groups of contents that are kept together; a checkpoint holds for one number of them.
+BUCKETS = 1024
+
+
 class Seen(InOrder):
-    """Hands on a document unless one of the same content was seen within ``ttl_ms``; each sight counts anew."""
+    """Hands on a document unless one of the same content was seen within ``ttl_ms``; each sight counts anew.
 
-    held_fields = ["path string", "text string"]
+    A key is a bucket of many contents, so that state and timers are asked once a bucket and not once a document.
+    """
+
+    held_fields = ["hash string", "path string", "text string"]
     out_columns = ["hash", "at", "path", "text"]
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl = ttl_ms
 
     def setup(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at long")
+        self.last = handle.getListState("last", "hash string, at long")
+
+    def keep(self, last: dict[str, int], until: int) -> None:
+        """Keeps what a row from ``until`` (microseconds) on can still meet, and asks for a timer for when none can."""
+        rows = [(h, at) for h, at in last.items() if at + self.ttl * 1000 >= until]
+        self.last.clear()
+        if rows:
+            self.last.put(rows)
+            self.handle.registerTimer(max(at for _, at in rows) // 1000 + self.ttl + 1)
 
     def step(self, key: tuple, rows: list[tuple]) -> list[tuple]:
-        last = self.last.get()[0] if self.last.exists() else None
+        last = {r[0]: r[1] for r in self.last.get()}
         out = []
-        for at, _, path, text in rows:
-            if last is None or at - last > self.ttl * 1000:
-                out.append((key[0], at, path, text))
-            last = at
-        self.last.update((last,))
-        self.handle.registerTimer(last // 1000 + self.ttl + 1)
+        for at, _, content, path, text in rows:
+            before = last.get(content)
+            if before is None or at - before > self.ttl * 1000:
+                out.append((content, at, path, text))
+            last[content] = at
+        self.keep(last, rows[-1][0])
         return out
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        # the hash goes once nothing can meet it any more
-        if self.last.exists() and self.last.get()[0] // 1000 + self.ttl < timerValues.getCurrentWatermarkInMs() and not any(True for _ in self.held.get()):
-            self.last.clear()
+        # hashes go once nothing can meet them any more
+        newest = max((r[1] for r in self.last.get()), default=None)
+        if newest is not None and newest // 1000 + self.ttl < timerValues.getCurrentWatermarkInMs():
+            first = min((r[0] for r in self.held.get()), default=None)
+            if first is None or first - newest > self.ttl * 1000:
+                self.last.clear()
 
 
 def unseen(docs: DataFrame, ttl: str, late: str = "0 seconds") -> DataFrame:
@@ -239,7 +257,7 @@ def unseen(docs: DataFrame, ttl: str, late: str = "0 seconds") -> DataFrame:
     ms = spark.sql(f"SELECT unix_millis(timestamp'1970-01-01 00:00:00Z' + INTERVAL {ttl}) AS n").first().n
     known = docs.filter("path IS NOT NULL AND text IS NOT NULL").withWatermark("ts", late)
     keyed = known.select(F.sha2("text", 256).alias("hash"), "ts", F.unix_micros("ts").alias("at"), F.lit(0).alias("rank"), "path", "text")
-    return keyed.groupBy("hash").transformWithStateInPandas(Seen(ms), "hash string, at long, path string, text string", "append", "EventTime")
+    return keyed.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(BUCKETS)).cast("int")).groupBy("bucket").transformWithStateInPandas(Seen(ms), "hash string, at long, path string, text string", "append", "EventTime")
 
 
 class Online(InOrder):
