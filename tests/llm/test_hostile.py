@@ -387,3 +387,59 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(ValueError):
         common.shared_dir(Session())
+
+
+def test_alike_texts_that_hardly_link_have_no_row_for_each_pair(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(400):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 3])):
+            words[rng.randrange(0, 150, 3)] = f"x{rng.randrange(10)}"
+        texts.append(" ".join(words))
+    docs = table(spark, list(enumerate(texts))).cache()
+    idf = op2_minhash.inverse_frequencies(docs)
+    vectors = [weighted(t, idf) for t in texts]
+    bands = {r.doc_id: set(r.bands) for r in op2_minhash.sketched(docs, spark.sparkContext.broadcast(idf)).collect()}
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    candidates = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if bands[a] & bands[b]:
+                candidates += 1
+                both = sum(min(w, vectors[b].get(k, 0)) for k, w in vectors[a].items())
+                if both / (sum(vectors[a].values()) + sum(vectors[b].values()) - both) >= op2_minhash.SIMILARITY:
+                    parent[find(a)] = find(b)
+    groups = {}
+    for k in range(len(texts)):
+        groups.setdefault(find(k), []).append(k)
+    rows, compared = [], op2_minhash.compared
+    monkeypatch.setattr(op2_minhash, "compared", lambda pairs, *more: (rows.append(pairs.count()), compared(pairs, *more))[1])
+    monkeypatch.setattr(op2_minhash, "BLOCK", 50, raising=False)
+    got = {r.doc_id: r.class_id for r in op2_minhash.near_duplicates(docs).collect()}
+    assert got == {k: max(g) for g in groups.values() for k in g}
+    assert len(groups) > 100 and candidates > 40_000 and sum(rows) <= op2_minhash.BANDS * len(texts)
+
+
+def test_similarities_by_matrices_are_those_of_pairs(spark):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcd", k=rng.randrange(60))) for _ in range(40)] + ["a " * 900, "a " * 40 + "b", "", "é", "one two three"]
+    idf = np.random.default_rng(1).uniform(1, 2, (2, op2_minhash.DF_CELLS)).astype(np.float32)
+    found = op2_minhash.vectors(pa.array(texts), idf)
+    left, right = found[:23], found[20:]
+    both = op2_minhash.shared_weights(left, right, idf)
+    for x, row in zip(left, both, strict=True):
+        for y, value in zip(right, row, strict=True):
+            other = dict(zip(y[0].tolist(), y[1].tolist(), strict=True))
+            assert value == pytest.approx(sum(min(w, other.get(k, 0)) for k, w in zip(x[0].tolist(), x[1].tolist(), strict=True)))
+    same = op2_minhash.spanning(found, found, ([k % 7 for k in range(45)], [k % 7 for k in range(45)]), idf)
+    assert all(i % 7 != j % 7 and op2_minhash.likeness(found[i], found[j]) >= op2_minhash.SIMILARITY for i, j in same) and len(same) <= 6

@@ -20,12 +20,17 @@ Exact copies are one node.  In each bucket of a band all nodes are compared
 with one pivot.  That leaves the pairs of other nodes, of which only those in
 different components matter: buckets that still span components are compared
 with further pivots, more each round, until every such pair of every bucket was
-compared or ruled out.  A pair is ruled out where the similarities to a common
-pivot differ by more than 1 - SIMILARITY, as 1 - weighted Jaccard is a metric,
-and where what the texts have in shingles that no other open node has leaves
-too little to share; a node for which that holds with any partner is closed.
-So the work in a group of alike texts grows with its size, not its square, and
-no link that joins two classes is lost.  Classes are connected components.
+compared or ruled out.  A node is closed where what it has in shingles that no
+other open node has leaves too little to share with any partner, and so is a
+pair of a small bucket, or one whose similarities to their pivot differ by more
+than 1 - SIMILARITY, as 1 - weighted Jaccard is a metric.  Pivots and nodes of
+large buckets go to tasks in blocks of bounded weight: a task has each text once,
+takes all its similarities as products of matrices, and hands on no more links
+than it takes to join what they join.  So a round has a row for each node and
+block of pivots, and not for each pair, and no link that joins two classes is
+lost.  Where pivots link, buckets end after a round or two; the products in a
+bucket of m nodes of which none ever links are m^2, its rows m^2 / BLOCK.
+Classes are connected components.
 
 Defined results: a null text counts as empty; texts without words are copies
 of one another; a text of fewer than five words has one shingle of all its
@@ -42,6 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +67,12 @@ SLICES = 64
 FILTER_BITS = 1 << 23
 #: Buckets of so few nodes are compared pair by pair at once.
 SMALL = 12
+#: Nodes of a larger bucket that go to one task as a block, about, and the weight they may have together.
+BLOCK, BLOCK_WEIGHT = 128, 1 << 17
+#: Shingles that a product of matrices takes at once.
+COLUMNS = 1 << 11
 #: Further pivots a bucket gets in the first round, and how many times more in each next one.
-PIVOTS, MORE = 64, 16
+PIVOTS, MORE = BLOCK, 16
 
 _U = np.uint64
 _TABLE = 1 << 16
@@ -114,6 +124,11 @@ def band_keys(drawn: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def weight_of(keys: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The weight of one occurrence of each shingle."""
+    return np.maximum(*(table[at] for table, at in zip(idf, cells_of(keys), strict=True)))
+
+
 def cells_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The cells of 48-bit keys in either table: their upper and their lower bits."""
     return (keys >> _U(30)).astype(np.int64), (keys & _U(DF_CELLS - 1)).astype(np.int64)
@@ -133,7 +148,7 @@ class Texts:
             raw, at = words.tobytes(), np.concatenate([[0], np.cumsum(counts) * 8]).tolist()
             digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
             keys, tf, sizes = textblock.counted(*textblock.shingles(words, counts, WIDTH))
-            weights = tf if self.idf is None else tf * np.maximum(*(table[at] for table, at in zip(self.idf, cells_of(keys), strict=True)))
+            weights = tf if self.idf is None else tf * weight_of(keys, self.idf)
             yield i, j, digests, keys, weights, sizes
 
 
@@ -229,38 +244,136 @@ def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return able.join(asked, (F.col("node") == F.col("asked")) & F.col("doc_id").eqNullSafe(F.col("asked_id")), "left_semi").select("node", "text").dropDuplicates(["node"])
 
 
+def vectors(column: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The keys and weights of each text."""
+    out = []
+    for _, _, _, keys, weights, sizes in Texts(column, idf):
+        cut = np.cumsum(sizes)[:-1]
+        out += zip(np.split(keys, cut), np.split(weights, cut), strict=True)
+    return out
+
+
+def likeness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """The weighted Jaccard similarity of two texts."""
+    (ka, wa), (kb, wb) = x, y
+    at = np.minimum(np.searchsorted(kb, ka), max(len(kb) - 1, 0))
+    same = kb[at] == ka if len(kb) else np.zeros(len(ka), bool)
+    both = np.minimum(wa[same], wb[at[same]]).sum()
+    every = wa.sum() + wb.sum() - both
+    return both / every if every else 1.0
+
+
 def compared(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """(a, b, sim) for (a, b): the weighted Jaccard similarity of the whole texts."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
-    def vectors(column: pa.Array) -> list:
-        out = []
-        for _, _, _, keys, weights, sizes in Texts(column, idf.value):
-            cut = np.cumsum(sizes)[:-1]
-            out += zip(np.split(keys, cut), np.split(weights, cut), strict=True)
-        return out
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         b = batch.column(1).to_pylist()
         firsts: dict = {}
         for k, node in enumerate(b):
             firsts.setdefault(node, k)
-        right_side = dict(zip(firsts, vectors(batch.column(3).take(pa.array(list(firsts.values()), pa.int64()))), strict=True))
-        sims = []
-        for (ka, wa), node in zip(vectors(batch.column(2)), b, strict=True):
-            kb, wb = right_side[node]
-            at = np.minimum(np.searchsorted(kb, ka), max(len(kb) - 1, 0))
-            same = kb[at] == ka if len(kb) else np.zeros(len(ka), bool)
-            both = np.minimum(wa[same], wb[at[same]]).sum()
-            every = wa.sum() + wb.sum() - both
-            sims.append(both / every if every else 1.0)
+        right_side = dict(zip(firsts, vectors(batch.column(3).take(pa.array(list(firsts.values()), pa.int64())), idf.value), strict=True))
+        sims = [likeness(x, right_side[node]) for x, node in zip(vectors(batch.column(2), idf.value), b, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
     return common.map_batches(rows, run, "a binary, b binary, sim double")
 
 
+def shared_weights(left: list, right: list, idf: np.ndarray) -> np.ndarray:
+    """What each text of ``left`` shares with each of ``right``: the lesser weights of their shingles, summed.
+
+    A text has a shingle n times or more or it has not, so for each n that occurs it is a product
+    of matrices over the shingles that both sides have so often, some at a time.
+    """
+    out = np.zeros((len(left), len(right)))
+    keys = [np.concatenate([k for k, _ in side]) for side in (left, right)]
+    names = np.intersect1d(*keys)
+    if not len(names):
+        return out
+    weight = weight_of(names, idf).astype(float)
+    sides = []
+    for side, key in zip((left, right), keys, strict=True):
+        at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+        met = names[at] == key
+        at = at[met]
+        times = np.rint(np.concatenate([w for _, w in side])[met] / weight[at]).astype(np.int64)
+        sides.append((np.repeat(np.arange(len(side)), [len(k) for k, _ in side])[met], at, times))
+    low = 0
+    for n in np.union1d(sides[0][2], sides[1][2]).tolist():
+        sides = [[x[side[2] >= n] for x in side] for side in sides]
+        often = np.intersect1d(sides[0][1], sides[1][1])
+        if not len(often):
+            break
+        for k in range(0, len(often), COLUMNS):
+            some = often[k : k + COLUMNS]
+            has = []
+            for (text, at, _), count in zip(sides, out.shape, strict=True):
+                place = np.minimum(np.searchsorted(some, at), len(some) - 1)
+                met = some[place] == at
+                has.append(np.zeros((count, len(some))))
+                has[-1][text[met], place[met]] = 1
+            out += (has[0] * ((n - low) * weight[some])) @ has[1].T
+        low = n
+    return out
+
+
+def spanning(left: list, right: list, labels: tuple[list, list], idf: np.ndarray) -> list[tuple[int, int]]:
+    """Links between texts of different labels: as many as it takes to join all labels that links join."""
+    both = shared_weights(left, right, idf)
+    every = np.array([w.sum() for _, w in left])[:, None] + np.array([w.sum() for _, w in right]) - both
+    sims = np.divide(both, every, out=np.ones_like(both), where=every > 0)
+    numbers: dict = {}
+    names = [np.array([numbers.setdefault(x, len(numbers)) for x in side]) for side in labels]
+    parent = list(range(len(numbers)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found = []
+    # sums in another order differ in their last digits, so what is near the threshold is taken as for one pair
+    for i, j in zip(*(x.tolist() for x in np.nonzero((sims >= SIMILARITY - 1e-6) & (names[0][:, None] != names[1]))), strict=True):
+        a, b = find(names[0][i]), find(names[1][j])
+        if a != b and (sims[i, j] > SIMILARITY + 1e-6 or likeness(left[i], right[j]) >= SIMILARITY):
+            parent[a] = b
+            found.append((i, j))
+    return found
+
+
+def spanned(chosen: DataFrame, large: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(a, b): links of the pivots ``chosen`` with nodes of their buckets in ``large``, enough to join all labels that these links join.
+
+    Either side of a bucket is dealt to blocks, and each block of pivots meets each block of nodes in a task of bounded size.
+    """
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("w") / BLOCK_WEIGHT)).cast("int").alias(name))
+
+    shape = blocks(chosen, "lefts").join(blocks(large, "rights"), "key")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        whole = rows.select("key", "node", "label").join(shape, "key").join(texts, "node")
+        at = F.pmod(F.xxhash64("node"), F.col(own)).cast("int")
+        met = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return whole.select("key", (at if own == "lefts" else met).alias("i"), (met if own == "lefts" else at).alias("j"), F.lit(own == "lefts").alias("pivot"), "node", "label", "text")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        sides = [rows.filter(rows["pivot"]), rows.filter(pc.invert(rows["pivot"]))]
+        nodes, labels = ([side[c].to_pylist() for side in sides] for c in ("node", "label"))
+        found = []
+        if all(nodes) and len({*labels[0], *labels[1]}) > 1:
+            left, right = (vectors(side["text"].combine_chunks(), idf.value) for side in sides)
+            found = spanning(left, right, labels, idf.value)
+        common.release()
+        return pa.table({"a": pa.array([nodes[0][i] for i, _ in found], pa.binary()), "b": pa.array([nodes[1][j] for _, j in found], pa.binary())})
+
+    return dealt(chosen, "lefts", "rights").unionByName(dealt(large, "rights", "lefts")).groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
 def shareable(nodes: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """(node, w, s): all weight of each text, and its weight in shingles that another of the nodes has too.
 
@@ -366,18 +479,18 @@ def linked(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
         turn = F.row_number().over(Window.partitionBy("key", "label").orderBy("node"))
         rank = F.row_number().over(Window.partitionBy("key").orderBy("turn", "node"))
         # both limits hold before the shuffle too, so no task numbers all of a bucket
-        chosen = large.filter("label <> main").withColumn("turn", turn).filter(F.col("turn") <= pivots).withColumn("rank", rank).filter(F.col("rank") <= pivots).select("key", "label", "node", "sim", "w", "s", "keys")
+        chosen = large.filter("label <> main").withColumn("turn", turn).filter(F.col("turn") <= pivots).withColumn("rank", rank).filter(F.col("rank") <= pivots).select("key", "label", "node", "w")
         chosen = common.stored(chosen)
-        many = chosen.alias("x").join(large.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & near)
         pair = [F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")]
-        fresh = few.select(pair).union(many.select(pair)).distinct()
+        fresh = few.select(pair).distinct()
         before = done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         found = common.stored(compared(fresh.join(before, ["a", "b"], "left_anti"), texts, idf))
         done = common.stored(done.select("a", "b", "sim").union(found))
         # small buckets are finished, and so is each pivot in its bucket
         open_ = common.stored(large.select("key", "node", "sim", "w", "s", "keys").join(chosen.select("key", "node"), ["key", "node"], "left_anti"))
-        if found.filter(F.col("sim") >= SIMILARITY).limit(1).count():
-            labels = joined_up(labels, found.filter(F.col("sim") >= SIMILARITY))
+        links = common.stored(found.filter(F.col("sim") >= SIMILARITY).select("a", "b").union(spanned(chosen, large, texts, idf)))
+        if links.limit(1).count():
+            labels = joined_up(labels, links)
         pivots *= MORE
 
 
