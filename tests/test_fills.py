@@ -1,4 +1,4 @@
-"""Fills within a tolerance and their summary against their SQL, on lines with nulls and parts of shares and seconds."""
+"""Fills within a tolerance and their summary against their SQL, on lines with nulls, parts of shares and seconds, and zeros."""
 
 import duckdb
 import pytest
@@ -11,6 +11,7 @@ CASES = {
     "parts of shares": "(1, 2, 2.5, 100, '2000-01-01'), (1, 1, 2, 90, '2000-01-01'), (2, 2, 2.6, 100, '2000-01-01'), (2, 1, 3, 90, '2000-01-01'), (3, 2, -2.5, 100, '2000-01-01'), (3, 1, -2, 90, '2000-01-01')",
     "parts of seconds": "(1, 2, 2, 100, '2000-01-01 00:00:00.9'), (1, 1, 2, 90, '2000-01-01 00:00:00.2'), (2, 2, 2, 100, '2000-01-01 00:02:30.2'), (2, 1, 2, 90, '1999-12-31 23:59:59.9'), (3, 2, 2, 91, '1969-12-31 23:59:00.1'), (3, 1, 2, 90, '1969-12-31 23:59:29.9')",
 }
+ZEROS = "(1, 1, 2, 90, '2000-01-01'), (1, 2, 0, 10, '2000-01-01'), (1, 3, 2, 0, '2000-01-01'), (2, 1, 2, 90, '2000-01-01'), (2, 2, 2, '-0.0', '2000-01-01'), (3, 1, 0, 0, '2000-01-01'), (4, 1, 0, -5, '2000-01-01')"
 
 
 def lines(path, values):
@@ -39,3 +40,9 @@ def test_rows_that_the_sql_leaves_open_are_settled_by_their_values(spark, tmp_pa
         (tmp_path / str(k)).mkdir()
         found.add(tuple(catalog.queries()["fills_tolerance"](spark, lines(tmp_path / str(k), ", ".join(tied[k:] + tied[:k]))).first()))
     assert len(found) == 1
+
+
+@pytest.mark.parametrize("name", ["divergence_summary", "fills_tolerance", "fill_costs", "latest_per_key", "order_rounding"])
+def test_prices_of_zero_shares_are_those_of_sql(spark, tmp_path, name):
+    ours, sql = both(spark, lines(tmp_path, ZEROS), name)
+    assert ours == sql

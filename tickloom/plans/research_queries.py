@@ -104,7 +104,9 @@ _PROB = "CASE WHEN high - low < 1e-10 THEN 1 ELSE 0.3 + 0.7 * greatest(0, least(
 _LIMIT = f"round({_PROB}, 6) AS chance, round(CASE WHEN low <= lp AND round({_PROB}, 6) >= 0.5 THEN least(open, lp) END, 6) AS fill"
 query("limit_fills", f"WITH {bars_cte()}, x AS (SELECT *, (open + low) / 2 AS lp FROM bars) SELECT symbol, ts, {_LIMIT} FROM x")(lambda s, d: B.bars_of(s, d).withColumn("lp", F.expr("(open + low) / 2")).selectExpr("symbol", "ts", *_split(_LIMIT.replace("0.3 + 0.7", "0.3D + 0.7D"))))
 _LOT = "round(floor(price / 0.05{0} + 0.5{0}) * 0.05{0}, 6) AS tick_price, round(floor(shares / 3) * 3, 6) AS lot, CASE WHEN shares < 3 THEN 'min_qty' WHEN shares > 45 THEN 'max_qty' WHEN shares * price < 5000 THEN 'min_notional' END AS refused"
-query("order_rounding", f"WITH {TRADES} SELECT ok, ln, {_LOT.format('::DOUBLE')} FROM trades")(lambda s, d: trades(s, d).selectExpr("ok", "ln", *_split(_LOT.format("D").replace("floor(shares / 3) * 3", "CAST(floor(shares / 3) * 3 AS DOUBLE)"))))
+#: Spark's floor is a long, so prices that have no fraction (infinite ones too) go without it.
+_TICKS = "floor(price / 0.05D + 0.5D)"
+query("order_rounding", f"WITH {TRADES} SELECT ok, ln, {_LOT.format('::DOUBLE')} FROM trades")(lambda s, d: trades(s, d).selectExpr("ok", "ln", *_split(_LOT.format("D").replace("floor(shares / 3) * 3", "CAST(floor(shares / 3) * 3 AS DOUBLE)").replace(_TICKS, f"if(abs(price) < 1e15D, {_TICKS}, price / 0.05D + 0.5D)"))))
 query("reg_t_margin", f"WITH {TRADES} SELECT ok, ln, round(shares * price * 0.5, 6) AS initial, round(shares * price * 0.25, 6) AS maintenance, commission * 4 < shares * price * 0.25 AS margin_call FROM trades")(
     lambda s, d: trades(s, d).select("ok", "ln", F.round(F.expr("shares * price * 0.5D"), 6).alias("initial"), F.round(F.expr("shares * price * 0.25D"), 6).alias("maintenance"), F.expr("commission * 4 < shares * price * 0.25D").alias("margin_call")))
 #: Good Fridays by rule; the other holidays are days of a month or the n-th weekday of one.
