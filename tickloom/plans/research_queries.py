@@ -131,10 +131,8 @@ _M = "symbol, avg(r) / stddev_pop(r) * sqrt(252) AS sharpe, stddev_pop(r) * sqrt
 
 
 def _metrics(s, d):
-    _r(s, d).createOrReplaceTempView(v := f"r_{uuid.uuid4().hex}")
-    out = s.sql(f"SELECT {_M.replace('0.8 * n', '0.8D * n').replace('1.0 ', '1.0D ').replace('0.0 END', '0.0D END')} FROM {v} GROUP BY symbol")
-    s.catalog.dropTempView(v)
-    return out
+    parts = _split(_M.replace("0.8 * n", "0.8D * n").replace("1.0 ", "1.0D ").replace("0.0 END", "0.0D END"))
+    return _r(s, d).groupBy("symbol").agg(*[F.expr(x) for x in parts[1:]])
 
 
 #: Weights of the six parts of the gate.
