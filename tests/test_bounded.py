@@ -3,8 +3,11 @@
 import math
 from datetime import datetime, timedelta
 
+import duckdb
+
 from tickloom.operators import documents as D
 from tickloom.operators import indicators as I
+from tickloom.plans import catalog
 from tickloom.streaming import bars as S
 
 BASE = datetime(2024, 1, 1)
@@ -41,3 +44,17 @@ def test_chunks_do_not_hang_on_slices(spark, monkeypatch):
     whole = sorted(D.sentence_chunks(docs, 120, 30).collect())
     monkeypatch.setattr(D, "PER_SLICE", 7)
     assert whole and sorted(D.sentence_chunks(docs, 120, 30).collect()) == whole
+
+
+#: Ticks of events: symbol, hour, price.  A fall and a standstill at zero, a return that is a tie at six places, nulls, NaN and a null symbol.
+TICKS = [("a", 0, 3.0), ("a", 1, 0.0), ("a", 2, 0.0), ("a", 3, 5.0), ("a", 4, 160.0), ("a", 5, 66.65), ("b", 0, 1.0), ("b", 1, None), ("b", 2, 2.0), ("b", 3, None), ("b", 4, None), ("b", 5, 3.0)]
+TICKS += [(s, h, 10.0 + h * h % 7) for s in ("a", "b", "c", None) for h in range(10, 40)] + [("c", 40, math.nan), ("c", 41, 7.0), ("b", 41, None), ("b", 42, 9.0)]
+
+
+def test_features_at_zeros_ties_and_nulls_equal_their_sql(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, event_type VARCHAR, value DOUBLE)")
+    con.executemany("INSERT INTO events VALUES (?, ?, ?, ?)", [(k, BASE + timedelta(hours=h), s, p) for k, (s, h, p) in enumerate(TICKS)])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    ours, sql = catalog.queries()["stream_online_features"](spark, str(tmp_path)).collect(), con.execute(catalog.oracle_sql()["stream_online_features"]).fetchall()
+    assert sorted(repr(tuple(r)) for r in ours) == sorted(map(repr, sql))

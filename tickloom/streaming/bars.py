@@ -44,7 +44,8 @@ def _stateful(rows: DataFrame, output: str, state: str, first: tuple, step: Call
     """
     order = [c for c in order if c in rows.columns]
     kept = list(dict.fromkeys([*reads, *order]))
-    names, most = [x.split()[0] for x in output.split(", ")], PER_YIELD
+    fields, most = [x.split() for x in output.split(", ")], PER_YIELD
+    doubles = [k for k, (_, kind) in enumerate(fields) if kind == "double"]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now = held.get if held.exists else first
@@ -60,12 +61,15 @@ def _stateful(rows: DataFrame, output: str, state: str, first: tuple, step: Call
             for row in pd.DataFrame({c: v[some] for c, v in whole.items()}).itertuples(index=False):
                 now, made = step(now, row)
                 if made is not None:
-                    out.append((key[0], *made))
+                    made = (key[0], *made)
+                    # pandas takes NaN for null, so NaN are marked
+                    out.append((*made, sum(1 << k for k in doubles if made[k] != made[k])))
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield pd.DataFrame(out, columns=[*[n for n, _ in fields], "marks"])
         held.update(now)
 
-    return rows.select("symbol", *kept).groupBy("symbol").applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    out = rows.select("symbol", *kept).groupBy("symbol").applyInPandasWithState(run, f"{output}, marks long", state, "append", GroupStateTimeout.NoTimeout)
+    return out.select(*[F.when(F.getbit("marks", F.lit(k)) == 1, math.nan).otherwise(F.col(n)).alias(n) if k in doubles else F.col(n) for k, (n, _) in enumerate(fields)])
 
 
 def in_order(ticks: DataFrame, interval_s: float) -> DataFrame:
@@ -146,11 +150,12 @@ def online_features(bars: DataFrame, n: int = 14) -> DataFrame:
 
     def step(now: tuple, row) -> tuple:
         last, seen, gain, loss = now
-        close = float(row.close)
+        close = float(row.close) if row.known else None
         if seen == 0:
             return (close, 1, 0.0, 0.0), (row.ts, close, None, None)
-        move = close - last
-        up, down = max(move, 0.0), max(-move, 0.0)
+        move = None if close is None or last is None else close - last
+        # a step from or to a null is none, as in SQL
+        up, down = (0.0, 0.0) if move is None else (max(move, 0.0), max(-move, 0.0))
         if seen <= n:  # sums until there are n steps, then averages
             gain, loss = gain + up, loss + down
             if seen == n:
@@ -158,12 +163,15 @@ def online_features(bars: DataFrame, n: int = 14) -> DataFrame:
         else:
             gain, loss = (gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n
         rsi = None if seen < n else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
+        if move is None:
+            return (close, seen + 1, gain, loss), (row.ts, close, None, rsi)
         # the close before as the difference, as in SQL: it rounds otherwise where closes differ much
         last = close - move
         ret = close / last - 1 if last else close * math.inf
         return (close, seen + 1, gain, loss), (row.ts, close, ret, rsi)
 
-    return _stateful(bars, "symbol string, ts timestamp_ntz, close double, ret double, rsi double", "last double, seen long, gain double, loss double", (0.0, 0, 0.0, 0.0), step, ["ts", "seq"], ["close"])
+    known = bars.withColumn("known", F.col("close").isNotNull())
+    return _stateful(known, "symbol string, ts timestamp_ntz, close double, ret double, rsi double", "last double, seen long, gain double, loss double", (0.0, 0, 0.0, 0.0), step, ["ts", "seq"], ["close", "known"])
 
 
 def run_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
