@@ -1,8 +1,11 @@
 """The graph search against all pairs: overlapping cells, dense groups, copies, hostile rows, recall."""
 
+import os
+
 import numpy as np
 import pytest
 
+from tickloom.llm import common
 from tickloom.llm import op12_embeddings as op
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node long, cell string, `a.b` string"
@@ -109,3 +112,36 @@ def test_recall_is_audited(spark):
     df = frame(spark, rows)
     truth, found = op.audited(df, op.near_duplicates(df))
     assert truth == sum(r[1] for r in plain(rows) if r[0] % 50 == 0) and found >= 0.9 * truth > 0
+
+
+def test_an_edge_that_two_shards_made_is_one(spark):
+    """Lists of several shards name the same neighbour; it is met, and counted, once."""
+    x = op.unit(np.random.default_rng(3).normal(size=(40, 16)) * 0.05 + 1)
+    ids = np.arange(40) * 3
+    lists = op.built(x.astype(np.float32), ids)
+    own, near = np.repeat(np.arange(40), [len(v) for v in lists]), np.concatenate(lists)
+    graph = op.Graph(ids, x, own, near, np.tile(own, 2), np.tile(ids[near], 2), np.zeros(2 * len(own)))
+    who, at, _ = graph.within(graph.x[:40], graph.near[:40], graph.exact)
+    assert len(who) and len({*zip(who.tolist(), at.tolist(), strict=True)}) == len(who)
+
+
+def test_far_neighbours_stay_in_their_shard(spark, monkeypatch):
+    monkeypatch.setattr(op, "PER_SHARD", 100)
+    x = np.random.default_rng(4).normal(size=(600, 16)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    held = []
+    adjacency = op.adjacency
+    monkeypatch.setattr(op, "adjacency", lambda *a: held.append(adjacency(*a).selectExpr("sum(length(near)) AS away", "sum(length(places)) AS own").first()) or adjacency(*a))
+    assert op.near_duplicates(vectors).count() == 600
+    assert held[0].own > 600 * 2 * 10 and held[0].away < held[0].own / 10
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for top in disk.localDirs() for _, _, names in os.walk(str(top)) for f in names if f.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(common.CLEANUP, None)
+    out = common.stored(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    assert files() <= before and spark.conf.get(common.CLEANUP, None) == setting
+    assert out.count() == 7

@@ -12,7 +12,8 @@ is the margin.  So cells overlap, and a node meets what it links with at home.
 Build: in each shard a node's candidates are its nearest ones and some drawn by
 hash, and robust pruning keeps one only if no kept one is nearer to it by the
 factor ``ALPHA``; some drawn from its range are added, as are edges backwards.  Merge: the adjacency lists that
-a node got in its shards are united.  Search: from the medoids of its home, and
+a node got in its shards are united, as far as what they name is near enough to matter elsewhere; the rest of a list
+serves the shard that made it only.  Search: from the medoids of its home, and
 from its own list, each node walks greedily with a beam, then expands through
 all it has met within the range and a slack, in the merged graph.  Neighbours
 that the list of something found names but that live in other shards, and that
@@ -33,6 +34,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -45,7 +47,7 @@ from . import common, op2_minhash, textblock
 
 SIMILARITY = 0.98
 #: Nodes of a shard, about.
-PER_SHARD = 2000
+PER_SHARD = 8000
 #: Centres of a split at most, and nodes that fit them, about.
 CENTRES, SAMPLE = 64, 4000
 SIGMAS = 3.0
@@ -58,9 +60,11 @@ BEAM, MEDOIDS = 12, 8
 #: The search goes on through what is at least so similar.
 EXPAND = 0.95
 #: Queries, and pairs of query and neighbour, that are held at once.
-QUERIES, PAIRS = 1000, 400_000
+QUERIES, PAIRS = 250, 400_000
 
 _ANGLE = float(np.arccos(SIMILARITY))
+#: What an angle may be off by, as single precision holds it.
+ROUNDED = 1e-5
 
 
 # ---- geometry of one shard ----
@@ -159,32 +163,31 @@ def built(x: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
 
 
 class Graph:
-    """The nodes of a shard, with the neighbours that live in it and those that do not."""
+    """The nodes of a shard in order of their ids, with the neighbours that live in it and those that do not.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, near: list, cosines: list) -> None:
+    ``own`` and ``place`` are edges inside the shard; ``owner``, ``others`` and ``angles`` those that other shards made.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, place: np.ndarray, owner: np.ndarray, others: np.ndarray, angles: np.ndarray) -> None:
         self.ids, self.exact = ids, unit(vectors)
         n = len(ids)
         self.x = np.vstack([self.exact, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
-        self.order = np.argsort(ids)
-        owner = np.repeat(np.arange(n), [len(v) for v in near])
-        flat = np.concatenate([*near, np.zeros(0, np.int64)]).astype(np.int64)
-        cos = np.concatenate([*cosines, np.zeros(0)]).astype(float)
-        place = self.places(flat)
-        here = place < n
-        sizes = np.bincount(owner[here], minlength=n)
+        found = self.places(others)
+        here = found < n
+        own, place = np.divmod(np.unique(np.concatenate([own * n + place, owner[here] * n + found[here]])), n)
+        sizes = np.bincount(own, minlength=n)
         self.near = np.full((n + 1, max(1, int(sizes.max(initial=0)))), n)
-        self.near[owner[here], np.arange(here.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = place[here]
-        self.away = flat[~here]
-        self.angles = np.arccos(np.clip(cos[~here], -1, 1))
+        self.near[own, np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = place
+        order = np.argsort(owner[~here], kind="stable")
+        self.away, self.angles = others[~here][order], angles[~here][order]
         self.cut = np.concatenate([[0], np.cumsum(np.bincount(owner[~here], minlength=n))])
         centres = fitted(self.x[:n], MEDOIDS, n)
         self.medoids = np.unique((self.x[:n] @ centres.T).argmax(0))
 
     def places(self, ids: np.ndarray) -> np.ndarray:
         """Where the ids are in this shard; its size for those that are not."""
-        at = np.minimum(np.searchsorted(self.ids, ids, sorter=self.order), len(self.ids) - 1)
-        found = self.order[at]
-        return np.where(self.ids[found] == ids, found, len(self.ids))
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[at] == ids, at, len(self.ids))
 
     def within(self, q: np.ndarray, starts: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, place, cosine) of what range-expanding greedy search finds; ``starts`` are places besides the medoids, padded."""
@@ -355,75 +358,120 @@ def divided(cells: DataFrame, centres: DataFrame, salts: int) -> DataFrame:
 
     salt = F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int").alias("salt")
     members = cells.select("cell", F.lit(2).alias("kind"), salt, "node", "copies", "home", "vec")
-    heads = centres.filter("centres is not null").select("cell", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("copies"), F.lit(None).cast("boolean").alias("home"), F.col("centres").alias("vec"))
+    heads = centres.select("cell", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("copies"), F.lit(None).cast("boolean").alias("home"), F.col("centres").alias("vec"))
     dealt = heads.unionByName(members).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind")
     return dealt.select("cell", "kind", "node", "copies", "home", "vec").mapInArrow(run, fields)
 
 
-def sharded(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cell, node, copies, home, vec): nodes by cell, several for a node, one of them its home; and (cell, n) of cells that do not split."""
+def sharded(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (cell, node, copies, home, vec): nodes by cell, several for a node, one of them its home; and (cell, n) of cells that do not split."""
     cells = common.stored(nodes.select(F.col("part").alias("cell"), "node", "copies", F.lit(True).alias("home"), "vec"))
     dense = cells.sparkSession.createDataFrame([], "cell string, n long")
-    salts = 256
+    salts, done = 256, []
     while True:
         sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > PER_SHARD)
-        big = common.stored(sizes.join(dense, "cell", "left_anti"))
-        if not big.limit(1).count():
-            return cells, dense
+        big = common.stored(sizes)
         centres = common.stored(centres_for(cells, big))
         dense = dense.union(centres.filter("centres is null").select("cell", "n"))
-        if centres.filter("centres is not null").limit(1).count():
-            cells = common.stored(divided(cells, centres, salts))
+        split = centres.filter("centres is not null")
+        if not split.limit(1).count():
+            return [*done, cells], dense
+        # only what splits is dealt anew
+        rest = common.stored(cells.join(split.select("cell"), "cell", "left_anti"))
+        given, cells = cells, common.stored(divided(cells.join(split.select("cell"), "cell", "left_semi"), split, salts))
+        common.dropped(given)
+        done.append(rest)
         salts = max(1, salts // 16)
 
 
+def _block(node: str, n: str):
+    """The block of a node in a cell of ``n`` nodes that does not split (null: one that is no larger than a shard)."""
+    return F.pmod(F.xxhash64(node, F.lit(7)), F.coalesce(F.ceil(F.col(n) / PER_SHARD), F.lit(1)).cast("int")).cast("int")
+
+
 def placed(cells: DataFrame, dense: DataFrame) -> DataFrame:
     """``cells`` with shard and kind: 0 in the graph, 1 in the graph and a query, 2 a query of another block's graph."""
     blocks = F.coalesce(F.ceil(F.col("n") / PER_SHARD), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), blocks)
-    known = cells.join(dense, "cell", "left").withColumn("own", own).withColumn("blocks", blocks)
-    many = known.withColumn("block", F.explode(F.when(F.col("home") & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.col("own").cast("int")))))
+    known = cells.join(dense, "cell", "left").withColumn("own", _block("node", "n")).withColumn("blocks", blocks)
+    many = known.withColumn("block", F.explode(F.when(F.col("home") & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
     kind = F.when(F.col("block") != F.col("own"), 2).when(F.col("home"), 1).otherwise(0)
-    return many.select(F.concat_ws("#", "cell", "block").alias("shard"), kind.alias("kind"), "cell", "node", "copies", "vec")
+    here = F.xxhash64("cell")
+    return many.select(F.concat_ws("#", here, "block").alias("shard"), kind.alias("kind"), here.alias("here"), F.regexp_extract("cell", "^[0-9]+", 0).cast("int").alias("size"), "node", "copies", "vec", "main", "into")
 
 
 # ---- build, merge, search ----
 
 
-def adjacency(shards: DataFrame) -> DataFrame:
-    """(node, near, cosines): the adjacency lists of all shards, united by node."""
+def adjacency(shards: DataFrame, dense: DataFrame) -> DataFrame:
+    """(shard, node, places, near, angles): the list that a node got in a shard, as places among the shard's sorted nodes, and what its other shards need of it.
+
+    That is what is near enough to be in range of something that is in range of the node; a shard's own list has the rest of what lives there.
+    """
+    fields = "shard string, to long, node long, places binary, near binary, angles binary"
+
+    def rows_of(shard: str | None, to: list, ids: np.ndarray, parts: tuple[list, list, list]) -> pa.RecordBatch:
+        raw = [pa.array([v.tobytes() for v in part], pa.binary()) for part in parts]
+        return pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.string()), pa.array(to, pa.int64()), pa.array(ids, pa.int64()), *raw], ["shard", "to", "node", "places", "near", "angles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard, _), rows in _streams(batches, 0):
             ids = rows.column("node").to_numpy()
             order = np.argsort(ids)
             ids = ids[order]
-            x = unit(_floats(rows.column("vec").combine_chunks(), _size(shard))[order])
+            x = unit(_floats(rows.column("vec").combine_chunks(), rows.column("size")[0].as_py())[order])
             lists = built(x.astype(np.float32), ids)
-            edges = [[(int(ids[k]), float(c)) for k, c in zip(near, x[near] @ x[i], strict=True)] for i, near in enumerate(lists)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([[e[0] for e in v] for v in edges], pa.list_(pa.int64())), pa.array([[e[1] for e in v] for v in edges], pa.list_(pa.float64()))], ["node", "near", "cosines"])
+            none = [np.zeros(0, np.int64)] * len(ids)
+            yield rows_of(shard, [None] * len(ids), ids, ([v.astype(_places(len(ids))) for v in lists], none, none))
+            own, near = np.repeat(np.arange(len(ids)), [len(v) for v in lists]), np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
+            cos = np.concatenate([np.einsum("nd,nd->n", x[own[i : i + PAIRS]], x[near[i : i + PAIRS]]) for i in range(0, len(own), PAIRS)] or [np.zeros(0)])
+            angles = np.arccos(np.clip(cos, -1, 1)).astype(np.float32)
+            close = angles <= 2 * _ANGLE + 2 * ROUNDED
+            own, near, angles = own[close], near[close], angles[close]
+            into = rows.column("into").combine_chunks().take(pa.array(order))
+            who = np.repeat(np.arange(len(ids)), into.value_lengths().to_numpy())
+            cells, which = np.unique(into.flatten().to_numpy(), return_inverse=True)
+            for k, cell in enumerate(cells.tolist()):
+                if cell == rows.column("here")[0].as_py():
+                    continue
+                inside = np.zeros(len(ids), bool)
+                inside[who[which == k]] = True
+                some = np.flatnonzero(inside[own])
+                if len(some):
+                    nodes, first = np.unique(own[some], return_index=True)
+                    cut = [np.split(v, first[1:]) for v in (ids[near[some]], angles[some])]
+                    yield rows_of(None, [cell] * len(nodes), ids[nodes], ([v[:0] for v in cut[0]], *cut))
         common.release()
 
-    inside = shards.filter("kind < 2").select("shard", F.lit(0).alias("kind"), "node", "vec")
-    lists = inside.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "node long, near array<long>, cosines array<double>")
-    # a node is in few shards, so its lists are bounded
-    united = lists.select("node", F.arrays_zip("near", "cosines").alias("edges")).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
-    return united.select("node", F.col("edges.near").alias("near"), F.col("edges.cosines").alias("cosines"))
+    inside = shards.filter("kind < 2").select("shard", F.lit(0).alias("kind"), "here", "size", "node", "vec", "into")
+    lists = inside.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, fields)
+    sizes = dense.select(F.xxhash64("cell").alias("to"), "n")
+    named = F.coalesce("shard", F.concat_ws("#", "to", _block("node", "n")))
+    return lists.join(sizes, "to", "left").select(named.alias("shard"), "node", "places", "near", "angles")
+
+
+def _places(n: int) -> type:
+    """The numbers that hold places among ``n`` nodes."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def _edges(rows: pa.Table, column: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of all values in a column of their bytes."""
+    raw = rows.column(column).to_pylist()
+    size = np.dtype(kind).itemsize
+    return np.repeat(np.arange(len(raw)), [len(v) // size for v in raw]), np.frombuffer(b"".join(raw), kind)
 
 
 COUNT, EDGE, EXTRA = 0, 1, 2
 
 
-def searched(shards: DataFrame) -> DataFrame:
-    """(what, a, b, n) of shards with lists and cells: links of a (n), links for the components, pairs for which a's home has no b."""
+def searched(shards: DataFrame, lists: DataFrame) -> DataFrame:
+    """(what, a, b, n) of shards and their lists: links of a (n), links for the components, pairs for which a's home has no b."""
 
     def results(graph: Graph, info: pa.Table, labels: np.ndarray, rows: pa.Table) -> tuple[list, np.ndarray]:
         ids = rows.column("node").to_numpy()
         exact = unit(_floats(rows.column("vec").combine_chunks(), graph.exact.shape[1]))
-        near = [graph.places(np.array(v, np.int64)) for v in rows.column("near").to_pylist()]
-        starts = np.full((len(ids), max(1, max(map(len, near)))), len(graph.ids))
-        for k, v in enumerate(near):
-            starts[k, : len(v)] = v
+        # a node of the graph starts from its list too
+        starts = graph.near[graph.places(ids)]
         who, at, cos = graph.within(exact.astype(np.float32), starts, exact)
         own = graph.ids[at] == ids[who]
         linked = (cos >= SIMILARITY) & ~own
@@ -439,9 +487,9 @@ def searched(shards: DataFrame) -> DataFrame:
         guests = np.flatnonzero((place >= n) & (every[place] < n))
         out.append((np.full(len(guests), EDGE), ids[guests], graph.ids[every[place[guests]]], np.zeros(len(guests), np.int64)))
         # what is linked here but does not meet the query in its own home
-        inside = [set(v) for v in rows.column("cells").to_pylist()]
-        foreign = np.flatnonzero(info["home"][t] != info["here"])
-        lost = [(graph.ids[t[k]], ids[w[k]]) for k in foreign if info["home"][t[k]] not in inside[w[k]]]
+        inside = [set(v) for v in rows.column("into").to_pylist()]
+        foreign = np.flatnonzero(info["main"][t] != info["here"])
+        lost = [(graph.ids[t[k]], ids[w[k]]) for k in foreign if info["main"][t[k]] not in inside[w[k]]]
         # neighbours of what was found that live elsewhere
         found = np.flatnonzero(linked | own)
         f, p = who[found], at[found]
@@ -449,7 +497,7 @@ def searched(shards: DataFrame) -> DataFrame:
         k = np.repeat(np.arange(len(f)), sizes)
         edge = np.arange(len(k)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + graph.cut[p][k]
         angle = np.arccos(np.clip(cos[found], -1, 1))[k]
-        may = np.flatnonzero(np.abs(graph.angles[edge] - angle) <= _ANGLE + 1e-6)
+        may = np.flatnonzero(np.abs(graph.angles[edge] - angle) <= _ANGLE + ROUNDED)
         pairs = {(ids[f[k[m]]], graph.away[edge[m]]) for m in may}
         extra = np.array(sorted({(int(a), int(b)) for a, b in [*lost, *pairs] if a != b}), np.int64).reshape(-1, 2)
         out.append((np.full(len(extra), EXTRA), extra[:, 0], extra[:, 1], np.zeros(len(extra), np.int64)))
@@ -461,7 +509,7 @@ def searched(shards: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(what, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["what", "a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, graph, info, labels = None, None, {}, None
+        now, graph, info, labels, lists = None, None, {}, None, None
 
         def ended() -> Iterator[pa.RecordBatch]:
             if graph is not None:
@@ -472,30 +520,37 @@ def searched(shards: DataFrame) -> DataFrame:
         for (shard, kind), rows in _streams(batches, QUERIES):
             if shard != now:
                 yield from ended()
-                now, graph = shard, None
-            if kind < 2:
+                now, graph, lists = shard, None, None
+            if kind == 0:
+                lists = rows
+            elif kind == 1:
+                rows = rows.take(pa.array(np.argsort(rows.column("node").to_numpy())))
                 ids = rows.column("node").to_numpy()
-                graph = Graph(ids, _floats(rows.column("vec").combine_chunks(), _size(shard)), [np.array(v, np.int64) for v in rows.column("near").to_pylist()], [np.array(v) for v in rows.column("cosines").to_pylist()])
-                info = {c: rows.column(c).to_numpy() for c in ("copies", "home")} | {"here": rows.column("here")[0].as_py()}
+                place = np.searchsorted(ids, lists.column("node").to_numpy())
+                own, at = _edges(lists, "places", _places(len(ids)))
+                owner, others = _edges(lists, "near", np.int64)
+                graph = Graph(ids, _floats(rows.column("vec").combine_chunks(), rows.column("size")[0].as_py()), place[own], at.astype(np.int64), place[owner], others, _edges(lists, "angles", np.float32)[1])
+                info = {c: rows.column(c).to_numpy() for c in ("copies", "main")} | {"here": rows.column("here")[0].as_py()}
                 labels = np.arange(len(ids))
                 asked = rows.filter(rows.column("ask"))
                 parts = [asked.slice(i, QUERIES) for i in range(0, asked.num_rows, QUERIES)]
             else:
                 parts = [rows] if graph is not None else []
-            for part in parts:
+            for part in parts if kind else []:
                 out, labels = results(graph, info, labels, part)
                 yield from batches_of(out)
         yield from ended()
         common.release()
 
-    rows = shards.select("shard", F.when(F.col("kind") < 2, 1).otherwise(2).alias("kind"), (F.col("kind") > 0).alias("ask"), F.xxhash64("cell").alias("here"), "node", "copies", "vec", "near", "cosines", "home", "cells")
-    return rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "what int, a long, b long, n long")
+    rows = shards.select("shard", F.when(F.col("kind") < 2, 1).otherwise(2).alias("kind"), (F.col("kind") > 0).alias("ask"), "here", "size", "node", "copies", "vec", "main", "into")
+    dealt = rows.unionByName(lists.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    return dealt.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "what int, a long, b long, n long")
 
 
-def verified(extra: DataFrame, cells: DataFrame, homes: DataFrame) -> DataFrame:
+def verified(extra: DataFrame, cells: DataFrame) -> DataFrame:
     """(a, b, n) of pairs in range of which a's home has no b, in both directions; n is how many copies b has."""
     both = extra.select("a", "b").union(extra.select("b", "a")).distinct()
-    asked = both.join(homes.select(F.col("node").alias("a"), F.col("home").alias("here")), "a")
+    asked = both.join(cells.filter("home").select(F.col("node").alias("a"), F.col("main").alias("here")), "a")
     asked = asked.join(cells.select(F.xxhash64("cell").alias("here"), F.col("node").alias("b")), ["here", "b"], "left_anti")
     own = cells.filter("home").select("node", "copies", "vec", F.regexp_extract("cell", "^[0-9]+", 0).cast("int").alias("size"))
     left = own.select(F.col("node").alias("a"), F.col("vec").alias("u"), "size")
@@ -518,15 +573,26 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
 
 def _near_duplicates(vectors: DataFrame) -> DataFrame:
+    # vectors are kept once, and in the tables of cells; what a step has read goes with it
     rows = common.stored(prepared(vectors))
-    nodes = common.stored(rows.filter("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("part").alias("part"), F.first("vec").alias("vec")))
-    cells, dense = sharded(nodes)
-    hashed = F.xxhash64("cell")
-    homes = common.stored(cells.groupBy("node").agg(F.collect_list(hashed).alias("cells"), F.max(F.when(F.col("home"), hashed)).alias("home")))
-    shards = common.stored(placed(cells, dense))
-    lists = common.stored(adjacency(shards))
-    found = common.stored(searched(shards.join(lists, "node").join(homes, "node")))
-    extra = common.stored(verified(found.filter(F.col("what") == EXTRA), cells, homes))
+    named = common.stored(rows.select("vec_id", "key"))
+    whole = common.stored(rows.filter("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("part").alias("part"), F.first("vec").alias("vec")))
+    common.dropped(rows)
+    nodes = common.stored(whole.select("key", "node", "vec_id", "copies"))
+    parts, dense = sharded(whole)
+    common.dropped(whole)
+    given, hashed = functools.reduce(DataFrame.unionByName, parts), F.xxhash64("cell")
+    homes = common.stored(given.groupBy("node").agg(F.collect_list(hashed).alias("into"), F.max(F.when(F.col("home"), hashed)).alias("main")))
+    cells = common.stored(given.join(homes, "node"))
+    for at in parts:
+        common.dropped(at)
+    common.dropped(homes)
+    shards = placed(cells, dense)
+    lists = common.stored(adjacency(shards, dense))
+    found = common.stored(searched(shards, lists))
+    common.dropped(lists)
+    extra = common.stored(verified(found.filter(F.col("what") == EXTRA), cells))
+    common.dropped(cells)
     counts = found.filter(F.col("what") == COUNT).select("a", "n").union(extra.select("a", "n")).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     edges = common.stored(found.filter(F.col("what") == EDGE).select("a", "b").union(extra.select("a", "b")))
     # components() passes labels on, so it sees no node without links
@@ -535,7 +601,7 @@ def _near_duplicates(vectors: DataFrame) -> DataFrame:
     known = common.stored(known)
     least = known.groupBy("label").agg(F.min("vec_id").alias("component_id"))
     each = known.join(least, "label").join(counts, "node", "left").select(F.col("key").alias("own"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = rows.select("vec_id", "key").join(each, F.col("key") == F.col("own"), "left")
+    out = named.join(each, F.col("key") == F.col("own"), "left")
     component = F.when(F.col("own").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
