@@ -5,6 +5,7 @@ import os
 import numpy as np
 import pytest
 
+from tickloom import shuffles
 from tickloom.llm import common
 from tickloom.llm import op12_embeddings as op
 
@@ -141,7 +142,7 @@ def test_stored_tables_leave_no_shuffle_files(spark):
         disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
         return {f for top in disk.localDirs() for _, _, names in os.walk(str(top)) for f in names if f.startswith("shuffle_")}
 
-    before, setting = files(), spark.conf.get(common.CLEANUP, None)
+    before, setting = files(), spark.conf.get(shuffles.CLEANUP, None)
     out = common.stored(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
-    assert files() <= before and spark.conf.get(common.CLEANUP, None) == setting
+    assert files() <= before and spark.conf.get(shuffles.CLEANUP, None) == setting
     assert out.count() == 7

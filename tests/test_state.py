@@ -1,9 +1,14 @@
 """Streams with maps, lists and timers in their state, by hand."""
 
+import os
+import random
+import string
 from datetime import datetime, timedelta
 
 import pytest
 
+from tickloom.plans.store_queries import ingest
+from tickloom.sources import versioned
 from tickloom.streaming import bars as S
 from tickloom.streaming import state
 
@@ -78,3 +83,27 @@ def test_contents_of_one_bucket_are_told_apart(spark, tmp_path, monkeypatch):
     got = feed.run([("again", at(31), "text 1"), ("copy", at(32), "text 1"), ("last", at(60), "last")])
     # of each text the first in order of time, and one that comes again after its time
     assert got == sorted([("p0", "text 0"), ("p1", "text 1"), ("p6", "text 2"), ("p3", "text 3"), ("again", "text 1"), ("end", "end")], key=repr)
+
+
+SOURCE = "path string, ts timestamp, text string"
+
+
+def size(path):
+    return sum(os.path.getsize(f"{at}/{f}") for at, _, names in os.walk(path) for f in names)
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_texts_are_kept_by_the_table_and_not_by_the_state(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(versioned, "FEW", few)
+    text = {k: "".join(random.Random(k).choices(string.ascii_letters, k=20_000)) for k in range(60)}
+    files = [[(f"p{k}", at(0), text[k]) for k in range(40)], [("p0", at(1), text[50]), ("p0", at(1), text[50]), ("p1", at(1), text[2]), ("p3", at(2), text[51])], [("p2", at(3), text[52])], [("end", at(90), "end")]]
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, SOURCE).coalesce(1).write.parquet(f"{tmp_path}/in/f{n}")
+        found = state.unseen(spark.readStream.schema(SOURCE).parquet(f"{tmp_path}/in/f*"), "10 hours", texts=False)
+        ingest(found, spark.read.schema(SOURCE).parquet(f"{tmp_path}/in/f*"), f"{tmp_path}/table", f"{tmp_path}/state", 20_000, 20_000)
+    want = {f"p{k}": text[k] for k in range(40)} | {"p0": text[50], "p3": text[51], "p2": text[52]}
+    got = versioned.read(spark, f"{tmp_path}/table").collect()
+    assert sorted((r.path, r.idx, r.chunk) for r in got) == sorted((p, 0, t) for p, t in want.items())
+    # neither the state nor older versions hold the texts
+    whole = sum(map(len, want.values()))
+    assert size(f"{tmp_path}/state") < whole / 4 and size(f"{tmp_path}/table") < whole * 1.2

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -14,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.shuffles import setting
+
 #: Rows in an Arrow batch: texts are long, so batches are short.
 BATCH_ROWS = 1000
 
@@ -49,24 +50,6 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-#: Whether the files of a query's shuffles go with its end, and not when the driver happens to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextlib.contextmanager
-def cleaned(spark: SparkSession) -> Iterator[None]:
-    """What is written inside leaves no shuffle files behind; the session's own setting holds again afterwards."""
-    was = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if was is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, was)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and returns the table read back.
 
@@ -74,7 +57,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    with cleaned(spark):
+    with setting(spark, CLEANUP="true"):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path

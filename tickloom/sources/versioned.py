@@ -17,8 +17,12 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.shuffles import setting
+
 #: Buckets of a table: what a merge writes at least is one of them.
 BUCKETS = 32
+#: Keys that are sent to all tasks, at most.
+FEW = 1_000_000
 
 
 def _fs(spark: SparkSession, path: str):
@@ -53,19 +57,21 @@ def _publish(spark: SparkSession, path: str, entry: dict) -> bool:
     return done
 
 
-def _bucket(keys: list[str]):
+def bucket(keys: list[str]):
+    """The bucket that a row is in by its keys."""
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def merge(rows: DataFrame, path: str, keys: list[str], batch: str, deleted: str | None = None) -> int:
+def merge(rows: DataFrame, path: str, keys: list[str], batch: str, deleted: str | None = None, given: DataFrame | None = None) -> int:
     """The version after all rows whose ``keys`` ``rows`` has are replaced by those that it has; keys are compared null-safely.
 
     Where the boolean column ``deleted`` is set a row only removes.  Returns the version that holds
-    the batch, which is an older one if the batch was there.
+    the batch, which is an older one if the batch was there.  With ``given``, the keys of ``rows``, ``rows`` is
+    read once; it is then together by ``bucket(keys)`` as it comes, and so not shuffled.
     """
     spark = rows.sparkSession
     flagged = rows.withColumn("__gone", F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False))
-    flagged = (flagged.drop(deleted) if deleted else flagged).withColumn("bucket", _bucket(keys))
+    flagged = (flagged.drop(deleted) if deleted else flagged).withColumn("bucket", bucket(keys))
     columns = [c for c in rows.columns if c != deleted]
     while True:
         log = history(spark, path)
@@ -76,14 +82,20 @@ def merge(rows: DataFrame, path: str, keys: list[str], batch: str, deleted: str
         if now["keys"] != keys:
             raise ValueError(f"the table has the keys {now['keys']}")
         commit = f"data/{uuid.uuid4().hex}"
-        touched = sorted(r.bucket for r in flagged.select("bucket").distinct().collect())  # BUCKETS at most
+        named = flagged.select("bucket", *keys) if given is None else given.select(bucket(keys).alias("bucket"), *keys)
+        touched = sorted(r.bucket for r in named.select("bucket").distinct().collect())  # BUCKETS at most
         new = flagged.filter("NOT __gone").select(*columns, "bucket")
         old = _read(spark, path, now, [str(b) for b in touched])
         if old is not None:
-            given = flagged.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+            gone = named.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
             same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-            new = new.unionByName(old.join(given, same, "left_anti").withColumn("bucket", _bucket(keys)), allowMissingColumns=True)
-        new.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{commit}")
+            # where the keys are few enough to be sent to all, what stays is written as it lies in its bucket
+            few = given is not None and gone.limit(FEW + 1).count() <= FEW
+            stay = old.join(F.broadcast(gone) if few else gone, same, "left_anti").withColumn("bucket", bucket(keys))
+            new = new.unionByName(stay if few or given is None else stay.repartition("bucket"), allowMissingColumns=True)
+        new = new.repartition("bucket") if given is None else new
+        with setting(spark, CLEANUP="true", ALL_KEYS="false"):
+            new.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/{commit}")
         folders = dict(now["folders"])
         at, fs = _fs(spark, f"{path}/{commit}")
         held = {s.getPath().getName() for s in fs.listStatus(at)}
@@ -97,6 +109,15 @@ def merge(rows: DataFrame, path: str, keys: list[str], batch: str, deleted: str
             return entry["version"]
 
 
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Removes what only older versions than the last one hold; they can't be read any more, and their batches stay known."""
+    log = history(spark, path)
+    kept = set(log[-1]["folders"].values()) if log else set()
+    for folder in {f for x in log for f in x["folders"].values()} - kept:
+        at, fs = _fs(spark, f"{path}/{folder}")
+        fs.delete(at, True)
+
+
 def _read(spark: SparkSession, path: str, entry: dict, buckets: list[str] | None = None) -> DataFrame | None:
     folders = [f for b, f in entry["folders"].items() if buckets is None or b in buckets]
     if not folders:

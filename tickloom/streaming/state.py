@@ -210,11 +210,10 @@ class Seen(InOrder):
     A key is a bucket of many contents, so that state and timers are asked once a bucket and not once a document.
     """
 
-    held_fields = ["hash string", "path string", "text string"]
-    out_columns = ["hash", "at", "path", "text"]
-
-    def __init__(self, ttl_ms: int) -> None:
+    def __init__(self, ttl_ms: int, texts: bool = True) -> None:
         self.ttl = ttl_ms
+        more = ["text"] if texts else []
+        self.held_fields, self.out_columns = [f"{c} string" for c in ["hash", "path", *more]], ["hash", "at", "path", *more]
 
     def setup(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getListState("last", "hash string, at long")
@@ -230,10 +229,10 @@ class Seen(InOrder):
     def step(self, key: tuple, rows: list[tuple]) -> list[tuple]:
         last = {r[0]: r[1] for r in self.last.get()}
         out = []
-        for at, _, content, path, text in rows:
+        for at, _, content, *rest in rows:
             before = last.get(content)
             if before is None or at - before > self.ttl * 1000:
-                out.append((content, at, path, text))
+                out.append((content, at, *rest))
             last[content] = at
         self.keep(last, rows[-1][0])
         return out
@@ -248,16 +247,18 @@ class Seen(InOrder):
                 self.last.clear()
 
 
-def unseen(docs: DataFrame, ttl: str, late: str = "0 seconds") -> DataFrame:
+def unseen(docs: DataFrame, ttl: str, late: str = "0 seconds", texts: bool = True) -> DataFrame:
     """(hash, at, path, text) of a stream (path, ts timestamp, text) without copies of what came up to ``ttl`` before, whatever its path.
 
-    Null texts and paths are left out.
+    Null texts and paths are left out.  Without ``texts`` the texts are neither held nor handed on, only their hashes.
     """
     spark = prepared(docs.sparkSession)
     ms = spark.sql(f"SELECT unix_millis(timestamp'1970-01-01 00:00:00Z' + INTERVAL {ttl}) AS n").first().n
     known = docs.filter("path IS NOT NULL AND text IS NOT NULL").withWatermark("ts", late)
-    keyed = known.select(F.sha2("text", 256).alias("hash"), "ts", F.unix_micros("ts").alias("at"), F.lit(0).alias("rank"), "path", "text")
-    return keyed.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(BUCKETS)).cast("int")).groupBy("bucket").transformWithStateInPandas(Seen(ms), "hash string, at long, path string, text string", "append", "EventTime")
+    more = ["text"] if texts else []
+    keyed = known.select(F.sha2("text", 256).alias("hash"), "ts", F.unix_micros("ts").alias("at"), F.lit(0).alias("rank"), "path", *more)
+    schema = ", ".join(["hash string, at long, path string", *[f"{c} string" for c in more]])
+    return keyed.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(BUCKETS)).cast("int")).groupBy("bucket").transformWithStateInPandas(Seen(ms, texts), schema, "append", "EventTime")
 
 
 class Online(InOrder):
