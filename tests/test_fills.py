@@ -46,3 +46,8 @@ def test_rows_that_the_sql_leaves_open_are_settled_by_their_values(spark, tmp_pa
 def test_prices_of_zero_shares_are_those_of_sql(spark, tmp_path, name):
     ours, sql = both(spark, lines(tmp_path, ZEROS), name)
     assert ours == sql
+
+
+def test_of_rows_that_the_sql_leaves_open_the_nearest_price_is_taken(spark, tmp_path):
+    path = lines(tmp_path, "(1, 1, 2, 90, '2000-01-01'), (1, 1, 2, 100, '2000-01-01'), (1, 1, 2, 120, '2000-01-01')")
+    assert [tuple(r) for r in catalog.queries()["fills_tolerance"](spark, path).collect()] == [(1, 1, True, 5.0, 30)]
